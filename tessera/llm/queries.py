@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import html_text, line_dedup, packing, toxicity
+from tessera.llm import html_text, line_dedup, ngram_join, packing, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op6_line_dedup, op8_packing, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op6_line_dedup, op8_packing, op9_ngram_join, op10_html_text)}
 ORACLES: dict[str, str] = {}
