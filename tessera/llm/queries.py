@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import html_text, line_dedup, ngram_join, packing, toxicity
+from tessera.llm import html_text, line_dedup, ngram_join, packing, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -32,5 +36,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op6_line_dedup, op8_packing, op9_ngram_join, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op6_line_dedup, op8_packing, op9_ngram_join, op10_html_text)}
 ORACLES: dict[str, str] = {}
