@@ -91,13 +91,13 @@ def pack(docs: DataFrame, encoder: Callable[[], Encoder] | None = None, longest:
         raise ValueError("longest must be a power of two")
     path = tokenizer_path() if encoder is None else None
     tail = np.array([end_id], "<u4").tobytes()
-    schema = "doc_id long, start long, length long, bucket int, ids_crc32 long, doc_tokens long" + (", ids array<long>" if with_ids else "")
+    schema = "doc_id long, start long, length long, bucket int, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder() if encoder is not None else Encoder(path)
         for b in batches:
             rows: list[tuple] = []
-            ids_out: list[np.ndarray] = []
+            ids_out: list[bytes] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = enc.encode(text or "") + tail
                 n, at = len(ids) // 4, 0
@@ -105,9 +105,9 @@ def pack(docs: DataFrame, encoder: Callable[[], Encoder] | None = None, longest:
                     part = ids[4 * at : 4 * (at + m)]
                     rows.append((doc_id, at, m, m.bit_length() - 1, zlib.crc32(part), n))
                     if with_ids:
-                        ids_out.append(np.frombuffer(part, "<u4").astype(np.int64))
+                        ids_out.append(part)
                     at += m
-                if len(rows) >= 20_000:
+                if len(rows) >= 20_000 or with_ids and rows and n > 1_000_000:
                     yield _batch(rows, ids_out, with_ids)
                     rows, ids_out = [], []
             if rows:
@@ -117,12 +117,13 @@ def pack(docs: DataFrame, encoder: Callable[[], Encoder] | None = None, longest:
     return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
-def _batch(rows: list[tuple], ids: list[np.ndarray], with_ids: bool) -> pa.RecordBatch:
+def _batch(rows: list[tuple], ids: list[bytes], with_ids: bool) -> pa.RecordBatch:
     cols = list(zip(*rows))
     arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())]
     names = ["doc_id", "start", "length", "bucket", "ids_crc32", "doc_tokens"]
     if with_ids:
-        arrays.append(pa.array([x.tolist() for x in ids], pa.list_(pa.int64())))
+        ends = np.concatenate([[0], np.cumsum(cols[2])]).astype(np.int32)
+        arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
         names.append("ids")
     return pa.RecordBatch.from_arrays(arrays, names)
 
