@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann_forest, decontam, html_text, line_dedup, ngram_join, packing, substring_dedup, toxicity
+from tessera.llm import ann_forest, decontam, html_text, license_scan, line_dedup, ngram_join, packing, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -44,5 +48,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op5_decontamination, op6_line_dedup, op7_ann_forest, op8_packing, op9_ngram_join, op10_html_text)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_toxicity, op5_decontamination, op6_line_dedup, op7_ann_forest, op8_packing, op9_ngram_join, op10_html_text)}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
