@@ -11,7 +11,7 @@
 3. The best alignment's share of the item's full score is reported; a share of
    at least ``least`` marks the document.
 
-Words are lower-cased runs of letters and digits. Defined results: null or empty
+Words are lower-cased runs of letters, digits and characters beyond ASCII. Defined results: null or empty
 texts and items never match; items shorter than the seed length are seeds
 themselves; rows that share an id are judged each; empty tables give empty
 results; extra columns are ignored.
@@ -19,7 +19,6 @@ results; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +28,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WordHashes, Workspace, gram_hashes, mix, text_key
 
-_WORD = re.compile(r"[^\W_]+")
+#: ASCII bytes other than letters and digits end a word.
+_TO_WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 ITEMS = 5_000
 SEED = 3
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return [w.encode() for w in _WORD.findall(text.lower())] if text else []
+    return text.lower().encode().translate(_TO_WORDS).split() if text else []
 
 
 class Items:
