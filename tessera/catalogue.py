@@ -1,12 +1,643 @@
-"""All queries of the library with their SQL oracles."""
+"""All queries of the library with their SQL oracles (DuckDB), over the Parquet tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as X
+from tessera.operators import chunking, graph, joins, series, vectors
+from tessera.plans import evaluate
+from tessera.plans.answer import overall, scores_by_category
+from tessera.plans.expand import expand
+from tessera.sources import dialogue
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.from_table(table(spark, sf_dir, "conversations"))
+
+
+def _long(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("bigint") for c in cols})
+
+
+# --- SQL fragments shared by oracles
+
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+TOKENS = "CAST(ceil(length({0}) * 0.74::DOUBLE) AS BIGINT)"
+GROUPS = """
+g0 AS (SELECT conv_id, role || ': ' || text AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rn, count(*) OVER (PARTITION BY conv_id) AS n
+       FROM conversations WHERE length(trim(coalesce(text, ''), {ws})) > 0),
+g AS (SELECT *, least(rn // {size}, greatest(n // {size} - 1, 0)) AS block, n // {size} >= 1 AND rn = (n // {size}) * {size} AS glued FROM g0)"""
+CHUNKS = GROUPS + """,
+chunks AS (SELECT conv_id, block, string_agg(CASE WHEN rn = block * {size} OR glued THEN '' ELSE chr(10) END || line, '' ORDER BY rn) AS chunk FROM g GROUP BY conv_id, block)"""
+CHUNKS2 = CHUNKS.format(ws=WS, size=2)
+EMBED = """
+{name}_w AS (SELECT {ids}, unnest(regexp_extract_all(lower({text}), '[a-z]+')) AS w FROM {source}),
+{name}_c AS (SELECT {ids}, CAST('0x' || substr(md5(w), 1, 4) AS BIGINT) % 64 AS bucket, count(*) AS n FROM {name}_w GROUP BY ALL),
+{name} AS (SELECT {ids}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {ids})) AS weight FROM {name}_c)"""
+FIRST_Q = """
+q0 AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations),
+qs AS (SELECT conv_id, turn, text AS question, answer FROM q0 WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)"""
+PACK = """
+WITH RECURSIVE {items},
+f AS (SELECT k, i, t, cost AS used, 0 AS c FROM items WHERE i = 0
+      UNION ALL
+      SELECT n.k, n.i, n.t, CASE WHEN f.used > 0 AND f.used + {sep} + n.cost > {budget} THEN n.cost WHEN f.used > 0 THEN f.used + {sep} + n.cost ELSE n.cost END,
+             CASE WHEN f.used > 0 AND f.used + {sep} + n.cost > {budget} THEN f.c + 1 ELSE f.c END
+      FROM f JOIN items n ON n.k = f.k AND n.i = f.i + 1)
+SELECT k AS {key}, CAST(c AS BIGINT) AS chunk_id, string_agg(t, {joiner} ORDER BY i) AS chunk, count(*) AS n_items FROM f GROUP BY k, c"""
+
+
+# --- scans and rendering
+
+
+@query(f"WITH {FIRST_Q} SELECT conv_id, turn, question, answer FROM qs")
+def questions_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.first_questions(turns(spark, sf_dir)).withColumnRenamed("turn_ord", "turn")
+
+
+@query("SELECT conv_id, turn, 'time:' || coalesce(CASE WHEN conv_id % 2 = 0 THEN 'day ' || conv_id END, 'None') || ' content:' || text AS doc FROM conversations")
+def render_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("day "), F.col("conv_id").cast("string")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.timed(ts, F.col("text")).alias("doc"))
+
+
+@query("SELECT conv_id, turn, 'time:' || coalesce(CASE WHEN conv_id % 2 = 0 THEN 'day ' || conv_id END, 'None') || ',content:' || text AS doc FROM conversations WHERE length(text) > 0")
+def render_graph_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("day "), F.col("conv_id").cast("string")))
+    return table(spark, sf_dir, "conversations").where(F.length("text") > 0).select("conv_id", "turn", X.timed(ts, F.col("text"), ",").alias("doc"))
+
+
+@query("SELECT conv_id, turn, role || ':' || trim(text, " + WS + ") || CASE WHEN turn % 3 = 0 THEN ',image:a picture' ELSE '' END AS line FROM conversations")
+def render_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    image = F.when(F.col("turn") % 3 == 0, F.lit("a picture"))
+    return c.select("conv_id", "turn", X.turn_with_image(F.col("role"), F.col("text"), image, image).alias("line"))
+
+
+# --- chunking
+
+
+@query(f"WITH {CHUNKS2} SELECT conv_id, CAST(block AS BIGINT) AS block, chunk FROM chunks")
+def turn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(chunking.turn_chunks(turns(spark, sf_dir)).drop("session_ord"), "block")
+
+
+@query(f"WITH {CHUNKS.format(ws=WS, size=200)} SELECT conv_id, CAST(block AS BIGINT) AS block, chunk FROM chunks")
+def session_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(chunking.turn_chunks(turns(spark, sf_dir), rounds=100).drop("session_ord"), "block")
+
+
+@query(f"WITH {GROUPS.format(ws=WS, size=2)} SELECT conv_id, CAST(block AS BIGINT) AS block, 'day ' || conv_id || chr(9) || string_agg(chr(10) || line, chr(9) ORDER BY rn) AS rows FROM g GROUP BY conv_id, block")
+def turn_chunks_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir).withColumn("date_time", F.concat(F.lit("day "), F.col("conv_id").cast("string")))
+    return _long(chunking.timed_groups(t).select("conv_id", "block", F.array_join("rows", "\t").alias("rows")), "block")
+
+
+_CONV_ITEMS = "items AS (SELECT conv_id AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role || ': ' || text AS t, {cost} AS cost FROM conversations)"
+
+
+def _conv_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir)
+    return t.select("conv_id", "turn_ord", X.turn_line(F.col("speaker"), F.col("text")).alias("t"))
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    return _long(df, "chunk_id", "n_items")
+
+
+@query(PACK.format(items=_CONV_ITEMS.format(cost="length(role || ': ' || text)"), sep=1, budget=900, key="conv_id", joiner="chr(10)"))
+def pack_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _conv_items(spark, sf_dir).withColumn("cost", F.length("t"))
+    return _packed(chunking.pack(i, ["conv_id"], "turn_ord", "t", "cost", 900, sep=1))
+
+
+@query(PACK.format(items=_CONV_ITEMS.format(cost=TOKENS.format("role || ': ' || text")), sep=0, budget=600, key="conv_id", joiner="chr(10)"))
+def pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _conv_items(spark, sf_dir).withColumn("cost", X.estimated_tokens(F.col("t")))
+    return _packed(chunking.pack(i, ["conv_id"], "turn_ord", "t", "cost", 600))
+
+
+_DOC_LINES = """items AS (SELECT doc_id AS k, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS i, t, {cost} AS cost FROM
+  (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents) WHERE length(trim(t, {ws})) > 0)"""
+
+
+@query(PACK.format(items=_DOC_LINES.format(cost=TOKENS.format("t"), ws=WS), sep=1, budget=512, key="doc_id", joiner="' '"))
+def pack_list_sep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t")).where(~X.is_blank(F.col("t")))
+    return _packed(chunking.pack(d.withColumn("cost", X.estimated_tokens(F.col("t"))), ["doc_id"], "i", "t", "cost", 512, sep=1, joiner=" "))
+
+
+_DOC_SENTENCES = r"""marked AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '([.?!])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '([.?!])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS a FROM documents),
+parts AS (SELECT doc_id, CASE WHEN len(a) > 1 THEN a ELSE string_split(text, chr(10)) END AS a FROM marked),
+items AS (SELECT doc_id AS k, p - 1 AS i, t, {cost} AS cost FROM (SELECT doc_id, unnest(a) AS t, generate_subscripts(a, 1) AS p FROM parts))"""
+
+
+@query(PACK.format(items=_DOC_SENTENCES.format(cost=TOKENS.format("t")), sep=0, budget=512, key="doc_id", joiner="' '"))
+def pack_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("i", "t"))
+    return _packed(chunking.pack(d.withColumn("cost", X.estimated_tokens(F.col("t"))), ["doc_id"], "i", "t", "cost", 512, joiner=" "))
+
+
+_LANG_DOCS = "items AS (SELECT source AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, CAST(doc_id AS VARCHAR) AS t, {cost} AS cost FROM documents)"
+
+
+@query(PACK.format(items=_LANG_DOCS.format(cost=TOKENS.format("text")), sep=0, budget=8000, key="source", joiner="','"))
+def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("doc_id").cast("string").alias("t"), X.estimated_tokens(F.col("text")).alias("cost"))
+    return _packed(chunking.pack(d, ["source"], "doc_id", "t", "cost", 8000, joiner=","))
+
+
+_SENT = r"""lines AS (SELECT conv_id, turn, role || ':' || text AS line FROM conversations),
+m AS (SELECT *, regexp_matches(line, '^([^:]+):\s*(.*)$') AS hit, regexp_extract(line, '^([^:]+):\s*(.*)$', 1) AS sp, regexp_extract(line, '^([^:]+):\s*(.*)$', 2) AS body FROM lines),
+p AS (SELECT conv_id, turn, sp, unnest(regexp_extract_all(body, '[^.?!？]*[.?!？]')) AS piece, generate_subscripts(regexp_extract_all(body, '[^.?!？]*[.?!？]'), 1) AS i FROM m WHERE hit),
+s AS (SELECT conv_id, turn, i, sp || ':' || trim(left(piece, length(piece) - 1), {ws}) || right(piece, 1) AS sentence FROM p WHERE length(trim(left(piece, length(piece) - 1), {ws})) > 0
+      UNION ALL SELECT conv_id, turn, 1, line FROM m WHERE NOT hit)
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS BIGINT) AS sent_idx, sentence FROM s {where}"""
+
+
+def _sentences(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    line = F.concat("role", F.lit(":"), "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(X.turn_sentences(line, least)).alias("sent_idx", "sentence"))
+    return _long(rows, "sent_idx")
+
+
+@query("WITH " + _SENT.format(ws=WS, where=""))
+def sentence_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentences(spark, sf_dir, 0)
+
+
+@query("WITH " + _SENT.format(ws=WS, where="WHERE length(sentence) >= 30"))
+def sentence_explode_min30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentences(spark, sf_dir, 30)
+
+
+@query(
+    rf"""WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents),
+l AS (SELECT doc_id, ln, trim(line, {WS}) AS line FROM l0 WHERE length(trim(line, {WS})) > 0),
+m AS (SELECT *, regexp_matches(line, '^([^:]+):\s*(.*)$') AS hit, regexp_extract(line, '^([^:]+):\s*(.*)$', 1) AS sp, regexp_extract(line, '^([^:]+):\s*(.*)$', 2) AS body FROM l),
+a AS (SELECT doc_id, ln, CASE WHEN hit THEN sp || ': ' ELSE '' END AS lead, CASE WHEN hit THEN regexp_extract_all(body, '[^.?!。！？]*[.?!。！？]') ELSE regexp_extract_all(line, '[^.?!。！？;；]*[.?!。！？;；]') END AS ps FROM m),
+p AS (SELECT doc_id, ln, lead, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM a),
+s AS (SELECT doc_id, ln, i, lead || trim(left(piece, length(piece) - 1), {WS}) || right(piece, 1) AS sentence FROM p WHERE length(trim(left(piece, length(piece) - 1), {WS})) > 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ln, i) - 1 AS BIGINT) AS sent_idx, sentence FROM s WHERE length(sentence) >= 30"""
+)
+def graph_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.graph_sentences(F.col("text"))).alias("sent_idx", "sentence"))
+    return _long(rows, "sent_idx")
+
+
+@query(
+    f"""WITH b AS (SELECT conv_id, turn, role || ':' || trim(text, {WS}) AS line, CASE WHEN role = 'user' AND turn > 0 THEN 1 ELSE 0 END AS b FROM conversations),
+s AS (SELECT *, sum(b) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM b)
+SELECT conv_id, CAST(segment AS BIGINT) AS segment, string_agg(line, chr(10) ORDER BY turn) AS chunk, count(*) AS n_lines FROM s GROUP BY conv_id, segment"""
+)
+def cut_by_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir).select("conv_id", "turn_ord", "speaker", F.concat("speaker", F.lit(":"), X.strip(F.col("text"))).alias("line"))
+    return _long(chunking.cut(t, t.where("speaker = 'user'"), ["conv_id"], "turn_ord", "line"), "segment", "n_lines")
+
+
+# --- joins
+
+
+@query(
+    rf"""WITH {CHUNKS2},
+lines AS (SELECT conv_id, block, list_filter(list_transform(string_split(chunk, chr(10)), lambda x: trim(x, {WS})), lambda x: length(x) > 0)[1] AS l FROM chunks),
+anchors AS (SELECT conv_id, block, trim(regexp_replace(trim(regexp_replace(l, ',?image:[^,\n]*', '', 'gi'), {WS}), '^[A-Za-z_ ]+:\s*', ''), {WS}) AS anchor FROM lines),
+bodies AS (SELECT conv_id, turn // 2 AS sess, 'day ' || (turn // 2) AS date_time, string_agg(trim(text, {WS}), chr(10) ORDER BY turn) AS body FROM conversations GROUP BY ALL),
+hits AS (SELECT a.conv_id, a.block, arg_min(b.date_time, b.sess) AS ts FROM anchors a JOIN bodies b ON a.conv_id = b.conv_id AND contains(b.body, a.anchor) GROUP BY ALL)
+SELECT a.conv_id, CAST(a.block AS BIGINT) AS block, a.anchor, h.ts AS timestamp FROM anchors a LEFT JOIN hits h USING (conv_id, block)"""
+)
+def anchor_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir)
+    sess = F.floor(F.col("turn_ord") / 2)
+    two = t.withColumn("session_ord", sess).withColumn("date_time", F.concat(F.lit("day "), sess.cast("string")))
+    out = joins.attach_times(chunking.turn_chunks(t), joins.session_bodies(two, ["conv_id"]))
+    return _long(out.select("conv_id", "block", "anchor", "timestamp"), "block")
+
+
+@query(
+    """WITH qa AS (SELECT conv_id, turn AS q_ord, text AS question, [turn + 1, turn + 9, turn] AS ev FROM conversations WHERE role = 'user'),
+e AS (SELECT conv_id, q_ord, question, unnest(ev) AS t, generate_subscripts(ev, 1) AS i FROM qa)
+SELECT e.conv_id, e.q_ord, e.question, string_agg(c.text, '|' ORDER BY i) AS evidence FROM e JOIN conversations c ON c.conv_id = e.conv_id AND c.turn = e.t GROUP BY ALL"""
+)
+def evidence_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    qa = c.where("role = 'user'").select("conv_id", F.col("turn").alias("q_ord"), F.col("text").alias("question"), F.lit("x").alias("answer"), F.array(F.col("turn") + 1, F.col("turn") + 9, F.col("turn")).alias("evidence"))
+    out = joins.resolve_evidence(qa, c.select("conv_id", F.col("turn").alias("dia_id"), "text"))
+    return out.withColumn("evidence", F.array_join("evidence", "|"))
+
+
+# --- vectors and graph. One group (all vectors) on the test bed; a conversation id on real data.
+
+_PAIRS = "pairs AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
+_SIMPLE = _PAIRS + ", edges AS (SELECT i AS src, j AS dst, sim AS weight FROM pairs WHERE sim > 0.3), sym AS (SELECT src AS node, dst AS neighbor, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)"
+BLOCK = 256
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+
+
+def _all_pairs(spark: SparkSession, sf_dir: str, over: float | None = None) -> DataFrame:
+    """i < j pairs with their inner products, block against block (see operators/blocked.py)."""
+    from tessera.operators.blocked import all_pairs
+
+    return all_pairs(_embeddings(spark, sf_dir), "vec_id", "v", over=over, block=BLOCK)
+
+
+@query(f"WITH {_PAIRS} SELECT i, j, sim FROM pairs WHERE sim > 0.2")
+def pairwise_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_pairs(spark, sf_dir, 0.2)
+
+
+@query(f"WITH {_PAIRS} SELECT round(avg(sim), 6) AS mean_sim, count(*) AS n_pairs FROM pairs")
+def offdiag_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_pairs(spark, sf_dir).agg(F.round(F.avg("sim"), 6).alias("mean_sim"), F.count("*").alias("n_pairs"))
+
+
+_OWNERS = _PAIRS + """,
+sent AS (SELECT i // 5 AS src, j // 5 AS dst, greatest(0, max(sim)) AS sentence_similarity FROM pairs WHERE i // 5 <> j // 5 GROUP BY ALL),
+flat AS (SELECT vec_id // 5 AS c, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings),
+dims AS (SELECT c, d, sum(x) AS x FROM flat GROUP BY ALL),
+vecs AS (SELECT c, list(x ORDER BY d) AS v FROM dims GROUP BY c),
+texts AS (SELECT a.c AS src, b.c AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS text_similarity FROM vecs a JOIN vecs b ON a.c < b.c),
+typed AS (SELECT src, dst, text_similarity, sentence_similarity,
+  CASE WHEN text_similarity > 0.3 AND sentence_similarity > 0.3 THEN 'both' WHEN text_similarity > 0.3 THEN 'text_similarity' WHEN sentence_similarity > 0.3 THEN 'sentence_similarity' END AS edge_type
+  FROM texts JOIN sent USING (src, dst)),
+edges AS (SELECT *, CASE edge_type WHEN 'both' THEN greatest(text_similarity, sentence_similarity) WHEN 'text_similarity' THEN text_similarity ELSE sentence_similarity END AS weight FROM typed WHERE edge_type IS NOT NULL)"""
+
+
+def _owner(c: str):
+    return F.floor(F.col(c) / 5)
+
+
+def _sentence_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.max_pair_similarity(_all_pairs(spark, sf_dir), _owner("i"), _owner("j"), [])
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators.blocked import all_pairs
+
+    flat = _embeddings(spark, sf_dir).select(_owner("vec_id").alias("c"), F.posexplode("v").alias("d", "x"))
+    sums = flat.groupBy("c", "d").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    vecs = sums.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
+    sims = all_pairs(vecs, "c", "v", normalize=True, block=BLOCK).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("sim").alias("text_similarity"))
+    return graph.typed_edges(sims, _sentence_sims(spark, sf_dir), [], 0.3, 0.3)
+
+
+@query(f"WITH {_OWNERS} SELECT src, dst, sentence_similarity FROM sent")
+def sentence_max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentence_sims(spark, sf_dir)
+
+
+@query(f"WITH {_OWNERS} SELECT src, dst, edge_type, text_similarity, sentence_similarity, weight FROM edges")
+def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir)
+
+
+@query(f"WITH {_OWNERS} SELECT edge_type, count(*) AS n_edges FROM edges GROUP BY 1")
+def edge_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.type_counts(_typed(spark, sf_dir))
+
+
+@query(f"WITH {_OWNERS} SELECT src, dst, edge_type, weight FROM edges WHERE edge_type <> 'sentence_similarity'")
+def edges_without_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.without_type(_typed(spark, sf_dir), "sentence_similarity").select("src", "dst", "edge_type", "weight")
+
+
+@query("SELECT CAST(vec_id AS BIGINT) AS src, CAST(vec_id AS BIGINT) AS dst, CAST(0 AS DOUBLE) AS weight FROM embeddings WHERE false")
+def edges_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.without_edges(_simple(spark, sf_dir)).select("src", "dst", "weight")
+
+
+def _simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.simple_edges(_all_pairs(spark, sf_dir, 0.3), [], 0.3)
+
+
+@query(f"WITH {_SIMPLE} SELECT src, dst, weight, 'similarity' AS edge_type FROM edges")
+def simple_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _simple(spark, sf_dir)
+
+
+_TOPK = """scores AS (SELECT q.vec_id AS q_id, c.vec_id AS chunk_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id < 20 AND c.vec_id >= 20),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS rk FROM scores)"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions (20 vectors, a fixed number) against all chunks."""
+    e = _embeddings(spark, sf_dir)
+    q = e.where("vec_id < 20").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"))
+    return e.where("vec_id >= 20").join(F.broadcast(q), F.lit(True)).select("q_id", F.col("vec_id").alias("chunk_id"), F.round(vectors.dot(F.col("q"), F.col("v")), 6).alias("score"))
+
+
+@query(f"WITH {_TOPK} SELECT q_id, chunk_id, score, rk FROM ranked WHERE rk <= 5")
+def topk_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(vectors.top_k(_scores(spark, sf_dir), ["q_id"], "chunk_id", 5), "rk")
+
+
+@query(f"WITH {_TOPK} SELECT q_id, chunk_id, row_number() OVER (PARTITION BY q_id ORDER BY chunk_id) AS ord FROM ranked WHERE rk <= 5")
+def topk_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = vectors.top_k(_scores(spark, sf_dir), ["q_id"], "chunk_id", 5)
+    return _long(top.select("q_id", "chunk_id", F.row_number().over(Window.partitionBy("q_id").orderBy("chunk_id")).alias("ord")), "ord")
+
+
+@query(f"WITH {_TOPK}, kept AS (SELECT q_id, chunk_id, rk FROM ranked WHERE rk <= 6) SELECT q_id, chunk_id, rk FROM kept WHERE rk <= 3")
+def first_three_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = vectors.top_k(_scores(spark, sf_dir), ["q_id"], "chunk_id", 6)
+    return _long(top.where("rk <= 3").select("q_id", "chunk_id", "rk"), "rk")
+
+
+# --- retrieval on text
+
+
+def _ranked_chunks(spark: SparkSession, sf_dir: str, rounds: int, k: int) -> DataFrame:
+    """conv_id, block, rk, score, chunk: chunks of each conversation ranked against its first question."""
+    t = turns(spark, sf_dir)
+    chunks = chunking.turn_chunks(t, rounds).drop("session_ord")
+    q = vectors.hash_embedding(joins.first_questions(t), ["conv_id"], "question")
+    c = vectors.hash_embedding(chunks, ["conv_id", "block"], "chunk")
+    top = vectors.top_k(vectors.sparse_scores(q, c, ["conv_id"], ["conv_id", "block"]), ["conv_id"], "block", k)
+    return top.join(chunks, ["conv_id", "block"])
+
+
+_RANKED = (
+    f"{FIRST_Q}, {CHUNKS2}, {EMBED.format(name='qe', ids='conv_id', text='question', source='qs')}, {EMBED.format(name='ce', ids='conv_id, block', text='chunk', source='chunks')},"
+    " scored AS (SELECT c.conv_id, c.block, round(sum(q.weight * c.weight), 6) AS score FROM qe q JOIN ce c ON q.conv_id = c.conv_id AND q.bucket = c.bucket GROUP BY ALL),"
+    " ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, block) AS rk FROM scored)"
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return _long(_ranked_chunks(spark, sf_dir, 1, 3).select("conv_id", "block", "rk", "score"), "block", "rk")
+
+
+@query(f"WITH {_RANKED} SELECT conv_id, CAST(block AS BIGINT) AS block, rk, score FROM ranked WHERE rk <= 3")
+def retrieve_turn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
+
+
+def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir)
+    q = joins.first_questions(t).where("answer is not null")
+    truth = q.select("conv_id", F.lit(0).alias("t_ord"), F.col("answer").alias("truth")).unionByName(q.select("conv_id", F.lit(1).alias("t_ord"), F.col("question").alias("truth")))
+    kinds = None
+    for name, rounds in (("turn", 1), ("double", 2)):
+        r = _ranked_chunks(spark, sf_dir, rounds, max(evaluate.KS)).withColumn("kind", F.lit(name))
+        kinds = r if kinds is None else kinds.unionByName(r)
+    return evaluate.recall_at_k(kinds, truth, ["kind"], "conv_id")
+
+
+def _recall_sql() -> str:
+    def ranked(kind: str, size: int) -> str:
+        return (
+            f"SELECT '{kind}' AS kind, conv_id, rk, chunk FROM (WITH {CHUNKS.format(ws=WS, size=size)}, {EMBED.format(name='ce', ids='conv_id, block', text='chunk', source='chunks')},"
+            " scored AS (SELECT c.conv_id, c.block, round(sum(q.weight * c.weight), 6) AS score FROM qe q JOIN ce c ON q.conv_id = c.conv_id AND q.bucket = c.bucket GROUP BY ALL)"
+            " SELECT s.*, chunk, row_number() OVER (PARTITION BY s.conv_id ORDER BY score DESC, s.block) AS rk FROM scored s JOIN chunks USING (conv_id, block))"
+        )
+
+    return f"""WITH {FIRST_Q}, {EMBED.format(name='qe', ids='conv_id', text='question', source='qs')},
+ranked AS ({ranked('turn', 2)} UNION ALL {ranked('double', 4)}),
+truth AS (SELECT conv_id, 0 AS t_ord, answer AS truth FROM qs WHERE answer IS NOT NULL UNION ALL SELECT conv_id, 1, question FROM qs WHERE answer IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n FROM truth GROUP BY 1),
+ks AS (SELECT unnest([1, 3, 5, 7, 9, 11]) AS k),
+asked AS (SELECT DISTINCT kind, conv_id FROM ranked),
+hit AS (SELECT kind, r.conv_id, t_ord, min(rk) AS rk FROM ranked r JOIN truth t ON r.conv_id = t.conv_id AND contains(chunk, truth) GROUP BY ALL),
+per AS (SELECT a.kind, a.conv_id, k, count(h.rk) FILTER (WHERE h.rk <= k) AS hits FROM asked a CROSS JOIN ks LEFT JOIN hit h ON h.kind = a.kind AND h.conv_id = a.conv_id GROUP BY ALL),
+recall AS (SELECT kind, CAST(k AS BIGINT) AS k, round(avg(coalesce(hits::DOUBLE / n.n, 0)), 6) AS recall FROM per LEFT JOIN n USING (conv_id) GROUP BY ALL)"""
+
+
+@query(_recall_sql() + " SELECT kind, k, recall FROM recall")
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(_recall(spark, sf_dir), "k")
+
+
+@query(_recall_sql() + " SELECT kind, '| ' || kind || ' | ' || string_agg(printf('%.4f', recall), ' | ' ORDER BY k) || ' |' AS line FROM recall GROUP BY kind")
+def recall_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = evaluate.recall_table(_recall(spark, sf_dir), "kind")
+    return dialogue.markdown(wide, "kind", [f"top{k}" for k in evaluate.KS])
+
+
+# --- series
+
+
+@query("SELECT event_id, user_id, round(fwd, 6) AS fwd FROM (SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS fwd FROM events) WHERE fwd IS NOT NULL")
+def forward_mean3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = series.forward_mean(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
+    return out.select("event_id", "user_id", F.round("fwd", 6).alias("fwd"))
+
+
+_SMOOTH = "sm AS (SELECT event_id, user_id, ts, (coalesce(lag(value) OVER w, 0) + value + coalesce(lead(value) OVER w, 0)) / 3 AS smooth FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
+
+
+@query(f"WITH {_SMOOTH} SELECT event_id, user_id, round(smooth, 6) AS smooth FROM sm")
+def smooth3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = series.smooth3(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
+    return out.select("event_id", "user_id", F.round("smooth", 6).alias("smooth"))
+
+
+@query(f"WITH {_SMOOTH}, nb AS (SELECT *, lag(smooth) OVER w AS a, lead(smooth) OVER w AS b FROM sm WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, user_id, round(smooth, 6) AS smooth FROM nb WHERE smooth < a AND smooth < b")
+def valley_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = series.smooth3(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    s = s.withColumn("a", F.lag("smooth").over(w)).withColumn("b", F.lead("smooth").over(w)).where("smooth < a and smooth < b")
+    return s.select("event_id", "user_id", F.round("smooth", 6).alias("smooth"))
+
+
+@query()
+def valley_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.valleys(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
+
+
+# --- graph walks
+
+
+@query(
+    f"WITH {_SIMPLE}, {_TOPK}, fr AS (SELECT q_id, chunk_id AS node FROM ranked WHERE rk <= 3), cand AS (SELECT DISTINCT q_id, neighbor AS node FROM fr JOIN sym USING (node))"
+    " SELECT q_id, node FROM cand ANTI JOIN fr USING (q_id, node)"
+)
+def neighbors_unvisited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchors = vectors.top_k(_scores(spark, sf_dir), ["q_id"], "chunk_id", 3).select("q_id", F.col("chunk_id").alias("node"))
+    return graph.unvisited_neighbors(anchors, anchors, graph.symmetric(_simple(spark, sf_dir), []), [])
+
+
+def _expand_sql() -> str:
+    steps = []
+    for r in (1, 2, 3):
+        p = r - 1
+        steps.append(
+            f"act{r} AS (SELECT q_id FROM d{p} SEMI JOIN on{p} USING (q_id) GROUP BY q_id HAVING count(*) < 8),"
+            f"c{r} AS (SELECT DISTINCT f.q_id, s.neighbor AS node FROM fr{p} f JOIN sym s USING (node) WHERE f.q_id IN (SELECT q_id FROM act{r}) AND NOT EXISTS (SELECT 1 FROM v{p} v WHERE v.q_id = f.q_id AND v.node = s.neighbor)),"
+            f"v{r} AS (SELECT q_id, node FROM v{p} UNION ALL SELECT q_id, node FROM c{r}),"
+            f"fr{r} AS (SELECT c.q_id, c.node FROM c{r} c JOIN allscores s ON s.q_id = c.q_id AND s.chunk_id = c.node WHERE least(10, greatest(1, floor(s.score * 30))) >= 5),"
+            f"d{r} AS (SELECT * FROM d{p} UNION ALL SELECT q_id, node, {r} AS round FROM fr{r}),"
+            f"on{r} AS (SELECT DISTINCT q_id FROM fr{r})"
+        )
+    return (
+        f"WITH {_SIMPLE}, {_TOPK}, allscores AS (SELECT q.vec_id AS q_id, c.vec_id AS chunk_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id < 20),"
+        " d0 AS (SELECT q_id, chunk_id AS node, 0 AS round FROM ranked WHERE rk <= 3), fr0 AS (SELECT q_id, node FROM d0), v0 AS (SELECT q_id, node FROM d0), on0 AS (SELECT DISTINCT q_id FROM d0),"
+        + ",".join(steps)
+        + " SELECT q_id, node, CAST(round AS BIGINT) AS round FROM d3"
+    )
+
+
+@query(_expand_sql())
+def expand_3hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir)
+    q = e.where("vec_id < 20").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"))
+    anchors = vectors.top_k(_scores(spark, sf_dir), ["q_id"], "chunk_id", 3).select("q_id", F.col("chunk_id").alias("node"), "rk")
+
+    def judge(docs: DataFrame) -> DataFrame:
+        return docs.groupBy("q_id").agg(F.when(F.count("*") >= 8, 2).otherwise(0).alias("verdict"))
+
+    def score(found: DataFrame) -> DataFrame:
+        s = F.round(vectors.dot(F.col("q"), F.col("v")), 6)
+        return found.join(q, "q_id").join(e.withColumnRenamed("vec_id", "node"), "node").select("q_id", "node", F.least(F.lit(10), F.greatest(F.lit(1), F.floor(s * 30))).alias("score"))
+
+    from tessera.plans.storage import checkpoint
+
+    docs, _ = expand(anchors, checkpoint(graph.symmetric(_simple(spark, sf_dir), [])), judge, score)
+    return _long(docs.select("q_id", "node", "round"), "round")
+
+
+@query(
+    f"""WITH RECURSIVE {_SIMPLE},
+nodes AS (SELECT vec_id AS node FROM embeddings), n AS (SELECT count(*) AS n FROM nodes),
+ow AS (SELECT node, sum(weight) AS t FROM sym GROUP BY 1),
+seeds AS (SELECT node, 1.0::DOUBLE / 3 AS p FROM nodes WHERE node < 3),
+m0 AS (SELECT s.node AS u, s.neighbor AS v, 0.85::DOUBLE * s.weight / ow.t AS p FROM sym s JOIN ow USING (node)
+  UNION ALL SELECT nodes.node, seeds.node, 0.15::DOUBLE * seeds.p FROM nodes CROSS JOIN seeds
+  UNION ALL SELECT nodes.node, seeds.node, 0.85::DOUBLE * seeds.p FROM (SELECT node FROM nodes ANTI JOIN ow USING (node)) nodes CROSS JOIN seeds),
+m AS (SELECT u, v, sum(p) AS p FROM m0 GROUP BY ALL),
+x AS (SELECT 0 AS r, node, 1.0::DOUBLE / n AS rank FROM nodes, n
+  UNION ALL SELECT r + 1, v, sum(rank * p) FROM x JOIN m ON m.u = x.node WHERE r < 30 GROUP BY r + 1, v)
+SELECT node, round(rank, 6) AS rank, row_number() OVER (ORDER BY round(rank, 6) DESC, node) AS rk FROM x WHERE r = 30 QUALIFY rk <= 5"""
+)
+def ppr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.plans.storage import checkpoint
+
+    nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"))
+    sym = checkpoint(graph.symmetric(_simple(spark, sf_dir), []))
+    seeds = nodes.where("node < 3").select(F.lit(0).alias("q_id"), "node", F.lit(1.0 / 3).alias("p"))
+    x = graph.personalized_pagerank(nodes, sym, seeds).withColumn("rank", F.round("rank", 6))
+    return _long(vectors.top_k(x, ["q_id"], "node", 5, "rank").select("node", "rank", "rk"), "rk")
+
+
+# --- parsing, scoring, ledger
+
+_REPLY = """CASE event_id % 5
+ WHEN 0 THEN 'Sure:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN '```' || chr(10) || props || chr(10) || '```'
+ WHEN 2 THEN props WHEN 3 THEN 'It is ' || props || ' then.' ELSE 'no json here' END"""
+
+
+@query(
+    f"""WITH r AS (SELECT event_id, {_REPLY} AS t FROM events),
+b AS (SELECT event_id, t, trim(regexp_extract(t, '(?is)```json(.*?)```', 1), {WS}) AS b1, trim(regexp_extract(t, '(?s)```(.*?)```', 1), {WS}) AS b2, regexp_extract(t, '(?s)(\\{{.*?\\}})', 1) AS b3 FROM r),
+j AS (SELECT event_id, coalesce(try_cast(nullif(b1, '') AS JSON), try_cast(nullif(b2, '') AS JSON), try_cast(t AS JSON), try_cast(nullif(b3, '') AS JSON)) AS j FROM b)
+SELECT event_id, j IS NOT NULL AS parsed, CAST(j ->> 'k' AS BIGINT) AS k FROM j"""
+)
+def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_REPLY.replace("chr(10)", "'\\n'")).alias("t"))
+    j = rows.select("event_id", X.extract_json(F.col("t")).alias("j"))
+    return j.select("event_id", F.col("j").isNotNull().alias("parsed"), X.json_field(F.col("j"), "$.k", "bigint").alias("k"))
+
+
+@query(
+    f"""WITH p AS (SELECT item_id, CASE WHEN item_id % 4 = 3 THEN text ELSE 'Read this. Now Answer the Question: ' || text || chr(10) || 'A. yes' || chr(10) || 'B. no' END AS t FROM benchmark)
+SELECT item_id, CASE WHEN regexp_matches(t, '(?s)Now Answer the Question:\\s*(.*?)\\n[A-D]\\.') THEN trim(regexp_extract(t, '(?s)Now Answer the Question:\\s*(.*?)\\n[A-D]\\.', 1), {WS}) END AS question FROM p"""
+)
+def exam_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    t = F.when(F.col("item_id") % 4 == 3, F.col("text")).otherwise(F.concat(F.lit("Read this. Now Answer the Question: "), "text", F.lit("\nA. yes\nB. no")))
+    return b.select("item_id", X.exam_question(t).alias("question"))
+
+
+_RATED = "rated AS (SELECT conv_id, conv_id % 5 AS label, CASE WHEN conv_id % 17 = 0 THEN NULL ELSE CAST(1 + length(text) % 100 AS DOUBLE) END AS rating FROM conversations WHERE turn = 0)"
+_BY = "c AS (SELECT CASE label WHEN 4 THEN 'single-hop' WHEN 1 THEN 'multi-hop' WHEN 2 THEN 'temporal' WHEN 3 THEN 'open-domain' ELSE 'Unknown' END AS category, avg(rating) AS rating, count(rating) AS n, CAST(count(*) - count(rating) AS BIGINT) AS errors FROM rated GROUP BY 1 HAVING count(rating) > 0)"
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").where("turn = 0")
+    return c.select("conv_id", (F.col("conv_id") % 5).alias("label"), F.when(F.col("conv_id") % 17 != 0, (1 + F.length("text") % 100).cast("double")).alias("rating"))
+
+
+@query(f"WITH {_RATED}, {_BY} SELECT category, round(rating, 6) AS rating, n, errors FROM c")
+def score_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores_by_category(_rated(spark, sf_dir)).withColumn("rating", F.round("rating", 6))
+
+
+@query(f"WITH {_RATED}, {_BY} SELECT round(avg(rating), 6) AS macro, round(sum(rating * n) / sum(n), 6) AS micro, CAST(sum(errors) AS BIGINT) AS errors FROM c")
+def score_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overall(_rated(spark, sf_dir)).withColumns({"macro": F.round("macro", 6), "micro": F.round("micro", 6)})
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, {TOKENS.format("text")} AS k, role FROM conversations)
+SELECT conv_id, count(*) AS calls, CAST(coalesce(sum(k) FILTER (WHERE role = 'user'), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(k) FILTER (WHERE role <> 'user'), 0) AS BIGINT) AS output_tokens, round(sum(k) / greatest(1, count(*)), 6) AS average FROM t GROUP BY 1"""
+)
+def token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").select("conv_id", "role", X.estimated_tokens(F.col("text")).alias("k"))
+    user = F.col("role") == "user"
+    g = t.groupBy("conv_id").agg(F.count("*").alias("calls"), F.sum(F.when(user, F.col("k")).otherwise(0)).alias("input_tokens"), F.sum(F.when(~user, F.col("k")).otherwise(0)).alias("output_tokens"))
+    return g.withColumn("average", F.round((F.col("input_tokens") + F.col("output_tokens")) / F.greatest(F.lit(1), "calls"), 6))
+
+
+@query(f"WITH {FIRST_Q} SELECT conv_id, CASE WHEN contains(question, 'thth') THEN 'error' ELSE 'n=' || length(question) END AS answer, CASE WHEN contains(question, 'thth') THEN 'error' ELSE 'ok' END AS status FROM qs")
+def answer_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.functions.providers import Scripted
+    from tessera.plans.answer import answer
+
+    def reply(prompt: str) -> str:
+        q = prompt.split("Question: ", 1)[1].rsplit("\n<<", 1)[0]
+        if "thth" in q:
+            raise TimeoutError
+        return f'```json\n{{"answer": "n={len(q)}"}}\n```'
+
+    rows = joins.first_questions(turns(spark, sf_dir)).withColumn("context", F.lit("<<"))
+    return answer(rows, Scripted(reply)).select("conv_id", "answer", "status")
+
+
+@query(f"WITH {FIRST_Q} SELECT conv_id, CASE WHEN length(question) % 3 = 0 THEN 'none' ELSE 'a' || chr(10) || 'b' END AS evidence FROM qs")
+def evidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.functions.providers import Scripted
+    from tessera.plans.answer import filter_evidence
+
+    def reply(prompt: str) -> str:
+        q = prompt.split("Question: ", 1)[1].rsplit("\nnone", 1)[0]
+        return "no list" if len(q) % 3 == 0 else '{"filtered_text": ["a", "b"]}'
+
+    rows = joins.first_questions(turns(spark, sf_dir)).withColumn("context", F.lit("none"))
+    return filter_evidence(rows, Scripted(reply)).select("conv_id", "evidence")
+
+
+@query(
+    """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o)
+SELECT user_id, count(*) AS n, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) AS BIGINT) AS seconds FROM s GROUP BY user_id, k"""
+)
+def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.streaming.incremental import sessions
+
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = sessions(e, gap="6 hours")
+    first, last = F.unix_micros("start"), F.unix_micros("end") - 6 * 3600 * 1_000_000
+    return s.select("user_id", "n", F.floor((last - first) / 1_000_000).cast("bigint").alias("seconds"))
