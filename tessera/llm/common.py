@@ -42,9 +42,18 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{table}"
 
-    def write(self, df: DataFrame, table: str) -> DataFrame:
+    def write(self, df: DataFrame, table: str, clean: bool = False) -> DataFrame:
+        """df as a table. ``clean``: its shuffle files go as soon as the table is written, not when the driver next collects garbage."""
         path = self.path(table)
-        df.write.option("compression", "zstd").parquet(path)
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        try:
+            if clean:
+                self.spark.conf.set(key, "true")
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if clean:
+                self.spark.conf.set(key, before) if before is not None else self.spark.conf.unset(key)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
         return out

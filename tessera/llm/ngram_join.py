@@ -2,16 +2,17 @@
 
 1. One pass hashes every text to its set of distinct 5-word shingles. Texts with
    the same set are one class (its key is a 64-bit order-free hash of the set),
-   so exact copies never meet pairwise. The same pass counts shingles in a table
-   of ``2**SKETCH`` counters.
-2. A second pass orders each set rarest first (counter, then hash: one total
-   order for all documents, so prefix filtering is exact however full the
-   counters are) and deals the prefix, a quarter of the set plus one, to shards
-   by shingle. Tasks send each class once, as packed arrays.
+   so exact copies never meet pairwise. Tasks deal their classes' shingles to
+   shards as packed arrays of four bytes a shingle; a shard counts in how many
+   classes each occurs and answers for those that occur in two or more.
+2. The answers of a block of documents come together. Rarest first is the order:
+   shingles of one class come before all others and can match nothing, so of the
+   prefix (a quarter of the set plus one) only what is left after them is dealt
+   on, and a class whose prefix they fill can link with nothing.
 3. A shard joins the prefixes. Length, positional and suffix filters (the last
    bounds the overlap by 16 hash buckets of the whole sets) cut the pairs.
    Shingles of at most ``SMALL`` classes give all their pairs; of more, the pairs
-   with two leaders, and the members are kept.
+   with the first, and the members are kept.
 4. Each pair is verified once, exactly, on the texts. Linked classes are joined
    to components. Kept members of different components then meet by component
    leaders, round by round while that links anything, and last all the
@@ -26,6 +27,7 @@ empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +38,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import MULT, WordHashes, Workspace, gram_hashes, mix, shuffle_partitions, text_key, texts_of
 from tessera.llm.components import components
 
-SKETCH = 20  # log2 of the number of counters: 4 MB, whatever the input
-CHUNK = 14  # log2 of the counters in one row
 SMALL = 6
-TOKENS_PER_SHARD = 1_500_000
-HEAVY = 1_000_000  # a shingle counted more often is salted over several shards
+TOKENS_PER_SHARD = 3_000_000
+BLOCK = 1_000_000  # shingles that a task deals at once
+HEAVY = 1_000_000  # a shingle of more classes is salted over several shards
+CHARS_PER_SHINGLE = 6  # to size the shards from the texts' lengths
 BITS = 24  # log2 of the bits of the filter on texts to fetch
 STAR_ROUNDS = 3
 
@@ -70,47 +72,160 @@ def class_key(s: np.ndarray) -> int:
     return int(v.view(np.int64))
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of kind 0: doc_id, tk, c, size; of kind 1: counters of a task, chunk by chunk."""
-    schema = "kind int, doc_id long, tk long, c long, size int, chunk int, counts binary"
+def _deal_all(docs: DataFrame, shards: int, n: int) -> DataFrame:
+    """Packed rows. shard >= 0: the shingles of a block's new classes that fall there. shard < 0: the block's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        counts = np.zeros(1 << SKETCH, np.uint32)
-        mask = np.uint64((1 << SKETCH) - 1)
+        seen: set[int] = set()
+        ids, tks, cs, sizes, new, n_new = [], [], [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            block = uuid.uuid4().int & ((1 << 62) - 1)
+            rows = [(-1 - block % shards, block, _arrays(np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids], np.uint8), np.array(tks, np.int64), np.array(cs, np.int64), np.array(sizes, np.int32)))]
+            if new:
+                cls = np.array([x[0] for x in new], np.int64)
+                tok = np.concatenate([x[1] for x in new])
+                doc = np.repeat(np.arange(len(new), dtype=np.int32), [len(x[1]) for x in new])
+                sig = np.array([np.minimum(np.bincount((x[1] >> np.uint64(60)).astype(np.int64), minlength=16), 255) for x in new], np.uint8)
+                rows.append((-1 - block % shards, -1 - block, _arrays(cls, np.array([len(x[1]) for x in new], np.int32), sig)))
+                shard = ((tok >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                shard, low, doc = shard[order], tok[order].astype(np.uint32), doc[order]
+                cut = np.flatnonzero(np.diff(shard)) + 1
+                for a, z in zip([0, *cut], [*cut, len(shard)]):
+                    d, many = np.unique(doc[a:z], return_counts=True)
+                    rows.append((int(shard[a]), block, _arrays(d, many.astype(np.int32), cls[d].astype(np.uint64).astype(np.uint32), low[a:z])))
+            for x in (ids, tks, cs, sizes, new):
+                x.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "block", "blob"])
+
         for b in batches:
-            cs, sizes = [], []
-            for t in texts_of(b):
+            for doc_id, tk, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b)):
                 s = shingles(t, hashes, n)
-                cs.append(class_key(s))
-                sizes.append(len(s))
-                if len(s) > 50_000:
-                    counts += np.bincount((s & mask).astype(np.int64), minlength=1 << SKETCH).astype(np.uint32)
-                else:
-                    np.add.at(counts, (s & mask).astype(np.int64), 1)
-            k = len(cs)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), b.column(0), b.column(1), pa.array(cs, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["kind", "doc_id", "tk", "c", "size", "chunk", "counts"])
-        full = [i for i in range(1 << (SKETCH - CHUNK)) if counts[i << CHUNK : (i + 1) << CHUNK].any()]
-        k = len(full)
-        blobs = [counts[i << CHUNK : (i + 1) << CHUNK].tobytes() for i in full]
-        yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), *[pa.nulls(k, pa.int64())] * 3, pa.nulls(k, pa.int32()), pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "doc_id", "tk", "c", "size", "chunk", "counts"])
+                c = class_key(s)
+                ids.append(doc_id), tks.append(tk), cs.append(c), sizes.append(len(s))
+                if len(s) and c not in seen:
+                    if len(seen) < 2_000_000:
+                        seen.add(c)
+                    new.append((c, s))
+                    n_new += len(s)
+                if n_new >= BLOCK or len(ids) >= 200_000:
+                    yield from flush()
+                    n_new = 0
+        if ids:
+            yield from flush()
+
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("tk"), "text").mapInArrow(run, "shard int, block long, blob binary")
+
 
-    return docs.select(F.col("doc_id").cast("long"), text_key().alias("tk"), "text").mapInArrow(run, schema)
+def _arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays one after another, with their types and lengths before them."""
+    head = [len(arrays)]
+    for a in arrays:
+        head += [_KINDS.index(a.dtype.str[1:]), a.shape[0], a.shape[1] if a.ndim == 2 else 0]
+    return np.array(head, np.int64).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
-def _add_counts(rows: DataFrame) -> DataFrame:
-    """chunk, counts: the counters of all tasks, added chunk by chunk (two levels, so no task reads a chunk of all tasks)."""
+def _of(blob) -> list[np.ndarray]:
+    k = int(np.frombuffer(blob, np.int64, 1)[0])
+    head = np.frombuffer(blob, np.int64, 3 * k, 8)
+    at, out = 8 + 24 * k, []
+    for i in range(k):
+        kind, n, m = np.dtype(_KINDS[head[3 * i]]), int(head[3 * i + 1]), int(head[3 * i + 2])
+        a = np.frombuffer(blob, kind, n * max(m, 1), at)
+        out.append(a.reshape(n, m) if m else a)
+        at += a.nbytes
+    return out
+
+
+_KINDS = ["i8", "u8", "i4", "u4", "u1"]
+
+
+def _count(dealt: DataFrame) -> DataFrame:
+    """kind 0: a document's doc_id, tk, c, size. kind 1: a block's answers (block, blob)."""
+    schema = "kind int, doc_id long, tk long, c long, size int, block long, blob binary"
+    names = ["kind", "doc_id", "tk", "c", "size", "block", "blob"]
+
+    def answers(blocks: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+        k = len(blocks)
+        return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), *[pa.nulls(k, pa.int64())] * 3, pa.nulls(k, pa.int32()), pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary())], names)
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        shard = key[0].as_py()
+        asked = []
         for b in batches:
-            for x in b.column(b.schema.get_field_index("counts")):
-                a = np.frombuffer(x.as_buffer(), np.uint32)
-                total = a.astype(np.uint64) if total is None else total + a
-        total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
+            f = b.schema.get_field_index
+            for block, x in zip(b.column(f("block")).to_pylist(), b.column(f("blob"))):
+                blob = x.as_buffer().to_pybytes()
+                if shard >= 0:
+                    asked.append((block, *_of(blob)))
+                elif block < 0:
+                    yield answers([-1 - block], [blob])
+                else:
+                    ids, null, tk, c, size = _of(blob)
+                    k = len(ids)
+                    yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), pa.array(ids, mask=null.astype(bool)), pa.array(tk), pa.array(c), pa.array(size), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
+        if not asked:
+            return
+        low = np.concatenate([a[4] for a in asked])
+        cls = np.concatenate([np.repeat(a[3], a[2]) for a in asked])
+        both = np.unique((low.astype(np.uint64) << np.uint64(32)) | cls)
+        name, many = np.unique((both >> np.uint64(32)).astype(np.uint32), return_counts=True)
+        del both, cls
+        name, many = name[many > 1], many[many > 1]
+        if not len(name):
+            return
+        at = 0
+        for block, d, per, _, lo in asked:
+            i = np.minimum(np.searchsorted(name, lo), len(name) - 1)
+            ok = name[i] == lo
+            if ok.any():
+                tok = lo[ok].astype(np.uint64) | np.uint64(shard << 32)
+                yield answers([block], [_arrays(np.repeat(d, per)[ok], tok, many[i[ok]].astype(np.int32))])
+            at += len(lo)
+
+    return dealt.groupBy("shard").applyInArrow(run, schema)
+
+
+def _deal_prefix(answers: DataFrame, shards: int, num: int, den: int) -> DataFrame:
+    """What is left of each class's prefix after the shingles of one class, dealt by shingle."""
 
-    return rows.groupBy("chunk").applyInArrow(run, "chunk int, counts binary")
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, tok, often, head = [], [], [], None
+        for b in batches:
+            for x in b.column(b.schema.get_field_index("blob")):
+                got = _of(x.as_buffer().to_pybytes())
+                if got[2].ndim == 2:
+                    head = got
+                else:
+                    doc.append(got[0]), tok.append(got[1]), often.append(got[2])
+        if head is None or not doc:
+            return
+        cls, size, sig = head
+        doc, tok, often = np.concatenate(doc), np.concatenate(tok), np.concatenate(often)
+        order = np.lexsort((tok, often, doc))
+        doc, tok, often = doc[order], tok[order], often[order]
+        shared = np.bincount(doc, minlength=len(cls))
+        first = np.cumsum(shared) - shared
+        pos = np.arange(len(doc)) - first[doc] + (size.astype(np.int64) - shared)[doc]
+        ok = pos < prefix_length(size.astype(np.int64), num, den)[doc]
+        doc, tok, often, pos = doc[ok], tok[ok], often[ok], pos[ok]
+        if not len(doc):
+            return
+        salt = np.where(often > HEAVY, cls[doc].view(np.uint64) % (often.astype(np.uint64) // np.uint64(HEAVY) + np.uint64(1)), np.uint64(0))
+        shard = (mix(tok + (salt << np.uint64(50))) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        tok, doc, pos, shard = tok[order], doc[order], pos[order], shard[order]
+        cut = np.flatnonzero(np.diff(shard)) + 1
+        ids, blobs = [], []
+        for a, z in zip([0, *cut], [*cut, len(shard)]):
+            d, inv = np.unique(doc[a:z], return_inverse=True)
+            ids.append(int(shard[a]))
+            blobs.append(_arrays(cls[d], size[d], sig[d], tok[a:z], inv.astype(np.int32), pos[a:z].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+
+    return answers.groupBy("block").applyInArrow(run, "shard int, blob binary")
 
 
 def _gather(rows: DataFrame, column: str, chunks: int, each: int) -> bytes:
@@ -124,79 +239,6 @@ def prefix_length(size: np.ndarray | int, num: int, den: int):
     return size - -(-size * num // den) + 1
 
 
-def _pack(cls: np.ndarray, size: np.ndarray, sig: np.ndarray, tok: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
-    return b"".join([np.array([len(cls), len(tok)], np.int64).tobytes(), cls.tobytes(), tok.tobytes(), size.astype(np.int32).tobytes(), doc.astype(np.int32).tobytes(), pos.astype(np.int32).tobytes(), sig.astype(np.uint8).tobytes()])
-
-
-def _unpack(blob) -> tuple[np.ndarray, ...]:
-    nd, nt = (int(x) for x in np.frombuffer(blob, np.int64, 2))
-    at, out = 16, []
-    for kind, n in ((np.int64, nd), (np.uint64, nt), (np.int32, nd), (np.int32, nt), (np.int32, nt), (np.uint8, nd * 16)):
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    cls, tok, size, doc, pos, sig = out
-    return cls, size, sig.reshape(-1, 16), tok, doc, pos
-
-
-def _deal(docs: DataFrame, counts: bytes, shards: int, n: int, num: int, den: int) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(counts)  # 4 MB, a fixed size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHashes(), np.frombuffer(shared.value, np.uint32)
-        mask = np.uint64((1 << SKETCH) - 1)
-        seen: set[int] = set()
-        held: list[tuple] = []
-        n_held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            cls = np.array([h[0] for h in held], np.int64)
-            size = np.array([h[1] for h in held], np.int32)
-            sig = np.array([h[2] for h in held], np.uint8)
-            tok = np.concatenate([h[3] for h in held])
-            length = [len(h[3]) for h in held]
-            doc = np.repeat(np.arange(len(held), dtype=np.int32), length)
-            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in length])
-            often = table[(tok & mask).astype(np.int64)]
-            salt = np.where(often > HEAVY, cls[doc].view(np.uint64) % (often.astype(np.uint64) // np.uint64(HEAVY) + np.uint64(1)), np.uint64(0))
-            shard = (mix(tok + salt) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            tok, doc, pos, shard = tok[order], doc[order], pos[order], shard[order]
-            cut = np.flatnonzero(np.diff(shard)) + 1
-            ids, blobs = [], []
-            for a, z in zip([0, *cut], [*cut, len(shard)]):
-                d, inv = np.unique(doc[a:z], return_inverse=True)
-                ids.append(int(shard[a]))
-                blobs.append(_pack(cls[d], size[d], sig[d], tok[a:z], inv, pos[a:z]))
-            held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
-
-        for b in batches:
-            for t in texts_of(b):
-                s = shingles(t, hashes, n)
-                if not len(s):
-                    continue
-                c = class_key(s)
-                if c in seen:
-                    continue
-                if len(seen) < 2_000_000:
-                    seen.add(c)
-                often = np.minimum(table[(s & mask).astype(np.int64)], (1 << 24) - 1).astype(np.uint64)
-                order = np.argsort((often << np.uint64(40)) | (s >> np.uint64(24)), kind="stable")
-                sig = np.minimum(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=16), 255)
-                p = prefix_length(len(s), num, den)
-                held.append((c, len(s), sig, s[order[:p]]))
-                n_held += p
-                if n_held >= 1_000_000:
-                    yield from flush()
-                    n_held = 0
-        yield from flush()
-
-    return docs.select("text").mapInArrow(run, "shard int, blob binary")
-
-
 def bound(sa, sb, pa_, pb_):
     """The largest overlap of two sets of which a common shingle is at places pa_ and pb_ of one total order."""
     return np.minimum(pa_, pb_) + 1 + np.minimum(sa - pa_, sb - pb_) - 1
@@ -209,7 +251,7 @@ def _candidates(dealt: DataFrame, num: int, den: int) -> DataFrame:
         cls, size, sig, tok, doc, pos, base = [], [], [], [], [], [], 0
         for b in batches:
             for x in b.column(b.schema.get_field_index("blob")):
-                c, s, g, t, d, p = _unpack(x.as_buffer())
+                c, s, g, t, d, p = _of(x.as_buffer().to_pybytes())
                 cls.append(c), size.append(s), sig.append(g), tok.append(t), pos.append(p)
                 doc.append(d + np.int32(base))
                 base += len(c)
@@ -249,8 +291,6 @@ def _candidates(dealt: DataFrame, num: int, den: int) -> DataFrame:
         if len(big):
             lead = at[group[big]]
             keep(lead[lead != big], big[lead != big])
-            mid = lead + many[group[big]] // 2
-            keep(np.minimum(mid, big)[mid != big], np.maximum(mid, big)[mid != big])
         pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
         for z in range(0, len(pairs), 50_000):
             q = pairs[z : z + 50_000]
@@ -381,12 +421,12 @@ def link(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4) -> tuple[DataF
     spark = docs.sparkSession
     ws = Workspace(spark, "ngram-join")
     docs = docs.select("doc_id", "text")
-    first = ws.write(_sets(docs, n), "sets")
+    chars = docs.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
+    shards = max(shuffle_partitions(spark), -(-int(chars) // (CHARS_PER_SHINGLE * TOKENS_PER_SHARD)))
+    first = ws.write(_count(_deal_all(docs, shards, n)), "sets", clean=True)
     sets = first.where("kind = 0").select("doc_id", "tk", "c", "size")
-    counts = _gather(_add_counts(first.where("kind = 1").select("chunk", "counts")), "counts", 1 << (SKETCH - CHUNK), 4 << CHUNK)
-    total = sets.agg(F.sum(F.floor(F.col("size") * (den - num) / den) + 1)).first()[0] or 0
-    shards = max(shuffle_partitions(spark), -(-int(total) // TOKENS_PER_SHARD))
-    found = ws.write(_candidates(_deal(docs, counts, shards, n, num, den), num, den), "candidates")
+    found = _candidates(_deal_prefix(first.where("kind = 1").select("block", "blob"), shards, num, den), num, den)
+    found = ws.write(found, "candidates", clean=True)
     members = found.where("kind = 1").select("a", "b", "size", "pos")
     v = _Verifier(ws, docs, sets, n, num, den)
     v.check(found.where("kind = 0").select("a", "b"))
