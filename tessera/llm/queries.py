@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann_forest, decontam, html_text, license_scan, line_dedup, ngram_join, packing, substring_dedup, toxicity
+from tessera.llm import ann_forest, decontam, html_text, license_scan, line_dedup, ngram_join, packing, quality_lm, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,5 +52,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_toxicity, op5_decontamination, op6_line_dedup, op7_ann_forest, op8_packing, op9_ngram_join, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_toxicity, op4_quality, op5_decontamination, op6_line_dedup, op7_ann_forest, op8_packing, op9_ngram_join, op10_html_text)}
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
