@@ -27,11 +27,11 @@ empty results; extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,10 +78,12 @@ def _deal_all(docs: DataFrame, shards: int, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         seen: set[int] = set()
-        ids, tks, cs, sizes, new, n_new = [], [], [], [], [], 0
+        ids, tks, cs, sizes, new, n_new, made = [], [], [], [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            block = uuid.uuid4().int & ((1 << 62) - 1)
+            nonlocal made
+            block = (TaskContext.get().partitionId() << 32) + made  # a retried task numbers its blocks alike
+            made += 1
             rows = [(-1 - block % shards, block, _arrays(np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids], np.uint8), np.array(tks, np.int64), np.array(cs, np.int64), np.array(sizes, np.int32)))]
             if new:
                 cls = np.array([x[0] for x in new], np.int64)
