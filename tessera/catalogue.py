@@ -199,11 +199,10 @@ m AS (SELECT *, regexp_matches(line, '^([^:]+):\s*(.*)$') AS hit, regexp_extract
 a AS (SELECT doc_id, ln, CASE WHEN hit THEN sp || ': ' ELSE '' END AS lead, CASE WHEN hit THEN regexp_extract_all(body, '[^.?!。！？]*[.?!。！？]') ELSE regexp_extract_all(line, '[^.?!。！？;；]*[.?!。！？;；]') END AS ps FROM m),
 p AS (SELECT doc_id, ln, lead, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM a),
 s AS (SELECT doc_id, ln, i, lead || trim(left(piece, length(piece) - 1), {WS}) || right(piece, 1) AS sentence FROM p WHERE length(trim(left(piece, length(piece) - 1), {WS})) > 0)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ln, i) - 1 AS BIGINT) AS sent_idx, sentence FROM s WHERE length(sentence) >= 30"""
+SELECT doc_id, CAST(ln - 1 AS BIGINT) AS line_idx, CAST(i - 1 AS BIGINT) AS piece_idx, sentence FROM s WHERE length(sentence) >= 30"""
 )
 def graph_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.graph_sentences(F.col("text"))).alias("sent_idx", "sentence"))
-    return _long(rows, "sent_idx")
+    return _long(X.graph_sentences(table(spark, sf_dir, "documents"), ["doc_id"], "text"), "line_idx", "piece_idx")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\r\x0b\x0c"
@@ -63,7 +63,8 @@ def _rendered(pieces: Column, speaker: Column | None, sep: str) -> Column:
 
 
 def _pieces(c: Column, marks: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(f"[^{marks}]*[{marks}]"), F.lit(0))
+    """Pieces that end with one of the marks. Splitting behind marks is linear even in long texts without any."""
+    return F.filter(F.split(c, f"(?<=[{marks}])"), lambda p: F.instr(F.lit(marks), F.right(p, F.lit(1))) * F.length(p) > 0)
 
 
 def turn_sentences(line: Column, min_chars: int = 0) -> Column:
@@ -77,16 +78,19 @@ def turn_sentences(line: Column, min_chars: int = 0) -> Column:
     return F.filter(out, lambda s: F.length(s) >= min_chars) if min_chars else out
 
 
-def graph_sentences(text: Column, min_chars: int = 30) -> Column:
-    """Sentences of a chunk, line by line; lines without a speaker also end at semicolons."""
+def graph_sentences(rows: DataFrame, keys: list[str], text: str, min_chars: int = 30) -> DataFrame:
+    """keys, line_idx, piece_idx, sentence: sentences of chunks, line by line; lines without a speaker also end at semicolons.
 
-    def of(line: Column) -> Column:
-        speaker, content = F.regexp_extract(line, SPEAKER_LINE, 1), F.regexp_extract(line, SPEAKER_LINE, 2)
-        own = _rendered(_pieces(content, ".?!。！？"), speaker, ": ")
-        return F.when(line.rlike(SPEAKER_LINE), own).otherwise(_rendered(_pieces(line, ".?!。！？;；"), None, ""))
-
-    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: F.length(x) > 0)
-    return F.filter(F.flatten(F.transform(lines, of)), lambda s: F.length(s) >= min_chars)
+    Lines and pieces are exploded, so each expression is evaluated once per row.
+    """
+    lines = rows.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("line_idx", "__l")).withColumn("__l", strip(F.col("__l"))).where(F.length("__l") > 0)
+    spoken = F.col("__l").rlike(SPEAKER_LINE)
+    lines = lines.withColumn("__lead", F.when(spoken, F.concat(F.regexp_extract("__l", SPEAKER_LINE, 1), F.lit(": "))).otherwise(""))
+    pieces = F.when(spoken, _pieces(F.regexp_extract("__l", SPEAKER_LINE, 2), ".?!。！？")).otherwise(_pieces(F.col("__l"), ".?!。！？;；"))
+    p = lines.select(*keys, "line_idx", "__lead", F.posexplode(pieces).alias("piece_idx", "__p"))
+    p = p.withColumn("__b", strip(F.substring("__p", F.lit(1), F.length("__p") - 1))).where(F.length("__b") > 0)
+    out = p.select(*keys, "line_idx", "piece_idx", F.concat("__lead", "__b", F.right("__p", F.lit(1))).alias("sentence"))
+    return out.where(F.length("sentence") >= min_chars)
 
 
 def split_sentences(text: Column) -> Column:
