@@ -640,3 +640,89 @@ def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sessions(e, gap="6 hours")
     first, last = F.unix_micros("start"), F.unix_micros("end") - 6 * 3600 * 1_000_000
     return s.select("user_id", "n", F.floor((last - first) / 1_000_000).cast("bigint").alias("seconds"))
+
+
+# --- segmentation by model calls (scripted stand-ins), similarity series, summaries
+
+
+@query(ORACLES["cut_by_boundaries"])
+def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries from a provider that sees each conversation as numbered lines."""
+    import json
+
+    from tessera.functions.providers import Scripted
+    from tessera.plans.answer import boundaries
+
+    def reply(prompt: str) -> str:
+        lines = json.loads(prompt[prompt.index("\n{") + 1 :])
+        at = [{"boundary_index": int(k), "reason": "speaker"} for k, v in lines.items() if v.startswith("user:") and int(k) > 0]
+        return "```json\n" + json.dumps({"topic_boundaries": at}) + "\n```"
+
+    t = turns(spark, sf_dir).select("conv_id", "turn_ord", F.concat("speaker", F.lit(":"), X.strip(F.col("text"))).alias("line"))
+    numbered = t.groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("turn_ord").cast("string"), "line"))))).alias("context"))
+    b = boundaries(numbered, Scripted(reply), "situation").select("conv_id", F.col("boundary").cast("bigint").alias("turn_ord"))
+    return _long(chunking.cut(t, b, ["conv_id"], "turn_ord", "line"), "segment", "n_lines")
+
+
+@query(
+    f"""WITH {EMBED.format(name='te', ids='conv_id, turn', text='text', source='conversations')},
+near AS (SELECT a.conv_id, a.turn, b.turn AS j FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn + 1 AND a.turn + 3),
+n AS (SELECT conv_id, turn, count(*) AS n FROM near GROUP BY ALL),
+s AS (SELECT x.conv_id, x.turn, sum(p.weight * q.weight) AS s FROM near x JOIN te p ON p.conv_id = x.conv_id AND p.turn = x.turn JOIN te q ON q.conv_id = x.conv_id AND q.turn = x.j AND q.bucket = p.bucket GROUP BY ALL)
+SELECT conv_id, turn, round(coalesce(s, 0) / n, 6) AS sim FROM n LEFT JOIN s USING (conv_id, turn)"""
+)
+def predict_next_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next turn is predicted by repeating the last one; its similarity to what follows."""
+    c = table(spark, sf_dir, "conversations")
+    e = vectors.hash_embedding(c, ["conv_id", "turn"], "text")
+    return series.forward_similarity(c, e, ["conv_id"], "turn")
+
+
+@query(f"WITH {_PAIRS}, m AS (SELECT i, sim FROM pairs UNION ALL SELECT j, sim FROM pairs UNION ALL SELECT vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) FROM embeddings) SELECT i, count(*) AS n, round(sum(sim), 6) AS total FROM m GROUP BY i")
+def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row sums of the full similarity matrix, with its diagonal and both halves."""
+    p = _all_pairs(spark, sf_dir)
+    own = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("i"), F.round(vectors.dot(F.col("v"), F.col("v")), 6).alias("sim"))
+    full = p.select("i", "sim").unionByName(p.select(F.col("j").alias("i"), "sim")).unionByName(own)
+    return full.groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("sim"), 6).alias("total"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 7 = 0 THEN '' ELSE left(text, 20) END AS summary FROM benchmark")
+def node_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import json
+
+    from tessera.functions.providers import Scripted
+    from tessera.plans.answer import summarize
+
+    def reply(prompt: str) -> str:
+        n, text = prompt.split("\n", 1)[1].split("#", 1)
+        return "none" if int(n) % 7 == 0 else json.dumps({"summary": text[:20]})
+
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.col("item_id").cast("string"), F.lit("#"), "text").alias("context"))
+    return summarize(b, Scripted(reply)).select("item_id", "summary")
+
+
+@query("SELECT conv_id AS q_id, turn AS node, CAST(1 + length(text) % 10 AS DOUBLE) AS score FROM conversations WHERE conv_id % 4 <> 0")
+def relevance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import json
+
+    from tessera.functions.providers import Scripted
+    from tessera.plans.answer import relevance
+
+    def reply(prompt: str) -> str:
+        n, listed = prompt[prompt.index("\n@") + 2 :].split(" ", 1)
+        if int(n) % 4 == 0:
+            raise TimeoutError
+        return "```" + json.dumps({"results": [{"doc_id": int(k), "score": 1 + len(v) % 10} for k, v in json.loads(listed).items()]}) + "```"
+
+    c = table(spark, sf_dir, "conversations")
+    listed = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string"), "text"))))
+    rows = c.groupBy(F.col("conv_id").alias("q_id")).agg(F.concat(F.lit("@"), F.col("conv_id").cast("string"), F.lit(" "), listed).alias("context")).withColumn("question", F.lit("?"))
+    return relevance(rows, Scripted(reply))
+
+
+@query(f"WITH {_RATED} SELECT CASE label WHEN 4 THEN 'single-hop' WHEN 1 THEN 'multi-hop' WHEN 2 THEN 'temporal' WHEN 3 THEN 'open-domain' ELSE 'Unknown' END AS category, count(*) AS n, round(avg(rating), 6) AS mean, round(stddev_samp(rating), 6) AS deviation, min(rating) AS least, max(rating) AS most FROM rated WHERE rating IS NOT NULL GROUP BY 1")
+def rating_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.plans.answer import describe
+
+    return describe(_rated(spark, sf_dir)).withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6)})

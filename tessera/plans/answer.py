@@ -72,3 +72,16 @@ def overall(rows: DataFrame) -> DataFrame:
     """macro (mean of the categories' means), micro (mean of all ratings), errors."""
     by = scores_by_category(rows)
     return by.agg(F.avg("rating").alias("macro"), (F.sum(F.col("rating") * F.col("n")) / F.sum("n")).alias("micro"), F.sum("errors").alias("errors"))
+
+
+def describe(rows: DataFrame) -> DataFrame:
+    """category, n, mean, deviation, least, most of the ratings of each category."""
+    g = rows.where("rating is not null").groupBy(category(F.col("label")).alias("category"))
+    return g.agg(F.count("*").alias("n"), F.avg("rating").alias("mean"), F.stddev_samp("rating").alias("deviation"), F.min("rating").alias("least"), F.max("rating").alias("most"))
+
+
+def relevance(rows: DataFrame, provider: Provider, **options) -> DataFrame:
+    """rows (q_id, question, context) with a row per scored node: q_id, node, score. Replies that don't parse score nothing."""
+    out = call(rows.withColumn("prompt", render("relevance", question=F.col("question"), context=F.col("context"))), provider, **options)
+    got = F.from_json(json_field(extract_json(F.col("response")), "$.results"), "array<struct<doc_id:bigint,score:double>>")
+    return out.select("q_id", F.inline(got)).select("q_id", F.col("doc_id").alias("node"), "score")
