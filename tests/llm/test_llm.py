@@ -312,3 +312,21 @@ def test_quality(spark):
     assert all(got[i].keep == (i % 8 != 7) for i in range(240) if i in train or i % 8 == 7)
     assert not any(x.keep for x in quality_lm.score(d, lab.limit(0)).collect())
     assert quality_lm.score(d.limit(0), lab).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_components(spark, monkeypatch, limit):
+    """Both ways: by rounds over the cluster, and in one task of bounded size."""
+    from tessera.llm import components
+    from tessera.llm.common import Workspace
+
+    monkeypatch.setattr(components, "FOREST", limit)
+    r = random.Random(6)
+    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
+    up = {x: x for p in links for x in p}
+    for _ in up:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    d = spark.createDataFrame(links, "u long, v long")
+    got = {x.node: x.comp for x in components.components(Workspace(spark, "t"), d).collect()}
+    assert got == {k: v for k, v in up.items() if any(k in p and p[0] != p[1] for p in links)}
