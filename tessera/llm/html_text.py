@@ -50,10 +50,11 @@ NOT_MAIN = set(
 
 
 class Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "parent", "skip", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "holds_main", "kids", "link_chars", "link_tags", "mark", "parent", "skip", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool) -> None:
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: Node | None, mark: int) -> None:
+        self.tag, self.parent, self.mark = tag, parent, mark  # mark: 2 boilerplate by element, 1 by class, id or role
+        self.skip = self.holds_main = False
         self.kids: list = []  # Nodes and strings in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -74,7 +75,7 @@ def _marks(attrs: str) -> bool:
 
 
 def parse(page: str) -> Node:
-    root = Node("body", None, False)
+    root = Node("body", None, 0)
     at, pos, link = root, 0, 0
     links: list[bool] = []
     for m in _TOKEN.finditer(page):
@@ -128,13 +129,23 @@ def parse(page: str) -> Node:
             link = 0
         if tag in VOID:
             continue
-        skip = at.skip or tag in SKIP or bool(attrs) and _marks(attrs) or tag == "header" and not _inside(at, ("article", "main"))
-        node = Node(tag, at, skip)
+        mark = 2 if tag in SKIP or tag == "header" and not _inside(at, ("article", "main")) else int(bool(attrs) and _marks(attrs))
+        node = Node(tag, at, mark)
+        if tag in ("article", "main") and not mark:
+            n = at
+            while n is not None and not n.holds_main:
+                n.holds_main = True
+                n = n.parent
         at.kids.append(node)
         if not attrs.endswith("/"):
             at = node
     if pos < len(page):
         _text(at, page[pos:], link)
+    stack = [root]
+    while stack:  # a frame around the article isn't boilerplate, whatever its class says
+        n = stack.pop()
+        n.skip = n.mark == 2 or n.mark == 1 and not n.holds_main or n.parent is not None and n.parent.skip
+        stack += [k for k in n.kids if type(k) is Node]
     return root
 
 
@@ -147,8 +158,6 @@ def _inside(n: Node | None, tags: tuple[str, ...]) -> bool:
 
 
 def _text(at: Node, raw: str, link: int) -> None:
-    if at.skip:
-        return
     text = _html.unescape(raw) if "&" in raw else raw
     at.kids.append(text)
     n = len(text.strip())

@@ -212,6 +212,8 @@ def test_main_text():
     )
     assert html_text.main_text(page) == "Big & news First para with break. Second link para."
     assert html_text.main_text(None) == "" and html_text.main_text("") == "" and html_text.main_text("<p") is not None
+    framed = "<div class='layout has-sidebar'><div class=sidebar>x</div><article><p>Main</p><div class='share-bar'>s</div></article></div>"
+    assert html_text.main_text(framed) == "Main"
     plain = "<body><div id=menu><a>a</a><a>b</a></div><div><div><p>" + "word " * 80 + "</p><p>" + "more " * 60 + "</p></div></div><div class=ad>buy</div></body>"
     assert html_text.main_text(plain).split() == ["word"] * 80 + ["more"] * 60
 
