@@ -44,7 +44,7 @@ def forest(links: DataFrame) -> DataFrame:
                     up[ry] = rx
                 elif ry < rx:
                     up[rx] = ry
-            if len(up) > FOREST:
+            if len(up) > 2 * FOREST:  # more nodes than FOREST links have
                 yield out()
         if up:
             yield out()
@@ -68,6 +68,10 @@ def _small(e: DataFrame) -> DataFrame:
 def components(ws: Workspace, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, comp (the least node of its component) for every node of ``links`` (long columns u, v)."""
     e = ws.write(forest(links.where("u <> v")), "links")
+    if e.count() <= FOREST:  # what one block holds is solved in one task of that bounded size
+        whole = ws.write(forest(e.coalesce(1)), "links")
+        ws.drop(e)
+        return _with_roots(whole)
     last = None
     for _ in range(max_rounds):
         new = ws.write(_small(_large(e)), "links")
@@ -79,4 +83,8 @@ def components(ws: Workspace, links: DataFrame, max_rounds: int = 60) -> DataFra
         last = state
     else:
         raise RuntimeError("components did not converge")
+    return _with_roots(e)
+
+
+def _with_roots(e: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

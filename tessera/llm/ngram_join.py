@@ -44,7 +44,7 @@ BLOCK = 1_000_000  # shingles that a task deals at once
 HEAVY = 1_000_000  # a shingle of more classes is salted over several shards
 CHARS_PER_SHINGLE = 6  # to size the shards from the texts' lengths
 BITS = 24  # log2 of the bits of the filter on texts to fetch
-STAR_ROUNDS = 3
+STAR_ROUNDS = 6
 
 
 def shingles(text: bytes, hashes: WordHashes, n: int = 5) -> np.ndarray:
@@ -242,8 +242,12 @@ def prefix_length(size: np.ndarray | int, num: int, den: int):
 
 
 def bound(sa, sb, pa_, pb_):
-    """The largest overlap of two sets of which a common shingle is at places pa_ and pb_ of one total order."""
-    return np.minimum(pa_, pb_) + 1 + np.minimum(sa - pa_, sb - pb_) - 1
+    """The largest overlap of two sets whose first common shingle is at places pa_ and pb_ of one total order.
+
+    Every pair that links has a first common shingle, so it is enough to find it
+    there; at later ones the bound leaves most pairs out.
+    """
+    return np.minimum(sa - pa_, sb - pb_)
 
 
 def _candidates(dealt: DataFrame, num: int, den: int) -> DataFrame:
@@ -403,16 +407,17 @@ def _bitmap(rows: DataFrame) -> DataFrame:
     return rows.select("tk").mapInArrow(mark, "chunk int, bits binary").groupBy("chunk").applyInArrow(join, "chunk int, bits binary")
 
 
-def _labels(ws: Workspace, members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """members with the component of their class, only of shingles whose members are in several."""
+def _open(ws: Workspace, members: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(labelled, groups, open): members with their component; one (size, class) per shingle and component; the shingles of several components with the first."""
     if links is None:
         m = members.withColumn("comp", F.col("b"))
     else:
         comps = ws.write(components(ws, links), "components")
         m = members.join(comps.select(F.col("node").alias("b"), "comp"), "b", "left").withColumn("comp", F.coalesce("comp", "b"))
     m = ws.write(m.select("a", "b", "size", "pos", "comp"), "members")
-    open_ = m.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("a", "lo")
-    return ws.write(m.join(open_, "a"), "open")
+    groups = ws.write(m.groupBy("a", "comp").agg(F.min(F.struct("size", "b")).alias("r")), "groups")
+    first = groups.groupBy("a").agg(F.min(F.struct("comp", "r")).alias("f"), F.max("comp").alias("hi")).where("f.comp < hi")
+    return m, groups, ws.write(first.select("a", F.col("f.comp").alias("lo"), F.col("f.r.b").alias("x"), F.col("f.r.size").alias("sx")), "open")
 
 
 def link(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -433,18 +438,16 @@ def link(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4) -> tuple[DataF
     v = _Verifier(ws, docs, sets, n, num, den)
     v.check(found.where("kind = 0").select("a", "b"))
     for _ in range(STAR_ROUNDS):
-        open_ = _labels(ws, members, v.links)
-        one = open_.groupBy("a", "lo", "comp").agg(F.min(F.struct("size", "b")).alias("r"))
-        lead = one.where("comp = lo").select("a", F.col("r.b").alias("x"), F.col("r.size").alias("sx"))
-        rest = one.where("comp <> lo").select("a", F.col("r.b").alias("y"), F.col("r.size").alias("sy"))
-        stars = rest.join(lead, "a").where(f"{den} * least(sx, sy) >= {num} * greatest(sx, sy)").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        if not v.check(stars):
+        labelled, groups, open_ = _open(ws, members, v.links)
+        rest = groups.join(open_, "a").where("comp <> lo").select("x", "sx", F.col("r.b").alias("y"), F.col("r.size").alias("sy"))
+        if not v.check(rest.where(f"{den} * least(sx, sy) >= {num} * greatest(sx, sy)").select(F.col("x").alias("a"), F.col("y").alias("b"))):
             break
     else:
-        open_ = _labels(ws, members, v.links)
+        labelled, groups, open_ = _open(ws, members, v.links)
+    open_ = ws.write(labelled.join(open_.select("a"), "a", "left_semi"), "left")
     x = open_.select("a", F.col("b").alias("x"), F.col("size").alias("sx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
     y = open_.select("a", F.col("b").alias("y"), F.col("size").alias("sy"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
-    over = "least(px, py) + least(sx - px, sy - py)"
+    over = "least(sx - px, sy - py)"
     rest = x.join(y, "a").where(f"cx < cy and {den} * least(sx, sy) >= {num} * greatest(sx, sy) and ({num + den}) * ({over}) >= {num} * (sx + sy)")
     v.check(rest.select(F.col("x").alias("a"), F.col("y").alias("b")))
     least = sets.where("doc_id is not null and size > 0").groupBy("c").agg(F.min("doc_id").alias("rep"))
