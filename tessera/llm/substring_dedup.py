@@ -12,6 +12,8 @@ runs of windows with one seed are segments.
    contents and streams them through it: backward search over the wavelet matrix
    gives, at a place, how far to the left the words also occur in a smaller
    document; matches of at least ``width`` words are reported as runs of windows.
+   A seed of more than ``MOST`` contents would not fit one index; its contents are
+   compared window by window, exactly, over the cluster.
 4. Runs go back to the documents that hold the content; a document that isn't a
    content's first loses all its windows.
 
@@ -36,6 +38,7 @@ from tessera.llm.fm_index import FMIndex
 SEED = 8
 LONGEST = 512  # windows in one segment
 WORDS_PER_SHARD = 400_000
+MOST = 20_000  # contents of one seed that an index takes; more are compared window by window
 FILTER_BITS = (20, 30)  # log2 of the filter's size, by the number of shared seeds: at most 128 MB
 
 
@@ -189,6 +192,33 @@ def _search(contents: DataFrame, width: int) -> DataFrame:
     return contents.groupBy("shard").applyInArrow(run, "ch long, runs binary")
 
 
+def _compare(ws: Workspace, contents: DataFrame, width: int) -> DataFrame:
+    """ch, runs as ``_search`` gives them, by window hashes: the exact way for seeds of too many contents for one index."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ch, low, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                w = np.frombuffer(x.as_buffer().to_pybytes(), np.int64)
+                h = gram_hashes(w, width).view(np.int64)
+                k = len(h)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(k, ch)), pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, low))], ["h", "ch", "k", "low"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k in b.column(1).to_pylist():
+                k = np.unique(k)
+                start = np.concatenate([[0], np.flatnonzero(np.diff(k) > 1) + 1])
+                last = np.concatenate([start[1:] - 1, [len(k) - 1]])
+                out.append(np.stack([k[start], k[last]], 1).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["ch", "runs"])
+
+    rows = ws.write(contents.select("ch", "low", "words").mapInArrow(cut, "h long, ch long, k int, low long"), "windows")
+    first = rows.groupBy("h").agg(F.min("low").alias("first"))
+    late = rows.join(first, "h").where("low > first").groupBy("ch").agg(F.collect_list("k").alias("k"))
+    return late.mapInArrow(join, "ch long, runs binary")
+
+
 def spans(docs: DataFrame, width: int = 50) -> DataFrame:
     """doc, tk, runs: for each row with repeated windows, pairs (first word, word after the last) to remove, as int32."""
     spark = docs.sparkSession
@@ -203,8 +233,12 @@ def spans(docs: DataFrame, width: int = 50) -> DataFrame:
     contents = ws.write(contents, "contents")
     total = contents.agg(F.sum(F.col("size") + width)).first()[0] or 0
     shards = max(shuffle_partitions(spark), -(-int(total) // WORDS_PER_SHARD))
-    dealt = contents.select("ch", "low", "seed", "words", F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard"))
-    runs = ws.write(_search(dealt, width), "runs")
+    crowded = ws.write(contents.groupBy("seed").count().where(F.col("count") > MOST).select("seed"), "crowded")
+    rest, usual = None, contents
+    if not crowded.isEmpty():
+        rest, usual = contents.join(crowded, "seed", "left_semi"), contents.join(crowded, "seed", "left_anti")
+    dealt = usual.select("ch", "low", "seed", "words", F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard"))
+    runs = ws.write(_search(dealt, width) if rest is None else _search(dealt, width).unionByName(_compare(ws, rest, width)), "runs")
     whole = contents.select("ch", "low").join(runs, "ch", "left")
     own = cut.where("kind = 0").select("ch", "doc", "tk", "start", "size")
     hit = own.join(whole, "ch").where("doc > low or runs is not null").select("doc", "tk", "start", "size", F.when(F.col("doc") <= F.col("low"), F.col("runs")).alias("runs"))

@@ -68,7 +68,9 @@ def test_line_runs_are_merged(spark, corpus):
     assert len(index.levels) > 1
 
 
-def test_substring_dedup(spark, corpus):
+@pytest.mark.parametrize("most", [1, 20_000])
+def test_substring_dedup(spark, corpus, monkeypatch, most):
+    monkeypatch.setattr(substring_dedup, "MOST", most)
     order = lambda i: -1 if i is None else i
     first = {}
     for i, t in sorted(corpus, key=lambda x: order(x[0])):
