@@ -47,27 +47,29 @@ def timed_groups(turns: DataFrame, rounds: int = 1) -> DataFrame:
     return g.groupBy("conv_id", "session_ord", "block", "date_time").agg(lines.alias("lines")).select("conv_id", "session_ord", "block", F.concat(F.array("date_time"), "lines").alias("rows"))
 
 
-def pack_ids(budget: int, sep: int = 0):
-    """UDF: costs of an ordered list of items -> chunk number of each, by greedy packing.
+def fold(costs: Sequence[int], budget: int, sep: int = 0) -> list[int]:
+    """Chunk number of each item of an ordered list, by greedy packing.
 
     An item joins the current chunk if its cost and the separator's still fit; one
     over the budget stands alone; a chunk that costs nothing yet is overwritten.
     """
+    out, used, chunk = [], 0, 0
+    for c in costs:
+        if used and used + sep + c > budget:
+            chunk += 1
+            used = c
+        else:
+            used = used + sep + c if used else c
+        out.append(chunk)
+    return out
+
 
-    def fold(costs: Sequence[int]) -> list[int]:
-        out, used, chunk = [], 0, 0
-        for c in costs:
-            if used and used + sep + c > budget:
-                chunk += 1
-                used = c
-            else:
-                used = used + sep + c if used else c
-            out.append(chunk)
-        return out
+def pack_ids(budget: int, sep: int = 0):
+    """``fold`` as a UDF over arrays of costs."""
 
     @pandas_udf("array<int>")
     def ids(costs: pd.Series) -> pd.Series:
-        return costs.map(lambda x: fold(x) if x is not None else None)
+        return costs.map(lambda x: fold(x, budget, sep) if x is not None else None)
 
     return ids
 
