@@ -159,13 +159,15 @@ def pack_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(chunking.pack(d.withColumn("cost", X.estimated_tokens(F.col("t"))), ["doc_id"], "i", "t", "cost", 512, joiner=" "))
 
 
-_LANG_DOCS = "items AS (SELECT source AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, CAST(doc_id AS VARCHAR) AS t, {cost} AS cost FROM documents)"
+#: Batches are folded within blocks of 5,000 ids of a source, so no source is one group.
+_LANG_DOCS = "items AS (SELECT source || ':' || (doc_id // 5000) AS k, row_number() OVER (PARTITION BY source, doc_id // 5000 ORDER BY doc_id) - 1 AS i, CAST(doc_id AS VARCHAR) AS t, {cost} AS cost FROM documents)"
 
 
-@query(PACK.format(items=_LANG_DOCS.format(cost=TOKENS.format("text")), sep=0, budget=8000, key="source", joiner="','"))
+@query(PACK.format(items=_LANG_DOCS.format(cost=TOKENS.format("text")), sep=0, budget=8000, key="part", joiner="','"))
 def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("doc_id").cast("string").alias("t"), X.estimated_tokens(F.col("text")).alias("cost"))
-    return _packed(chunking.pack(d, ["source"], "doc_id", "t", "cost", 8000, joiner=","))
+    part = F.concat("source", F.lit(":"), F.floor(F.col("doc_id") / 5000).cast("string")).alias("part")
+    d = table(spark, sf_dir, "documents").select(part, "doc_id", F.col("doc_id").cast("string").alias("t"), X.estimated_tokens(F.col("text")).alias("cost"))
+    return _packed(chunking.pack(d, ["part"], "doc_id", "t", "cost", 8000, joiner=","))
 
 
 _SENT = r"""lines AS (SELECT conv_id, turn, role || ':' || text AS line FROM conversations),
