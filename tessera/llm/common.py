@@ -96,7 +96,7 @@ def text_key(col: str = "text") -> Column:
 class WordHashes(dict):
     """word (bytes) -> signed 64-bit hash, remembered up to a bounded number of words."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)

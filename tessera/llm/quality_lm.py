@@ -37,8 +37,8 @@ from tessera.llm.common import WordHashes, Workspace, shuffle_partitions, texts_
 from tessera.llm.ngram_join import _arrays, _of
 
 BEGIN, END = np.uint64(1), np.uint64(2)
-POSITIONS = 1_500_000  # bigrams that a task deals at once
-PER_SHARD = 3_000_000
+POSITIONS = 600_000  # bigrams that a task deals at once
+PER_SHARD = 1_200_000
 LOW = np.uint64(0xFFFFFFFF)
 BIN = ["shard", "kind", "origin", "blob"]
 
@@ -116,7 +116,9 @@ def _count(dealt: DataFrame, shards: int) -> DataFrame:
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         me = key[0].as_py()
         got = [x for _, _, x in _blobs(batches)]
-        pair, many = _add_up(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64))
+        pair, many = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        del got
+        pair, many = _add_up(pair, many)
         yield _rows([(me, 0, me, _arrays(pair, many)), (me, 2, me, _arrays(_of_counts(many)))])
         second, before = np.unique(pair & LOW, return_counts=True)
         shard = second % np.uint64(shards)
