@@ -270,6 +270,8 @@ def _candidates(dealt: DataFrame, num: int, den: int) -> DataFrame:
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (doc[1:] != doc[:-1])
         tok, doc, pos = tok[new], doc[new], pos[new]
+        order = np.lexsort((doc, pos, tok))  # the class with the fewest shingles of its own leads: it is nearest the middle of a group
+        tok, doc, pos = tok[order], doc[order], pos[order]
         start = np.ones(len(tok), bool)
         start[1:] = tok[1:] != tok[:-1]
         at = np.flatnonzero(start)
@@ -288,7 +290,8 @@ def _candidates(dealt: DataFrame, num: int, den: int) -> DataFrame:
                 x, y, need = x[ok], y[ok], need[ok]
                 ok = np.minimum(sig[doc[x]], sig[doc[y]]).sum(1) >= need
                 if ok.any():
-                    found.append(np.unique(doc[x[ok]].astype(np.int64) * len(cls) + doc[y[ok]]))
+                    p, q = np.minimum(doc[x[ok]], doc[y[ok]]), np.maximum(doc[x[ok]], doc[y[ok]])
+                    found.append(np.unique(p.astype(np.int64) * len(cls) + q))
 
         for k in range(1, SMALL):
             i = np.flatnonzero((group[k:] == group[:-k]) & ~wide[k:]) if len(tok) > k else np.empty(0, np.int64)
@@ -408,15 +411,15 @@ def _bitmap(rows: DataFrame) -> DataFrame:
 
 
 def _open(ws: Workspace, members: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(labelled, groups, open): members with their component; one (size, class) per shingle and component; the shingles of several components with the first."""
+    """(labelled, groups, open): members with their component; the leading class per shingle and component; the shingles of several components with the leader of all."""
     if links is None:
         m = members.withColumn("comp", F.col("b"))
     else:
         comps = ws.write(components(ws, links), "components")
         m = members.join(comps.select(F.col("node").alias("b"), "comp"), "b", "left").withColumn("comp", F.coalesce("comp", "b"))
     m = ws.write(m.select("a", "b", "size", "pos", "comp"), "members")
-    groups = ws.write(m.groupBy("a", "comp").agg(F.min(F.struct("size", "b")).alias("r")), "groups")
-    first = groups.groupBy("a").agg(F.min(F.struct("comp", "r")).alias("f"), F.max("comp").alias("hi")).where("f.comp < hi")
+    groups = ws.write(m.groupBy("a", "comp").agg(F.min(F.struct("pos", "size", "b")).alias("r")), "groups")
+    first = groups.groupBy("a").agg(F.min(F.struct("r", "comp")).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     return m, groups, ws.write(first.select("a", F.col("f.comp").alias("lo"), F.col("f.r.b").alias("x"), F.col("f.r.size").alias("sx")), "open")
 
 
