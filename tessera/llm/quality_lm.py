@@ -226,20 +226,25 @@ def _ask(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("doc_id", "lang", "unseen", "text").mapInArrow(run, schema)
 
 
-def _answer(rows: DataFrame, spare: float, end: float) -> DataFrame:
-    """rid, doc_id, lang, unseen, n (once a row) and partial log probabilities."""
-    schema = "rid long, doc_id long, lang string, unseen boolean, n long, s double"
-    names = ["rid", "doc_id", "lang", "unseen", "n", "s"]
+_ANSWER = "base long, blob binary, doc_id array<long>, lang array<string>, unseen array<boolean>, n array<long>"
+_ANSWER_NAMES = [x.split()[0] for x in _ANSWER.split(", ")]
+_ANSWER_KINDS = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+
+
+def _answer(rows: DataFrame, spare: float) -> DataFrame:
+    """Per block: its rows once, and a packed array of partial log probabilities from every shard that it asked."""
+
+    def out(row: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _ANSWER_KINDS)], _ANSWER_NAMES)
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: dict[int, tuple] = {}
         asked = []
         for b in batches:
             f = b.schema.get_field_index
-            for kind, base, blob, doc_id, lang, unseen, n in zip(*(b.column(f(c)).to_pylist() for c in ("kind", "base", "blob", "doc_id", "lang", "unseen", "n"))):
+            for kind, base, blob, *meta in zip(*(b.column(f(c)).to_pylist() for c in ("kind", "base", "blob", "doc_id", "lang", "unseen", "n"))):
                 if kind == 10:
-                    k = len(doc_id)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(base, base + k)), pa.array(doc_id, pa.int64()), pa.array(lang, pa.string()), pa.array(unseen, pa.bool_()), pa.array(n, pa.int64()), pa.array([end] * k, pa.float64())], names)
+                    yield out((base, None, *meta))
                 elif kind == 9:
                     asked.append((base, *_of(blob)))
                 else:
@@ -258,11 +263,29 @@ def _answer(rows: DataFrame, spare: float, end: float) -> DataFrame:
         for base, d, per, pair in asked:
             u = pair >> np.uint64(32)
             s = look(6, pair, 0.0) + look(7, u, 0.0) + np.where(u == BEGIN, 0.0, look(8, u, spare))
-            total = np.add.reduceat(s, np.cumsum(per) - per)
-            k = len(d)
-            yield pa.RecordBatch.from_arrays([pa.array(base + d.astype(np.int64)), *[pa.nulls(k, t) for t in (pa.int64(), pa.string(), pa.bool_(), pa.int64())], pa.array(total)], names)
+            yield out((base, _arrays(d, np.add.reduceat(s, np.cumsum(per) - per).view(np.int64)), None, None, None, None))
+
+    return rows.groupBy("shard").applyInArrow(run, _ANSWER)
+
+
+def _collect(answers: DataFrame, end: float) -> DataFrame:
+    """doc_id, lang, unseen, n_words, s: the log probability of every row of a block."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meta, parts = None, []
+        for b in batches:
+            f = b.schema.get_field_index
+            for blob, *row in zip(*(b.column(f(c)).to_pylist() for c in _ANSWER_NAMES[1:])):
+                if blob is None:
+                    meta = row
+                else:
+                    parts.append(_of(blob))
+        total = np.full(len(meta[0]), end)
+        for d, s in sorted(parts, key=lambda x: x[1].tobytes()):  # in one order, so sums do not depend on the shuffle
+            total[d] += s.view(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(meta[0], pa.int64()), pa.array(meta[1], pa.string()), pa.array(meta[2], pa.bool_()), pa.array(meta[3], pa.int64()), pa.array(total)], ["doc_id", "lang", "unseen", "n_words", "s"])
 
-    return rows.groupBy("shard").applyInArrow(run, schema)
+    return answers.groupBy("base").applyInArrow(run, "doc_id long, lang string, unseen boolean, n_words long, s double")
 
 
 def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, batches: int = 5) -> DataFrame:
@@ -296,9 +319,7 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, batches:
     for k in range(batches):
         part = d.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(batches)) == k)
         part = part.withColumn("unseen", F.coalesce(~train, F.lit(False)))
-        got = _answer(_ask(part, shards).unionByName(m), spare, end)
-        sums = got.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("unseen").alias("unseen"), F.max("n").alias("n_words"), F.sum("s").alias("s"))
-        done = ws.write(sums, "scores", clean=True)
+        done = ws.write(_collect(_answer(_ask(part, shards).unionByName(m), spare), end), "scores", clean=True)
         out = done if out is None else out.unionByName(done)
     ppl = F.when(F.col("n_words") > 0, F.exp(-F.col("s") / (F.col("n_words") + 1)))
     out = out.withColumn("perplexity", ppl)
