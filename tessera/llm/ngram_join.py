@@ -11,8 +11,9 @@
    on, and a class whose prefix they fill can link with nothing.
 3. A shard joins the prefixes. Length, positional and suffix filters (the last
    bounds the overlap by 16 hash buckets of the whole sets) cut the pairs.
-   Shingles of at most ``SMALL`` classes give all their pairs; of more, the pairs
-   with the first, and the members are kept.
+   Shingles of at most ``SMALL`` classes give all their pairs; of more, and of
+   those salted over several shards, the pairs with the first, and the members
+   are kept.
 4. Each pair is verified once, exactly, on the texts. Linked classes are joined
    to components. Kept members of different components then meet by component
    leaders, round by round while that links anything, and last all the
@@ -215,16 +216,17 @@ def _deal_prefix(answers: DataFrame, shards: int, num: int, den: int) -> DataFra
         doc, tok, often, pos = doc[ok], tok[ok], often[ok], pos[ok]
         if not len(doc):
             return
-        salt = np.where(often > HEAVY, cls[doc].view(np.uint64) % (often.astype(np.uint64) // np.uint64(HEAVY) + np.uint64(1)), np.uint64(0))
+        heavy = often > HEAVY
+        salt = np.where(heavy, cls[doc].view(np.uint64) % (often.astype(np.uint64) // np.uint64(HEAVY) + np.uint64(1)), np.uint64(0))
         shard = (mix(tok + (salt << np.uint64(50))) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        tok, doc, pos, shard = tok[order], doc[order], pos[order], shard[order]
+        tok, doc, pos, shard, heavy = tok[order], doc[order], pos[order], shard[order], heavy[order]
         cut = np.flatnonzero(np.diff(shard)) + 1
         ids, blobs = [], []
         for a, z in zip([0, *cut], [*cut, len(shard)]):
             d, inv = np.unique(doc[a:z], return_inverse=True)
             ids.append(int(shard[a]))
-            blobs.append(_arrays(cls[d], size[d], sig[d], tok[a:z], inv.astype(np.int32), pos[a:z].astype(np.int32)))
+            blobs.append(_arrays(cls[d], size[d], sig[d], tok[a:z], inv.astype(np.int32), pos[a:z].astype(np.int32), np.unique(tok[a:z][heavy[a:z]])))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
     return answers.groupBy("block").applyInArrow(run, "shard int, blob binary")
@@ -254,14 +256,14 @@ def _candidates(dealt: DataFrame, num: int, den: int) -> DataFrame:
     """kind 0: a pair of classes a < b. kind 1: a member of a large posting: a = shingle, b = class, size, pos."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, size, sig, tok, doc, pos, base = [], [], [], [], [], [], 0
+        cls, size, sig, tok, doc, pos, salted, base = [], [], [], [], [], [], [], 0
         for b in batches:
             for x in b.column(b.schema.get_field_index("blob")):
-                c, s, g, t, d, p = _of(x.as_buffer().to_pybytes())
-                cls.append(c), size.append(s), sig.append(g), tok.append(t), pos.append(p)
+                c, s, g, t, d, p, h = _of(x.as_buffer().to_pybytes())
+                cls.append(c), size.append(s), sig.append(g), tok.append(t), pos.append(p), salted.append(h)
                 doc.append(d + np.int32(base))
                 base += len(c)
-        cls, size, sig, tok, doc, pos = (np.concatenate(x) for x in (cls, size, sig, tok, doc, pos))
+        cls, size, sig, tok, doc, pos, salted = (np.concatenate(x) for x in (cls, size, sig, tok, doc, pos, salted))
         cls, first, inv = np.unique(cls, return_index=True, return_inverse=True)
         size, sig, doc = size[first].astype(np.int64), sig[first].astype(np.int32), inv[doc]
         sig[sig == 255] = 1 << 30
@@ -277,7 +279,7 @@ def _candidates(dealt: DataFrame, num: int, den: int) -> DataFrame:
         at = np.flatnonzero(start)
         many = np.diff([*at, len(tok)])
         group = np.repeat(np.arange(len(at)), many)
-        wide = many[group] > SMALL
+        wide = (many[group] > SMALL) | np.isin(tok, salted)  # this shard has only a part of a salted posting
         found: list[np.ndarray] = []
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:

@@ -143,6 +143,21 @@ def test_ngram_join_large_group(spark):
     assert sorted(got) == sorted(brute_components(rows))
 
 
+def test_ngram_join_salted_shingles(spark, monkeypatch):
+    """Short texts whose only common shingles are salted over the shards meet all the same."""
+    monkeypatch.setattr(ngram_join, "HEAVY", 3)
+    rows, want = [], {}
+    for g in range(20):
+        passage = " ".join(f"p{g}x{i}" for i in range(16))
+        for k in range(2):
+            rows.append((100 * g + k, f"{passage} s{g}a{k} s{g}b{k}"))
+            want[100 * g + k] = 100 * g
+        for k in range(2, 14):
+            rows.append((100 * g + k, passage + " " + " ".join(f"l{g}a{k}b{i}" for i in range(40))))
+            want[100 * g + k] = 100 * g + k
+    assert {x.doc_id: x.component_id for x in ngram_join.digest(docs(spark, rows)).collect()} == want
+
+
 def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
