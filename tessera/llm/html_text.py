@@ -6,8 +6,12 @@ characters and link tags; its density is characters per tag, adjusted by the
 share of link text. A node's density sum is the sum of its children's
 densities. The subtree with the largest sum is taken; the least density on the
 path from it to the body is the threshold, by which further blocks beside that
-path are taken or left. Boilerplate by element or by class, id or role never
-takes part.
+path are taken or left. Boilerplate by element and what is hidden never takes
+part. Neither does boilerplate by class, id or role, but for: what holds an
+article or main, or (unless an article or main is elsewhere) more than half of
+the page's text without links. Words that may also name main text (``SOFT``)
+only count where half of the text is links, or outside articles in other
+elements than sections, paragraphs and headings.
 
 Defined results: null or empty html gives an empty text; broken markup is read
 as browsers do in the main (implied end tags, unclosed elements end with their
@@ -20,20 +24,21 @@ import html as _html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"\s+")
 
 # The kinds of elements in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
-SKIP = set("head nav footer aside form script style noscript template button select option textarea iframe object embed svg canvas audio video menu dialog input title".split())
+SKIP = set("head nav footer aside script style noscript template button select option textarea iframe object embed svg canvas audio video menu dialog input title".split())
 CLOSED_BY_BLOCK = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
@@ -47,31 +52,51 @@ NOT_MAIN = set(
     "share sharing social footer masthead site-header page-header site-footer copyright legal disclaimer "
     "search searchbox form contentinfo complementary".split()
 )
+# Those that may also name main text, and what a compound (share-bar, related_posts) may have besides words of NOT_MAIN.
+SOFT = set("notice notices notification notifications alert legal disclaimer copyright related recommended recommendations trending popular discussion reply replies respond promo promotion banner search skip toc form".split())
+FRAME = set("bar box block list link links item items wrapper wrap container inner outer section area panel left right top bottom main primary secondary site page global header post posts article articles entry story stories news button buttons btn icon icons count media consent".split())
 
 
 class Node:
-    __slots__ = ("chars", "density", "holds_main", "kids", "link_chars", "link_tags", "mark", "parent", "skip", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "holds_main", "kids", "link_chars", "link_tags", "linked", "mark", "open", "parent", "skip", "sum", "tag", "tags", "text")
 
     def __init__(self, tag: str, parent: Node | None, mark: int) -> None:
-        self.tag, self.parent, self.mark = tag, parent, mark  # mark: 2 boilerplate by element, 1 by class, id or role
+        self.tag, self.parent, self.mark = tag, parent, mark  # as _marks; 3 also for boilerplate by element
         self.skip = self.holds_main = False
         self.kids: list = []  # Nodes and strings in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.open = self.text = self.linked = 0  # open inline elements of its name; all characters in it and those of links
         self.density = self.sum = 0.0
 
 
-def _marks(attrs: str) -> bool:
-    """Whether class, id, role or style say that an element isn't main text."""
+def _word(w: str) -> int:
+    """2: a word for boilerplate, 1: one that may also name main text, 0: none. A compound counts if all its parts are such words, numbers or in FRAME."""
+    if w in NOT_MAIN:
+        return 1 if w in SOFT else 2
+    parts = [p for p in re.split(r"[-_]", w) if p]
+    own = [p for p in parts if p in NOT_MAIN]
+    if len(parts) < 2 or not own or any(p not in NOT_MAIN and p not in FRAME and not p[0].isdigit() for p in parts):
+        return 0
+    return 1 if all(p in SOFT for p in own) else 2
+
+
+@lru_cache(4096)
+def _marks(attrs: str) -> int:
+    """What class, id, role or style say of an element. 3: hidden, 2: boilerplate, 1: boilerplate unless it is main text, 0: nothing."""
+    mark, seen = 0, set()
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if name in seen:
+            continue
+        seen.add(name)
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 3
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif any(w in NOT_MAIN or any(p in NOT_MAIN for p in re.split(r"[-_]", w)) for w in value.split()):
-            return True
-    return False
+                return 3
+        elif name in ("class", "id", "role"):
+            mark = max([mark, *map(_word, value.split())])
+    return mark
 
 
 def parse(page: str) -> Node:
@@ -94,7 +119,12 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
             pos = end.end() if end else len(page)
             continue
-        if tag in INLINE and not (not close and tag in ("span", "a", "label", "small") and attrs and _marks(attrs)):
+        if close and tag in INLINE and at.tag == tag and not at.open:  # the end of an inline element with a mark
+            at, link = at.parent, max(0, link - (tag == "a"))
+            continue
+        if tag in INLINE and not (not close and tag in ("span", "a", "label", "small") and attrs and _marks(attrs) > 1):
+            if at.tag == tag:
+                at.open += -1 if close else 1
             if tag == "br":
                 at.kids.append(" ")
             if not close:
@@ -129,26 +159,53 @@ def parse(page: str) -> Node:
             link = 0
         if tag in VOID:
             continue
-        mark = 2 if tag in SKIP or tag == "header" and not _inside(at, ("article", "main")) else int(bool(attrs) and _marks(attrs))
+        if tag in SKIP or tag == "header" and not _inside(at, ("article", "main")):
+            mark = 3
+        else:
+            mark = _marks(attrs) if attrs else 0
+            if mark < 3 and tag in ("form", "main"):
+                mark = 2 if tag == "form" else 0  # a form may hold the whole page, so it counts as a class does
         node = Node(tag, at, mark)
-        if tag in ("article", "main") and not mark:
-            n = at
-            while n is not None and not n.holds_main:
-                n.holds_main = True
-                n = n.parent
         at.kids.append(node)
+        if tag == "a":
+            link += 1
         if not attrs.endswith("/"):
             at = node
     if pos < len(page):
         _text(at, page[pos:], link)
-    stack = [root]
-    while stack:  # a frame around the article isn't boilerplate, whatever its class says
-        n = stack.pop()
-        n.skip = n.mark == 2 or n.mark == 1 and not n.holds_main or n.parent is not None and n.parent.skip
-        stack += [k for k in n.kids if type(k) is Node]
+    _skip(root)
     return root
 
 
+def _skip(root: Node) -> None:
+    """Which nodes are boilerplate."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        n.text, n.linked = n.chars, n.link_chars
+        stack += [k for k in n.kids if type(k) is Node and k.mark < 3]
+    for n in reversed(order):
+        n.holds_main |= n.tag in ("article", "main") and n.mark < 2
+        if n.parent is not None:
+            n.parent.text += n.text
+            n.parent.linked += n.linked
+            n.parent.holds_main |= n.holds_main
+    stack = [(root, False)]
+    while stack:
+        n, inside = stack.pop()  # inside: of an article or main
+        if n.mark == 3:
+            n.skip = True
+        elif n.mark and not n.holds_main and n is not root:
+            most = 2 * (n.text - n.linked) > root.text - root.linked and (inside or not root.holds_main)
+            plain = n.tag in ("article", "main") or inside or n.tag in ("section", "p", "h1", "h2", "h3", "h4", "h5", "h6")
+            n.skip = not most and (n.mark == 2 or not plain or 2 * n.linked >= n.text > 0)
+        if n.parent is not None and n.parent.skip:
+            n.skip = True
+        inside = inside or n.tag in ("article", "main")
+        stack += [(k, inside) for k in n.kids if type(k) is Node]
+
+
 def _inside(n: Node | None, tags: tuple[str, ...]) -> bool:
     while n is not None:
         if n.tag in tags:
