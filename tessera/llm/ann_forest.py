@@ -34,6 +34,7 @@ from tessera.llm.common import Workspace
 BITS = 32
 SHARD = 16_384
 BLOCK = 4_096
+ROUNDING = 1e-9  # more than cosines in double precision are off by
 
 
 def usable(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -119,8 +120,8 @@ def _searcher(shared, dim: int, trees: int, share: float, least: int, k: int, se
         rows: list[tuple] = []
         for i, cand in forest.search(q64 / q_norm[:, None], max(int(share * len(vecs)), least)):
             rough = forest.unit[cand] @ q64[i]
-            if len(cand) > 4 * (k + 1):
-                cand = cand[np.argpartition(-rough, 4 * (k + 1))[: 4 * (k + 1)]]
+            if len(cand) > k + 1:  # all that may tie with the last one stay
+                cand = cand[rough >= -np.partition(-rough, k)[k] - ROUNDING * q_norm[i]]
             score = (exact[cand] * q64[i]).sum(1) / (norm[cand] * q_norm[i])
             top = [(-s, v) for s, c in zip(score.tolist(), cand) for v in ids[c]]
             top.sort()

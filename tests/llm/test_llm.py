@@ -221,6 +221,17 @@ def test_nearest(spark):
     assert [x[0] for x in got[300]] == [7, 301, 302, 303, 304]
 
 
+def test_nearest_ties_of_scaled_copies(spark):
+    """More distinct vectors of one direction than any short list holds: the smallest ids are the nearest."""
+    v = np.random.default_rng(3).standard_normal(16).astype(np.float32)
+    scale = [2.0 ** ((37 * i) % 61 - 30) for i in range(61)]
+    table = spark.createDataFrame([(i, (v * np.float32(s)).tolist()) for i, s in enumerate(scale)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for x in ann_forest.nearest(table).orderBy("query_id", "rank").collect():
+        got[x.query_id].append(x.vec_id)
+    assert got == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4]}
+
+
 def test_main_text():
     page = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><ul><li><a href=/>Home</a></ul></nav>"
