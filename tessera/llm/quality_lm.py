@@ -3,8 +3,8 @@
 Words are runs of non-space bytes, hashed to 32 bits; begin and end marks count
 as words. Trusted rows are split in two by a hash of doc_id: one part trains, the
 other gives each language's quantile of perplexity, so thresholds come from text
-the model has not seen. Nothing is sampled: all trusted text is counted and all
-documents are scored.
+the model has not seen. Counts come from the training half alone, about half of
+the trusted text; all of that half is counted and all documents are scored.
 
 Counts live in shards of the first word. A shard's bigram counts give its
 contexts' back-off weights; how many words precede a word is summed in the shard
