@@ -11,7 +11,9 @@
 3. The best alignment's share of the item's full score is reported; a share of
    at least ``least`` marks the document.
 
-Words are lower-cased runs of letters, digits and characters beyond ASCII. Defined results: null or empty
+Words are lower-cased runs of letters, digits and marks; punctuation, symbols and
+spaces of Unicode end them. In scripts that do not separate words (Chinese,
+Japanese, Thai and others) each character is a word. Defined results: null or empty
 texts and items never match; items shorter than the seed length are seeds
 themselves; rows that share an id are judged each; empty tables give empty
 results; extra columns are ignored.
@@ -19,6 +21,9 @@ results; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +35,34 @@ from tessera.llm.common import WordHashes, Workspace, gram_hashes, mix, text_key
 
 #: ASCII bytes other than letters and digits end a word.
 _TO_WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+#: Characters of scripts that do not separate words: Thai, Lao, Myanmar, Khmer, Tai, Balinese, Javanese, kana, Han.
+_ALONE = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9df\uf900-\ufaff\uff66-\uff9f\U0001aff0-\U0001b16f\U00020000-\U0003ffff])")
 ITEMS = 5_000
 SEED = 3
 
 
+def _beyond_ascii() -> tuple[re.Pattern, bytes]:
+    """Runs of punctuation, symbols and spaces beyond ASCII, and the zero width space; the bytes of UTF-8 that begin neither these (but for the two signs of the lead of most Latin letters) nor characters that stand alone."""
+    every = [(c, chr(c)) for c in range(128, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    alone = {x for _, x in every if _ALONE.match(x)}
+    ends = [c for c, x in every if x not in alone and unicodedata.category(x)[0] in "PSZ" or c in (0x85, 0x200B)]
+    starts = [c for c, before in zip(ends, [0, *ends]) if c != before + 1]
+    stops = [c for c, after in zip(ends, [*ends[1:], 0]) if after != c + 1]
+    leads = {x.encode()[0] for x in [*alone, *map(chr, ends)] if x not in _SIGNS}
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in zip(starts, stops)) + "]+"), bytes(set(range(256)) - leads)
+
+
+_SIGNS = "\u00d7\u00f7"
+_ENDS, _PLAIN = _beyond_ascii()
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode().translate(_TO_WORDS).split() if text else []
+    if not text:
+        return []
+    raw = text.lower().encode()
+    if not text.isascii() and (raw.translate(None, _PLAIN) or any(x in text for x in _SIGNS)):  # else only letters beyond ASCII
+        raw = _ALONE.sub(r" \1 ", _ENDS.sub(" ", text.lower())).encode()
+    return raw.translate(_TO_WORDS).split()
 
 
 class Items:

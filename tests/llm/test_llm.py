@@ -200,6 +200,20 @@ def test_decontamination(spark):
     assert decontam.report(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_without_spaces(spark):
+    """Items inside longer runs of scripts that do not separate words, and beside punctuation beyond ASCII."""
+    words = lambda t: [w.decode() for w in decontam.words_of(t)]
+    assert words("Das «Haus» – ¿Qué? 2×3 naïve\u00a0“x’s”") == ["das", "haus", "qué", "2", "3", "naïve", "x", "s"]
+    assert words("这是，测 ไทย カナ 한국어") == ["这", "是", "测", "ไ", "ท", "ย", "カ", "ナ", "한국어"]
+    r = random.Random(3)
+    some = lambda a, n: "".join(chr(a + r.randrange(900)) for _ in range(n))
+    thai = lambda n: "".join(chr(0x0E01 + r.randrange(46)) for _ in range(n))
+    zh, th, es = some(0x4E00, 30) + "，" + some(0x4E00, 20) + "。", thai(60), "qué día tan largo y frío hace hoy"
+    rows = [(1, some(0x4E00, 200) + zh + some(0x4E00, 90)), (2, thai(80) + th + thai(50)), (3, some(0x4E00, 300)), (4, "«" + "»—«".join(es.split()) + "»")]
+    bench = spark.createDataFrame([(7, zh), (8, th), (9, es)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.report(docs(spark, rows), bench).collect()} == {(1, 7), (2, 8), (4, 9)}
+
+
 def test_nearest(spark):
     r = np.random.default_rng(1)
     v = r.standard_normal((400, 16)).astype(np.float32)
