@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -17,9 +18,11 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one of our own (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. Local runs without it get one of their own; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -28,14 +31,16 @@ def shared_root(spark: SparkSession) -> str:
 class Workspace:
     """Written tables in the shared folder: they cut lineage and survive lost executors.
 
-    Each table is a Parquet folder; ``drop`` removes one that is no longer read,
-    and what is left goes when the driver process ends.
+    Each table is a Parquet folder. The operator that makes a workspace owns it: it
+    drops the tables that its result does not read (``drop_but``). The tables behind
+    a result belong to whoever holds the result and go when the driver process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._tables: list[str] = []
         _MADE.append((spark, self.root))
 
     def path(self, table: str) -> str:
@@ -56,11 +61,54 @@ class Workspace:
                 self.spark.conf.set(key, before) if before is not None else self.spark.conf.unset(key)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
+        self._tables.append(path)
         return out
 
-    def drop(self, *tables: DataFrame | str) -> None:
+    def write_sorted(self, df: DataFrame, table: str, keys: list[str]) -> DataFrame:
+        """df as a table bucketed and sorted by ``keys``: joins on them need no shuffle, nor (under ``sorted_runs``) a sort.
+
+        df should come out of a shuffle by these keys, so that each bucket is one file.
+        """
+        path, name = self.path(table), f"tessera_{uuid.uuid4().hex}"
+        parts = shuffle_partitions(self.spark)
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, *keys).sortBy(*keys).saveAsTable(name)
+        out = self.spark.table(name)
+        out._tessera_path, out._tessera_name = path, name
+        self._tables.append(path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            remove(self.spark, t if isinstance(t, str) else t._tessera_path)
+            if hasattr(t, "_tessera_name"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {t._tessera_name}")
+            remove(self.spark, t._tessera_path)
+            self._tables = [x for x in self._tables if x != t._tessera_path]
+
+
+    def drop_but(self, *kept: DataFrame) -> None:
+        """Remove all tables of this workspace but these."""
+        stay = {t._tessera_path for t in kept}
+        for path in [t for t in self._tables if t not in stay]:
+            remove(self.spark, path)
+        self._tables = [t for t in self._tables if t in stay]
+
+
+@contextmanager
+def sorted_runs(spark: SparkSession) -> Iterator[None]:
+    """Within it, bucketed tables with one file a bucket are read as sorted.
+
+    A union of bucketed tables must not pass for bucketed there: Spark 4.1 reads it
+    column by column without aligning the buckets, and sums by key come out in parts.
+    """
+    wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.unionOutputPartitioning": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -83,6 +131,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """__row (all columns of docs as one struct, so none can clash), __doc, __tk."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), id_key().alias("__doc"), text_key().alias("__tk"))
+
+
 def id_key(col: str | Column = "doc_id") -> Column:
     """doc_id as a grouping key: null ids are one document that sorts before all others."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID))

@@ -1,34 +1,41 @@
 """Line dedup over levelled sorted runs of line keys.
 
-The index is a set of runs. A run is a Parquet table of (k1, k2, n_docs, max_doc):
-a 128-bit key of the normalised line, the number of documents that hold it and
-the largest of their ids, range-partitioned and sorted by key. A new batch of
-documents is aggregated, anti-joined with the runs (keys never seen before stay
-apart from known ones), and added as a run of level 0; when a level holds
-``fanout`` runs they are merged into one run of the next level. Keys are
-additive, so a merge is one sort-merge aggregation and old runs are never
-rewritten in place.
+A run is a Parquet table of (k1, k2, n_docs, max_doc), bucketed and sorted by the
+128-bit key of the normalised line, with the number of a batch's documents that
+hold it and the largest of their ids. A new batch is aggregated to such rows and
+merge-anti-joined with the runs, which needs neither shuffle nor sort on their
+side: keys that no run holds are added as a run of level 0, so a key stands in one
+run only. Sightings of known keys go to deltas. When a level holds ``fanout`` runs
+they are merged into one run of the next level. What the batches repeat is read off
+the runs, each joined with the sum of the deltas.
 
 A line is dropped if its key is at least ``min_chars`` long, is held by at least
-``min_docs`` documents, and the document is not the one with the largest id.
+``min_docs`` documents, and the document is not the one with the largest id. Keys
+of more than ``HOT`` documents (or a 100,000th of all sightings, if that is more:
+so there are at most 100,000 of them) meet the lines that hold them by a broadcast;
+all others by a shuffle.
 
 Defined results: null text is one empty line; rows that share a doc_id are one
 document; all rows with a null doc_id are one document below every other; an
-empty table gives an empty result; extra columns are kept by ``dedup`` and
-ignored by the digest.
+empty table gives an empty result; extra columns are kept by ``dedup``, whatever
+their names, and ignored by the digest.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, Workspace, id_key, shuffle_partitions, text_key
+from tessera.llm.common import Workspace, id_key, keyed, sorted_runs, text_key
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A frequent key is spread over this many tasks when it meets the lines that hold it.
-SALTS = 16
+HOT = 100_000
+KEY = ["k1", "k2"]
 
 
 def lines_of(text: Column) -> Column:
@@ -39,22 +46,18 @@ def key_text(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, UPPER.lower())
 
 
-def key_of(k: Column) -> Column:
-    """The 128-bit key of a normalised line."""
-    return F.struct(F.xxhash64(k).alias("k1"), F.xxhash64(F.lit(7), k).alias("k2"))
-
+def long_lines(text: Column, min_chars: int) -> Column:
+    """(k1, k2, pos) of the text's lines whose keys have at least ``min_chars`` code points."""
+    rows = F.transform(lines_of(text), lambda x, i: F.struct(F.when(F.char_length(x) >= min_chars, key_text(x)).alias("k"), i.alias("pos")))
+    rows = F.filter(rows, lambda r: F.char_length(r["k"]) >= min_chars)
+    return F.transform(rows, lambda r: F.struct(F.xxhash64(r["k"]).alias("k1"), F.xxhash64(F.lit(7), r["k"]).alias("k2"), r["pos"].alias("pos")))
 
-def long_keys(text: Column, min_chars: int) -> Column:
-    """Distinct keys of the text's lines of at least ``min_chars`` code points."""
-    long = F.filter(lines_of(text), lambda x: F.char_length(x) >= min_chars)
-    norm = F.filter(F.transform(long, key_text), lambda k: F.char_length(k) >= min_chars)
-    return F.array_distinct(F.transform(norm, key_of))
 
-
-def held_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Distinct (k1, k2, doc) of the long lines of a batch."""
-    rows = docs.select(id_key().alias("doc"), F.explode(long_keys(F.col("text"), min_chars)).alias("k")).select("k.k1", "k.k2", "doc")
-    return rows.distinct()
+def sightings(docs: DataFrame, min_chars: int) -> DataFrame:
+    """k1, k2, n_docs, max_doc of a batch of documents."""
+    keys = F.array_distinct(F.transform(long_lines(F.col("text"), min_chars), lambda r: F.struct(r["k1"].alias("k1"), r["k2"].alias("k2"))))
+    rows = docs.select(id_key().alias("doc"), F.explode(keys).alias("k")).select("k.k1", "k.k2", "doc").distinct()
+    return rows.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc").alias("max_doc"))
 
 
 class LineRuns:
@@ -63,114 +66,142 @@ class LineRuns:
     def __init__(self, ws: Workspace, fanout: int = 4, min_chars: int = 40) -> None:
         self.ws, self.fanout, self.min_chars = ws, fanout, min_chars
         self.levels: list[list[DataFrame]] = [[]]
-        self.merged: list[DataFrame] = []  # runs that a compaction replaced; ``close`` deletes them
+        self.deltas: list[DataFrame] = []
+        self.merged: list[DataFrame] = []  # runs that a compaction replaced; whoever got them from ``append`` may still read them
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
-    def _run(self, rows: DataFrame, parts: int) -> DataFrame:
-        return self.ws.write(rows.repartition(parts, "k1").sortWithinPartitions("k1", "k2"), "run")
-
     def append(self, docs: DataFrame) -> DataFrame:
-        """Add a batch of documents (no document may be spread over two batches); returns the new run.
-
-        The batch's keys are merged against the runs: a key that no run holds is
-        marked fresh, so the fresh rows of all runs are the distinct lines and a
-        stream can keep just those (see ``admit``).
-        """
-        own = held_lines(docs, self.min_chars).groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("max_doc"))
-        runs = self.runs()
-        if runs:
-            known = runs[0].select("k1", "k2")
-            for r in runs[1:]:
-                known = known.unionByName(r.select("k1", "k2"))
-            known = known.distinct().withColumn("__old", F.lit(True)).hint("merge")
-            own = own.join(known, ["k1", "k2"], "left").select("k1", "k2", "n_docs", "max_doc", F.col("__old").isNull().alias("fresh"))
-        else:
-            own = own.withColumn("fresh", F.lit(True))
-        run = self._run(own, shuffle_partitions(self.ws.spark))
-        self.levels[0].append(run)
-        self._compact()
-        return run
+        """Add a batch of documents (no document may be spread over two batches); returns the new run: the keys never seen before."""
+        with sorted_runs(self.ws.spark):
+            own = self.ws.write_sorted(sightings(docs, self.min_chars), "batch", KEY)
+            run = own
+            if runs := self.runs():
+                fresh = own
+                for r in runs:
+                    fresh = fresh.join(r.select(*KEY).hint("merge"), KEY, "left_anti")
+                run = self.ws.write_sorted(fresh, "run", KEY)
+                known = own.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
+                self.deltas.append(self.ws.write_sorted(known, "delta", KEY))
+                self.ws.drop(own)
+            self.levels[0].append(run)
+            self._compact()
+            return run
 
     def admit(self, docs: DataFrame) -> DataFrame:
-        """The fresh keys of a batch (merge-anti-join of its keys with the runs), which are then added as a run."""
-        rows = self.append(docs)
-        return rows.where("fresh").select("k1", "k2", "max_doc")
+        """k1, k2, max_doc of the new keys of a batch, which is then part of the runs."""
+        return self.append(docs).select(*KEY, "max_doc")
 
     def _compact(self) -> None:
         for level in range(64):
             if level >= len(self.levels) or len(self.levels[level]) < self.fanout:
-                return
-            old = self.levels[level]
-            merged = self._run(self._sum(old), shuffle_partitions(self.ws.spark))
-            self.levels[level] = []
+                break
+            merged = self.ws.write_sorted(_all(self.levels[level]).repartition(*KEY), "run", KEY)  # their keys are disjoint
+            old, self.levels[level] = self.levels[level], []
             if level + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[level + 1].append(merged)
             self.merged += old
-
-    @staticmethod
-    def _sum(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for r in runs[1:]:
-            rows = rows.unionByName(r)
-        return rows.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("fresh").alias("fresh"))
+        if len(self.deltas) >= self.fanout:
+            old, self.deltas = self.deltas, [self.ws.write_sorted(_sum(self.deltas), "delta", KEY)]
+            self.ws.drop(*old)
 
     def close(self) -> None:
-        self.ws.drop(*self.merged, *self.runs())
-        self.levels, self.merged = [[]], []
+        self.ws.drop(*self.runs(), *self.deltas, *self.merged)
+        self.levels, self.deltas, self.merged = [[]], [], []
 
     def repeated(self, min_docs: int) -> DataFrame:
-        """(k1, k2, max_doc) of the keys that at least ``min_docs`` documents hold."""
-        return self._sum(self.runs()).where(F.col("n_docs") >= min_docs).select("k1", "k2", "max_doc")
+        """k1, k2, n_docs, max_doc of the keys that at least ``min_docs`` documents hold."""
+        out = None
+        more = None
+        if self.deltas:
+            more = self.deltas[0] if len(self.deltas) == 1 else _sum(self.deltas)
+            more = more.select(*KEY, F.col("n_docs").alias("__n"), F.col("max_doc").alias("__m")).hint("merge")
+        for r in self.runs():
+            if more is not None:
+                r = r.join(more, KEY, "left").select(*KEY, (F.col("n_docs") + F.coalesce("__n", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "__m").alias("max_doc"))
+            r = r.where(F.col("n_docs") >= min_docs)
+            out = r if out is None else out.unionByName(r)
+        return out
+
+
+def _all(runs: list[DataFrame]) -> DataFrame:
+    rows = runs[0]
+    for r in runs[1:]:
+        rows = rows.unionByName(r)
+    return rows
 
 
-def build_runs(docs: DataFrame, ws: Workspace, batches: int = 3, fanout: int = 3, min_chars: int = 40) -> LineRuns:
+def _sum(runs: list[DataFrame]) -> DataFrame:
+    return _all(runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+
+
+def build_runs(docs: DataFrame, ws: Workspace, batches: int = 3, fanout: int = 2, min_chars: int = 40) -> LineRuns:
     index = LineRuns(ws, fanout, min_chars)
     for b in range(batches):
         index.append(docs.where(F.pmod(F.xxhash64(id_key()), F.lit(batches)) == b) if batches > 1 else docs)
     return index
 
 
-def dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3) -> DataFrame:
-    """docs with text replaced by the kept lines, plus __n_lines and __n_dropped."""
-    spark: SparkSession = docs.sparkSession
-    ws = Workspace(spark, "line-dedup")
-    index = build_runs(docs.select("doc_id", "text"), ws, batches, min_chars=min_chars)
-    hot = ws.write(index.repeated(min_docs), "repeated")
+def dropped(docs: DataFrame, ws: Workspace, min_chars: int = 40, min_docs: int = 5, batches: int = 3) -> DataFrame:
+    """__doc, __tk, __drop: the places of the lines to drop, for the rows that lose any."""
+    docs = docs.select("doc_id", "text")
+    index = build_runs(docs, ws, batches, min_chars=min_chars)
+    with sorted_runs(ws.spark):
+        often = ws.write(index.repeated(min_docs), "repeated")
     index.close()
-    salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    held = held_lines_flat(docs.select("doc_id", "text"), min_chars)
-    drops = (
-        held.join(salted.hint("merge"), ["k1", "k2", "salt"])
-        .where(F.col("doc") != F.col("max_doc"))
-        .groupBy("doc", "tk")
-        .agg(F.collect_set(F.struct("k1", "k2")).alias("__drop"))
-        .select(F.col("doc").alias("__doc"), F.col("tk").alias("__tk"), "__drop")
-    )
-    d = docs.withColumn("__doc", id_key()).withColumn("__tk", text_key())
-    j = d.join(drops, ["__doc", "__tk"], "left")
-    lines = lines_of(F.col("text"))
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.char_length(x) < min_chars) | ~F.array_contains(F.col("__drop"), key_of(key_text(x)))))
-    j = j.withColumn("__kept", kept)
-    return j.select(
-        *[F.array_join("__kept", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.size(lines).cast("long").alias("__n_lines"),
-        (F.size(lines) - F.size("__kept")).cast("long").alias("__n_dropped"),
-    )
-
-
-def held_lines_flat(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(k1, k2, doc, tk, salt) of each row's distinct long lines."""
-    rows = docs.select(id_key().alias("doc"), text_key().alias("tk"), F.explode(long_keys(F.col("text"), min_chars)).alias("k"))
-    return rows.select("k.k1", "k.k2", "doc", "tk", F.pmod(F.xxhash64("doc", "tk"), F.lit(SALTS)).cast("int").alias("salt"))
+    most = max(HOT, (often.agg(F.sum("n_docs")).first()[0] or 0) // HOT)
+    hot = often.where(F.col("n_docs") > most).select(*KEY, F.col("max_doc").alias("hot_doc"))  # at most 100,000 rows
+    rows = docs.select(id_key().alias("doc"), text_key().alias("tk"), F.explode(long_lines(F.col("text"), min_chars)).alias("k")).select("k.*", "doc", "tk")
+    rows = rows.join(F.broadcast(hot), KEY, "left")
+    # Lines of hot keys are decided already; a key of their own spreads them.
+    rows = rows.withColumn("k1", F.when(F.col("hot_doc").isNull(), F.col("k1")).otherwise(F.xxhash64("k1", "doc", "pos")))
+    rest = often.where(F.col("n_docs") <= most).select(*KEY, "max_doc").hint("merge")
+    rows = rows.join(rest, KEY, "left").withColumn("last", F.coalesce("hot_doc", "max_doc")).where("doc <> last")
+    return rows.groupBy(F.col("doc").alias("__doc"), F.col("tk").alias("__tk")).agg(F.collect_set("pos").alias("__drop"))
+
+
+def _kept(text: str | None, drop: list[int] | None) -> tuple[list[str], int]:
+    lines = (text or "").split("\n")
+    n = len(lines)
+    if drop:
+        gone = set(drop)
+        lines = [x for i, x in enumerate(lines) if i not in gone]
+    return lines, n
+
+
+def dedup(docs: DataFrame, **parameters) -> DataFrame:
+    """docs with text replaced by the kept lines; all columns stay, whatever their names."""
+    ws = Workspace(docs.sparkSession, "line-dedup")
+    j = keyed(docs).join(dropped(docs, ws, **parameters), ["__doc", "__tk"], "left")
+    names, where = docs.columns, docs.columns.index("text")
+    rows = j.select("__row.*", "__drop").toDF(*[f"c{i}" for i in range(len(names) + 1)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = ["\n".join(_kept(t, d)[0]) for t, d in zip(b.column(where).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
+            cols = [pa.array(text, pa.string()) if i == where else b.column(i) for i in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return rows.mapInArrow(run, docs.schema)
 
 
 def digest(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 per row of docs."""
-    out = dedup(docs.select("doc_id", "text"), **parameters)
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    spark: SparkSession = docs.sparkSession
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    j = keyed(own).join(dropped(own, Workspace(spark, "line-dedup"), **parameters), ["__doc", "__tk"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, k, sha = [], [], []
+            for t, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                lines, many = _kept(t, d)
+                n.append(many), k.append(many - len(lines)), sha.append(hashlib.sha256("\n".join(lines).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+
+    return j.select(F.col("__row.doc_id").cast("long").alias("doc_id"), "__row.text", "__drop").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-__all__ = ["LineRuns", "build_runs", "dedup", "digest", "NULL_ID"]
+__all__ = ["LineRuns", "build_runs", "dedup", "digest", "dropped"]
