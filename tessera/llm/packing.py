@@ -42,27 +42,29 @@ class Encoder:
     """Token ids (little-endian uint32 bytes) of whole texts, as the tokenizer file gives them.
 
     Texts of Latin letters are merged by a faster engine that is built from the
-    vocabulary of the same file; any other text goes through the tokenizer
-    itself. Both give the same ids (the tests compare them).
+    vocabulary of the same file; any other text, and one that holds the string of a
+    special token, goes through the tokenizer itself. Both give the same ids (the
+    tests compare them). ``specials_as_text``: such strings are ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, specials_as_text: bool = False) -> None:
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = specials_as_text
         byte = _byte_names()
         ranks = {bytes(byte[c] for c in w): i for w, i in self.tok.get_vocab(with_added_tokens=False).items() if all(c in byte for c in w)}
         special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
         ranks = {w: i for w, i in ranks.items() if w.decode("utf-8", "replace") not in special}
+        self.slow = re.compile("|".join([_OTHER.pattern, *map(re.escape, sorted(special - {""}))]))
         self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _OTHER.search(text):
+        if self.slow.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return array("I", self.fast.encode_ordinary(text)).tobytes()
 
@@ -126,8 +128,3 @@ def _batch(rows: list[tuple], ids: list[bytes], with_ids: bool) -> pa.RecordBatc
         arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
         names.append("ids")
     return pa.RecordBatch.from_arrays(arrays, names)
-
-
-def write_buckets(packed: DataFrame, path: str) -> None:
-    """The training files: one folder per sequence length."""
-    packed.write.partitionBy("bucket").parquet(path)
