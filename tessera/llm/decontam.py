@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, Workspace, gram_hashes, mix, text_key
+from tessera.llm.common import WordHashes, Workspace, gram_hashes, id_key, keyed, mix, text_key
 
 #: ASCII bytes other than letters and digits end a word.
 _TO_WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -235,8 +235,8 @@ def report(docs: DataFrame, bench: DataFrame, **parameters) -> DataFrame:
 
 
 def clean(docs: DataFrame, bench: DataFrame, **parameters) -> DataFrame:
-    """docs without the rows into which an item leaks; all columns stay."""
+    """docs without the rows into which an item leaks; all columns stay, whatever their names."""
     ws = Workspace(docs.sparkSession, "decontam")
-    bad = ws.write(find(docs, bench, **parameters).select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct(), "leaks")
-    d = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__tk", text_key())
-    return d.join(bad, d["__id"].eqNullSafe(bad["__id"]) & (d["__tk"] == bad["__tk"]), "left_anti").select(*docs.columns)
+    rows = find(docs, bench, **parameters).select(id_key().alias("__doc"), F.col("tk").alias("__tk"))
+    bad = ws.write(rows.distinct(), "leaks")
+    return keyed(docs).join(bad, ["__doc", "__tk"], "left_anti").select("__row.*")

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MULT, WordHashes, Workspace, gram_hashes, mix, shuffle_partitions, text_key, texts_of
+from tessera.llm.common import MULT, WordHashes, Workspace, gram_hashes, keyed, mix, shuffle_partitions, text_key, texts_of
 from tessera.llm.components import components
 
 SMALL = 6
@@ -479,6 +479,5 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """
     sets, labels = link(docs, **parameters)
     rows = sets.join(labels, "c", "left").where("doc_id is not null and component is not null and doc_id <> component")
-    gone = rows.select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct()
-    d = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__tk", text_key())
-    return d.join(gone, ["__id", "__tk"], "left_anti").select(*docs.columns)
+    gone = rows.select(F.col("doc_id").alias("__doc"), F.col("tk").alias("__tk")).distinct()
+    return keyed(docs).join(gone, ["__doc", "__tk"], "left_anti").select("__row.*")

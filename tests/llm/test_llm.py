@@ -59,13 +59,20 @@ def test_line_dedup(spark, corpus):
 
 
 def test_line_runs_are_merged(spark, corpus):
-    from tessera.llm.common import Workspace
+    from tessera.llm.common import Workspace, sorted_runs
 
     index = line_dedup.LineRuns(Workspace(spark, "t"), fanout=2)
     d = docs(spark, [x for x in corpus if x[0] is not None])
     fresh = [index.admit(d.where(f"doc_id % 3 = {k}")).count() for k in range(3)]
     assert sum(fresh) == index.repeated(1).count()
     assert len(index.levels) > 1
+    with sorted_runs(spark):
+        held = {(x.k1, x.k2): (x.n_docs, x.max_doc) for x in index.repeated(2).collect()}
+        whole = {(x.k1, x.k2): (x.n_docs, x.max_doc) for x in line_dedup.sightings(d, 40).where("n_docs >= 2").collect()}
+        assert held == whole and held
+        batch = index.ws.write_sorted(line_dedup.sightings(d, 40), "batch", line_dedup.KEY)
+        plan = batch.join(index.runs()[0].hint("merge"), line_dedup.KEY, "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
 
 
 @pytest.mark.parametrize("most", [1, 20_000])
@@ -162,7 +169,6 @@ def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
     rows = corpus + [(200, "漢字 and ελλ  x\n\n y <|endoftext|> "), (201, " a  b\t\tc 12345 don't ")]
     got = packing.pack(docs(spark, rows)).collect()
     assert len({x.sequence_id for x in got}) == len(got) and {x.offset for x in got} == {0}
