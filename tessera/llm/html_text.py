@@ -1,17 +1,21 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a DOM of block elements (inline elements join their
-block, and count as tags of it). Each node has its characters, tags, link
-characters and link tags; its density is characters per tag, adjusted by the
-share of link text. A node's density sum is the sum of its children's
-densities. The subtree with the largest sum is taken; the least density on the
-path from it to the body is the threshold, by which further blocks beside that
-path are taken or left. Boilerplate by element and what is hidden never takes
-part. Neither does boilerplate by class, id or role, but for: what holds an
-article or main, or (unless an article or main is elsewhere) more than half of
-the page's text without links. Words that may also name main text (``SOFT``)
-only count where half of the text is links, or outside articles in other
-elements than sections, paragraphs and headings.
+block, and count as tags of it), in time linear in its length. Each node has its
+characters, tags, link characters and link tags; its density is characters per
+tag, adjusted by the share of link text. A node's density sum is the sum of its
+children's densities. The subtree with the largest sum is taken; the least density
+on the path from it to the body is the threshold, by which blocks beside that path
+are taken or left (headings before it are taken). Boilerplate by element (nav,
+footer, script, ...) and what is hidden never takes part.
+
+Words of class, id and role only advise: they multiply a block's density by
+``ADVICE``, in the sums and against the threshold, unless it holds an article or
+main, or (with no article or main elsewhere) more than half of the page's text
+without links. Words that may also name main text (``SOFT``) only do so where half
+of the text is links, or outside articles in other elements than sections,
+paragraphs and headings. Blocks in the article or main around the taken subtree
+have their densities divided by ``ADVICE``.
 
 Defined results: null or empty html gives an empty text; broken markup is read
 as browsers do in the main (implied end tags, unclosed elements end with their
@@ -30,9 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRS = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>")
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"\s+")
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: What a mark by class, id, role or form does to a block's density, and (its inverse) the article or main around the densest subtree.
+ADVICE = 0.02
+#: After so many tags whose quotes never close, quotes are no longer believed in a page.
+UNCLOSED = 8
 
 # The kinds of elements in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +52,7 @@ SKIP = set("head nav footer aside script style noscript template button select o
 CLOSED_BY_BLOCK = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
+_ENDS_NEAR = {t: {k for k, v in LIMITS.items() if t in v} for v in LIMITS.values() for t in v}
 # Words in class, id or role that mark boilerplate.
 NOT_MAIN = set(
     "ad ads adbox adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted "
@@ -58,7 +69,7 @@ FRAME = set("bar box block list link links item items wrapper wrap container inn
 
 
 class Node:
-    __slots__ = ("chars", "density", "holds_main", "kids", "link_chars", "link_tags", "linked", "mark", "open", "parent", "skip", "sum", "tag", "tags", "text")
+    __slots__ = ("chars", "density", "factor", "holds_main", "kids", "link_chars", "link_tags", "linked", "main", "mark", "near", "open", "parent", "skip", "sum", "tag", "tags", "text")
 
     def __init__(self, tag: str, parent: Node | None, mark: int) -> None:
         self.tag, self.parent, self.mark = tag, parent, mark  # as _marks; 3 also for boilerplate by element
@@ -67,6 +78,14 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.open = self.text = self.linked = 0  # open inline elements of its name; all characters in it and those of links
         self.density = self.sum = 0.0
+        self.factor = 1.0
+        self.main: Node | None = self if tag in ("article", "main") else parent and parent.main  # the innermost article or main
+        # The nearest open element of each kind that ends with the next of its kind, up to a list or table.
+        self.near: dict[str, Node] = parent.near if parent else {}
+        if tag in _ENDS_NEAR:
+            self.near = {k: n for k, n in self.near.items() if k not in _ENDS_NEAR[tag]}
+        if tag in SAME_ENDS:
+            self.near = self.near | {tag: self}
 
 
 def _word(w: str) -> int:
@@ -99,28 +118,87 @@ def _marks(attrs: str) -> int:
     return mark
 
 
+class _Scanner:
+    """Tags of a page, in linear time: no search for an end is ever made twice over the same text."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.unclosed = page, 0
+        self.gone: set[str] = set()  # ends that do not occur any more
+
+    def find(self, what: str, pos: int) -> int:
+        if what in self.gone:
+            return -1
+        at = self.page.find(what, pos)
+        if at < 0:
+            self.gone.add(what)
+        return at
+
+    def tag(self, at: int) -> tuple[int, bool, str, str] | None:
+        """(end, closes, name, attributes) of the tag at a ``<``; name is empty for comments and the like; None if it is text."""
+        page = self.page
+        if page.startswith("<!--", at):
+            end = self.find("-->", at + 4)
+            return (end + 3 if end >= 0 else len(page)), False, "", ""
+        if page.startswith(("<!", "<?"), at):
+            end = self.find(">", at)
+            return (end + 1 if end >= 0 else len(page)), False, "", ""
+        m = _OPEN.match(page, at)
+        if m is None:
+            return None
+        if self.find(">", at) < 0:
+            return None
+        if self.unclosed < UNCLOSED:
+            a = _ATTRS.match(page, m.end())
+            if a is not None:
+                return a.end(), bool(m[1]), m[2].lower(), page[m.end() : a.end() - 1]
+            self.unclosed += 1
+        end = page.find(">", m.end())
+        if end < 0:
+            return None
+        return end + 1, bool(m[1]), m[2].lower(), page[m.end() : end]
+
+    def after_raw(self, tag: str, pos: int) -> int:
+        """Where the text of a script or the like has ended, with its end tag."""
+        m = re.compile(rf"</{re.escape(tag)}\b", re.I).search(self.page, pos)
+        end = self.find(">", m.end()) if m else -1
+        return end + 1 if end >= 0 else len(self.page)
+
+
 def parse(page: str) -> Node:
     root = Node("body", None, 0)
     at, pos, link = root, 0, 0
-    links: list[bool] = []
-    for m in _TOKEN.finditer(page):
-        if m.start() < pos:
-            continue
-        if m.start() > pos:
-            _text(at, page[pos : m.start()], link)
-        pos = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+    counts: dict[str, int] = {}  # open elements by name
+    scan = _Scanner(page)
+
+    def up(to: Node) -> None:
+        nonlocal at
+        while at is not to:
+            counts[at.tag] -= 1
+            at = at.parent
+
+    while pos < len(page):
+        start = page.find("<", pos)
+        if start < 0:
+            _text(at, page[pos:], link)
+            break
+        got = scan.tag(start)
+        if got is None:
+            after = page.find("<", start + 1)
+            after = len(page) if after < 0 else after
+            _text(at, page[pos:after], link)
+            pos = after
             continue
-        tag, close, attrs = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-        if tag in ("html", "body"):
+        if start > pos:
+            _text(at, page[pos:start], link)
+        pos, close, tag, attrs = got
+        if not tag or tag in ("html", "body"):
             continue
         if tag in RAW and not close:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
-            pos = end.end() if end else len(page)
+            pos = scan.after_raw(tag, pos)
             continue
         if close and tag in INLINE and at.tag == tag and not at.open:  # the end of an inline element with a mark
-            at, link = at.parent, max(0, link - (tag == "a"))
+            link = max(0, link - (tag == "a"))
+            up(at.parent)
             continue
         if tag in INLINE and not (not close and tag in ("span", "a", "label", "small") and attrs and _marks(attrs) > 1):
             if at.tag == tag:
@@ -137,29 +215,26 @@ def parse(page: str) -> Node:
                     at.link_tags += 1
             continue
         if close:
-            n = at
-            while n is not root and n.tag != tag:
-                n = n.parent
-            if n is not root:
-                at, link = n.parent, 0
+            if counts.get(tag):
+                n = at
+                while n.tag != tag:
+                    n = n.parent
+                up(n.parent)
+                link = 0
             continue
         if tag in CLOSED_BY_BLOCK:
             n = at
-            while n is not root and n.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (n.tag == "p" or tag != n.tag or True):
+            while n.tag == "p" or n.tag in _HEADINGS:
                 n = n.parent
-            at, link = n, 0
+            up(n)
+            link = 0
         elif tag in SAME_ENDS:
-            n = at
-            while n is not root and n.tag not in LIMITS.get(tag, ()):
-                if n.tag in SAME_ENDS[tag]:
-                    at = n.parent
-                    if tag != "tr":
-                        break
-                n = n.parent
+            while ends := [at.near[k] for k in SAME_ENDS[tag] if k in at.near]:
+                up(ends[0].parent)  # a row ends its cells and the row before it, so there may be more
             link = 0
         if tag in VOID:
             continue
-        if tag in SKIP or tag == "header" and not _inside(at, ("article", "main")):
+        if tag in SKIP or tag == "header" and at.main is None:
             mark = 3
         else:
             mark = _marks(attrs) if attrs else 0
@@ -171,14 +246,13 @@ def parse(page: str) -> Node:
             link += 1
         if not attrs.endswith("/"):
             at = node
-    if pos < len(page):
-        _text(at, page[pos:], link)
+            counts[tag] = counts.get(tag, 0) + 1
     _skip(root)
     return root
 
 
 def _skip(root: Node) -> None:
-    """Which nodes are boilerplate."""
+    """Which nodes never take part (boilerplate by element, hidden), and which are advised against."""
     order, stack = [], [root]
     while stack:
         n = stack.pop()
@@ -191,27 +265,19 @@ def _skip(root: Node) -> None:
             n.parent.text += n.text
             n.parent.linked += n.linked
             n.parent.holds_main |= n.holds_main
-    stack = [(root, False)]
+    stack = [root]
     while stack:
-        n, inside = stack.pop()  # inside: of an article or main
+        n = stack.pop()
+        inside = n.main is not None
         if n.mark == 3:
             n.skip = True
-        elif n.mark and not n.holds_main and n is not root:
-            most = 2 * (n.text - n.linked) > root.text - root.linked and (inside or not root.holds_main)
-            plain = n.tag in ("article", "main") or inside or n.tag in ("section", "p", "h1", "h2", "h3", "h4", "h5", "h6")
-            n.skip = not most and (n.mark == 2 or not plain or 2 * n.linked >= n.text > 0)
-        if n.parent is not None and n.parent.skip:
-            n.skip = True
-        inside = inside or n.tag in ("article", "main")
-        stack += [(k, inside) for k in n.kids if type(k) is Node]
-
-
-def _inside(n: Node | None, tags: tuple[str, ...]) -> bool:
-    while n is not None:
-        if n.tag in tags:
-            return True
-        n = n.parent
-    return False
+            continue
+        if n.mark and not n.holds_main and n is not root:
+            most = 2 * (n.text - n.linked) > root.text - root.linked and (n.parent.main is not None or not root.holds_main)
+            plain = inside or n.tag in ("section", "p") or n.tag in _HEADINGS
+            if not most and (n.mark == 2 or not plain or 2 * n.linked >= n.text > 0):
+                n.factor = ADVICE
+        stack += [k for k in n.kids if type(k) is Node]
 
 
 def _text(at: Node, raw: str, link: int) -> None:
@@ -245,12 +311,16 @@ def measure(root: Node) -> list[Node]:
             base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
             n.density = c / t * math.log(max(c / max(lc, 1) * (t / lt), 1.0) + 1e-9, base) if base > 1 else c / t
             n.density = max(n.density, 0.0)
-        n.sum = sum(k.density for k in n.kids if type(k) is Node and not k.skip) or (n.density if n.chars else 0.0)
+        n.sum = n.factor * (sum(k.factor * k.density for k in n.kids if type(k) is Node and not k.skip) or (n.density if n.chars else 0.0))
     return order
 
 
+def _is_heading(n: Node) -> bool:
+    return n.tag in _HEADINGS or n.tag in ("header", "hgroup") and any(type(k) is Node and k.tag in _HEADINGS for k in n.kids)
+
+
 def main_nodes(root: Node) -> list[Node]:
-    """The subtrees that hold the main text, in page order."""
+    """The subtrees that hold the main text, in page order; in them, what is advised against and below the threshold is skipped."""
     order = measure(root)
     best = max(order, key=lambda n: (n.sum, n.chars))
     if not best.chars:
@@ -258,23 +328,33 @@ def main_nodes(root: Node) -> list[Node]:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
+    on_path = {id(n) for n in path}
     threshold = min(n.density for n in path)
-    whole = next((n for n in reversed(path) if n.tag in ("article", "main")), None)
-    if whole is not None:
-        return [whole]
+    around = {id(n.main) for n in path if n.main is not None}
     keep = {id(best)}
     for child, parent in zip(path, path[1:]):
         keep.add(id(parent))
+        before = True
         for k in parent.kids:
-            if type(k) is Node and not k.skip and k is not child and k.chars and k.density >= threshold and 2 * k.link_chars <= k.chars:
-                keep.add(id(k))
+            if k is child:
+                before = False
+            elif type(k) is Node and not k.skip and k.chars and 2 * k.link_chars <= k.chars:
+                factor = 1 / ADVICE if k.factor == 1 and parent.main is not None and id(parent.main) in around else k.factor
+                if factor * k.density >= threshold or before and k.factor == 1 and _is_heading(k):
+                    keep.add(id(k))
     out, stack = [], [root]
     while stack:
         n = stack.pop()
-        if n is best or id(n) in keep and n not in path:
+        if n is best or id(n) in keep and id(n) not in on_path:
             out.append(n)
         elif id(n) in keep:
             stack += [k for k in reversed(n.kids) if type(k) is Node]
+    stack = list(out)
+    while stack:
+        for k in stack.pop().kids:
+            if type(k) is Node and not k.skip:
+                k.skip = k.factor * k.density < threshold and k.factor < 1
+                stack.append(k)
     return out
 
 

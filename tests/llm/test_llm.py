@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import ann_forest, decontam, fm_index, html_text, license_scan, line_dedup, ngram_join, packing, substring_dedup, toxicity
+from tessera.llm import ann_forest, decontam, fm_index, license_scan, line_dedup, ngram_join, packing, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, n_words long, k1 long, c string"
 
@@ -252,43 +252,6 @@ def test_nearest_ties_of_scaled_copies(spark):
     assert got == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4]}
 
 
-def test_main_text():
-    page = (
-        "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><ul><li><a href=/>Home</a></ul></nav>"
-        "<div class='cookie-notice'>We use cookies</div><main><article><h1>Big &amp; <i>new</i>s</h1><p>First   para<br>with\nbreak.<p>Second <a href=x>link</a> para."
-        "<script>if (1 < 2) x('</p>')</script></article></main><aside>Side</aside><section id=comments><p>Nice!</p></section><form>F<input></form><footer>(c)</footer></body></html>"
-    )
-    assert html_text.main_text(page) == "Big & news First para with break. Second link para."
-    assert html_text.main_text(None) == "" and html_text.main_text("") == "" and html_text.main_text("<p") is not None
-    framed = "<div class='layout has-sidebar'><div class=sidebar>x</div><article><p>Main</p><div class='share-bar'>s</div></article></div>"
-    assert html_text.main_text(framed) == "Main"
-    plain = "<body><div id=menu><a>a</a><a>b</a></div><div><div><p>" + "word " * 80 + "</p><p>" + "more " * 60 + "</p></div></div><div class=ad>buy</div></body>"
-    assert html_text.main_text(plain).split() == ["word"] * 80 + ["more"] * 60
-
-
-def test_main_text_survives_class_names():
-    main, nav = html_text.main_text, "<nav><a href=/>Home</a></nav>"
-    body = "<p>" + "word " * 40 + "</p><p>" + "more " * 40 + "</p>"
-    want = ["word"] * 40 + ["more"] * 40
-    for name in ("post category-legal", "post has-sidebar", "legal", "sidebar"):
-        assert main(f"{nav}<article class='{name}'>{body}</article><div class=sidebar>x</div>").split() == want
-    for name in ("content has-sidebar", "content right-sidebar", "widget"):
-        assert main(f"{nav}<div class='{name}'>{body}</div><div class=sidebar>x y</div>").split() == want
-    assert main(f"<div class=widget>{body}</div><aside><article>x</article></aside>").split() == want
-    assert main(f"{nav}<form id=form1><div>{body}</div><input></form>").split() == want
-    inner = "<h2 id='related-work'>Related</h2><section id='discussion'><p>We see</p></section><p class='notice'>Mind this</p><div class='related-posts'><a href=x>Other</a></div><div class=share-bar>s</div>"
-    assert main(f"<article>{body}{inner}</article>").split() == [*want, *"Related We see Mind this".split()]
-    for attr in ("title='The hidden valley'", "data-hidden='false'", "data-class='ad'", "alt='style=display:none'"):
-        assert main(f"<article {attr}>{body}</article>").split() == want
-    assert main("<article><p>Seen</p><p hidden>a</p><p aria-hidden=true>b</p><p style='display: none'>c</p></article>") == "Seen"
-    assert main("<article><p>One <span class=share><span>x</span> y</span> two <a class=comments href=x>3</a> end</p></article>") == "One two end"
-
-
-def test_main_text_table(spark):
-    pages = spark.createDataFrame([(1, "u", "<article><p>x</article>", 5), (2, None, None, 5)], "page_id long, url string, html string, n_chars int")
-    assert [tuple(x) for x in html_text.extract(pages).orderBy("page_id").collect()] == [(1, "u", "x", 1), (2, None, "", 0)]
-
-
 def test_toxicity(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghijklmn") for _ in range(r.randint(2, 8)))
