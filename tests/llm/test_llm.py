@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import ann_forest, decontam, fm_index, license_scan, line_dedup, ngram_join, packing, substring_dedup, toxicity
+from tessera.llm import decontam, fm_index, license_scan, line_dedup, ngram_join, packing, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, n_words long, k1 long, c string"
 
@@ -220,38 +220,6 @@ def test_decontamination_without_spaces(spark):
     assert {(x.doc_id, x.item_id) for x in decontam.report(docs(spark, rows), bench).collect()} == {(1, 7), (2, 8), (4, 9)}
 
 
-def test_nearest(spark):
-    r = np.random.default_rng(1)
-    v = r.standard_normal((400, 16)).astype(np.float32)
-    v[300:] = v[7]
-    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(1000, None, 0), (1050, [0.0] * 16, 0), (1100, [float("nan")] + [1.0] * 15, 0), (1150, [None] + [1.0] * 15, 0)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    got = defaultdict(list)
-    for x in ann_forest.nearest(table).orderBy("query_id", "rank").collect():
-        got[x.query_id].append((x.vec_id, x.score))
-    d = v.astype(float)
-    n = np.sqrt((d**2).sum(1))
-    hit = 0
-    for q in range(0, 400, 50):
-        s = d @ d[q] / (n * n[q])
-        s[q] = -9
-        best = np.lexsort((np.arange(400), -np.round(s, 12)))[:5]
-        hit += len({int(b) for b in best} & {x[0] for x in got[q]})
-    assert set(got) == set(range(0, 400, 50)) and hit >= 0.9 * 40
-    assert [x[0] for x in got[300]] == [7, 301, 302, 303, 304]
-
-
-def test_nearest_ties_of_scaled_copies(spark):
-    """More distinct vectors of one direction than any short list holds: the smallest ids are the nearest."""
-    v = np.random.default_rng(3).standard_normal(16).astype(np.float32)
-    scale = [2.0 ** ((37 * i) % 61 - 30) for i in range(61)]
-    table = spark.createDataFrame([(i, (v * np.float32(s)).tolist()) for i, s in enumerate(scale)], "vec_id long, embedding array<float>")
-    got = defaultdict(list)
-    for x in ann_forest.nearest(table).orderBy("query_id", "rank").collect():
-        got[x.query_id].append(x.vec_id)
-    assert got == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4]}
-
-
 def test_toxicity(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghijklmn") for _ in range(r.randint(2, 8)))
