@@ -1,21 +1,22 @@
 """Toxicity by weak supervision.
 
 1. A bounded sample of labelled rows (``max_train``, smallest hashes of doc_id
-   first, fold 0 of five held out) supplies lexicon voters: word stems whose
-   share among toxic rows is far above that among clean rows. Pattern voters
-   (shouting, symbols, repetition, no stem at all) vote beside them.
+   first, fold 0 of five held out) supplies lexicon voters: word stems whose share
+   among toxic rows is far above that among clean rows. This is all that labels are
+   used for. Pattern voters (shouting, marks, symbols, repetition, few words, no
+   stem at all) vote beside them, for either side.
 2. A generative label model takes only the votes: expectation maximisation finds
    each voter's accuracy and the class balance; residual correlations between
    voters, given the posterior, let voters that repeat one another share a voice.
-3. A linear classifier over stems is trained on the posterior labels.
+3. A linear classifier over stems is chosen, scaled and trained by the posteriors.
 4. Every whole text is scored in one narrow pass; labels, lang, source and
    doc_id are no inputs.
 
-Only the model (at most ``max_features`` weights) is sent to the executors.
+Only the model (a weight for each of the sample's stems that tell) is sent to the executors.
 
 Defined results: null or empty texts get the score of a text without features;
-null doc_ids are not held out and never train; without usable labels the score
-is the prior 0; repeated rows give repeated results; extra columns are ignored.
+null doc_ids are not held out and never train; without usable labels, or without any
+stem that tells, the score is the prior 0; a score of exactly 0.5 is toxic; repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import Workspace
+
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGN = re.compile(r"[^\w\s]")
 STEMS = (4, 5, 6)
@@ -50,44 +53,53 @@ def features(text: str) -> set[str]:
 
 
 def patterns(text: str) -> tuple[int, ...]:
-    """Votes of the pattern voters on one text: 0 for clean, -1 to abstain. None of them speaks for toxic."""
+    """Votes of the pattern voters on one text: 1 for toxic, 0 for clean, -1 to abstain."""
     n = max(len(text), 1)
     words = text.split()
     shout = sum(map(str.isupper, text)) > 0.6 * n
+    marks = any(x in text for x in ("!!", "?!", "!?"))
     signs = len(_SIGN.findall(text)) > 0.3 * n
     same = len(words) > 20 and len(set(words)) < 0.1 * len(words)
-    return tuple(0 if x else -1 for x in (shout, signs, same, len(words) < 5))
+    return (1 if shout else -1, 1 if marks else -1, *(0 if x else -1 for x in (signs, same, len(words) < 5)))
 
 
 @dataclass
 class LabelModel:
-    """P(toxic | votes) from voters that say 1, 0 or nothing (-1)."""
+    """P(toxic | votes) from voters that say 1, 0 or nothing (-1). No label enters it.
+
+    A prior of ``weight`` votes for each that a voter gives holds voters to be right
+    in ``prior`` of all cases: where one voter alone speaks, votes say nothing about it.
+    """
 
-    rounds: int = 30
+    rounds: int = 60
     strength: float = 1.0
+    prior: float = 0.9
+    weight: float = 0.02
 
     def fit(self, votes: np.ndarray) -> np.ndarray:
         """Posterior of each row; sets ``accuracy``, ``correlation`` and ``balance``."""
-        said1, said0 = votes == 1, votes == 0
-        n, m = votes.shape
-        p = np.where(said1.any(1), 0.9, 0.05)
-        x1, x0 = said1.astype(np.float32), said0.astype(np.float32)
+        x1, x0 = (votes == 1).astype(np.float32), (votes == 0).astype(np.float32)
+        m = votes.shape[1]
+        n1, n0, all1, all0 = x1.sum(1), x0.sum(1), x1.sum(0), x0.sum(0)
+        p = (n1 + 0.025) / (n1 + n0 + 0.5)  # a vote of all voters, with a low prior where none speaks
         alike = np.zeros((m, m), np.float32)
         shared = np.ones_like(x1)
         for r in range(self.rounds):
             self.balance = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
             # chance of each vote given the class, smoothed
             t, c = p.sum() + 2, (1 - p).sum() + 2
-            a1, b1 = ((p @ x1) + 1e-2) / t, (((1 - p) @ x1) + 1e-2) / c
-            a0, b0 = ((p @ x0) + 1e-2) / t, (((1 - p) @ x0) + 1e-2) / c
+            right1, right0 = p @ x1, (1 - p) @ x0
+            k1, k0 = self.weight * all1, self.weight * all0
+            a1, b1 = (right1 + self.prior * k1 + 1e-2) / t, (all1 - right1 + (1 - self.prior) * k1 + 1e-2) / c
+            a0, b0 = (all0 - right0 + (1 - self.prior) * k0 + 1e-2) / t, (right0 + self.prior * k0 + 1e-2) / c
             log1, log0 = np.log(a1 / b1), np.log(a0 / b0)
             if r % 10 == 0:
-                alike = self._alike(x1, p).astype(np.float32)
-                shared = 1 / (1 + x1 @ alike)  # voters of a row that repeat one another share one voice
-            odds = math.log(self.balance / (1 - self.balance)) + (x1 * shared) @ log1 + x0 @ log0
+                alike = self._alike(x1 - x0, p).astype(np.float32)
+                shared = 1 / (1 + (x1 + x0) @ alike)  # voters of a row that repeat one another share one voice
+            odds = math.log(self.balance / (1 - self.balance)) + (x1 * shared) @ log1 + (x0 * shared) @ log0
             p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         self.correlation = alike
-        self.accuracy = np.where(said1.any(0), (p @ x1) / np.maximum(x1.sum(0), 1), ((1 - p) @ x0) / np.maximum(x0.sum(0), 1))
+        self.accuracy = ((p @ x1) + ((1 - p) @ x0)) / np.maximum(all1 + all0, 1)
         return p
 
     def _alike(self, x: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -134,69 +146,103 @@ class ToxicityModel:
         return score
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, max_features: int = 5_000, max_voters: int = 256) -> ToxicityModel:
-    """Fit on at most ``max_train`` labelled rows outside the held-out fold (the only rows that reach the driver)."""
+LEAST = 3  # rows that a stem must stand in to count
+
+
+@dataclass
+class Sample:
+    """Labelled rows as stem numbers: stem ``col[i]`` (a place in ``names``) stands in row ``row[i]``."""
+
+    toxic: np.ndarray
+    said: np.ndarray
+    row: np.ndarray
+    col: np.ndarray
+    names: list[str]
+
+
+def sample(docs: DataFrame, labels: DataFrame, max_train: int) -> Sample | None:
+    """At most ``max_train`` labelled rows outside the held-out fold. Texts stay on the executors: the driver gets stems of at least ``LEAST`` rows and their numbers."""
+    ws = Workspace(docs.sparkSession, "toxicity")
     pick = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
         .limit(max_train)
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(pick), "doc_id").select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_train).collect()
-    return fit(rows, max_features, max_voters)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(pick), "doc_id")
+    rows = rows.select("toxic", "text", F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"))
+    schema = "toxic int, h long, doc_id long, t long, said array<int>, stems array<string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            said, stems = [list(patterns(t)) for t in texts], [sorted(features(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(said, pa.list_(pa.int32())), pa.array(stems, pa.list_(pa.string()))], ["toxic", "h", "doc_id", "t", "said", "stems"])
+
+    rows = ws.write(rows.mapInArrow(run, schema).orderBy("h", "doc_id", "t").limit(max_train), "rows")
+    often = rows.select(F.explode("stems").alias("s")).groupBy("s").count().where(F.col("count") >= LEAST)
+    names = sorted(r.s for r in often.select("s").collect())
+    number = docs.sparkSession.sparkContext.broadcast({s: i for i, s in enumerate(names)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = number.value
+        for b in batches:
+            ids = [[of[s] for s in x if s in of] for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["toxic", "said", "ids"])
 
+    got = rows.select("toxic", "said", "stems").mapInArrow(count, "toxic int, said array<int>, ids array<int>").toArrow()
+    ws.drop(rows)
+    if not len(got):
+        return None
+    ids = got.column("ids").combine_chunks()
+    row = np.repeat(np.arange(len(got)), np.diff(ids.offsets.to_numpy()))
+    return Sample(got.column("toxic").to_numpy().astype(np.int64), np.array(got.column("said").to_pylist(), np.int8), row, ids.flatten().to_numpy(), names)
 
-def fit(rows: list, max_features: int = 5_000, max_voters: int = 256) -> ToxicityModel:
-    """The model from labelled rows with ``text`` and ``toxic``."""
-    if not rows or not any(r.toxic for r in rows):
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000) -> ToxicityModel:
+    """Fit on at most ``max_train`` labelled rows outside the held-out fold."""
+    return fit(sample(docs, labels, max_train))
+
+
+def fit(s: Sample | None) -> ToxicityModel:
+    """Voters from the labelled rows, posteriors from the votes, the classifier from the posteriors."""
+    if s is None or not s.toxic.any():
         return ToxicityModel({}, -30.0)
-    vocabulary: dict[str, int] = {}
-    found, said, y = [], [], []
-    for r in rows:
-        text = r.text or ""
-        found.append(np.fromiter((vocabulary.setdefault(f, len(vocabulary)) for f in sorted(features(text))), np.int32))
-        said.append(patterns(text))
-        y.append(r.toxic)
-    y, m = np.array(y), len(vocabulary)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in found])
-    col = np.concatenate(found)
-    del found
+    row, col, y, n, m = s.row, s.col, s.toxic, len(s.toxic), len(s.names)
     pos = np.bincount(col[y[row] == 1], minlength=m)
     neg = np.bincount(col[y[row] == 0], minlength=m)
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    # Lexicon voters: stems all but confined to toxic rows, most common first.
+    # Lexicon voters: stems all but confined to toxic rows. Of so many stems some meet only toxic
+    # rows by chance: a voter needs more rows than chance would give any stem.
     odds = ((pos + 0.1) / (n1 + 1)) / ((neg + 0.1) / (n0 + 1))
-    # Of so many stems some meet only toxic rows by chance: a voter needs more rows than chance would give any stem.
-    least = math.log(0.5 / max(int((pos + neg >= 3).sum()), 1)) / math.log(min(max(n1 / (n1 + n0), 0.01), 0.5))
-    lexicon = np.flatnonzero((pos >= max(3.0, least)) & (odds >= 100) & (pos >= 50 * neg))
-    lexicon = lexicon[np.argsort(-pos[lexicon], kind="stable")][:max_voters]
+    least = math.log(0.5 / max(m, 1)) / math.log(min(max(n1 / (n1 + n0), 0.01), 0.5))
+    lexicon = np.flatnonzero((pos >= max(float(LEAST), least)) & (odds >= 100) & (pos >= 50 * neg))
+    if not len(lexicon):
+        return ToxicityModel({}, -30.0)
     place = np.full(m, -1)
     place[lexicon] = np.arange(len(lexicon))
-    votes = np.full((len(rows), len(lexicon) + len(said[0]) + 1), -1, np.int8)
     hit = place[col] >= 0
+    votes = np.full((n, len(lexicon) + s.said.shape[1] + 1), -1, np.int8)
     votes[row[hit], place[col[hit]]] = 1
-    votes[:, len(lexicon) : -1] = said
-    votes[:, -1] = np.where(np.bincount(row[hit], minlength=len(rows)) > 0, -1, 0)
-    posterior = LabelModel().fit(votes) if len(lexicon) else np.zeros(len(rows))
-    return _linear(row, col, posterior, pos, neg, list(vocabulary), max_features, min(least, 5.0))
+    votes[:, len(lexicon) : -1] = s.said
+    votes[:, -1] = np.where(np.bincount(row[hit], minlength=n) > 0, -1, 0)
+    return _linear(row, col, LabelModel().fit(votes), s.names, min(least, 5.0))
 
 
-def _linear(row: np.ndarray, col: np.ndarray, target: np.ndarray, pos: np.ndarray, neg: np.ndarray, names: list[str], max_features: int, least: float) -> ToxicityModel:
-    """Logistic regression on the posterior labels: presence features, L2, Nesterov steps; then the scale is set.
+def _linear(row: np.ndarray, col: np.ndarray, target: np.ndarray, names: list[str], least: float) -> ToxicityModel:
+    """Logistic regression on the posteriors alone: presence features, L2, Nesterov steps; then the scale is set.
 
-    A long text holds many features by chance, so a feature enters with the
-    share of toxic rows among those that hold it, squared.
+    A long text holds many stems by chance, so one enters only if toxic rows are
+    twice as common among those that hold it, and then with their share, squared.
     """
-    n = len(target)
-    n1 = max(float(target.sum()), 1.0)
-    gap = np.abs(pos / n1 - neg / max(n - n1, 1.0))
-    use = np.flatnonzero(pos + neg >= least)
-    use = use[np.argsort(-gap[use], kind="stable")][:max_features]
-    place = np.full(len(names), -1)
+    n, m = len(target), len(names)
+    pos, all_ = np.bincount(col, weights=target[row], minlength=m), np.bincount(col, minlength=m)
+    use = np.flatnonzero((all_ >= least) & (pos >= 2 * target.mean() * all_))
+    place = np.full(m, -1)
     place[use] = np.arange(len(use))
     ok = place[col] >= 0
     row, col, m = row[ok], place[col[ok]], len(use)
-    scale = 0.02 + (pos[use] / (pos[use] + 4 * neg[use] + 1e-9)) ** 2
+    scale = 0.02 + (pos[use] / (4 * all_[use] - 3 * pos[use])) ** 2
     w, v, b, vb = np.zeros(m), np.zeros(m), -2.0, 0.0
     step, lam = 1.0, 1e-5
     for _ in range(300):

@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import decontam, fm_index, license_scan, line_dedup, ngram_join, packing, substring_dedup, toxicity
+from tessera.llm import decontam, fm_index, license_scan, line_dedup, ngram_join, packing, substring_dedup
 
 SCHEMA = "doc_id long, text string, n_words long, k1 long, c string"
 
@@ -220,31 +220,6 @@ def test_decontamination_without_spaces(spark):
     assert {(x.doc_id, x.item_id) for x in decontam.report(docs(spark, rows), bench).collect()} == {(1, 7), (2, 8), (4, 9)}
 
 
-def test_toxicity(spark):
-    r = random.Random(4)
-    word = lambda: "".join(r.choice("abcdefghijklmn") for _ in range(r.randint(2, 8)))
-    rows, labels = [], []
-    for i in range(900):
-        w = [word() for _ in range(r.randint(5, 120))]
-        toxic = i % 5 == 0
-        if toxic:
-            w[r.randrange(len(w))] = r.choice(["zzvile", "zzfoul", "qqnasty" + word()])
-        rows.append((i, " ".join(w)))
-        labels.append((i, int(toxic), 1))
-    rows += [(None, None), (5000, ""), (5001, None)]
-    lab = spark.createDataFrame(labels, "doc_id long, toxic int, score int")
-    d = docs(spark, rows)
-    model = toxicity.train(d, lab)
-    got = toxicity.score(d, model).collect()
-    assert len(got) == len(rows) and all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in got)
-    held = [x for x in got if x.held_out and x.doc_id is not None and x.doc_id < 900]
-    assert all(zlib.crc32(str(x.doc_id).encode()) % 5 == 0 for x in held) and len(held) > 100
-    assert sum(x.predicted != (x.doc_id % 5 == 0) for x in held) <= 0.05 * len(held)
-    kept = toxicity.reject_toxic(d, model)
-    assert kept.columns == d.columns and 700 <= kept.count() <= 740
-    assert toxicity.train(d, lab.limit(0)).weights == {}
-
-
 @pytest.mark.parametrize("f", [line_dedup.digest, substring_dedup.dedup, ngram_join.digest, packing.pack, license_scan.scan])
 def test_empty_tables(spark, f):
     assert f(docs(spark, [])).count() == 0
