@@ -67,20 +67,21 @@ def patterns(text: str) -> tuple[int, ...]:
 class LabelModel:
     """P(toxic | votes) from voters that say 1, 0 or nothing (-1). No label enters it.
 
-    A prior of ``weight`` votes for each that a voter gives holds voters to be right
-    in ``prior`` of all cases: where one voter alone speaks, votes say nothing about it.
+    Where one voter alone speaks, votes cannot tell how right it is; there it is held
+    to be right in ``prior`` of all cases.
     """
 
     rounds: int = 60
     strength: float = 1.0
-    prior: float = 0.9
-    weight: float = 0.02
+    prior: float = 0.95
 
     def fit(self, votes: np.ndarray) -> np.ndarray:
         """Posterior of each row; sets ``accuracy``, ``correlation`` and ``balance``."""
         x1, x0 = (votes == 1).astype(np.float32), (votes == 0).astype(np.float32)
         m = votes.shape[1]
         n1, n0, all1, all0 = x1.sum(1), x0.sum(1), x1.sum(0), x0.sum(0)
+        alone = n1 + n0 == 1
+        alone1, alone0 = (alone @ x1), (alone @ x0)
         p = (n1 + 0.025) / (n1 + n0 + 0.5)  # a vote of all voters, with a low prior where none speaks
         alike = np.zeros((m, m), np.float32)
         shared = np.ones_like(x1)
@@ -88,10 +89,9 @@ class LabelModel:
             self.balance = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
             # chance of each vote given the class, smoothed
             t, c = p.sum() + 2, (1 - p).sum() + 2
-            right1, right0 = p @ x1, (1 - p) @ x0
-            k1, k0 = self.weight * all1, self.weight * all0
-            a1, b1 = (right1 + self.prior * k1 + 1e-2) / t, (all1 - right1 + (1 - self.prior) * k1 + 1e-2) / c
-            a0, b0 = (all0 - right0 + (1 - self.prior) * k0 + 1e-2) / t, (right0 + self.prior * k0 + 1e-2) / c
+            right1, right0 = np.where(alone, 0, p) @ x1 + self.prior * alone1, np.where(alone, 0, 1 - p) @ x0 + self.prior * alone0
+            a1, b1 = (right1 + 1e-2) / t, (all1 - right1 + 1e-2) / c
+            a0, b0 = (all0 - right0 + 1e-2) / t, (right0 + 1e-2) / c
             log1, log0 = np.log(a1 / b1), np.log(a0 / b0)
             if r % 10 == 0:
                 alike = self._alike(x1 - x0, p).astype(np.float32)
