@@ -1,30 +1,36 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. Test items are taken in blocks of at most ``ITEMS`` (each block is sent to the
-   executors; more items mean more passes, not a larger broadcast). A first
-   pass counts in how many documents each of their word n-grams occurs; an
-   item's seeds are its n-grams that are no more common than four times its
-   median, so at least half of them, however often the item itself leaked.
-2. A second pass finds seeds in every whole text. Places where two seeds of one
-   item (or all, if it has fewer) stand within the item's length are aligned with
-   the item by Smith-Waterman over words (match 2, mismatch -1, gap -1).
-3. The best alignment's share of the item's full score is reported; a share of
-   at least ``least`` marks the document.
+1. Test items are taken in blocks of about ``BLOCK_BYTES`` of text (each block is
+   sent to the executors; more items mean more passes, not a larger broadcast). A
+   first pass counts in how many documents each of their word pairs occurs; an
+   item's seeds are its pairs but for the commonest tenth.
+2. A second pass finds seeds in every whole text. An edited copy that aligns with
+   the share ``least`` of the full score holds at least (2 * least - 1) * m - 1 of
+   the item's m - 1 pairs, within (3 - 2 * least) * m words: an inserted word costs
+   one point and one pair, a changed or missing one three points and two pairs. So
+   stretches with that many seeds (less those left out), which also hold the share
+   ``least`` of the item's words, are aligned with the item by Smith-Waterman over
+   words (match 2, mismatch -1, gap -1), and none is missed.
+3. The best alignment's share of the item's full score is reported, with the places
+   of its first word and after its last (the first such place, on ties); a share of at
+   least ``least`` marks the document.
 
 Words are lower-cased runs of letters, digits and marks; punctuation, symbols and
 spaces of Unicode end them. In scripts that do not separate words (Chinese,
 Japanese, Thai and others) each character is a word. Defined results: null or empty
-texts and items never match; items shorter than the seed length are seeds
+texts and items never match; items of one word are seeds
 themselves; rows that share an id are judged each; empty tables give empty
 results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +43,12 @@ from tessera.llm.common import WordHashes, Workspace, gram_hashes, id_key, keyed
 _TO_WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: Characters of scripts that do not separate words: Thai, Lao, Myanmar, Khmer, Tai, Balinese, Javanese, kana, Han.
 _ALONE = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9df\uf900-\ufaff\uff66-\uff9f\U0001aff0-\U0001b16f\U00020000-\U0003ffff])")
-ITEMS = 5_000
-SEED = 3
+BLOCK_BYTES = 6_000_000
+SEED = 2
+COMMON = 10  # of so many of an item's pairs the commonest is no seed
 
 
+@cache
 def _beyond_ascii() -> tuple[re.Pattern, bytes]:
     """Runs of punctuation, symbols and spaces beyond ASCII, and the zero width space; the bytes of UTF-8 that begin neither these (but for the two signs of the lead of most Latin letters) nor characters that stand alone."""
     every = [(c, chr(c)) for c in range(128, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
@@ -53,15 +61,16 @@ def _beyond_ascii() -> tuple[re.Pattern, bytes]:
 
 
 _SIGNS = "\u00d7\u00f7"
-_ENDS, _PLAIN = _beyond_ascii()
 
 
 def words_of(text: str | None) -> list[bytes]:
     if not text:
         return []
     raw = text.lower().encode()
-    if not text.isascii() and (raw.translate(None, _PLAIN) or any(x in text for x in _SIGNS)):  # else only letters beyond ASCII
-        raw = _ALONE.sub(r" \1 ", _ENDS.sub(" ", text.lower())).encode()
+    if not text.isascii():
+        ends, plain = _beyond_ascii()
+        if raw.translate(None, plain) or any(x in text for x in _SIGNS):  # else only letters beyond ASCII
+            raw = _ALONE.sub(r" \1 ", ends.sub(" ", text.lower())).encode()
     return raw.translate(_TO_WORDS).split()
 
 
@@ -83,6 +92,7 @@ class Items:
         self.gram = np.concatenate(gram) if gram else np.empty(0, np.uint64)
         self.item = np.concatenate(item) if item else np.empty(0, np.int64)
         self.at = np.concatenate(at) if at else np.empty(0, np.int64)
+        self.dropped = np.zeros(len(self.words), np.int64)
         self._index()
 
     def _index(self) -> None:
@@ -92,17 +102,21 @@ class Items:
         self.shortest = min((len(w) for w in self.words if len(w)), default=0)
 
     def keep(self, df: dict[int, int]) -> None:
-        """Drop the n-grams that are far more common than the item's median."""
-        n = np.array([df.get(int(g), 0) for g in self.gram.view(np.int64)], float)
-        if not len(n):
-            return
-        median = np.zeros(len(self.words))
-        for k in np.unique(self.item):
-            median[k] = np.median(n[self.item == k])
-        ok = n <= np.maximum(4 * median[self.item], 4)
-        self.gram, self.item, self.at = self.gram[ok], self.item[ok], self.at[ok]
+        """Drop the commonest tenth of each item's n-grams."""
+        n = np.array([df.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
+        order = np.lexsort((self.at, -n, self.item))
+        size = np.bincount(self.item, minlength=len(self.words))
+        place = np.arange(len(order)) - (np.cumsum(size) - size)[self.item[order]]
+        gone = np.zeros(len(order), bool)
+        gone[order] = place < size[self.item[order]] // COMMON
+        self.dropped = np.bincount(self.item[gone], minlength=len(self.words))
+        self.gram, self.item, self.at = self.gram[~gone], self.item[~gone], self.at[~gone]
         self._index()
 
+    def need(self, k: int, least: float) -> int:
+        """Seeds of item k that any alignment of share ``least`` holds."""
+        return max(1, math.floor((2 * least - 1) * len(self.words[k]) + 1e-9) - 1 - int(self.dropped[k]))
+
     def grams(self, w: np.ndarray) -> np.ndarray:
         return gram_hashes(w, self.seed)
 
@@ -150,38 +164,43 @@ def leaks(items: Items, w: np.ndarray, least: float) -> list[tuple[int, float, i
     at = np.repeat(place, many)
     row = np.repeat(items.first[key] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
     item = items.item[row]
-    out = []
     order = np.lexsort((at, item))
     item, at = item[order], at[order]
-    for k in np.unique(item):
-        p = at[item == k]
-        x = items.words[k]
-        m = len(x)
-        need = 2 if m > items.seed else 1
+    out = []
+    for k, first, last in zip(*_runs(item)):
+        x, p = items.words[k], np.unique(at[first:last])
+        need, reach = items.need(k, least), math.ceil((3 - 2 * least) * len(x)) + items.seed
         if len(p) < need:
             continue
-        close = np.flatnonzero(p[need - 1 :] - p[: len(p) - need + 1] <= m + m // 2)
+        c = np.flatnonzero(p[need - 1 :] - p[: len(p) - need + 1] <= reach)
+        if not len(c):
+            continue
+        lo, hi = np.maximum(p[c] - reach, 0), np.minimum(p[c + need - 1] + reach, len(w))
+        new = np.flatnonzero(lo[1:] > hi[:-1]) + 1  # stretches that overlap are one
         best = (0.0, 0, 0)
-        done = -1
-        for c in close:
-            lo, hi = max(0, int(p[c]) - m - m // 4), int(p[c + need - 1]) + m + m // 4 + items.seed
-            if int(p[c + need - 1]) <= done:
+        for a, z in zip(lo[[0, *new]], hi[[*(new - 1), len(hi) - 1]]):
+            if np.isin(x, w[a:z]).sum() < least * len(x) - 1e-9:  # each word of a match scores two of the item's two
                 continue
-            while c + need - 1 < len(p) and int(p[c + need - 1]) + items.seed <= hi:  # one stretch covers the hits in it
-                done = int(p[c + need - 1])
-                c += 1
-            share, end = align(x, w[lo : hi + m // 2])
+            share, end = align(x, w[a:z])
             if share > best[0]:
-                best = (share, max(0, lo + end - m), lo + end)
+                best = (share, int(a), int(a) + end)
         if best[0] >= least:
-            out.append((items.ids[k], *best))
+            share, a, end = best
+            back = align(x[::-1], w[a:end][::-1])[1]  # the same alignment from its end to its first word
+            out.append((items.ids[k], share, end - back, end))
     return out
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, starts and ends of the runs of a sorted array."""
+    start = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1])
+    return x[start], start, np.concatenate([start[1:], [len(x)]])
+
+
 def _blocks(bench: DataFrame, ws: Workspace) -> Iterator[list[tuple[int, str]]]:
     rows = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    n = rows.count()
-    blocks = -(-n // ITEMS)
+    size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    blocks = -(-int(size) // BLOCK_BYTES)
     for k in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         yield sorted((r.item_id, r.text) for r in part.distinct().collect())

@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import decontam, fm_index, license_scan, line_dedup, ngram_join, packing, substring_dedup
+from tessera.llm import fm_index, license_scan, line_dedup, ngram_join, packing, substring_dedup
 
 SCHEMA = "doc_id long, text string, n_words long, k1 long, c string"
 
@@ -192,34 +192,6 @@ def test_license_scan(spark):
     assert sorted(con.sql(license_scan.oracle()).fetchall()) == got
 
 
-def test_decontamination(spark):
-    r = random.Random(2)
-    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 6)))
-    item = [word() for _ in range(40)]
-    edited = [word() if k % 6 == 5 else w for k, w in enumerate(item)]
-    some = lambda n: [word() for _ in range(n)]
-    rows = [(1, " ".join(some(50) + item + some(50))), (2, " ".join(some(5000) + edited + some(9)).upper()), (3, " ".join(some(30) + item[:8] + some(60))), (4, None), (5, "")]
-    bench = spark.createDataFrame([(7, " ".join(item), 1), (8, None, 1), (9, "", 1)], "item_id long, text string, share int")
-    got = {(x.doc_id, x.item_id) for x in decontam.report(docs(spark, rows), bench).collect()}
-    assert got == {(1, 7), (2, 7)}
-    assert sorted(x.doc_id for x in decontam.clean(docs(spark, rows), bench).collect()) == [3, 4, 5]
-    assert decontam.report(docs(spark, rows), bench.limit(0)).count() == 0
-
-
-def test_decontamination_without_spaces(spark):
-    """Items inside longer runs of scripts that do not separate words, and beside punctuation beyond ASCII."""
-    words = lambda t: [w.decode() for w in decontam.words_of(t)]
-    assert words("Das «Haus» – ¿Qué? 2×3 naïve\u00a0“x’s”") == ["das", "haus", "qué", "2", "3", "naïve", "x", "s"]
-    assert words("这是，测 ไทย カナ 한국어") == ["这", "是", "测", "ไ", "ท", "ย", "カ", "ナ", "한국어"]
-    r = random.Random(3)
-    some = lambda a, n: "".join(chr(a + r.randrange(900)) for _ in range(n))
-    thai = lambda n: "".join(chr(0x0E01 + r.randrange(46)) for _ in range(n))
-    zh, th, es = some(0x4E00, 30) + "，" + some(0x4E00, 20) + "。", thai(60), "qué día tan largo y frío hace hoy"
-    rows = [(1, some(0x4E00, 200) + zh + some(0x4E00, 90)), (2, thai(80) + th + thai(50)), (3, some(0x4E00, 300)), (4, "«" + "»—«".join(es.split()) + "»")]
-    bench = spark.createDataFrame([(7, zh), (8, th), (9, es)], "item_id long, text string")
-    assert {(x.doc_id, x.item_id) for x in decontam.report(docs(spark, rows), bench).collect()} == {(1, 7), (2, 8), (4, 9)}
-
-
 @pytest.mark.parametrize("f", [line_dedup.digest, substring_dedup.dedup, ngram_join.digest, packing.pack, license_scan.scan])
 def test_empty_tables(spark, f):
     assert f(docs(spark, [])).count() == 0
