@@ -1,26 +1,33 @@
-"""Text quality by an interpolated modified Kneser-Ney bigram model of trusted text.
+"""Text quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Words are runs of non-space bytes, hashed to 32 bits; begin and end marks count
-as words. Trusted rows are split in two by a hash of doc_id: one part trains, the
+Words are runs of non-space bytes, hashed to 64 bits; begin and end marks count as
+words. Trusted rows are split in two by a hash of doc_id: one part trains, the
 other gives each language's quantile of perplexity, so thresholds come from text
 the model has not seen. Counts come from the training half alone, about half of
 the trusted text; all of that half is counted and all documents are scored.
 
-Counts live in shards of the first word. A shard's bigram counts give its
-contexts' back-off weights; how many words precede a word is summed in the shard
-of that word and answered to the shards that ask. In back-off form a document's
-log probability is a sum of one term per bigram,
-
-    back-off weight(u) + continuation probability(u) + [what a seen (u, v) adds],
-
-so each bigram is looked up in the shard of its first word only: documents deal
-their bigrams to the shards as packed arrays and get partial sums back. This runs
-in ``batches`` parts, and a part's shuffle files go when it is written.
-
-Defined results: null and empty texts have a null perplexity and aren't kept;
-rows that share a doc_id are scored each; languages (null is one) without unseen
-trusted text take the threshold of all; without any trusted text nothing can be
-said and perplexity, threshold are null and keep is false; extra columns are ignored.
+An n-gram lives in the shard of its own hash, so a frequent word does not crowd a
+shard. A block of text deals each of its distinct n-grams once. Counts of order
+``order`` come first; each shard then tells the shards of the suffixes how many
+distinct n-grams end in them (n-grams at a text's begin keep their counts). From
+the words up, shards ask the shards of contexts and suffixes, once for each distinct
+one, for sums, back-off weights and lower probabilities.
+
+In back-off form a document's log probability is a sum over the n-grams of all
+orders in it, each with one weight: what it adds to the lower order where it was
+seen, and its back-off weight as a context of the next word. So documents ask for
+weights, a block for its distinct n-grams once, and a block's answers meet again with
+its words. This runs in ``batches`` parts, and a part's shuffle files go when it is
+written.
+
+Thresholds are quantiles over bins of log perplexity, ``BIN`` wide: sums that do not
+depend on the order of merging, at most ``BIN`` (relative) above the exact quantile.
+
+Defined results: null and empty texts have a null perplexity and aren't kept; a
+perplexity equal to the threshold is kept; rows that share a doc_id are scored each;
+languages (null is one) without unseen trusted text take the threshold of all;
+without any trusted text nothing can be said and perplexity, threshold are null and
+keep is false; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,59 +37,84 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, Workspace, shuffle_partitions, texts_of
+from tessera.llm.common import MULT, WordHashes, Workspace, gram_hashes, mix, shuffle_partitions, texts_of
 from tessera.llm.ngram_join import _arrays, _of
 
 BEGIN, END = np.uint64(1), np.uint64(2)
-POSITIONS = 600_000  # bigrams that a task deals at once
+POSITIONS = 600_000  # words that a task deals at once
 PER_SHARD = 1_200_000
-LOW = np.uint64(0xFFFFFFFF)
-BIN = ["shard", "kind", "origin", "blob"]
+BIN = 1e-4
+NAMES = ["shard", "kind", "origin", "blob"]
+SHARDED = "shard int, kind int, origin int, blob binary"
+GRAMS, SUFFIXES, STATS, CONTEXTS, ASKS, LOWER, SUMS, ANSWERS, WEIGHTS = range(9)
 
 
-def bigrams(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """The bigrams of a text with its marks, as first word << 32 | second word."""
-    w = hashes.of(text.split()).view(np.uint64) & LOW
-    w = np.concatenate([[BEGIN], np.where(w < 3, np.uint64(3), w), [END]])
-    return (w[:-1] << np.uint64(32)) | w[1:]
+def words_of(text: bytes, hashes: WordHashes) -> np.ndarray:
+    """The words of a text between its marks."""
+    w = hashes.of(text.split()).view(np.uint64)
+    return np.concatenate([[BEGIN], np.where(w < 3, np.uint64(3), w), [END]])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     c = list(zip(*rows)) if rows else [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary())], BIN)
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary())], NAMES)
+
+
+def _hash(records: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams given as rows of word hashes, as ``gram_hashes`` gives them."""
+    h = np.zeros(len(records), np.uint64)
+    for k in range(records.shape[1]):
+        h = h * MULT + records[:, k]
+    return mix(h)
+
+
+def _to_shards(kind: int, origin: int, names: np.ndarray, shards: int, *arrays: np.ndarray) -> list[tuple]:
+    """Rows that take arrays, entry by entry, to the shards of their hashes."""
+    shard = (names % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cut = [0, *(np.flatnonzero(np.diff(shard[order])) + 1), len(order)]
+    return [(int(shard[order[a]]), kind, origin, _arrays(*(x[order[a:z]] for x in arrays))) for a, z in zip(cut, cut[1:]) if a < z]
+
+
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    for b in batches:
+        f = b.schema.get_field_index
+        for kind, origin, x in zip(b.column(f("kind")).to_pylist(), b.column(f("origin")).to_pylist(), b.column(f("blob"))):
+            yield kind, origin, _of(x.as_buffer().to_pybytes())
 
 
-_SHARDED = "shard int, kind int, origin int, blob binary"
+def _add_up(records: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes, records and sums of numbers of the distinct records."""
+    name, first, inv = np.unique(_hash(records), return_index=True, return_inverse=True)
+    return name, records[first], np.bincount(inv, weights=numbers, minlength=len(name)).astype(np.int64)
 
 
-def _split(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(value, start, end) of the runs of a sorted array."""
-    if len(shard):
-        cut = np.flatnonzero(np.diff(shard)) + 1
-        for a, z in zip([0, *cut], [*cut, len(shard)]):
-            yield int(shard[a]), int(a), int(z)
+def _windows(w: np.ndarray, n: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(w, n) if len(w) >= n else np.empty((0, n), np.uint64)
 
 
-def _deal_counts(docs: DataFrame, shards: int) -> DataFrame:
-    """Distinct bigrams with counts, a block of a task at a time."""
+def _deal(docs: DataFrame, order: int, shards: int) -> DataFrame:
+    """Distinct n-grams of a block with counts, origin = n: those of the highest order, of lower ones those at a text's begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, n = WordHashes(), [], 0
 
         def flush() -> pa.RecordBatch:
-            pair, many = np.unique(np.concatenate(held), return_counts=True)
-            shard = (pair >> np.uint64(32)) % np.uint64(shards)
-            order = np.argsort(shard, kind="stable")
-            pair, many, shard = pair[order], many[order].astype(np.uint32), shard[order]
-            return _rows([(s, 0, 0, _arrays(pair[a:z], many[a:z])) for s, a, z in _split(shard)])
+            out = []
+            for k in range(2, order + 1):
+                own = np.concatenate([_windows(w, k)[: None if k == order else 1] for w in held])
+                if len(own):
+                    name, record, many = _add_up(own, np.ones(len(own)))
+                    out += _to_shards(GRAMS, k, name, shards, record, many)
+            return _rows(out)
 
         for b in batches:
             for t in texts_of(b):
                 if t.strip():
-                    held.append(bigrams(t, hashes))
+                    held.append(words_of(t, hashes))
                     n += len(held[-1])
                     if n >= POSITIONS:
                         yield flush()
@@ -90,107 +122,188 @@ def _deal_counts(docs: DataFrame, shards: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, _SHARDED)
+    return docs.select("text").mapInArrow(run, SHARDED)
 
 
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    for b in batches:
-        f = b.schema.get_field_index
-        for kind, origin, x in zip(b.column(f("kind")).to_pylist(), b.column(f("origin")).to_pylist(), b.column(f("blob"))):
-            yield kind, origin, _of(x.as_buffer().to_pybytes())
+def _count(dealt: DataFrame, n: int, shards: int) -> DataFrame:
+    """A shard's n-grams with their counts; for the shards of their suffixes, how many end in them; counts of counts."""
 
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x for _, _, x in _blobs(batches)]
+        name, record, many = _add_up(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+        me = key[0].as_py()
+        stats = np.array([*(int((many == k).sum()) for k in (1, 2, 3, 4)), len(many), int(many.sum())], np.int64)
+        yield _rows([(me, GRAMS, n, _arrays(record, many)), (me, STATS, n, _arrays(stats))])
+        if n > 1:
+            suffix, rest, times = _add_up(record[:, 1:], np.ones(len(record)))
+            yield _rows(_to_shards(SUFFIXES, n - 1, suffix, shards, rest, times))
 
-def _add_up(names: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    name, inv = np.unique(names, return_inverse=True)
-    return name, np.bincount(inv, weights=numbers, minlength=len(name)).astype(np.int64)
+    return dealt.groupBy("shard").applyInArrow(run, SHARDED)
 
 
-def _of_counts(numbers: np.ndarray) -> np.ndarray:
-    """How many are 1, 2, 3, 4; how many there are; their sum."""
-    return np.array([*(int((numbers == k).sum()) for k in (1, 2, 3, 4)), len(numbers), int(numbers.sum())], np.int64)
+def discounts(c: np.ndarray) -> np.ndarray:
+    """Discounts for counts of 1, 2 and more, from the counts of counts."""
+    n1, n2, n3, n4 = (max(float(x), 0.5) for x in c[:4])
+    y = n1 / (n1 + 2 * n2)
+    d = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
+    return np.clip(d, [0.1, 0.2, 0.3], [0.95, 1.9, 2.9])
 
 
-def _count(dealt: DataFrame, shards: int) -> DataFrame:
-    """kind 0: a shard's bigram counts; kind 1: for the shard of a second word, how many first words precede it here; kind 2: counts of counts."""
+def _stats(counts: DataFrame) -> np.ndarray:
+    """Six numbers of a shard each, added up."""
+    return sum((_of(bytes(r.blob))[0] for r in counts.where(f"kind = {STATS}").select("blob").collect()), np.zeros(6, np.int64))
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me = key[0].as_py()
-        got = [x for _, _, x in _blobs(batches)]
-        pair, many = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        del got
-        pair, many = _add_up(pair, many)
-        yield _rows([(me, 0, me, _arrays(pair, many)), (me, 2, me, _arrays(_of_counts(many)))])
-        second, before = np.unique(pair & LOW, return_counts=True)
-        shard = second % np.uint64(shards)
-        order = np.argsort(shard, kind="stable")
-        second, before, shard = second[order], before[order].astype(np.int64), shard[order]
-        yield _rows([(s, 1, me, _arrays(second[a:z], before[a:z])) for s, a, z in _split(shard)])
 
-    return dealt.groupBy("shard").applyInArrow(run, _SHARDED)
+def _lowest(counts: DataFrame, c: np.ndarray) -> tuple[DataFrame, float]:
+    """Per shard, the words with log probabilities; the log probability of a word never seen."""
+    d, total, words = discounts(c), int(c[5]), int(c[4])
+    spare = float(np.dot(d, [c[0], c[1], c[4] - c[0] - c[1]])) / total / (words + 1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for me, blob in zip(b.column(0).to_pylist(), b.column(3)):
+                record, many = _of(blob.as_buffer().to_pybytes())
+                p = np.log(np.maximum(many - d[np.minimum(many, 3) - 1], 0) / total + spare)
+                yield _rows([(me, LOWER, 1, _arrays(_hash(record), p.view(np.int64))), (me, WEIGHTS, 1, _arrays(_hash(record), p.view(np.int64)))])
 
-def _continue(asked: DataFrame) -> DataFrame:
-    """kind 3: answers to a shard's second words; kind 4: a shard's own words with their numbers of predecessors; kind 5: counts of counts."""
+    return counts.where(f"kind = {GRAMS}").select(*NAMES).mapInArrow(run, SHARDED), float(np.log(spare))
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me = key[0].as_py()
-        got = [(o, *x) for _, o, x in _blobs(batches)]
-        word, before = _add_up(np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got]))
-        yield _rows([(me, 4, me, _arrays(word, before)), (me, 5, me, _arrays(_of_counts(before)))])
-        for origin, second, _ in got:
-            yield _rows([(origin, 3, me, _arrays(second, before[np.searchsorted(word, second)]))])
 
-    return asked.groupBy("shard").applyInArrow(run, _SHARDED)
+def _ask_down(counts: DataFrame, shards: int) -> DataFrame:
+    """What a shard of n-grams tells the shards of its contexts, and asks those of its suffixes: each distinct one once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for me, blob in zip(b.column(0).to_pylist(), b.column(3)):
+                record, many = _of(blob.as_buffer().to_pybytes())
+                name, inv = np.unique(_hash(record[:, :-1]), return_inverse=True)
+                kinds = [many, many == 1, many == 2, many > 2]
+                sums = np.stack([np.bincount(inv, weights=x, minlength=len(name)) for x in kinds], 1).astype(np.int64)
+                suffix = np.unique(_hash(record[:, 1:]))
+                yield _rows(_to_shards(CONTEXTS, me, name, shards, name, sums) + _to_shards(ASKS, me, suffix, shards, suffix))
 
-def discounts(c: np.ndarray) -> np.ndarray:
-    """Discounts for counts of 1, 2 and more, from the counts of counts."""
-    n1, n2, n3, n4 = (max(float(x), 0.5) for x in c[:4])
-    y = n1 / (n1 + 2 * n2)
-    d = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.clip(d, [0.1, 0.2, 0.3], [0.95, 1.9, 2.9])
+    return counts.where(f"kind = {GRAMS}").select(*NAMES).mapInArrow(run, SHARDED)
 
 
-def _model(parts: DataFrame, low: np.ndarray, high: np.ndarray, total: int, vocabulary: int, continued: np.ndarray) -> DataFrame:
-    """Per shard, kind 6: bigrams with what they add; kind 7: contexts with log back-off weights; kind 8: words with log continuation probabilities."""
-    d_low, d_high = discounts(low), discounts(high)
-    n = [continued[0], continued[1], continued[4] - continued[0] - continued[1]]
-    spare = float(np.dot(d_low, n)) / total / vocabulary
+def _answer_up(asked: DataFrame, d: np.ndarray) -> DataFrame:
+    """Sums and log back-off weights of the contexts, lower log probabilities of the suffixes, to the shards that asked; the contexts' weights."""
 
-    def follow(before: np.ndarray) -> np.ndarray:
-        return np.maximum(before - d_low[np.minimum(before, 3) - 1], 0) / total + spare
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        me, told, asks, lower = key[0].as_py(), [], [], None
+        for kind, origin, x in _blobs(batches):
+            if kind == CONTEXTS:
+                told.append((origin, *x))
+            elif kind == ASKS:
+                asks.append((origin, x[0]))
+            elif kind == LOWER:
+                lower = x
+        if told:
+            name, inv = np.unique(np.concatenate([t[1] for t in told]), return_inverse=True)
+            sums = np.concatenate([t[2] for t in told])
+            sums = np.stack([np.bincount(inv, weights=sums[:, k], minlength=len(name)) for k in range(4)], 1)
+            off = np.log(sums[:, 1:] @ d / sums[:, 0])
+            yield _rows([(me, WEIGHTS, 0, _arrays(name, off.view(np.int64)))])
+            for origin, own, _ in told:
+                i = np.searchsorted(name, own)
+                yield _rows([(origin, SUMS, me, _arrays(own, sums[i, 0].astype(np.int64), off[i].view(np.int64)))])
+        for origin, own in asks:
+            yield _rows([(origin, ANSWERS, me, _arrays(own, lower[1][np.searchsorted(lower[0], own)]))])
+
+    return asked.groupBy("shard").applyInArrow(run, SHARDED)
+
+
+def _probabilities(rows: DataFrame, n: int, d: np.ndarray) -> DataFrame:
+    """Per shard, the n-grams with log probabilities (LOWER) and with what they add to the lower order (WEIGHTS)."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, pair, many, second, before, word = key[0].as_py(), None, None, [], [], None
+        me, sums, answers, grams = key[0].as_py(), [], [], None
         for kind, _, x in _blobs(batches):
-            if kind == 0:
-                pair, many = x
-            elif kind == 3:
-                second.append(x[0]), before.append(x[1])
-            elif kind == 4:
-                word = x
-        if word is not None:
-            yield _rows([(me, 8, me, _arrays(word[0], np.log(follow(word[1])).view(np.int64)))])
-        if pair is None:
+            if kind == GRAMS:
+                grams = x
+            else:
+                (sums if kind == SUMS else answers).append(x)
+        if grams is None:
             return
-        second, before = np.concatenate(second), np.concatenate(before)
-        order = np.argsort(second)
-        second, before = second[order], before[order]
-        first, inv = np.unique(pair >> np.uint64(32), return_inverse=True)
-        all_ = np.bincount(inv, weights=many)
-        off = sum(d_high[k] * np.bincount(inv, weights=(many == k + 1) if k < 2 else (many > 2), minlength=len(first)) for k in range(3)) / all_
-        tail = follow(before[np.searchsorted(second, pair & LOW)])
-        p = np.maximum(many - d_high[np.minimum(many, 3) - 1], 0) / all_[inv] + off[inv] * tail
-        adds = np.log(p) - np.log(off[inv]) - np.log(tail)
-        yield _rows([(me, 6, me, _arrays(pair, adds.view(np.int64))), (me, 7, me, _arrays(first, np.log(off).view(np.int64)))])
+        record, many = grams
+
+        def look(parts: list, names: np.ndarray, *columns: int) -> list[np.ndarray]:
+            name = np.concatenate([p[0] for p in parts])
+            order = np.argsort(name)
+            i = order[np.searchsorted(name, names, sorter=order)]
+            return [np.concatenate([p[c] for p in parts])[i] for c in columns]
+
+        total, off = look(sums, _hash(record[:, :-1]), 1, 2)
+        (below,) = look(answers, _hash(record[:, 1:]), 1)
+        off, below = off.view(np.float64), below.view(np.float64)
+        p = np.log(np.maximum(many - d[np.minimum(many, 3) - 1], 0) / total + np.exp(off + below))
+        name = _hash(record)
+        yield _rows([(me, LOWER, n, _arrays(name, p.view(np.int64))), (me, WEIGHTS, n, _arrays(name, (p - off - below).view(np.int64)))])
 
-    return parts.groupBy("shard").applyInArrow(run, _SHARDED)
+    return rows.groupBy("shard").applyInArrow(run, SHARDED)
 
 
-def _ask(docs: DataFrame, shards: int) -> DataFrame:
-    """kind 9: a block's bigrams for a shard. kind 10 (shard < 0): the block's rows."""
-    schema = _SHARDED + ", base long, doc_id array<long>, lang array<string>, unseen array<boolean>, n array<long>"
-    names = [*BIN, "base", "doc_id", "lang", "unseen", "n"]
+def _merge(weights: DataFrame) -> DataFrame:
+    """Per shard, every n-gram once with its whole weight."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x for _, _, x in _blobs(batches)]
+        name, inv = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        # at most two a name, what it adds and its back-off weight, and a sum of two has one value
+        value = np.bincount(inv, weights=np.concatenate([g[1] for g in got]).view(np.float64), minlength=len(name))
+        yield _rows([(key[0].as_py(), WEIGHTS, 0, _arrays(name, value.view(np.int64)))])
+
+    return weights.groupBy("shard").applyInArrow(run, SHARDED)
+
+
+def train(ws: Workspace, docs: DataFrame, order: int, shards: int) -> tuple[DataFrame, float] | None:
+    """(weights per shard, log probability of a word never seen), None without any text."""
+    dealt = ws.write(_deal(docs, order, shards), "dealt", clean=True)
+    counts: dict[int, DataFrame] = {}
+    for n in range(order, 0, -1):
+        rows = dealt.where(f"kind = {GRAMS} and origin = {n}")
+        if n < order:
+            rows = rows.unionByName(counts[n + 1].where(f"kind = {SUFFIXES}"))
+        counts[n] = ws.write(_count(rows, n, shards), f"counts{n}", clean=True)
+    c = {n: _stats(t) for n, t in counts.items()}
+    if not c[1][5]:
+        return None
+    lower, spare = _lowest(counts[1], c[1])
+    lower = ws.write(lower, "model1")
+    parts = [lower.where(f"kind = {WEIGHTS}")]
+    for n in range(2, order + 1):
+        d = discounts(c[n])
+        asked = _ask_down(counts[n], shards).unionByName(lower.where(f"kind = {LOWER}"))
+        answers = ws.write(_answer_up(asked, d), f"answers{n}", clean=True)
+        parts.append(answers.where(f"kind = {WEIGHTS}"))
+        rows = counts[n].where(f"kind = {GRAMS}").unionByName(answers.where(f"kind <> {WEIGHTS}"))
+        lower = ws.write(_probabilities(rows, n, d), f"model{n}", clean=True)
+        parts.append(lower.where(f"kind = {WEIGHTS}"))
+    weights = parts[0]
+    for p in parts[1:]:
+        weights = weights.unionByName(p)
+    model = ws.write(_merge(weights), "weights", clean=True)
+    ws.drop_but(model)
+    return model, spare
+
+
+def _all_grams(flat: np.ndarray, lens: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, documents) of the n-grams of each order up to ``order`` in sequences laid end to end."""
+    doc = np.repeat(np.arange(len(lens)), lens)
+    out = []
+    for n in range(1, order + 1):
+        h = gram_hashes(flat, n)
+        same = doc[: len(h)] == doc[n - 1 : n - 1 + len(h)]
+        out.append((h[same], doc[: len(h)][same]))
+    return out
+
+
+ASKED = SHARDED + ", base long, doc_id array<long>, lang array<string>, unseen array<boolean>"
+
+
+def _ask(docs: DataFrame, order: int, shards: int) -> DataFrame:
+    """kind 0: the distinct n-grams of a block that belong to a shard. kind 1 (shard < 0): the block's rows and words."""
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_())]
+    names = [x.split()[0] for x in ASKED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -198,24 +311,18 @@ def _ask(docs: DataFrame, shards: int) -> DataFrame:
         meta, held, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(-1 - (base >> 33) % shards, 10, 0, None, base, *map(list, zip(*meta)))]
-            per = np.array([len(x) for x in held])
-            pair, doc = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.int32), per)
-            shard = (pair >> np.uint64(32)) % np.uint64(shards)
-            order = np.argsort(shard, kind="stable")
-            pair, doc, shard = pair[order], doc[order], shard[order]
-            for s, a, z in _split(shard):
-                d, k = np.unique(doc[a:z], return_counts=True)
-                rows.append((s, 9, 0, _arrays(d, k.astype(np.int32), pair[a:z]), base, None, None, None, None))
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+            flat, lens = np.concatenate(held), np.array([len(x) for x in held], np.int32)
+            word, at = np.unique(flat, return_inverse=True)
+            rows = [(-1 - (base >> 33) % shards, 1, 0, _arrays(word, at.astype(np.uint32), lens), base, *map(list, zip(*meta)))]
+            every = np.unique(np.concatenate([h for h, _ in _all_grams(flat, lens, order)]))
+            rows += [(*r, base, None, None, None) for r in _to_shards(0, 0, every, shards, every)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
         for b in batches:
             for doc_id, lang, unseen, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts_of(b)):
-                x = bigrams(t, hashes) if t.strip() else np.empty(0, np.uint64)
-                meta.append((doc_id, lang, unseen, max(len(x) - 1, 0)))
-                held.append(x)
-                size += len(x)
+                held.append(words_of(t, hashes) if t.strip() else np.empty(0, np.uint64))
+                meta.append((doc_id, lang, unseen))
+                size += len(held[-1])
                 if size >= POSITIONS or len(held) >= 100_000:
                     yield flush()
                     base += len(held)
@@ -223,108 +330,112 @@ def _ask(docs: DataFrame, shards: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "lang", "unseen", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "lang", "unseen", "text").mapInArrow(run, ASKED)
 
 
-_ANSWER = "base long, blob binary, doc_id array<long>, lang array<string>, unseen array<boolean>, n array<long>"
-_ANSWER_NAMES = [x.split()[0] for x in _ANSWER.split(", ")]
-_ANSWER_KINDS = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+ANSWER = "base long, shard int, blob binary, doc_id array<long>, lang array<string>, unseen array<boolean>"
 
 
-def _answer(rows: DataFrame, spare: float) -> DataFrame:
-    """Per block: its rows once, and a packed array of partial log probabilities from every shard that it asked."""
+def _answer(rows: DataFrame) -> DataFrame:
+    """Per block: its rows and words once, and from every shard that it asked the places and weights of the n-grams known there."""
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_())]
+    names = [x.split()[0] for x in ANSWER.split(", ")]
 
     def out(row: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _ANSWER_KINDS)], _ANSWER_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names)
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: dict[int, tuple] = {}
-        asked = []
+        me, asked, model = key[0].as_py(), [], None
         for b in batches:
             f = b.schema.get_field_index
-            for kind, base, blob, *meta in zip(*(b.column(f(c)).to_pylist() for c in ("kind", "base", "blob", "doc_id", "lang", "unseen", "n"))):
-                if kind == 10:
-                    yield out((base, None, *meta))
-                elif kind == 9:
-                    asked.append((base, *_of(blob)))
+            for kind, base, blob, *meta in zip(*(b.column(f(c)).to_pylist() for c in ("kind", "base", "blob", "doc_id", "lang", "unseen"))):
+                if kind == 1:
+                    yield out((base, None, blob, *meta))
+                elif kind == 0:
+                    asked.append((base, blob))
                 else:
-                    x = _of(blob)
-                    model[kind] = (x[0], x[1].view(np.float64))
-        if not asked:
+                    model = _of(blob)
+        if model is None:
             return
+        for base, blob in asked:
+            (own,) = _of(blob)
+            i = np.minimum(np.searchsorted(model[0], own), len(model[0]) - 1)
+            at = np.flatnonzero(model[0][i] == own)
+            yield out((base, me, _arrays(at.astype(np.uint32), model[1][i[at]]), None, None, None))
 
-        def look(kind: int, names: np.ndarray, default: float) -> np.ndarray:
-            if kind not in model or not len(model[kind][0]):
-                return np.full(len(names), default)
-            name, value = model[kind]
-            i = np.minimum(np.searchsorted(name, names), len(name) - 1)
-            return np.where(name[i] == names, value[i], default)
+    return rows.groupBy("shard").applyInArrow(run, ANSWER)
 
-        for base, d, per, pair in asked:
-            u = pair >> np.uint64(32)
-            s = look(6, pair, 0.0) + look(7, u, 0.0) + np.where(u == BEGIN, 0.0, look(8, u, spare))
-            yield out((base, _arrays(d, np.add.reduceat(s, np.cumsum(per) - per).view(np.int64)), None, None, None, None))
 
-    return rows.groupBy("shard").applyInArrow(run, _ANSWER)
-
-
-def _collect(answers: DataFrame, end: float) -> DataFrame:
+def _collect(answers: DataFrame, order: int, shards: int, spare: float) -> DataFrame:
     """doc_id, lang, unseen, n_words, s: the log probability of every row of a block."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meta, parts = None, []
+        meta, words, parts = None, None, []
         for b in batches:
             f = b.schema.get_field_index
-            for blob, *row in zip(*(b.column(f(c)).to_pylist() for c in _ANSWER_NAMES[1:])):
-                if blob is None:
-                    meta = row
+            for shard, blob, *row in zip(*(b.column(f(c)).to_pylist() for c in ("shard", "blob", "doc_id", "lang", "unseen"))):
+                if shard is None:
+                    meta, words = row, _of(blob)
                 else:
-                    parts.append(_of(blob))
-        total = np.full(len(meta[0]), end)
-        for d, s in sorted(parts, key=lambda x: x[1].tobytes()):  # in one order, so sums do not depend on the shuffle
-            total[d] += s.view(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(meta[0], pa.int64()), pa.array(meta[1], pa.string()), pa.array(meta[2], pa.bool_()), pa.array(meta[3], pa.int64()), pa.array(total)], ["doc_id", "lang", "unseen", "n_words", "s"])
+                    parts.append((shard, *_of(blob)))
+        word, at, lens = words
+        grams = _all_grams(word[at], lens, order)
+        every = np.unique(np.concatenate([h for h, _ in grams]))
+        value = np.full(len(every), np.nan)
+        home = (every % np.uint64(shards)).astype(np.int64)
+        by = np.argsort(home, kind="stable")
+        start = np.searchsorted(home[by], np.arange(shards))
+        for shard, i, v in parts:
+            value[by[start[shard] + i]] = v.view(np.float64)
+        total = np.zeros(len(lens))
+        for n, (h, doc) in enumerate(grams, 1):
+            v = value[np.searchsorted(every, h)]
+            v = np.where(np.isnan(v), spare if n == 1 else 0.0, v)
+            total += np.bincount(doc, weights=v, minlength=len(lens))
+        n_words = np.maximum(lens.astype(np.int64) - 2, 0)
+        yield pa.RecordBatch.from_arrays([pa.array(meta[0], pa.int64()), pa.array(meta[1], pa.string()), pa.array(meta[2], pa.bool_()), pa.array(n_words), pa.array(total)], ["doc_id", "lang", "unseen", "n_words", "s"])
 
     return answers.groupBy("base").applyInArrow(run, "doc_id long, lang string, unseen boolean, n_words long, s double")
 
 
-def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, batches: int = 5) -> DataFrame:
+def thresholds(known: DataFrame, quantile: float) -> tuple[DataFrame, float | None]:
+    """(lang and t, t of all): the upper edge of the bin at which at least the share ``quantile`` of the rows is reached."""
+    bins = known.groupBy("lang", F.floor(F.log("perplexity") / BIN).alias("bin")).agg(F.count("*").alias("n"))
+
+    def edge(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys)
+        at = rows.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
+        first = at.where(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy(*keys).agg(F.min("bin").alias("bin"))
+        return first.select(*keys, F.exp((F.col("bin") + 1) * BIN).alias("t"))
+
+    whole = edge(bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)), ["one"]).first()
+    return edge(bins, ["lang"]), whole and whole.t
+
+
+def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order: int = 3, batches: int = 5) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, keep of every row of docs."""
     spark = docs.sparkSession
     ws = Workspace(spark, "quality-lm")
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__t")).distinct()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    train = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 0
+    split = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 0
     chars = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(shuffle_partitions(spark), -(-int(chars) // (6 * PER_SHARD)))
-    seen = trusted.withColumnRenamed("__t", "doc_id").where(train)
-    counts = ws.write(_count(_deal_counts(d.where(train).join(seen, "doc_id", "left_semi"), shards), shards), "counts", clean=True)
-    more = ws.write(_continue(counts.where("kind = 1")), "continued", clean=True)
-    stats = lambda t, kind: sum((_of(bytes(r.blob))[0] for r in t.where(f"kind = {kind}").select("blob").collect()), np.zeros(6, np.int64))  # noqa: E731  six numbers a shard
-    high, low = stats(counts, 2), stats(more, 5)
-    if not high[5]:
+    seen = trusted.withColumnRenamed("__t", "doc_id").where(split)
+    made = train(Workspace(spark, "quality-model"), d.where(split).join(seen, "doc_id", "left_semi"), order, shards)
+    if made is None:
         return d.select("doc_id", "lang", F.lit(0).cast("long").alias("n_words"), *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "threshold")], F.lit(False).alias("keep"))
-    total, vocabulary = int(low[5]), int(low[4]) + 1
-    parts = counts.where("kind = 0").unionByName(more.where("kind in (3, 4)"))
-    model = ws.write(_model(parts, low, high, total, vocabulary, low), "model", clean=True)
-    ws.drop(counts, more)
-    n = [low[0], low[1], low[4] - low[0] - low[1]]
-    spare = float(np.log(np.dot(discounts(low), n) / total / vocabulary))
-    own = model.where("kind = 8").where(F.col("shard") == int(END) % shards).select("blob").collect()
-    word, value = _of(bytes(own[0].blob))
-    at = int(np.searchsorted(word, END))
-    end = float(value.view(np.float64)[at]) if at < len(word) and word[at] == END else spare
-    m = model.withColumns({"base": F.lit(0).cast("long"), "doc_id": F.lit(None).cast("array<long>"), "lang": F.lit(None).cast("array<string>"), "unseen": F.lit(None).cast("array<boolean>"), "n": F.lit(None).cast("array<long>")})
+    model, spare = made
+    types = dict(x.split() for x in ASKED.split(", "))
+    m = model.select(*[F.col(c) if c in NAMES else F.lit(None).cast(t).alias(c) for c, t in types.items()])
     out = None
     for k in range(batches):
-        part = d.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(batches)) == k)
-        part = part.withColumn("unseen", F.coalesce(~train, F.lit(False)))
-        done = ws.write(_collect(_answer(_ask(part, shards).unionByName(m), spare), end), "scores", clean=True)
+        part = d.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(batches)) == k).withColumn("unseen", F.coalesce(~split, F.lit(False)))
+        done = ws.write(_collect(_answer(_ask(part, order, shards).unionByName(m)), order, shards, spare), "scores", clean=True)
         out = done if out is None else out.unionByName(done)
-    ppl = F.when(F.col("n_words") > 0, F.exp(-F.col("s") / (F.col("n_words") + 1)))
-    out = out.withColumn("perplexity", ppl)
+    out = out.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("s") / (F.col("n_words") + 1))))
     known = out.where("unseen and perplexity is not null").join(trusted, F.col("doc_id") == F.col("__t"), "left_semi")
-    by = ws.write(known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("t")), "thresholds")
-    whole = known.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
+    by, whole = thresholds(known, quantile)
+    by = ws.write(by, "thresholds")
     out = out.join(by.withColumnRenamed("lang", "__l"), F.col("lang").eqNullSafe(F.col("__l")), "left").withColumn("threshold", F.coalesce("t", F.lit(whole).cast("double")))
     return out.select("doc_id", "lang", "n_words", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("keep"))

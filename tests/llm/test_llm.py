@@ -197,69 +197,6 @@ def test_empty_tables(spark, f):
     assert f(docs(spark, [])).count() == 0
 
 
-def test_quality(spark):
-    """Perplexities against a plain bigram Kneser-Ney model, and what is kept."""
-    import math
-
-    from tessera.llm import quality_lm
-
-    r = random.Random(8)
-    vocabulary = ["w%d" % k for k in range(60)]
-    rows, labels = [], []
-    for i in range(240):
-        w = [vocabulary[min(59, int(r.expovariate(0.1)))] for _ in range(r.randint(8, 40))]
-        if i % 8 == 7:
-            w = [x.upper() + "!!" for x in w]
-        rows.append((i, " ".join(w), "en" if i % 2 else None))
-        if i % 8 != 7:
-            labels.append((i, 1, 9))
-    rows += [(None, None, "en"), (900, "", "en"), (901, "w1 w2", "xx")]
-    d = spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, lang string, n long")
-    lab = spark.createDataFrame(labels, "doc_id long, quality int, n int")
-    got = {x.doc_id: x for x in quality_lm.score(d, lab, batches=2).collect()}
-    assert len(got) == len(rows)
-    train = {x.doc_id for x in d.selectExpr("doc_id", "pmod(xxhash64(doc_id, 3), 2) = 0 AS t").collect() if x.t} & {x[0] for x in labels}
-    pairs = defaultdict(int)
-    for i, t, _ in rows:
-        if i in train:
-            w = ["<s>", *t.split(), "</s>"]
-            for p in zip(w, w[1:]):
-                pairs[p] += 1
-
-    def cut(numbers):
-        n = [max(sum(x == k for x in numbers), 0.5) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        return [min(max(v, a), b) for v, a, b in zip((1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]), (0.1, 0.2, 0.3), (0.95, 1.9, 2.9))]
-
-    before = defaultdict(int)
-    for _, v in pairs:
-        before[v] += 1
-    high, low, total = cut(list(pairs.values())), cut(list(before.values())), len(pairs)
-    spare = sum(low[min(x, 3) - 1] for x in before.values()) / total / (len(before) + 1)
-    follow = lambda v: (before[v] - low[min(before[v], 3) - 1]) / total + spare if v in before else spare
-    context = defaultdict(list)
-    for (u, _), k in pairs.items():
-        context[u].append(k)
-
-    def prob(u, v):
-        if u not in context:
-            return follow(v)
-        k = pairs.get((u, v), 0)
-        off = sum(high[min(x, 3) - 1] for x in context[u])
-        return ((k - high[min(k, 3) - 1] if k else 0) + off * follow(v)) / sum(context[u])
-
-    for i, t, _ in rows:
-        if t:
-            w = ["<s>", *t.split(), "</s>"]
-            want = math.exp(-sum(math.log(prob(*p)) for p in zip(w, w[1:])) / (len(w) - 1))
-            assert abs(got[i].perplexity / want - 1) < 1e-6, i
-    assert not got[900].keep and got[900].perplexity is None and not got[None].keep
-    assert got[901].threshold is not None
-    assert all(got[i].keep == (i % 8 != 7) for i in range(240) if i in train or i % 8 == 7)
-    assert not any(x.keep for x in quality_lm.score(d, lab.limit(0)).collect())
-    assert quality_lm.score(d.limit(0), lab).count() == 0
-
-
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_components(spark, monkeypatch, limit):
     """Both ways: by rounds over the cluster, and in one task of bounded size."""
