@@ -96,10 +96,15 @@ class Items:
         self._index()
 
     def _index(self) -> None:
+        self.needs: tuple[float, np.ndarray] | None = None
         order = np.argsort(self.gram, kind="stable")
         self.gram, self.item, self.at = self.gram[order], self.item[order], self.at[order]
         self.keys, self.first, self.many = np.unique(self.gram, return_index=True, return_counts=True)
         self.shortest = min((len(w) for w in self.words if len(w)), default=0)
+        # A small table of the keys' leading bits: most n-grams of a text need no search.
+        self.shift = np.uint64(64 - min(max(16, int(16 * len(self.keys)).bit_length()), 26))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.maybe[self.keys >> self.shift] = True
 
     def keep(self, df: dict[int, int]) -> None:
         """Drop the commonest tenth of each item's n-grams."""
@@ -113,9 +118,12 @@ class Items:
         self.gram, self.item, self.at = self.gram[~gone], self.item[~gone], self.at[~gone]
         self._index()
 
-    def need(self, k: int, least: float) -> int:
-        """Seeds of item k that any alignment of share ``least`` holds."""
-        return max(1, math.floor((2 * least - 1) * len(self.words[k]) + 1e-9) - 1 - int(self.dropped[k]))
+    def need(self, least: float) -> np.ndarray:
+        """For each item, how many of its seeds any alignment of share ``least`` holds."""
+        if self.needs is None or self.needs[0] != least:
+            size = np.array([len(w) for w in self.words], np.int64)
+            self.needs = least, np.maximum(1, np.floor((2 * least - 1) * size + 1e-9).astype(np.int64) - 1 - self.dropped)
+        return self.needs[1]
 
     def grams(self, w: np.ndarray) -> np.ndarray:
         return gram_hashes(w, self.seed)
@@ -130,6 +138,8 @@ class Items:
                 g, place = np.concatenate([g, h]), np.concatenate([place, np.arange(len(h))])
         if not len(self.keys) or not len(g):
             return np.empty(0, np.int64), np.empty(0, np.int64)
+        some = np.flatnonzero(self.maybe[g >> self.shift])
+        g, place = g[some], place[some]
         i = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
         ok = self.keys[i] == g
         return place[ok], i[ok]
@@ -167,9 +177,12 @@ def leaks(items: Items, w: np.ndarray, least: float) -> list[tuple[int, float, i
     order = np.lexsort((at, item))
     item, at = item[order], at[order]
     out = []
-    for k, first, last in zip(*_runs(item)):
-        x, p = items.words[k], np.unique(at[first:last])
-        need, reach = items.need(k, least), math.ceil((3 - 2 * least) * len(x)) + items.seed
+    every, first, last = _runs(item)
+    needs = items.need(least)[every]
+    enough = last - first >= needs
+    for k, need, a, z in zip(every[enough].tolist(), needs[enough].tolist(), first[enough].tolist(), last[enough].tolist()):
+        x, p = items.words[k], np.unique(at[a:z])
+        reach = math.ceil((3 - 2 * least) * len(x)) + items.seed
         if len(p) < need:
             continue
         c = np.flatnonzero(p[need - 1 :] - p[: len(p) - need + 1] <= reach)
