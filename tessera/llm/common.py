@@ -7,9 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,21 +146,57 @@ def text_key(col: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
 
 
-class WordHashes(dict):
-    """word (bytes) -> signed 64-bit hash, remembered up to a bounded number of words."""
+#: Bytes that part words, and those of A-Z as a-z, the others as they are.
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_PIECE = 1 << 20  # bytes that are hashed at once
+_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    LIMIT = 200_000
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        h = h - (1 << 64) if h >= (1 << 63) else h
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h
-        return h
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number modulo 2**64, and of its inverse."""
+    base = 0x9E3779B97F4A7C15
+    steps = [np.full(n, x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+    for x in steps:
+        x[0] = 1
+    return np.multiply.accumulate(steps[0]), np.multiply.accumulate(steps[1])
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+def hash_words(text: bytes, fold: np.ndarray | None = None, spaces: np.ndarray = SPACES) -> np.ndarray:
+    """64-bit hashes (uint64) of the words of a text, in order; ``fold`` maps its bytes first.
+
+    A word's hash is a polynomial of its bytes, read off running sums over the text, so
+    no word is looked at by itself.
+    """
+    x = np.frombuffer(text, np.uint8)
+    if fold is not None:
+        x = fold[x]
+    if len(x) <= _PIECE:
+        return _hash_piece(x, spaces)
+    out, a, gaps = [], 0, np.flatnonzero(spaces[x])
+    while a < len(x):
+        i = int(np.searchsorted(gaps, a + _PIECE))
+        z = len(x) if i >= len(gaps) or a + _PIECE >= len(x) else int(gaps[i])
+        out.append(_hash_piece(x[a:z], spaces))
+        a = z
+    return np.concatenate(out)
+
+
+def _hash_piece(x: np.ndarray, spaces: np.ndarray) -> np.ndarray:
+    n = len(x)
+    part = np.ones(n + 2, bool)
+    part[1:-1] = spaces[x]
+    edges = np.flatnonzero(part[1:] != part[:-1])
+    first, last = edges[::2], edges[1::2]
+    if not len(first):
+        return np.empty(0, np.uint64)
+    up, down = _powers(max(1 << 16, 1 << (n - 1).bit_length()))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_CODES[x] * up[:n], out=sums[1:])
+    return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
 
 
 MULT = np.uint64(0x9E3779B97F4A7C15)

@@ -37,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, Workspace, gram_hashes, id_key, keyed, mix, text_key
+from tessera.llm.common import Workspace, gram_hashes, hash_words, id_key, keyed, mix, text_key
 
 #: ASCII bytes other than letters and digits end a word.
-_TO_WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+_ENDS_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Characters of scripts that do not separate words: Thai, Lao, Myanmar, Khmer, Tai, Balinese, Javanese, kana, Han.
 _ALONE = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9df\uf900-\ufaff\uff66-\uff9f\U0001aff0-\U0001b16f\U00020000-\U0003ffff])")
 BLOCK_BYTES = 6_000_000
@@ -63,24 +63,35 @@ def _beyond_ascii() -> tuple[re.Pattern, bytes]:
 _SIGNS = "\u00d7\u00f7"
 
 
-def words_of(text: str | None) -> list[bytes]:
+def readable(text: str | None) -> bytes:
+    """The text in lower case, as bytes in which only ASCII ends words."""
     if not text:
-        return []
+        return b""
     raw = text.lower().encode()
     if not text.isascii():
         ends, plain = _beyond_ascii()
         if raw.translate(None, plain) or any(x in text for x in _SIGNS):  # else only letters beyond ASCII
             raw = _ALONE.sub(r" \1 ", ends.sub(" ", text.lower())).encode()
-    return raw.translate(_TO_WORDS).split()
+    return raw
+
+
+def words_of(text: str | None) -> list[bytes]:
+    raw = np.frombuffer(readable(text), np.uint8).copy()
+    raw[_ENDS_WORD[raw]] = 32
+    return raw.tobytes().split()
+
+
+def hashes_of(text: str | None) -> np.ndarray:
+    """Hashes of the words of a text."""
+    return hash_words(readable(text), spaces=_ENDS_WORD)
 
 
 class Items:
     """One block of test items with their n-grams, as arrays that can be searched."""
 
     def __init__(self, rows: list[tuple[int, str]], seed: int) -> None:
-        hashes = WordHashes()
         self.ids = [r[0] for r in rows]
-        self.words = [hashes.of(words_of(r[1])) for r in rows]
+        self.words = [hashes_of(r[1]) for r in rows]
         self.seed = seed
         gram, item, at = [], [], []
         for k, w in enumerate(self.words):
@@ -223,10 +234,10 @@ def _frequency(docs: DataFrame, items: Items) -> dict[int, int]:
     """In how many documents each n-gram of the block's items occurs (one count per n-gram and task is shuffled)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, count = WordHashes(), np.zeros(len(items.keys), np.int64)
+        count = np.zeros(len(items.keys), np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
-                i = items.hits(hashes.of(words_of(t)))[1]
+                i = items.hits(hashes_of(t))[1]
                 if len(i):
                     count[np.unique(i)] += 1
         at = np.flatnonzero(count)
@@ -247,11 +258,10 @@ def find(docs: DataFrame, bench: DataFrame, least: float = 0.6, seed: int = SEED
         items.keep(_frequency(d, items))
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for b in batches:
                 got = []
                 for doc, tk, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    got += [(doc, tk, *x) for x in leaks(items, hashes.of(words_of(t)), least)]
+                    got += [(doc, tk, *x) for x in leaks(items, hashes_of(t), least)]
                 if got:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), kinds)], ["doc_id", "tk", "item_id", "share", "start", "end"])

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MULT, WordHashes, Workspace, gram_hashes, keyed, mix, shuffle_partitions, text_key, texts_of
+from tessera.llm.common import LOWER, MULT, Workspace, gram_hashes, hash_words, keyed, mix, shuffle_partitions, text_key, texts_of
 from tessera.llm.components import components
 
 SMALL = 6
@@ -48,17 +48,14 @@ BITS = 24  # log2 of the bits of the filter on texts to fetch
 STAR_ROUNDS = 6
 
 
-def shingles(text: bytes, hashes: WordHashes, n: int = 5) -> np.ndarray:
+def shingles(text: bytes, n: int = 5) -> np.ndarray:
     """Sorted distinct n-word shingles (uint64); one for all words if there are fewer than n."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = hashes.of(words)
-    if len(words) >= n:
+    w = hash_words(text, LOWER)
+    if len(w) >= n or not len(w):
         return np.unique(gram_hashes(w, n))
-    h = np.uint64(len(words))
+    h = np.uint64(len(w))
     with np.errstate(over="ignore"):
-        for x in w.view(np.uint64):
+        for x in w:
             h = h * MULT + x
     return mix(np.array([h ^ np.uint64(0xABCDEF)], np.uint64))
 
@@ -77,7 +74,6 @@ def _deal_all(docs: DataFrame, shards: int, n: int) -> DataFrame:
     """Packed rows. shard >= 0: the shingles of a block's new classes that fall there. shard < 0: the block's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         seen: set[int] = set()
         ids, tks, cs, sizes, new, n_new, made = [], [], [], [], [], 0, 0
 
@@ -105,7 +101,7 @@ def _deal_all(docs: DataFrame, shards: int, n: int) -> DataFrame:
 
         for b in batches:
             for doc_id, tk, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b)):
-                s = shingles(t, hashes, n)
+                s = shingles(t, n)
                 c = class_key(s)
                 ids.append(doc_id), tks.append(tk), cs.append(c), sizes.append(len(s))
                 if len(s) and c not in seen:
@@ -360,14 +356,14 @@ class _Verifier:
         n, num, den = self.n, self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, memo = WordHashes(), {}
+            memo = {}
 
             def of(c: int, text: bytes) -> np.ndarray:
                 s = memo.get(c)
                 if s is None:
                     if len(memo) > 256:
                         memo.clear()
-                    s = memo[c] = shingles(text, hashes, n)
+                    s = memo[c] = shingles(text, n)
                 return s
 
             for b in batches:

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MULT, WordHashes, Workspace, gram_hashes, mix, shuffle_partitions, texts_of
+from tessera.llm.common import MULT, Workspace, gram_hashes, hash_words, mix, shuffle_partitions, texts_of
 from tessera.llm.ngram_join import _arrays, _of
 
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -52,9 +52,9 @@ SHARDED = "shard int, kind int, origin int, blob binary"
 GRAMS, SUFFIXES, STATS, CONTEXTS, ASKS, LOWER, SUMS, ANSWERS, WEIGHTS = range(9)
 
 
-def words_of(text: bytes, hashes: WordHashes) -> np.ndarray:
+def words_of(text: bytes) -> np.ndarray:
     """The words of a text between its marks."""
-    w = hashes.of(text.split()).view(np.uint64)
+    w = hash_words(text)
     return np.concatenate([[BEGIN], np.where(w < 3, np.uint64(3), w), [END]])
 
 
@@ -100,7 +100,7 @@ def _deal(docs: DataFrame, order: int, shards: int) -> DataFrame:
     """Distinct n-grams of a block with counts, origin = n: those of the highest order, of lower ones those at a text's begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = WordHashes(), [], 0
+        held, n = [], 0
 
         def flush() -> pa.RecordBatch:
             out = []
@@ -114,7 +114,7 @@ def _deal(docs: DataFrame, order: int, shards: int) -> DataFrame:
         for b in batches:
             for t in texts_of(b):
                 if t.strip():
-                    held.append(words_of(t, hashes))
+                    held.append(words_of(t))
                     n += len(held[-1])
                     if n >= POSITIONS:
                         yield flush()
@@ -306,7 +306,6 @@ def _ask(docs: DataFrame, order: int, shards: int) -> DataFrame:
     names = [x.split()[0] for x in ASKED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         base = TaskContext.get().partitionId() << 33  # rows are numbered by place in the task's input, so a retry gives the same numbers
         meta, held, size = [], [], 0
 
@@ -320,7 +319,7 @@ def _ask(docs: DataFrame, order: int, shards: int) -> DataFrame:
 
         for b in batches:
             for doc_id, lang, unseen, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts_of(b)):
-                held.append(words_of(t, hashes) if t.strip() else np.empty(0, np.uint64))
+                held.append(words_of(t) if t.strip() else np.empty(0, np.uint64))
                 meta.append((doc_id, lang, unseen))
                 size += len(held[-1])
                 if size >= POSITIONS or len(held) >= 100_000:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MULT, WordHashes, Workspace, gram_hashes, id_key, mix, shuffle_partitions, text_key, texts_of
+from tessera.llm.common import MULT, Workspace, gram_hashes, hash_words, id_key, mix, shuffle_partitions, text_key, texts_of
 from tessera.llm.fm_index import FMIndex
 
 SEED = 8
@@ -83,12 +83,11 @@ def _seeds(docs: DataFrame, width: int) -> DataFrame:
     """seed, doc: the distinct seeds of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             doc = b.column(0).to_pylist()
             got, ids = [], []
             for d, t in zip(doc, texts_of(b)):
-                s = np.unique(segments(hashes.of(t.split()), width)[0])
+                s = np.unique(segments(hash_words(t), width)[0])
                 got.append(s)
                 ids.append(np.full(len(s), d, np.int64))
             if got:
@@ -128,12 +127,12 @@ def _cut(docs: DataFrame, width: int, table: bytes, bits: int) -> DataFrame:
     names = ["kind", "ch", "doc", "tk", "start", "size", "seed", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, mask = WordHashes(), np.frombuffer(shared.value, np.uint8)
+        mask = np.frombuffer(shared.value, np.uint8)
         seen: dict[int, int] = {}
         for b in batches:
             rows: list[tuple] = []
             for doc, tk, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b)):
-                w = hashes.of(t.split())
+                w = hash_words(t)
                 seed, start, size = segments(w, width)
                 if not len(seed):
                     continue

@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from tessera.llm import decontam
-from tessera.llm.common import WordHashes
 
 
 def table(spark, rows):
@@ -82,8 +81,7 @@ def test_recall_of_edited_copies(how):
     items = [[word() for _ in range(r.randint(6, 60))] for _ in range(24)]
     texts = [[word() for _ in range(30)] + (edited(r, items[k % 24], how, word) if k % 4 else []) + [word() for _ in range(r.randint(0, 40))] for k in range(48)]
     index = decontam.Items([(k, " ".join(x)) for k, x in enumerate(items)], decontam.SEED)
-    hashes = WordHashes()
-    words = [hashes.of(decontam.words_of(" ".join(t))) for t in texts]
+    words = [decontam.hashes_of(" ".join(t)) for t in texts]
     count = np.zeros(len(index.keys), np.int64)
     for w in words:
         count[np.unique(index.hits(w)[1])] += 1

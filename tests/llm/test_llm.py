@@ -213,3 +213,22 @@ def test_components(spark, monkeypatch, limit):
     d = spark.createDataFrame(links, "u long, v long")
     got = {x.node: x.comp for x in components.components(Workspace(spark, "t"), d).collect()}
     assert got == {k: v for k, v in up.items() if any(k in p and p[0] != p[1] for p in links)}
+
+
+def test_word_hashes(monkeypatch):
+    """Equal words have equal hashes wherever they stand, in texts of many pieces too, and others don't."""
+    from tessera.llm import common
+
+    r = random.Random(4)
+    for piece in (1 << 20, 64):
+        monkeypatch.setattr(common, "_PIECE", piece)
+        seen = {}
+        for _ in range(300):
+            text = "".join(r.choice(["a", "B", "b", "ab", "ba", " ", "\n", "\t\x0b", "é", "漢", "x" * r.randint(1, 90)]) for _ in range(r.randint(0, 60))).encode()
+            for fold, words in ((None, text.split()), (common.LOWER, text.lower().split())):
+                got = common.hash_words(text, fold).tolist()
+                assert len(got) == len(words)
+                for w, h in zip(words, got):
+                    assert seen.setdefault(w, h) == h
+        assert len(set(seen.values())) == len(seen) > 1000
+    assert len(common.hash_words(b"")) == 0 and len(common.hash_words(b" \n ")) == 0
