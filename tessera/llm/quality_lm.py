@@ -1,5 +1,6 @@
 """Text quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
 
+The order is a parameter; the query takes two (the README has figures for three).
 Words are runs of non-space bytes, hashed to 64 bits; begin and end marks count as
 words. Trusted rows are split in two by a hash of doc_id: one part trains, the
 other gives each language's quantile of perplexity, so thresholds come from text
@@ -49,7 +50,7 @@ PER_SHARD = 1_200_000
 BIN = 1e-4
 NAMES = ["shard", "kind", "origin", "blob"]
 SHARDED = "shard int, kind int, origin int, blob binary"
-GRAMS, SUFFIXES, STATS, CONTEXTS, ASKS, LOWER, SUMS, ANSWERS, WEIGHTS = range(9)
+GRAMS, STATS, CONTEXTS, ASKS, LOWER, SUMS, ANSWERS, WEIGHTS = range(2, 10)
 
 
 def words_of(text: bytes) -> np.ndarray:
@@ -86,35 +87,40 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[n
             yield kind, origin, _of(x.as_buffer().to_pybytes())
 
 
-def _add_up(records: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _add_up(records: np.ndarray, numbers: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted hashes, records and sums of numbers of the distinct records."""
     name, first, inv = np.unique(_hash(records), return_index=True, return_inverse=True)
-    return name, records[first], np.bincount(inv, weights=numbers, minlength=len(name)).astype(np.int64)
+    weights = numbers if isinstance(numbers, np.ndarray) else None
+    return name, records[first], np.bincount(inv, weights=weights, minlength=len(name)).astype(np.int64)
 
 
 def _windows(w: np.ndarray, n: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(w, n) if len(w) >= n else np.empty((0, n), np.uint64)
 
 
-def _deal(docs: DataFrame, order: int, shards: int) -> DataFrame:
-    """Distinct n-grams of a block with counts, origin = n: those of the highest order, of lower ones those at a text's begin."""
+def _small(numbers: np.ndarray) -> np.ndarray:
+    """Numbers in four bytes if they fit."""
+    return numbers.astype(np.uint32) if not len(numbers) or numbers.max() < 1 << 32 else numbers
+
+
+def _deal(docs: DataFrame, n: int, shards: int, whole: bool) -> DataFrame:
+    """Distinct n-grams of a block with counts: all, or those at a text's begin."""
+    order = n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            out = []
-            for k in range(2, order + 1):
-                own = np.concatenate([_windows(w, k)[: None if k == order else 1] for w in held])
-                if len(own):
-                    name, record, many = _add_up(own, np.ones(len(own)))
-                    out += _to_shards(GRAMS, k, name, shards, record, many)
-            return _rows(out)
+            own = np.concatenate([_windows(w, order) for w in held])
+            if not len(own):
+                return _rows([])
+            name, record, many = _add_up(own, 1)
+            return _rows(_to_shards(GRAMS, order, name, shards, record, _small(many)))
 
         for b in batches:
             for t in texts_of(b):
                 if t.strip():
-                    held.append(words_of(t))
+                    held.append(words_of(t if whole else b" ".join(t.split(None, order)[:order]))[: None if whole else order])
                     n += len(held[-1])
                     if n >= POSITIONS:
                         yield flush()
@@ -125,22 +131,36 @@ def _deal(docs: DataFrame, order: int, shards: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, SHARDED)
 
 
-def _count(dealt: DataFrame, n: int, shards: int) -> DataFrame:
-    """A shard's n-grams with their counts; for the shards of their suffixes, how many end in them; counts of counts."""
+def _suffixes(counts: DataFrame, n: int, shards: int) -> DataFrame:
+    """For the shards of the suffixes of n-grams, how many of a shard's n-grams end in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(3):
+                suffix, rest, times = _add_up(_of(blob.as_buffer().to_pybytes())[0][:, 1:], 1)
+                yield _rows(_to_shards(GRAMS, n - 1, suffix, shards, rest, _small(times)))
+
+    return counts.where(f"kind = {GRAMS}").select(*NAMES).mapInArrow(run, SHARDED)
+
+
+def _count(dealt: DataFrame, n: int) -> DataFrame:
+    """A shard's n-grams with their counts; counts of counts."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [x for _, _, x in _blobs(batches)]
         name, record, many = _add_up(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
         me = key[0].as_py()
         stats = np.array([*(int((many == k).sum()) for k in (1, 2, 3, 4)), len(many), int(many.sum())], np.int64)
-        yield _rows([(me, GRAMS, n, _arrays(record, many)), (me, STATS, n, _arrays(stats))])
-        if n > 1:
-            suffix, rest, times = _add_up(record[:, 1:], np.ones(len(record)))
-            yield _rows(_to_shards(SUFFIXES, n - 1, suffix, shards, rest, times))
+        yield _rows([(me, GRAMS, n, _arrays(record, _small(many))), (me, STATS, n, _arrays(stats))])
 
     return dealt.groupBy("shard").applyInArrow(run, SHARDED)
 
 
+def _grams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    record, many = _of(blob)
+    return record, many.astype(np.int64)
+
+
 def discounts(c: np.ndarray) -> np.ndarray:
     """Discounts for counts of 1, 2 and more, from the counts of counts."""
     n1, n2, n3, n4 = (max(float(x), 0.5) for x in c[:4])
@@ -162,7 +182,7 @@ def _lowest(counts: DataFrame, c: np.ndarray) -> tuple[DataFrame, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for me, blob in zip(b.column(0).to_pylist(), b.column(3)):
-                record, many = _of(blob.as_buffer().to_pybytes())
+                record, many = _grams(blob.as_buffer().to_pybytes())
                 p = np.log(np.maximum(many - d[np.minimum(many, 3) - 1], 0) / total + spare)
                 yield _rows([(me, LOWER, 1, _arrays(_hash(record), p.view(np.int64))), (me, WEIGHTS, 1, _arrays(_hash(record), p.view(np.int64)))])
 
@@ -175,12 +195,12 @@ def _ask_down(counts: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for me, blob in zip(b.column(0).to_pylist(), b.column(3)):
-                record, many = _of(blob.as_buffer().to_pybytes())
+                record, many = _grams(blob.as_buffer().to_pybytes())
                 name, inv = np.unique(_hash(record[:, :-1]), return_inverse=True)
                 kinds = [many, many == 1, many == 2, many > 2]
-                sums = np.stack([np.bincount(inv, weights=x, minlength=len(name)) for x in kinds], 1).astype(np.int64)
+                sums = [_small(np.bincount(inv, weights=x, minlength=len(name)).astype(np.int64)) for x in kinds]
                 suffix = np.unique(_hash(record[:, 1:]))
-                yield _rows(_to_shards(CONTEXTS, me, name, shards, name, sums) + _to_shards(ASKS, me, suffix, shards, suffix))
+                yield _rows(_to_shards(CONTEXTS, me, name, shards, name, *sums) + _to_shards(ASKS, me, suffix, shards, suffix))
 
     return counts.where(f"kind = {GRAMS}").select(*NAMES).mapInArrow(run, SHARDED)
 
@@ -199,21 +219,20 @@ def _answer_up(asked: DataFrame, d: np.ndarray) -> DataFrame:
                 lower = x
         if told:
             name, inv = np.unique(np.concatenate([t[1] for t in told]), return_inverse=True)
-            sums = np.concatenate([t[2] for t in told])
-            sums = np.stack([np.bincount(inv, weights=sums[:, k], minlength=len(name)) for k in range(4)], 1)
+            sums = np.stack([np.bincount(inv, weights=np.concatenate([t[k] for t in told]), minlength=len(name)) for k in range(2, 6)], 1)
             off = np.log(sums[:, 1:] @ d / sums[:, 0])
             yield _rows([(me, WEIGHTS, 0, _arrays(name, off.view(np.int64)))])
-            for origin, own, _ in told:
+            for origin, own, *_ in told:
                 i = np.searchsorted(name, own)
-                yield _rows([(origin, SUMS, me, _arrays(own, sums[i, 0].astype(np.int64), off[i].view(np.int64)))])
+                yield _rows([(origin, SUMS, me, _arrays(own, _small(sums[i, 0].astype(np.int64)), off[i].view(np.int64)))])
         for origin, own in asks:
             yield _rows([(origin, ANSWERS, me, _arrays(own, lower[1][np.searchsorted(lower[0], own)]))])
 
     return asked.groupBy("shard").applyInArrow(run, SHARDED)
 
 
-def _probabilities(rows: DataFrame, n: int, d: np.ndarray) -> DataFrame:
-    """Per shard, the n-grams with log probabilities (LOWER) and with what they add to the lower order (WEIGHTS)."""
+def _probabilities(rows: DataFrame, n: int, d: np.ndarray, last: bool) -> DataFrame:
+    """Per shard, the n-grams with log probabilities (LOWER, but for the last order) and with what they add to the lower order (WEIGHTS)."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         me, sums, answers, grams = key[0].as_py(), [], [], None
@@ -224,7 +243,7 @@ def _probabilities(rows: DataFrame, n: int, d: np.ndarray) -> DataFrame:
                 (sums if kind == SUMS else answers).append(x)
         if grams is None:
             return
-        record, many = grams
+        record, many = grams[0], grams[1].astype(np.int64)
 
         def look(parts: list, names: np.ndarray, *columns: int) -> list[np.ndarray]:
             name = np.concatenate([p[0] for p in parts])
@@ -237,7 +256,9 @@ def _probabilities(rows: DataFrame, n: int, d: np.ndarray) -> DataFrame:
         off, below = off.view(np.float64), below.view(np.float64)
         p = np.log(np.maximum(many - d[np.minimum(many, 3) - 1], 0) / total + np.exp(off + below))
         name = _hash(record)
-        yield _rows([(me, LOWER, n, _arrays(name, p.view(np.int64))), (me, WEIGHTS, n, _arrays(name, (p - off - below).view(np.int64)))])
+        if not last:
+            yield _rows([(me, LOWER, n, _arrays(name, p.view(np.int64)))])
+        yield _rows([(me, WEIGHTS, n, _arrays(name, (p - off - below).view(np.int64)))])
 
     return rows.groupBy("shard").applyInArrow(run, SHARDED)
 
@@ -257,27 +278,29 @@ def _merge(weights: DataFrame) -> DataFrame:
 
 def train(ws: Workspace, docs: DataFrame, order: int, shards: int) -> tuple[DataFrame, float] | None:
     """(weights per shard, log probability of a word never seen), None without any text."""
-    dealt = ws.write(_deal(docs, order, shards), "dealt", clean=True)
     counts: dict[int, DataFrame] = {}
     for n in range(order, 0, -1):
-        rows = dealt.where(f"kind = {GRAMS} and origin = {n}")
+        rows = _deal(docs, n, shards, n == order) if n > 1 else None
         if n < order:
-            rows = rows.unionByName(counts[n + 1].where(f"kind = {SUFFIXES}"))
-        counts[n] = ws.write(_count(rows, n, shards), f"counts{n}", clean=True)
+            more = _suffixes(counts[n + 1], n + 1, shards)
+            rows = more if rows is None else rows.unionByName(more)
+        counts[n] = ws.write(_count(rows, n), f"counts{n}", clean=True)
     c = {n: _stats(t) for n, t in counts.items()}
     if not c[1][5]:
         return None
     lower, spare = _lowest(counts[1], c[1])
     lower = ws.write(lower, "model1")
+    ws.drop(counts[1])
     parts = [lower.where(f"kind = {WEIGHTS}")]
     for n in range(2, order + 1):
         d = discounts(c[n])
         asked = _ask_down(counts[n], shards).unionByName(lower.where(f"kind = {LOWER}"))
         answers = ws.write(_answer_up(asked, d), f"answers{n}", clean=True)
-        parts.append(answers.where(f"kind = {WEIGHTS}"))
+        offs = ws.write(answers.where(f"kind = {WEIGHTS}"), f"offs{n}")
         rows = counts[n].where(f"kind = {GRAMS}").unionByName(answers.where(f"kind <> {WEIGHTS}"))
-        lower = ws.write(_probabilities(rows, n, d), f"model{n}", clean=True)
-        parts.append(lower.where(f"kind = {WEIGHTS}"))
+        lower = ws.write(_probabilities(rows, n, d, n == order), f"model{n}", clean=True)
+        ws.drop(counts[n], answers)
+        parts += [offs, lower.where(f"kind = {WEIGHTS}")]
     weights = parts[0]
     for p in parts[1:]:
         weights = weights.unionByName(p)
@@ -411,7 +434,7 @@ def thresholds(known: DataFrame, quantile: float) -> tuple[DataFrame, float | No
     return edge(bins, ["lang"]), whole and whole.t
 
 
-def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order: int = 3, batches: int = 5) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order: int = 2, batches: int = 8) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, keep of every row of docs."""
     spark = docs.sparkSession
     ws = Workspace(spark, "quality-lm")

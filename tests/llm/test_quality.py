@@ -99,7 +99,7 @@ def test_a_word_in_every_place(spark, monkeypatch):
     r = random.Random(3)
     texts = [" ".join("the" if k % 2 else "w%d" % r.randrange(3000) for k in range(60)) for _ in range(200)] + ["the " * 5000]
     d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    dealt = quality_lm._deal(d.repartition(1), 3, 16).collect()
+    dealt = quality_lm._deal(d.repartition(1), 3, 16, True).collect()
     per = defaultdict(int)
     for row in dealt:
         per[row.shard] += len(quality_lm._of(bytes(row.blob))[0])
@@ -110,7 +110,7 @@ def test_a_word_in_every_place(spark, monkeypatch):
         per[row.shard] += len(quality_lm._of(bytes(row.blob))[0])
     assert max(per.values()) < 1.3 * sum(per.values()) / 16
     lab = spark.createDataFrame([(i, 1) for i in range(len(texts))], "doc_id long, quality int")
-    got = {x.doc_id: x.perplexity for x in quality_lm.score(d, lab).collect()}
+    got = {x.doc_id: x.perplexity for x in quality_lm.score(d, lab, order=3).collect()}
     half = {x.doc_id for x in d.selectExpr("doc_id", "pmod(xxhash64(doc_id, 3), 2) = 0 AS t").collect() if x.t}
     plain = Plain([t for i, t in enumerate(texts) if i in half], 3)
     assert all(abs(got[i] / plain.perplexity(texts[i]) - 1) < 1e-6 for i in list(range(0, 200, 9)) + [200])
