@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import chunking, graph, joins, series, vectors
+from tessera.operators import blocked, chunking, graph, joins, series, vectors
 from tessera.plans import evaluate
 from tessera.plans.answer import overall, scores_by_category
 from tessera.plans.expand import expand
@@ -55,9 +56,8 @@ EMBED = """
 {name}_w AS (SELECT {ids}, unnest(regexp_extract_all(lower({text}), '[a-z]+')) AS w FROM {source}),
 {name}_c AS (SELECT {ids}, CAST('0x' || substr(md5(w), 1, 4) AS BIGINT) % 64 AS bucket, count(*) AS n FROM {name}_w GROUP BY ALL),
 {name} AS (SELECT {ids}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {ids})) AS weight FROM {name}_c)"""
-FIRST_Q = """
-q0 AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations),
-qs AS (SELECT conv_id, turn, text AS question, answer FROM q0 WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)"""
+QUESTIONS = """
+qs AS (SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations) WHERE role = 'user')"""
 PACK = """
 WITH RECURSIVE {items},
 f AS (SELECT k, i, t, cost AS used, 0 AS c FROM items WHERE i = 0
@@ -71,9 +71,19 @@ SELECT k AS {key}, CAST(c AS BIGINT) AS chunk_id, string_agg(t, {joiner} ORDER B
 # --- scans and rendering
 
 
-@query(f"WITH {FIRST_Q} SELECT conv_id, turn, question, answer FROM qs")
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, question, answer of every user turn."""
+    return joins.questions(turns(spark, sf_dir)).withColumnRenamed("turn_ord", "turn")
+
+
+@query(f"WITH {QUESTIONS} SELECT conv_id, turn, question, answer, conv_id % 5 AS label FROM qs WHERE answer IS NOT NULL")
 def questions_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.first_questions(turns(spark, sf_dir)).withColumnRenamed("turn_ord", "turn")
+    return questions(spark, sf_dir).where("answer is not null").withColumn("label", F.col("conv_id") % 5)
+
+
+@query(f"WITH {QUESTIONS} SELECT conv_id, turn, question, answer FROM qs WHERE answer IS NOT NULL")
+def questions_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir).where("answer is not null")
 
 
 @query("SELECT conv_id, turn, 'time:' || coalesce(CASE WHEN conv_id % 2 = 0 THEN 'day ' || conv_id END, 'None') || ' content:' || text AS doc FROM conversations")
@@ -159,15 +169,14 @@ def pack_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(chunking.pack(d.withColumn("cost", X.estimated_tokens(F.col("t"))), ["doc_id"], "i", "t", "cost", 512, joiner=" "))
 
 
-#: Batches are folded within blocks of 5,000 ids of a source, so no source is one group.
-_LANG_DOCS = "items AS (SELECT source || ':' || (doc_id // 5000) AS k, row_number() OVER (PARTITION BY source, doc_id // 5000 ORDER BY doc_id) - 1 AS i, CAST(doc_id AS VARCHAR) AS t, {cost} AS cost FROM documents)"
+_SOURCE_DOCS = "items AS (SELECT source AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, CAST(doc_id AS VARCHAR) AS t, {cost} AS cost FROM documents)"
 
 
-@query(PACK.format(items=_LANG_DOCS.format(cost=TOKENS.format("text")), sep=0, budget=8000, key="part", joiner="','"))
+@query(PACK.format(items=_SOURCE_DOCS.format(cost=TOKENS.format("text")), sep=0, budget=8000, key="source", joiner="','"))
 def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.concat("source", F.lit(":"), F.floor(F.col("doc_id") / 5000).cast("string")).alias("part")
-    d = table(spark, sf_dir, "documents").select(part, "doc_id", F.col("doc_id").cast("string").alias("t"), X.estimated_tokens(F.col("text")).alias("cost"))
-    return _packed(chunking.pack(d, ["part"], "doc_id", "t", "cost", 8000, joiner=","))
+    """Each source's texts in one list of batches; its rows pass through one task, which holds the state of the fold only."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("doc_id").cast("string").alias("t"), X.estimated_tokens(F.col("text")).alias("cost"))
+    return _packed(chunking.pack(d, ["source"], "doc_id", "t", "cost", 8000, joiner=","))
 
 
 _SENT = r"""lines AS (SELECT conv_id, turn, role || ':' || text AS line FROM conversations),
@@ -261,9 +270,7 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all_pairs(spark: SparkSession, sf_dir: str, over: float | None = None) -> DataFrame:
     """i < j pairs with their inner products, block against block (see operators/blocked.py)."""
-    from tessera.operators.blocked import all_pairs
-
-    return all_pairs(_embeddings(spark, sf_dir), "vec_id", "v", over=over, block=BLOCK)
+    return blocked.all_pairs(_embeddings(spark, sf_dir), "vec_id", "v", over=over, block=BLOCK)
 
 
 @query(f"WITH {_PAIRS} SELECT i, j, sim FROM pairs WHERE sim > 0.2")
@@ -273,7 +280,9 @@ def pairwise_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PAIRS} SELECT round(avg(sim), 6) AS mean_sim, count(*) AS n_pairs FROM pairs")
 def offdiag_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_pairs(spark, sf_dir).agg(F.round(F.avg("sim"), 6).alias("mean_sim"), F.count("*").alias("n_pairs"))
+    rows = blocked.row_sums(_embeddings(spark, sf_dir), "vec_id", "v", block=BLOCK)
+    n, total = F.sum("n"), F.sum("total")  # each pair twice
+    return rows.agg(F.round(total / n, 6).alias("mean_sim"), F.floor(n / 2).cast("bigint").alias("n_pairs"))
 
 
 _OWNERS = _PAIRS + """,
@@ -293,16 +302,15 @@ def _owner(c: str):
 
 
 def _sentence_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.max_pair_similarity(_all_pairs(spark, sf_dir), _owner("i"), _owner("j"), [])
+    best = blocked.owner_maxima(_embeddings(spark, sf_dir), "vec_id", "v", lambda ids: ids // 5, block=BLOCK)
+    return best.select("src", "dst", F.greatest(F.lit(0.0), "sim").alias("sentence_similarity"))
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.operators.blocked import all_pairs
-
     flat = _embeddings(spark, sf_dir).select(_owner("vec_id").alias("c"), F.posexplode("v").alias("d", "x"))
     sums = flat.groupBy("c", "d").agg(F.sum(F.col("x").cast("double")).alias("x"))
     vecs = sums.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
-    sims = all_pairs(vecs, "c", "v", normalize=True, block=BLOCK).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("sim").alias("text_similarity"))
+    sims = blocked.all_pairs(vecs, "c", "v", normalize=True, block=BLOCK).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("sim").alias("text_similarity"))
     return graph.typed_edges(sims, _sentence_sims(spark, sf_dir), [], 0.3, 0.3)
 
 
@@ -340,91 +348,88 @@ def simple_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simple(spark, sf_dir)
 
 
-_TOPK = """scores AS (SELECT q.vec_id AS q_id, c.vec_id AS chunk_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id < 20 AND c.vec_id >= 20),
+_TOPK = """scores AS (SELECT q.vec_id AS q_id, c.vec_id AS chunk_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS rk FROM scores)"""
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions (20 vectors, a fixed number) against all chunks."""
+def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """q_id, chunk_id, score, rk: every row whose id is divisible by 20 against all other rows, in blocks."""
     e = _embeddings(spark, sf_dir)
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"))
-    return e.where("vec_id >= 20").join(F.broadcast(q), F.lit(True)).select("q_id", F.col("vec_id").alias("chunk_id"), F.round(vectors.dot(F.col("q"), F.col("v")), 6).alias("score"))
+    return blocked.nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "v", k, block=BLOCK).withColumnRenamed("item", "chunk_id")
 
 
 @query(f"WITH {_TOPK} SELECT q_id, chunk_id, score, rk FROM ranked WHERE rk <= 5")
 def topk_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(vectors.top_k(_scores(spark, sf_dir), ["q_id"], "chunk_id", 5), "rk")
+    return _long(_nearest(spark, sf_dir, 5), "rk")
 
 
 @query(f"WITH {_TOPK} SELECT q_id, chunk_id, row_number() OVER (PARTITION BY q_id ORDER BY chunk_id) AS ord FROM ranked WHERE rk <= 5")
 def topk_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = vectors.top_k(_scores(spark, sf_dir), ["q_id"], "chunk_id", 5)
+    top = _nearest(spark, sf_dir, 5)
     return _long(top.select("q_id", "chunk_id", F.row_number().over(Window.partitionBy("q_id").orderBy("chunk_id")).alias("ord")), "ord")
 
 
 @query(f"WITH {_TOPK}, kept AS (SELECT q_id, chunk_id, rk FROM ranked WHERE rk <= 6) SELECT q_id, chunk_id, rk FROM kept WHERE rk <= 3")
 def first_three_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = vectors.top_k(_scores(spark, sf_dir), ["q_id"], "chunk_id", 6)
+    top = _nearest(spark, sf_dir, 6)
     return _long(top.where("rk <= 3").select("q_id", "chunk_id", "rk"), "rk")
 
 
 # --- retrieval on text
 
 
-def _ranked_chunks(spark: SparkSession, sf_dir: str, rounds: int, k: int) -> DataFrame:
-    """conv_id, block, rk, score, chunk: chunks of each conversation ranked against its first question."""
+def ranked_chunks(spark: SparkSession, sf_dir: str, rounds: int, k: int) -> DataFrame:
+    """conv_id, turn, block, rk, score, chunk: chunks of each conversation ranked against each of its questions."""
     t = turns(spark, sf_dir)
     chunks = chunking.turn_chunks(t, rounds).drop("session_ord")
-    q = vectors.hash_embedding(joins.first_questions(t), ["conv_id"], "question")
+    q = vectors.hash_embedding(questions(spark, sf_dir), ["conv_id", "turn"], "question")
     c = vectors.hash_embedding(chunks, ["conv_id", "block"], "chunk")
-    top = vectors.top_k(vectors.sparse_scores(q, c, ["conv_id"], ["conv_id", "block"]), ["conv_id"], "block", k)
+    top = vectors.top_k(vectors.sparse_scores(q, c, ["conv_id"], ["conv_id", "turn", "block"]), ["conv_id", "turn"], "block", k)
     return top.join(chunks, ["conv_id", "block"])
 
 
-_RANKED = (
-    f"{FIRST_Q}, {CHUNKS2}, {EMBED.format(name='qe', ids='conv_id', text='question', source='qs')}, {EMBED.format(name='ce', ids='conv_id, block', text='chunk', source='chunks')},"
-    " scored AS (SELECT c.conv_id, c.block, round(sum(q.weight * c.weight), 6) AS score FROM qe q JOIN ce c ON q.conv_id = c.conv_id AND q.bucket = c.bucket GROUP BY ALL),"
-    " ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, block) AS rk FROM scored)"
-)
+def ranked_sql(size: int = 2, name: str = "ranked") -> str:
+    return (
+        f"{EMBED.format(name='qe', ids='conv_id, turn', text='question', source='qs')}, {CHUNKS.format(ws=WS, size=size)}, {EMBED.format(name='ce', ids='conv_id, block', text='chunk', source='chunks')},"
+        " scored AS (SELECT c.conv_id, q.turn, c.block, round(sum(q.weight * c.weight), 6) AS score FROM qe q JOIN ce c ON q.conv_id = c.conv_id AND q.bucket = c.bucket GROUP BY ALL),"
+        f" {name} AS (SELECT s.*, chunk, row_number() OVER (PARTITION BY s.conv_id, s.turn ORDER BY score DESC, s.block) AS rk FROM scored s JOIN chunks USING (conv_id, block))"
+    )
+
+
+RANKED = f"{QUESTIONS}, {ranked_sql()}"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(_ranked_chunks(spark, sf_dir, 1, 3).select("conv_id", "block", "rk", "score"), "block", "rk")
+    return _long(ranked_chunks(spark, sf_dir, 1, 3).select("conv_id", "turn", "block", "rk", "score"), "block", "rk")
 
 
-@query(f"WITH {_RANKED} SELECT conv_id, CAST(block AS BIGINT) AS block, rk, score FROM ranked WHERE rk <= 3")
+@query(f"WITH {RANKED} SELECT conv_id, turn, CAST(block AS BIGINT) AS block, rk, score FROM ranked WHERE rk <= 3")
 def retrieve_turn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, sf_dir)
 
 
 def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = turns(spark, sf_dir)
-    q = joins.first_questions(t).where("answer is not null")
-    truth = q.select("conv_id", F.lit(0).alias("t_ord"), F.col("answer").alias("truth")).unionByName(q.select("conv_id", F.lit(1).alias("t_ord"), F.col("question").alias("truth")))
+    key = (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("q_id")
+    q = questions(spark, sf_dir).where("answer is not null").select(key, "question", "answer")
+    truth = q.select("q_id", F.lit(0).alias("t_ord"), F.col("answer").alias("truth")).unionByName(q.select("q_id", F.lit(1).alias("t_ord"), F.col("question").alias("truth")))
     kinds = None
     for name, rounds in (("turn", 1), ("double", 2)):
-        r = _ranked_chunks(spark, sf_dir, rounds, max(evaluate.KS)).withColumn("kind", F.lit(name))
+        r = ranked_chunks(spark, sf_dir, rounds, max(evaluate.KS)).select(key, "rk", "chunk", F.lit(name).alias("kind"))
         kinds = r if kinds is None else kinds.unionByName(r)
-    return evaluate.recall_at_k(kinds, truth, ["kind"], "conv_id")
+    return evaluate.recall_at_k(kinds, truth, ["kind"], "q_id")
 
 
 def _recall_sql() -> str:
-    def ranked(kind: str, size: int) -> str:
-        return (
-            f"SELECT '{kind}' AS kind, conv_id, rk, chunk FROM (WITH {CHUNKS.format(ws=WS, size=size)}, {EMBED.format(name='ce', ids='conv_id, block', text='chunk', source='chunks')},"
-            " scored AS (SELECT c.conv_id, c.block, round(sum(q.weight * c.weight), 6) AS score FROM qe q JOIN ce c ON q.conv_id = c.conv_id AND q.bucket = c.bucket GROUP BY ALL)"
-            " SELECT s.*, chunk, row_number() OVER (PARTITION BY s.conv_id ORDER BY score DESC, s.block) AS rk FROM scored s JOIN chunks USING (conv_id, block))"
-        )
-
-    return f"""WITH {FIRST_Q}, {EMBED.format(name='qe', ids='conv_id', text='question', source='qs')},
-ranked AS ({ranked('turn', 2)} UNION ALL {ranked('double', 4)}),
-truth AS (SELECT conv_id, 0 AS t_ord, answer AS truth FROM qs WHERE answer IS NOT NULL UNION ALL SELECT conv_id, 1, question FROM qs WHERE answer IS NOT NULL),
-n AS (SELECT conv_id, count(*) AS n FROM truth GROUP BY 1),
+    kinds = " UNION ALL ".join(f"SELECT '{kind}' AS kind, conv_id * 1000000 + turn AS q_id, rk, chunk FROM (WITH {ranked_sql(size, 'own')} SELECT * FROM own)" for kind, size in (("turn", 2), ("double", 4)))
+    return f"""WITH {QUESTIONS},
+ranked AS ({kinds}),
+truth AS (SELECT conv_id * 1000000 + turn AS q_id, 0 AS t_ord, answer AS truth FROM qs WHERE answer IS NOT NULL UNION ALL SELECT conv_id * 1000000 + turn, 1, question FROM qs WHERE answer IS NOT NULL),
+n AS (SELECT q_id, count(*) AS n FROM truth GROUP BY 1),
 ks AS (SELECT unnest([1, 3, 5, 7, 9, 11]) AS k),
-asked AS (SELECT DISTINCT kind, conv_id FROM ranked),
-hit AS (SELECT kind, r.conv_id, t_ord, min(rk) AS rk FROM ranked r JOIN truth t ON r.conv_id = t.conv_id AND contains(chunk, truth) GROUP BY ALL),
-per AS (SELECT a.kind, a.conv_id, k, count(h.rk) FILTER (WHERE h.rk <= k) AS hits FROM asked a CROSS JOIN ks LEFT JOIN hit h ON h.kind = a.kind AND h.conv_id = a.conv_id GROUP BY ALL),
-recall AS (SELECT kind, CAST(k AS BIGINT) AS k, round(avg(coalesce(hits::DOUBLE / n.n, 0)), 6) AS recall FROM per LEFT JOIN n USING (conv_id) GROUP BY ALL)"""
+asked AS (SELECT DISTINCT kind, q_id FROM ranked),
+hit AS (SELECT kind, r.q_id, t_ord, min(rk) AS rk FROM ranked r JOIN truth t ON r.q_id = t.q_id AND contains(chunk, truth) GROUP BY ALL),
+per AS (SELECT a.kind, a.q_id, k, count(h.rk) FILTER (WHERE h.rk <= k) AS hits FROM asked a CROSS JOIN ks LEFT JOIN hit h ON h.kind = a.kind AND h.q_id = a.q_id GROUP BY ALL),
+recall AS (SELECT kind, CAST(k AS BIGINT) AS k, round(avg(coalesce(hits::DOUBLE / n.n, 0)), 6) AS recall FROM per LEFT JOIN n USING (q_id) GROUP BY ALL)"""
 
 
 @query(_recall_sql() + " SELECT kind, k, recall FROM recall")
@@ -477,7 +482,7 @@ def valley_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT q_id, node FROM cand ANTI JOIN fr USING (q_id, node)"
 )
 def neighbors_unvisited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    anchors = vectors.top_k(_scores(spark, sf_dir), ["q_id"], "chunk_id", 3).select("q_id", F.col("chunk_id").alias("node"))
+    anchors = _nearest(spark, sf_dir, 3).select("q_id", F.col("chunk_id").alias("node"))
     return graph.unvisited_neighbors(anchors, anchors, graph.symmetric(_simple(spark, sf_dir), []), [])
 
 
@@ -494,7 +499,7 @@ def _expand_sql() -> str:
             f"on{r} AS (SELECT DISTINCT q_id FROM fr{r})"
         )
     return (
-        f"WITH {_SIMPLE}, {_TOPK}, allscores AS (SELECT q.vec_id AS q_id, c.vec_id AS chunk_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id < 20),"
+        f"WITH {_SIMPLE}, {_TOPK}, allscores AS (SELECT q.vec_id AS q_id, c.vec_id AS chunk_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0),"
         " d0 AS (SELECT q_id, chunk_id AS node, 0 AS round FROM ranked WHERE rk <= 3), fr0 AS (SELECT q_id, node FROM d0), v0 AS (SELECT q_id, node FROM d0), on0 AS (SELECT DISTINCT q_id FROM d0),"
         + ",".join(steps)
         + " SELECT q_id, node, CAST(round AS BIGINT) AS round FROM d3"
@@ -504,8 +509,8 @@ def _expand_sql() -> str:
 @query(_expand_sql())
 def expand_3hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _embeddings(spark, sf_dir)
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"))
-    anchors = vectors.top_k(_scores(spark, sf_dir), ["q_id"], "chunk_id", 3).select("q_id", F.col("chunk_id").alias("node"), "rk")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"))
+    anchors = _nearest(spark, sf_dir, 3).select("q_id", F.col("chunk_id").alias("node"), "rk")
 
     def judge(docs: DataFrame) -> DataFrame:
         return docs.groupBy("q_id").agg(F.when(F.count("*") >= 8, 2).otherwise(0).alias("verdict"))
@@ -520,27 +525,40 @@ def expand_3hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(docs.select("q_id", "node", "round"), "round")
 
 
+def ppr_sql(tolerance: str, rounds: int) -> str:
+    """Ranks by personalised PageRank over the tables nodes (node), sym (node, neighbor, weight) and seeds (q_id, node, p).
+
+    Of the first ``rounds`` rounds it takes the first fifth one that moves less than the tolerance in every query.
+    """
+    return f"""ow AS (SELECT node, sum(weight) AS t FROM sym GROUP BY 1),
+loose AS (SELECT node FROM nodes ANTI JOIN ow USING (node)),
+m0 AS (SELECT q_id, s.node AS u, s.neighbor AS v, 0.85::DOUBLE * s.weight / ow.t AS p FROM sym s JOIN ow USING (node) CROSS JOIN (SELECT DISTINCT q_id FROM seeds)
+  UNION ALL SELECT seeds.q_id, nodes.node, seeds.node, 0.15::DOUBLE * seeds.p FROM nodes CROSS JOIN seeds
+  UNION ALL SELECT seeds.q_id, loose.node, seeds.node, 0.85::DOUBLE * seeds.p FROM loose CROSS JOIN seeds),
+m AS (SELECT q_id, u, v, sum(p) AS p FROM m0 GROUP BY ALL),
+x AS (SELECT 0 AS r, q_id, node, p::DOUBLE AS rank FROM seeds
+  UNION ALL SELECT r + 1, x.q_id, v, sum(rank * p) FROM x JOIN m ON m.q_id = x.q_id AND m.u = x.node WHERE r < {rounds} GROUP BY r + 1, x.q_id, v),
+moved AS (SELECT r, q_id, sum(abs(d)) AS d FROM (SELECT r, q_id, node, sum(rank) AS d FROM (SELECT r, q_id, node, rank FROM x UNION ALL SELECT r + 1, q_id, node, -rank FROM x) GROUP BY ALL) GROUP BY ALL),
+ended AS (SELECT min(r) AS r FROM (SELECT r, max(d) AS d FROM moved WHERE r > 0 AND r % 5 = 0 AND r <= {rounds} GROUP BY r) WHERE d < {tolerance}),
+ranks AS (SELECT q_id, node, round(rank, 6) AS rank FROM x JOIN ended USING (r))"""
+
+
 @query(
-    f"""WITH RECURSIVE {_SIMPLE},
-nodes AS (SELECT vec_id AS node FROM embeddings), n AS (SELECT count(*) AS n FROM nodes),
-ow AS (SELECT node, sum(weight) AS t FROM sym GROUP BY 1),
-seeds AS (SELECT node, 1.0::DOUBLE / 3 AS p FROM nodes WHERE node < 3),
-m0 AS (SELECT s.node AS u, s.neighbor AS v, 0.85::DOUBLE * s.weight / ow.t AS p FROM sym s JOIN ow USING (node)
-  UNION ALL SELECT nodes.node, seeds.node, 0.15::DOUBLE * seeds.p FROM nodes CROSS JOIN seeds
-  UNION ALL SELECT nodes.node, seeds.node, 0.85::DOUBLE * seeds.p FROM (SELECT node FROM nodes ANTI JOIN ow USING (node)) nodes CROSS JOIN seeds),
-m AS (SELECT u, v, sum(p) AS p FROM m0 GROUP BY ALL),
-x AS (SELECT 0 AS r, node, 1.0::DOUBLE / n AS rank FROM nodes, n
-  UNION ALL SELECT r + 1, v, sum(rank * p) FROM x JOIN m ON m.u = x.node WHERE r < 30 GROUP BY r + 1, v)
-SELECT node, round(rank, 6) AS rank, row_number() OVER (ORDER BY round(rank, 6) DESC, node) AS rk FROM x WHERE r = 30 QUALIFY rk <= 5"""
+    f"""WITH RECURSIVE {_SIMPLE}, {_TOPK},
+nodes AS (SELECT vec_id AS node FROM embeddings),
+seeds AS (SELECT q_id, chunk_id AS node, 1.0::DOUBLE / 3 AS p FROM ranked WHERE rk <= 3),
+{ppr_sql("(SELECT count(*) * 1e-6 FROM nodes)", 100)}
+SELECT q_id, node, rank, row_number() OVER (PARTITION BY q_id ORDER BY rank DESC, node) AS rk FROM ranks QUALIFY rk <= 4"""
 )
 def ppr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four nodes of the highest rank for every question, with its three nearest nodes as seeds."""
     from tessera.plans.storage import checkpoint
 
     nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"))
     sym = checkpoint(graph.symmetric(_simple(spark, sf_dir), []))
-    seeds = nodes.where("node < 3").select(F.lit(0).alias("q_id"), "node", F.lit(1.0 / 3).alias("p"))
-    x = graph.personalized_pagerank(nodes, sym, seeds).withColumn("rank", F.round("rank", 6))
-    return _long(vectors.top_k(x, ["q_id"], "node", 5, "rank").select("node", "rank", "rk"), "rk")
+    seeds = checkpoint(_nearest(spark, sf_dir, 3).select("q_id", F.col("chunk_id").alias("node"), F.lit(1.0 / 3).alias("p")))
+    x = graph.personalized_pagerank(nodes, sym, seeds, tolerance=1e-6 * nodes.count()).withColumn("rank", F.round("rank", 6))
+    return _long(vectors.top_k(x, ["q_id"], "node", 4, "rank").select("q_id", "node", "rank", "rk"), "rk")
 
 
 # --- parsing, scoring, ledger
@@ -572,13 +590,13 @@ def exam_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", X.exam_question(t).alias("question"))
 
 
-_RATED = "rated AS (SELECT conv_id, conv_id % 5 AS label, CASE WHEN conv_id % 17 = 0 THEN NULL ELSE CAST(1 + length(text) % 100 AS DOUBLE) END AS rating FROM conversations WHERE turn = 0)"
+_RATED = "rated AS (SELECT conv_id, conv_id % 5 AS label, CASE WHEN (conv_id + turn) % 17 = 0 THEN NULL ELSE CAST(1 + length(text) % 100 AS DOUBLE) END AS rating FROM conversations)"
 _BY = "c AS (SELECT CASE label WHEN 4 THEN 'single-hop' WHEN 1 THEN 'multi-hop' WHEN 2 THEN 'temporal' WHEN 3 THEN 'open-domain' ELSE 'Unknown' END AS category, avg(rating) AS rating, count(rating) AS n, CAST(count(*) - count(rating) AS BIGINT) AS errors FROM rated GROUP BY 1 HAVING count(rating) > 0)"
 
 
 def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("turn = 0")
-    return c.select("conv_id", (F.col("conv_id") % 5).alias("label"), F.when(F.col("conv_id") % 17 != 0, (1 + F.length("text") % 100).cast("double")).alias("rating"))
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", (F.col("conv_id") % 5).alias("label"), F.when((F.col("conv_id") + F.col("turn")) % 17 != 0, (1 + F.length("text") % 100).cast("double")).alias("rating"))
 
 
 @query(f"WITH {_RATED}, {_BY} SELECT category, round(rating, 6) AS rating, n, errors FROM c")
@@ -602,7 +620,7 @@ def token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("average", F.round((F.col("input_tokens") + F.col("output_tokens")) / F.greatest(F.lit(1), "calls"), 6))
 
 
-@query(f"WITH {FIRST_Q} SELECT conv_id, CASE WHEN contains(question, 'thth') THEN 'error' ELSE 'n=' || length(question) END AS answer, CASE WHEN contains(question, 'thth') THEN 'error' ELSE 'ok' END AS status FROM qs")
+@query(f"WITH {QUESTIONS} SELECT conv_id, turn, CASE WHEN contains(question, 'thth') THEN 'error' ELSE 'n=' || length(question) END AS answer, CASE WHEN contains(question, 'thth') THEN 'error' ELSE 'ok' END AS status FROM qs")
 def answer_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.functions.providers import Scripted
     from tessera.plans.answer import answer
@@ -613,11 +631,11 @@ def answer_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise TimeoutError
         return f'```json\n{{"answer": "n={len(q)}"}}\n```'
 
-    rows = joins.first_questions(turns(spark, sf_dir)).withColumn("context", F.lit("<<"))
-    return answer(rows, Scripted(reply)).select("conv_id", "answer", "status")
+    rows = questions(spark, sf_dir).withColumn("context", F.lit("<<"))
+    return answer(rows, Scripted(reply)).select("conv_id", "turn", "answer", "status")
 
 
-@query(f"WITH {FIRST_Q} SELECT conv_id, CASE WHEN length(question) % 3 = 0 THEN 'none' ELSE 'a' || chr(10) || 'b' END AS evidence FROM qs")
+@query(f"WITH {QUESTIONS} SELECT conv_id, turn, CASE WHEN length(question) % 3 = 0 THEN 'none' ELSE 'a' || chr(10) || 'b' END AS evidence FROM qs")
 def evidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.functions.providers import Scripted
     from tessera.plans.answer import filter_evidence
@@ -626,8 +644,8 @@ def evidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         q = prompt.split("Question: ", 1)[1].rsplit("\nnone", 1)[0]
         return "no list" if len(q) % 3 == 0 else '{"filtered_text": ["a", "b"]}'
 
-    rows = joins.first_questions(turns(spark, sf_dir)).withColumn("context", F.lit("none"))
-    return filter_evidence(rows, Scripted(reply)).select("conv_id", "evidence")
+    rows = questions(spark, sf_dir).withColumn("context", F.lit("none"))
+    return filter_evidence(rows, Scripted(reply)).select("conv_id", "turn", "evidence")
 
 
 @query(
@@ -647,8 +665,7 @@ def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- segmentation by model calls (scripted stand-ins), similarity series, summaries
 
 
-@query(ORACLES["cut_by_boundaries"])
-def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _event_segments(spark: SparkSession, sf_dir: str, prompt: str) -> DataFrame:
     """Boundaries from a provider that sees each conversation as numbered lines."""
     import json
 
@@ -662,10 +679,21 @@ def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     t = turns(spark, sf_dir).select("conv_id", "turn_ord", F.concat("speaker", F.lit(":"), X.strip(F.col("text"))).alias("line"))
     numbered = t.groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("turn_ord").cast("string"), "line"))))).alias("context"))
-    b = boundaries(numbered, Scripted(reply), "situation").select("conv_id", F.col("boundary").cast("bigint").alias("turn_ord"))
+    b = boundaries(numbered, Scripted(reply), prompt).select("conv_id", F.col("boundary").cast("bigint").alias("turn_ord"))
     return _long(chunking.cut(t, b, ["conv_id"], "turn_ord", "line"), "segment", "n_lines")
 
 
+@query(ORACLES["cut_by_boundaries"])
+def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_segments(spark, sf_dir, "situation")
+
+
+@query(ORACLES["cut_by_boundaries"])
+def event_segments_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the shorter prompt."""
+    return _event_segments(spark, sf_dir, "boundaries")
+
+
 @query(
     f"""WITH {EMBED.format(name='te', ids='conv_id, turn', text='text', source='conversations')},
 near AS (SELECT a.conv_id, a.turn, b.turn AS j FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn + 1 AND a.turn + 3),
@@ -674,19 +702,23 @@ s AS (SELECT x.conv_id, x.turn, sum(p.weight * q.weight) AS s FROM near x JOIN t
 SELECT conv_id, turn, round(coalesce(s, 0) / n, 6) AS sim FROM n LEFT JOIN s USING (conv_id, turn)"""
 )
 def predict_next_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next turn is predicted by repeating the last one; its similarity to what follows."""
-    c = table(spark, sf_dir, "conversations")
-    e = vectors.hash_embedding(c, ["conv_id", "turn"], "text")
-    return series.forward_similarity(c, e, ["conv_id"], "turn")
+    """The next turn is predicted from all turns so far (the stand-in repeats the last one); its similarity to what follows."""
+    from tessera.functions.providers import Scripted
+    from tessera.plans.answer import predict
+
+    c = table(spark, sf_dir, "conversations").withColumn("line", F.concat("role", F.lit(": "), "text"))
+    rows = series.prefixes(c, ["conv_id"], "turn", "line").withColumnRenamed("prefix", "context")
+    said = predict(rows, Scripted(lambda p: re.split(r"\n(?:user|assistant|system|tool): ", p)[-1]))
+    guess = vectors.hash_embedding(said, ["conv_id", "turn"], "predicted")
+    return series.forward_similarity(c, guess, vectors.hash_embedding(c, ["conv_id", "turn"], "text"), ["conv_id"], "turn")
 
 
 @query(f"WITH {_PAIRS}, m AS (SELECT i, sim FROM pairs UNION ALL SELECT j, sim FROM pairs UNION ALL SELECT vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) FROM embeddings) SELECT i, count(*) AS n, round(sum(sim), 6) AS total FROM m GROUP BY i")
 def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row sums of the full similarity matrix, with its diagonal and both halves."""
-    p = _all_pairs(spark, sf_dir)
-    own = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("i"), F.round(vectors.dot(F.col("v"), F.col("v")), 6).alias("sim"))
-    full = p.select("i", "sim").unionByName(p.select(F.col("j").alias("i"), "sim")).unionByName(own)
-    return full.groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("sim"), 6).alias("total"))
+    others = blocked.row_sums(_embeddings(spark, sf_dir), "vec_id", "v", block=BLOCK)
+    own = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("i"), F.round(vectors.dot(F.col("v"), F.col("v")), 6).alias("own"))
+    return others.join(own, "i").select("i", (F.col("n") + 1).alias("n"), F.round(F.col("total") + F.col("own"), 6).alias("total"))
 
 
 @query("SELECT item_id, CASE WHEN item_id % 7 = 0 THEN '' ELSE left(text, 20) END AS summary FROM benchmark")
@@ -728,3 +760,6 @@ def rating_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.plans.answer import describe
 
     return describe(_rated(spark, sf_dir)).withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6)})
+
+
+from tessera import chains  # noqa: E402, F401  more queries, which build on those above

@@ -1,4 +1,4 @@
-"""Model calls: chat, judge and summary providers, with deterministic stand-ins.
+"""Model calls: chat and embedding providers, with deterministic stand-ins.
 
 A provider is a picklable object with ``reply(prompt) -> str``. Calls run in
 ``mapInPandas`` with a bounded thread pool per task; a failed call gives status
@@ -8,14 +8,25 @@ response table can serve as a cache for repeated or retried work.
 
 from __future__ import annotations
 
+import json
+import math
+import os
+import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import groupby
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from tessera.functions.text import TOKENS_PER_CHAR, estimated_tokens, strip
+from tessera.operators.chunking import fold
 
 #: Our own wording of the pipeline's prompts; {} fields are filled from columns.
 PROMPTS = {
@@ -37,6 +48,10 @@ class Provider(Protocol):
     def reply(self, prompt: str) -> str: ...
 
 
+class Embedder(Protocol):
+    def embed(self, texts: list[str]) -> list[list[float]]: ...
+
+
 @dataclass
 class Scripted:
     """A stand-in: a function of the prompt."""
@@ -48,24 +63,59 @@ class Scripted:
 
 
 @dataclass
-class Remote:
-    """An HTTP chat endpoint (OpenAI-style body); the client is built on the executor, the key is read there from the environment."""
+class ScriptedEmbedder:
+    """A stand-in: a function of one text."""
+
+    function: Callable[[str], list[float]]
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [self.function(t) for t in texts]
+
+
+@dataclass
+class _Endpoint:
+    """An HTTP endpoint (OpenAI-style bodies); requests are made on the executor, the key is read there from the environment.
+
+    A request that fails is made again, ``retries`` times, after waits that double.
+    """
 
     url: str
     model: str
     key_variable: str = "CHAT_API_KEY"
-    temperature: float = 0.0
     timeout: float = 60.0
+    retries: int = 2
+    wait: float = 1.0
+
+    def post(self, body: dict) -> dict:
+        head = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(self.key_variable, '')}"}
+        for k in range(self.retries + 1):
+            try:
+                with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps({"model": self.model, **body}).encode(), head), timeout=self.timeout) as r:
+                    return json.load(r)
+            except (OSError, ValueError):
+                if k == self.retries:
+                    raise
+                time.sleep(self.wait * 2**k)
+        raise AssertionError
+
+
+@dataclass
+class Remote(_Endpoint):
+    """Chat completions; without a temperature the endpoint's default holds."""
+
+    temperature: float | None = 0.0
 
     def reply(self, prompt: str) -> str:
-        import json
-        import os
-        import urllib.request
+        body = {"messages": [{"role": "user", "content": prompt}]} | ({} if self.temperature is None else {"temperature": self.temperature})
+        return self.post(body)["choices"][0]["message"]["content"]
 
-        body = json.dumps({"model": self.model, "temperature": self.temperature, "messages": [{"role": "user", "content": prompt}]}).encode()
-        head = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(self.key_variable, '')}"}
-        with urllib.request.urlopen(urllib.request.Request(self.url, body, head), timeout=self.timeout) as r:
-            return json.load(r)["choices"][0]["message"]["content"]
+
+@dataclass
+class RemoteEmbedder(_Endpoint):
+    """Embeddings of a list of texts, in its order."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [d["embedding"] for d in sorted(self.post({"input": texts})["data"], key=lambda d: d["index"])]
 
 
 def call(rows: DataFrame, provider: Provider, prompt: str = "prompt", workers: int = 8, cache: DataFrame | None = None) -> DataFrame:
@@ -93,21 +143,58 @@ def call(rows: DataFrame, provider: Provider, prompt: str = "prompt", workers: i
     return keyed.join(made, "call_id", "left")
 
 
-def log(calls: DataFrame, tokens: Callable) -> DataFrame:
-    """Totals of a call table: calls, input and output tokens, average per call."""
-    t = calls.agg(F.count("*").alias("calls"), F.coalesce(F.sum(tokens(F.col("prompt"))), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum(tokens(F.col("response"))), F.lit(0)).alias("output_tokens"))
+def embed(rows: DataFrame, embedder: Embedder, text: str, dim: int, budget: int = 8000) -> DataFrame:
+    """rows with vec (array<float>) and embed_status: one vector for each distinct stripped text, asked for in batches.
+
+    Blank and null texts are zero vectors and are not asked for. A batch holds texts of
+    at most ``budget`` estimated tokens (an over-long one stands alone); one that fails,
+    or whose answer has another shape, gives status error and no vectors.
+    """
+    stripped = strip(F.coalesce(F.col(text), F.lit("")))
+    keyed = rows.withColumn("__k", F.sha2(stripped, 256))
+    todo = keyed.where(F.length(stripped) > 0).select("__k", stripped.alias("__t")).dropDuplicates(["__k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            number = fold([math.ceil(len(t) * TOKENS_PER_CHAR) for t in texts], budget)
+            vecs, status = [], []
+            for _, part in groupby(zip(number, texts), key=lambda x: x[0]):
+                own = [t for _, t in part]
+                try:
+                    got = embedder.embed(own)
+                    if len(got) != len(own) or any(len(v) != dim for v in got):
+                        raise ValueError("another number or length of vectors than asked for")
+                    vecs += got
+                    status += ["ok"] * len(own)
+                except Exception:  # a failed call is a result, not a failed job
+                    vecs += [None] * len(own)
+                    status += ["error"] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(vecs, pa.list_(pa.float32())), pa.array(status)], ["__k", "vec", "embed_status"])
+
+    made = todo.mapInArrow(run, "__k string, vec array<float>, embed_status string")
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    out = keyed.join(made, "__k", "left").drop("__k")
+    blank = F.length(stripped) == 0
+    return out.withColumn("vec", F.when(blank, zero).otherwise(F.col("vec"))).withColumn("embed_status", F.when(blank, "blank").otherwise(F.col("embed_status")))
+
+
+def report(calls: DataFrame, tokens: Callable[[Column], Column] = estimated_tokens) -> DataFrame:
+    """Totals of a call table (call_id, prompt, response): calls, input and output tokens, average per call. A prompt is called once."""
+    made = calls.dropDuplicates(["call_id"])
+    t = made.agg(F.count("*").alias("calls"), F.coalesce(F.sum(tokens(F.col("prompt"))), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum(tokens(F.col("response"))), F.lit(0)).alias("output_tokens"))
     return t.withColumn("average", (F.col("input_tokens") + F.col("output_tokens")) / F.greatest(F.lit(1), "calls"))
 
 
-def count_tokens_exactly(vocabulary: str):
-    """UDF: exact token counts by a tokenizer file (path given; none is bundled)."""
-    from pyspark.sql.functions import pandas_udf
+def exact_tokens(vocabulary: str, fallback: str | None = None) -> Callable[[Column], Column]:
+    """Exact token counts by a tokenizer file (a path that executors share); ``fallback`` is taken where there is no such file."""
+    path = vocabulary if fallback is None or os.path.exists(vocabulary) else fallback
 
     @pandas_udf("bigint")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(vocabulary)
+        tok = Tokenizer.from_file(path)
         for s in texts:
             yield pd.Series([len(e.ids) for e in tok.encode_batch(s.fillna("").tolist(), add_special_tokens=False)], dtype="int64")
 

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Patterns, marks and factors that texts are read by.
 SPACE = " \t\n\r\x0b\x0c"
 SPEAKER_LINE = r"^([^:]+):\s*(.*)$"
+SPEAKER_NAME = r"^[A-Za-z_ ]+:\s*"
+IMAGE = r"(?i),?image:[^,\n]*"
+EXAM_QUESTION = r"(?s)Now Answer the Question:\s*(.*?)\n[A-D]\."
+TURN_ENDS, SPOKEN_ENDS, PLAIN_ENDS = ".?!？", ".?!。！？", ".?!。！？;；"
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z])"
+FENCED_JSON, FENCED, BRACES = r"(?is)```json(.*?)```", r"(?s)```(.*?)```", r"(?s)(\{.*?\})"
 TOKENS_PER_CHAR = 0.74
 
 
@@ -39,18 +46,34 @@ def timed(ts: Column, content: Column, sep: str = " ") -> Column:
     return F.concat(F.lit("time:"), F.coalesce(ts, F.lit("None")), F.lit(sep + "content:"), content)
 
 
+def chunk_text(v: Column) -> Column:
+    """The text of a chunk given as a variant: the field ``chunk`` of an object (empty without it), else the value itself as text."""
+    inner = F.coalesce(F.try_variant_get(v, "$.chunk", "string"), F.lit(""))
+    return F.when(_is_object(v), inner).otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("None")))
+
+
+def chunk_time(v: Column) -> Column:
+    """The time of a chunk given as a variant: the field ``timestamp`` of an object (empty without it, null if it is null), empty for other values."""
+    there = F.try_variant_get(v, "$.timestamp", "variant").isNotNull()
+    inner = F.when(there, F.try_variant_get(v, "$.timestamp", "string")).otherwise("")
+    return F.when(_is_object(v), inner).otherwise("")
+
+
+def _is_object(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("OBJECT")
+
+
 def strip_speaker(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"^[A-Za-z_ ]+:\s*", ""))
+    return strip(F.regexp_replace(c, SPEAKER_NAME, ""))
 
 
 def remove_image(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?i),?image:[^,\n]*", ""))
+    return strip(F.regexp_replace(c, IMAGE, ""))
 
 
 def exam_question(c: Column) -> Column:
     """The question between its heading and the first option; null without one."""
-    pattern = r"(?s)Now Answer the Question:\s*(.*?)\n[A-D]\."
-    return F.when(c.rlike(pattern), strip(F.regexp_extract(c, pattern, 1)))
+    return F.when(c.rlike(EXAM_QUESTION), strip(F.regexp_extract(c, EXAM_QUESTION, 1)))
 
 
 def _rendered(pieces: Column, speaker: Column | None, sep: str) -> Column:
@@ -74,7 +97,7 @@ def turn_sentences(line: Column, min_chars: int = 0) -> Column:
     line stays whole. Unterminated tails go. ``min_chars`` counts what is rendered.
     """
     speaker, content = F.regexp_extract(line, SPEAKER_LINE, 1), F.regexp_extract(line, SPEAKER_LINE, 2)
-    out = F.when(line.rlike(SPEAKER_LINE), _rendered(_pieces(content, ".?!？"), speaker, ":")).otherwise(F.array(line))
+    out = F.when(line.rlike(SPEAKER_LINE), _rendered(_pieces(content, TURN_ENDS), speaker, ":")).otherwise(F.array(line))
     return F.filter(out, lambda s: F.length(s) >= min_chars) if min_chars else out
 
 
@@ -86,7 +109,7 @@ def graph_sentences(rows: DataFrame, keys: list[str], text: str, min_chars: int
     lines = rows.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("line_idx", "__l")).withColumn("__l", strip(F.col("__l"))).where(F.length("__l") > 0)
     spoken = F.col("__l").rlike(SPEAKER_LINE)
     lines = lines.withColumn("__lead", F.when(spoken, F.concat(F.regexp_extract("__l", SPEAKER_LINE, 1), F.lit(": "))).otherwise(""))
-    pieces = F.when(spoken, _pieces(F.regexp_extract("__l", SPEAKER_LINE, 2), ".?!。！？")).otherwise(_pieces(F.col("__l"), ".?!。！？;；"))
+    pieces = F.when(spoken, _pieces(F.regexp_extract("__l", SPEAKER_LINE, 2), SPOKEN_ENDS)).otherwise(_pieces(F.col("__l"), PLAIN_ENDS))
     p = lines.select(*keys, "line_idx", "__lead", F.posexplode(pieces).alias("piece_idx", "__p"))
     p = p.withColumn("__b", strip(F.substring("__p", F.lit(1), F.length("__p") - 1))).where(F.length("__b") > 0)
     out = p.select(*keys, "line_idx", "piece_idx", F.concat("__lead", "__b", F.right("__p", F.lit(1))).alias("sentence"))
@@ -95,15 +118,15 @@ def graph_sentences(rows: DataFrame, keys: list[str], text: str, min_chars: int
 
 def split_sentences(text: Column) -> Column:
     """Pieces for sentence-preserving packing: at sentence ends before a capital, else at line ends."""
-    at_ends = F.split(text, r"(?<=[.!?])\s+(?=[A-Z])")
+    at_ends = F.split(text, SENTENCE_END)
     return F.when(F.size(at_ends) > 1, at_ends).otherwise(F.split(text, "\n"))
 
 
 def extract_json(c: Column) -> Column:
     """Tolerant JSON extraction to a variant: fenced json block, any fenced block, the whole text, the first {...}."""
-    block1 = F.nullif(strip(F.regexp_extract(c, r"(?is)```json(.*?)```", 1)), F.lit(""))
-    block2 = F.nullif(strip(F.regexp_extract(c, r"(?s)```(.*?)```", 1)), F.lit(""))
-    brace = F.nullif(F.regexp_extract(c, r"(?s)(\{.*?\})", 1), F.lit(""))
+    block1 = F.nullif(strip(F.regexp_extract(c, FENCED_JSON, 1)), F.lit(""))
+    block2 = F.nullif(strip(F.regexp_extract(c, FENCED, 1)), F.lit(""))
+    brace = F.nullif(F.regexp_extract(c, BRACES, 1), F.lit(""))
     return F.coalesce(*[F.try_parse_json(x) for x in (block1, block2, c, brace)])
 
 

@@ -1,49 +1,138 @@
-"""All-pairs inner products, block against block.
+"""Inner products of many vectors, block against block.
 
-Vectors are dealt to blocks of bounded size; each pair of blocks is one matrix
-product in one task. A block is sent to as many tasks as there are blocks, so the
-shuffle is n * n / block vectors while nothing is broadcast and no task holds more
-than two blocks. ``over`` keeps only pairs above a threshold, inside the task.
+Vectors are dealt to blocks of bounded size within their key; each pair of blocks is
+one matrix product in one task. A block is sent to as many tasks as its key has
+blocks, so the shuffle is n * n / block vectors of a key while nothing is broadcast
+and no task holds more than two blocks. What need not leave a task does not: pairs
+below a threshold, all but sums, maxima or the k best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
 
-def all_pairs(vectors: DataFrame, id_col: str, vec_col: str, over: float | None = None, normalize: bool = False, block: int = 2048, digits: int = 6) -> DataFrame:
-    """i, j, sim for i < j, rounded to ``digits``; sim > over if given. ``normalize`` gives cosines (0 for zero vectors)."""
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    n = v.count()
-    blocks = max(1, -(-n // block))
-    v = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    sent = v.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+
+def _dealt(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """rows with b, their block, and blocks, how many their key has."""
+    n = rows.groupBy(*keys).agg(F.count("*").alias("__n")) if keys else rows.agg(F.count("*").alias("__n"))
+    sized = rows.join(n, keys) if keys else rows.join(F.broadcast(n), F.lit(True))
+    sized = sized.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("__n") / block)).cast("int")).drop("__n")
+    return sized.withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def _shaped(vectors: DataFrame, id_col: str, vec_col: str, keys: list[str]) -> DataFrame:
+    rows = vectors.select(*keys, F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    return rows.where("id is not null and v is not null")
+
+
+def _products(sent: DataFrame, keys: list[str], normalize: bool, digits: int, emit: Callable, columns: str) -> DataFrame:
+    """``emit(ids, other ids, rounded products, same block)`` for the two sides (0 and 1, or -1 for both) of every (keys, p, q)."""
+    kinds = dict(sent.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), columns])
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vecs, own = [], [], []
+        ids, vecs, side = [], [], []
         for x in batches:
             f = x.schema.get_field_index
             ids.append(x.column(f("id")).to_numpy(zero_copy_only=False))
-            own.append(x.column(f("b")).to_numpy(zero_copy_only=False))
+            side.append(x.column(f("side")).to_numpy(zero_copy_only=False))
             vecs += x.column(f("v")).to_pylist()
-        ids, own, m = np.concatenate(ids), np.concatenate(own), np.array(vecs, float)
+        ids, side, m = np.concatenate(ids), np.concatenate(side), np.array(vecs, float)
         if normalize:
             size = np.sqrt((m**2).sum(1, keepdims=True))
             m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-        p, q = key[0].as_py(), key[1].as_py()
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        sim = np.round(m[left] @ m[right].T, digits)
+        order = np.argsort(ids, kind="stable")
+        ids, side, m = ids[order], side[order], m[order]
+        left = np.flatnonzero(side != 1)
+        right = left if (side < 0).any() else np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return
+        for part in emit(ids[left], ids[right], np.round(m[left] @ m[right].T, digits), right is left):
+            n = len(part[0])
+            yield pa.RecordBatch.from_arrays([*(pa.array([key[i].as_py()] * n, _ARROW[kinds[k]]) for i, k in enumerate(keys)), *map(pa.array, part)], names)
+
+    return sent.groupBy(*keys, "p", "q").applyInArrow(run, schema)
+
+
+def _self(vectors: DataFrame, id_col: str, vec_col: str, keys: list[str], block: int) -> DataFrame:
+    v = _dealt(_shaped(vectors, id_col, vec_col, keys), keys, block)
+    v = v.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return v.select(*keys, "id", "v", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), F.when(F.col("b") == F.col("o"), -1).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"))
+
+
+def all_pairs(vectors: DataFrame, id_col: str, vec_col: str, over: float | None = None, normalize: bool = False, block: int = 2048, digits: int = 6, keys: list[str] | None = None) -> DataFrame:
+    """keys, i, j, sim for i < j of one key, rounded to ``digits``; sim > over if given. ``normalize`` gives cosines (0 for zero vectors)."""
+
+    def emit(a: np.ndarray, b: np.ndarray, sim: np.ndarray, same: bool) -> Iterator[tuple]:
         ok = np.ones(sim.shape, bool) if over is None else sim > over
-        ok &= ids[left][:, None] < ids[right] if p == q else ids[left][:, None] != ids[right]
-        a, b = np.nonzero(ok)
-        for z in range(0, len(a), 100_000):
-            x, y = a[z : z + 100_000], b[z : z + 100_000]
-            i, j = ids[left[x]], ids[right[y]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(sim[x, y])], ["i", "j", "sim"])
-
-    return sent.groupBy("p", "q").applyInArrow(run, "i long, j long, sim double")
+        ok &= a[:, None] < b if same else a[:, None] != b
+        x, y = np.nonzero(ok)
+        for z in range(0, len(x), 100_000):
+            i, j = a[x[z : z + 100_000]], b[y[z : z + 100_000]]
+            yield np.minimum(i, j), np.maximum(i, j), sim[x[z : z + 100_000], y[z : z + 100_000]]
+
+    return _products(_self(vectors, id_col, vec_col, keys or [], block), keys or [], normalize, digits, emit, "i bigint, j bigint, sim double")
+
+
+def row_sums(vectors: DataFrame, id_col: str, vec_col: str, block: int = 2048, digits: int = 6, keys: list[str] | None = None) -> DataFrame:
+    """keys, i, n, total: how many other vectors of its key there are and the sum of the products with them."""
+
+    def emit(a: np.ndarray, b: np.ndarray, sim: np.ndarray, same: bool) -> Iterator[tuple]:
+        other = a[:, None] != b
+        yield a, other.sum(1), (sim * other).sum(1)
+        if not same:
+            yield b, other.sum(0), (sim * other).sum(0)
+
+    parts = _products(_self(vectors, id_col, vec_col, keys or [], block), keys or [], False, digits, emit, "i bigint, n bigint, total double")
+    return parts.groupBy(*(keys or []), "i").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def owner_maxima(vectors: DataFrame, id_col: str, vec_col: str, owner: Callable, block: int = 2048, digits: int = 6, keys: list[str] | None = None) -> DataFrame:
+    """keys, src, dst, sim: the largest product between members of two owners src < dst; ``owner`` maps an array of ids to owners."""
+
+    def emit(a: np.ndarray, b: np.ndarray, sim: np.ndarray, same: bool) -> Iterator[tuple]:
+        x, ax = np.unique(owner(a), return_inverse=True)
+        y, by = np.unique(owner(b), return_inverse=True)
+        best = np.full((len(x), len(y)), -np.inf)
+        np.maximum.at(best, (ax[:, None], by[None, :]), sim)
+        i, j = np.nonzero(x[:, None] < y if same else x[:, None] != y)
+        for z in range(0, len(i), 100_000):
+            s, t = x[i[z : z + 100_000]], y[j[z : z + 100_000]]
+            yield np.minimum(s, t), np.maximum(s, t), best[i[z : z + 100_000], j[z : z + 100_000]]
+
+    parts = _products(_self(vectors, id_col, vec_col, keys or [], block), keys or [], False, digits, emit, "src bigint, dst bigint, sim double")
+    return parts.groupBy(*(keys or []), "src", "dst").agg(F.max("sim").alias("sim"))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vec_col: str, k: int, block: int = 2048, digits: int = 6) -> DataFrame:
+    """q_id, item, score, rk: the k rows of the largest products with each query, but for the row of its own id; ties to the smaller id.
+
+    Every query meets every row, block against block; a task passes on the k best of
+    each of its queries.
+    """
+    q = _dealt(_shaped(queries, id_col, vec_col, []), [], block).withColumnRenamed("b", "p")
+    c = _dealt(_shaped(rows, id_col, vec_col, []), [], block).withColumnRenamed("b", "q")
+    many = lambda t: F.broadcast(t.agg(F.max("blocks").alias("__o")))  # noqa: E731  one number
+    each = F.explode(F.sequence(F.lit(0), F.col("__o") - 1))
+    left = q.join(many(c), F.lit(True)).select("id", "v", "p", each.alias("q"), F.lit(0).alias("side"))
+    right = c.join(many(q), F.lit(True)).select("id", "v", each.alias("p"), "q", F.lit(1).alias("side"))
+
+    def emit(a: np.ndarray, b: np.ndarray, sim: np.ndarray, _: bool) -> Iterator[tuple]:
+        sim = np.where(a[:, None] == b, -np.inf, sim)
+        at = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller
+        own = np.repeat(np.arange(len(a)), at.shape[1])
+        ok = np.isfinite(sim[own, at.ravel()])
+        own, at = own[ok], at.ravel()[ok]
+        yield a[own], b[at], sim[own, at]
+
+    got = _products(left.unionByName(right.select("id", "v", "p", "q", "side")), [], False, digits, emit, "q_id bigint, item bigint, score double")
+    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "item")
+    return got.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)

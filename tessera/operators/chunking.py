@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from tessera.functions.text import is_blank, strip, turn_line
+from tessera.functions.text import is_blank, strip, turn_line, turn_with_image
 
 
 def ordered_join(order: str, text: str, sep: str) -> Column:
@@ -40,6 +39,14 @@ def turn_chunks(turns: DataFrame, rounds: int = 1, tail_sep: str = "") -> DataFr
     return g.groupBy("conv_id", "session_ord", "block").agg(ordered_join("rn", "part", "").alias("chunk"))
 
 
+def turn_lines(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, session_ord, flat_ord, nested_ord, chunk: one chunk a turn, blank ones too, numbered in its conversation and its session."""
+    flat = Window.partitionBy("conv_id").orderBy("session_ord", "turn_ord")
+    nested = Window.partitionBy("conv_id", "session_ord").orderBy("turn_ord")
+    chunk = turn_with_image(F.col("speaker"), F.col("text"), F.col("img_url"), F.col("query"))
+    return turns.select("conv_id", F.col("turn_ord").alias("turn"), "session_ord", (F.row_number().over(flat) - 1).alias("flat_ord"), (F.row_number().over(nested) - 1).alias("nested_ord"), chunk.alias("chunk"))
+
+
 def timed_groups(turns: DataFrame, rounds: int = 1) -> DataFrame:
     """conv_id, session_ord, block, rows: the session's time, then a line per turn, each led by a line end."""
     g = turn_groups(turns, rounds).withColumn("part", F.concat(F.lit("\n"), F.col("line")))
@@ -55,31 +62,47 @@ def fold(costs: Sequence[int], budget: int, sep: int = 0) -> list[int]:
     """
     out, used, chunk = [], 0, 0
     for c in costs:
-        if used and used + sep + c > budget:
-            chunk += 1
-            used = c
-        else:
-            used = used + sep + c if used else c
+        used, chunk = step(used, chunk, c, budget, sep)
         out.append(chunk)
     return out
 
 
-def pack_ids(budget: int, sep: int = 0):
-    """``fold`` as a UDF over arrays of costs."""
+def step(used: int, chunk: int, cost: int, budget: int, sep: int) -> tuple[int, int]:
+    """What the current chunk has cost and its number, after one more item."""
+    if used and used + sep + cost > budget:
+        return cost, chunk + 1
+    return (used + sep + cost if used else cost), chunk
+
+
+def chunk_ids(items: DataFrame, keys: list[str], order: str, cost: str, budget: int, sep: int = 0) -> DataFrame:
+    """items with chunk_id, by ``fold`` over each key's items in order.
+
+    The items of a key pass through one task in sorted order and only the state of
+    the fold is held, so a key may be of any length.
+    """
+    schema = items.withColumn("chunk_id", F.lit(0)).schema
+    at = [items.columns.index(c) for c in keys]
+    price = items.columns.index(cost)
+    names = [*items.columns, "chunk_id"]
 
-    @pandas_udf("array<int>")
-    def ids(costs: pd.Series) -> pd.Series:
-        return costs.map(lambda x: fold(x, budget, sep) if x is not None else None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used, chunk = None, 0, 0
+        for b in batches:
+            out = []
+            for own, c in zip(zip(*(b.column(i).to_pylist() for i in at)), b.column(price).to_pylist()):
+                if own != last:
+                    last, used, chunk = own, 0, 0
+                used, chunk = step(used, chunk, c or 0, budget, sep)
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names)
 
-    return ids
+    return items.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
 def pack(items: DataFrame, keys: list[str], order: str, text: str, cost: str, budget: int, sep: int = 0, joiner: str = "\n") -> DataFrame:
-    """keys, chunk_id, chunk: the items of each key packed in order. The fold is per key, so keys run in parallel."""
-    lists = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, text, cost))).alias("__i"))
-    lists = lists.withColumn("__c", pack_ids(budget, sep)(F.transform("__i", lambda x: x[cost].cast("int"))))
-    rows = lists.select(*keys, F.inline(F.arrays_zip("__i", "__c"))).select(*keys, F.col("__i." + order).alias("__o"), F.col("__i." + text).alias("__t"), F.col("__c").alias("chunk_id"))
-    return rows.groupBy(*keys, "chunk_id").agg(ordered_join("__o", "__t", joiner).alias("chunk"), F.count("*").alias("n_items"))
+    """keys, chunk_id, chunk, n_items: the items of each key packed in order. The fold is per key, so keys run in parallel."""
+    rows = chunk_ids(items.select(*keys, order, text, cost), keys, order, cost, budget, sep)
+    return rows.groupBy(*keys, "chunk_id").agg(ordered_join(order, text, joiner).alias("chunk"), F.count("*").alias("n_items"))
 
 
 def cut(lines: DataFrame, boundaries: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:

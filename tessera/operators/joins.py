@@ -15,16 +15,18 @@ def session_bodies(turns: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "session_ord", "date_time").agg(ordered_join("turn_ord", "__t", "\n").alias("body"))
 
 
-def attach_times(chunks: DataFrame, bodies: DataFrame, key: str = "conv_id") -> DataFrame:
+def attach_times(chunks: DataFrame, bodies: DataFrame, key: str = "conv_id", ids: tuple[str, ...] = ("session_ord", "block")) -> DataFrame:
     """chunks with ``timestamp``: the time of the conversation's first session that contains the chunk's anchor.
 
-    The anchor is the chunk's first line without its image and speaker. An equi
-    join on the conversation, then the substring test; nothing found gives null.
+    (key, ids) tell chunks apart. The anchor is the chunk's first line without its
+    image and speaker. An equi join on the conversation, then the substring test;
+    nothing found gives null.
     """
-    c = chunks.withColumn("__id", F.monotonically_increasing_id()).withColumn("anchor", strip_speaker(remove_image(first_line(F.col("chunk")))))
-    hit = c.select("__id", key, "anchor").join(bodies, key).where(F.contains("body", "anchor"))
-    first = hit.groupBy("__id").agg(F.min_by("date_time", "session_ord").alias("timestamp"))
-    return c.join(first, "__id", "left").drop("__id")
+    own = [key, *ids]
+    c = chunks.withColumn("anchor", strip_speaker(remove_image(first_line(F.col("chunk")))))
+    hit = c.select(*own, "anchor").join(bodies.select(key, F.col("session_ord").alias("__s"), "date_time", "body"), key).where(F.contains("body", "anchor"))
+    first = hit.groupBy(*own).agg(F.min_by("date_time", "__s").alias("timestamp"))
+    return c.join(first, own, "left")
 
 
 def resolve_evidence(qa: DataFrame, turns: DataFrame) -> DataFrame:
@@ -34,8 +36,8 @@ def resolve_evidence(qa: DataFrame, turns: DataFrame) -> DataFrame:
     return hit.groupBy("conv_id", "q_ord", "question").agg(F.transform(F.array_sort(F.collect_list(F.struct("ev_ord", "text"))), lambda x: x["text"]).alias("evidence"))
 
 
-def first_questions(turns: DataFrame) -> DataFrame:
-    """conv_id, turn_ord, question, answer: the first user turn of each conversation and the turn after it."""
+def questions(turns: DataFrame) -> DataFrame:
+    """conv_id, turn_ord, question, answer: every user turn and the turn after it (null if none follows)."""
     w = Window.partitionBy("conv_id").orderBy("turn_ord")
     rows = turns.withColumn("answer", F.lead("text").over(w)).where("speaker = 'user'")
-    return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").select("conv_id", "turn_ord", F.col("text").alias("question"), "answer")
+    return rows.select("conv_id", "turn_ord", F.col("text").alias("question"), "answer")

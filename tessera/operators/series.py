@@ -88,25 +88,21 @@ def valleys(series: DataFrame, keys: list[str], order: list[str], value: str, pr
     return series.select(*dict.fromkeys([*keys, *order, value])).groupBy(*keys).applyInPandas(run, schema)
 
 
-def predict_next_scores(vectors: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, i, sim: mean inner product of the prediction at i with the actual i+1..i+3 (vectors: keys, i, v)."""
-    from tessera.operators.vectors import dot
+def prefixes(lines: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """lines with prefix: the key's lines up to and with this one, joined by line ends."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lines.withColumn("prefix", F.array_join(F.collect_list(text).over(w), "\n"))
 
-    a = predicted.select(*keys, "i", F.col("v").alias("__p"))
-    b = vectors.select(*keys, F.col("i").alias("j"), F.col("v").alias("__v"))
-    ahead = a.select("*", F.explode(F.sequence(F.col("i") + 1, F.col("i") + 3)).alias("j"))
-    return ahead.join(b, [*keys, "j"]).groupBy(*keys, "i").agg(F.avg(dot(F.col("__p"), F.col("__v"))).alias("sim"))
 
+def forward_similarity(turns: DataFrame, predicted: DataFrame, actual: DataFrame, keys: list[str], order: str, ahead: int = 3) -> DataFrame:
+    """keys, order, sim: mean inner product of the vector predicted at a turn with those of the next ``ahead`` turns (last turns are absent).
 
-def forward_similarity(turns: DataFrame, sparse: DataFrame, keys: list[str], order: str, ahead: int = 3) -> DataFrame:
-    """keys, order, sim: mean inner product of a turn's vector with those of the next ``ahead`` turns (last turns are absent).
-
-    sparse: keys, order, bucket, weight. Turns without common buckets count as 0.
+    predicted, actual: keys, order, bucket, weight. Turns without common buckets count as 0.
     """
     t = turns.select(*keys, order)
     near = t.withColumn("__j", F.explode(F.sequence(F.col(order) + 1, F.col(order) + ahead))).join(t.withColumnRenamed(order, "__j"), [*keys, "__j"])
-    a = near.join(sparse.withColumnRenamed("weight", "__a"), [*keys, order])
-    b = sparse.select(*keys, F.col(order).alias("__j"), "bucket", F.col("weight").alias("__b"))
+    a = near.join(predicted.withColumnRenamed("weight", "__a"), [*keys, order])
+    b = actual.select(*keys, F.col(order).alias("__j"), "bucket", F.col("weight").alias("__b"))
     dots = a.join(b, [*keys, "__j", "bucket"]).groupBy(*keys, order).agg(F.sum(F.col("__a") * F.col("__b")).alias("__s"))
     n = near.groupBy(*keys, order).agg(F.count("*").alias("__n"))
     return n.join(dots, [*keys, order], "left").select(*keys, order, F.round(F.coalesce("__s", F.lit(0.0)) / F.col("__n"), 6).alias("sim"))

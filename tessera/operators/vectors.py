@@ -40,25 +40,27 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
 
 
-def pairs(vectors: DataFrame, id_col: str, vec_col: str, keys: list[str], both_halves: bool = False) -> DataFrame:
-    """keys, i, j, sim: inner products of all pairs within a key (i < j, or all ordered pairs with the diagonal).
-
-    An equi-join on ``keys`` (add a block column to bound a group), never a
-    broadcast: quadratic only in the size of a key's group.
-    """
-    a = vectors.select(*keys, F.col(id_col).alias("i"), F.col(vec_col).alias("__a"))
-    b = vectors.select(*keys, F.col(id_col).alias("j"), F.col(vec_col).alias("__b"))
-    j = a.join(b, keys) if both_halves else a.join(b, keys).where("i < j")
-    return j.select(*keys, "i", "j", F.round(dot(F.col("__a"), F.col("__b")), 6).alias("sim"))
-
-
 def top_k(scores: DataFrame, group: list[str], item: str, k: int, score: str = "score") -> DataFrame:
     """scores with rk <= k: best first, ties to the smaller item (a partial top-k per task, then one per group)."""
     w = Window.partitionBy(*group).orderBy(F.desc(score), item)
     return scores.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def max_pair_similarity(sims: DataFrame, owner_i: Column, owner_j: Column, keys: list[str]) -> DataFrame:
-    """keys, src, dst, sentence_similarity: the largest similarity between members of two owners, at least 0."""
-    rows = sims.select(*keys, F.least(owner_i, owner_j).alias("src"), F.greatest(owner_i, owner_j).alias("dst"), "sim").where("src <> dst")
-    return rows.groupBy(*keys, "src", "dst").agg(F.greatest(F.lit(0.0), F.max("sim")).alias("sentence_similarity"))
+def sparse_pairs(sparse: DataFrame, key: str, item: str) -> DataFrame:
+    """key, i, j, sim: inner products of the items i < j of one key that share a bucket."""
+    a = sparse.select(key, "bucket", F.col(item).alias("i"), F.col("weight").alias("__a"))
+    b = sparse.select(key, "bucket", F.col(item).alias("j"), F.col("weight").alias("__b"))
+    return a.join(b, [key, "bucket"]).where("i < j").groupBy(key, "i", "j").agg(F.round(F.sum(F.col("__a") * F.col("__b")), 6).alias("sim"))
+
+
+def by_position(top: DataFrame, group: list[str], item: str) -> DataFrame:
+    """top with ord: the items of each group in their own order, from 1."""
+    return top.withColumn("ord", F.row_number().over(Window.partitionBy(*group).orderBy(item)))
+
+
+def cells(items: DataFrame, sims: DataFrame, key: str, item: str) -> DataFrame:
+    """key, i, j, value: the whole matrix of each key's items, 0 where no similarity is given and 1 on the diagonal."""
+    a, b = items.select(key, F.col(item).alias("i")), items.select(key, F.col(item).alias("j"))
+    half = a.join(b, key).where("i < j").join(sims, [key, "i", "j"], "left").select(key, "i", "j", F.coalesce("sim", F.lit(0.0)).alias("value"))
+    own = a.select(key, "i", F.col("i").alias("j"), F.lit(1.0).alias("value"))
+    return half.unionByName(half.select(key, F.col("j").alias("i"), F.col("i").alias("j"), "value")).unionByName(own)

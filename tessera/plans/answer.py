@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.providers import PROMPTS, Provider, call
 from tessera.functions.text import extract_json, json_field
+from tessera.operators.chunking import ordered_join
 
+# The numbers that questions are labelled with.
 CATEGORIES = {4: "single-hop", 1: "multi-hop", 2: "temporal", 3: "open-domain"}
 
 
@@ -62,9 +64,9 @@ def category(label: Column) -> Column:
     return out
 
 
-def scores_by_category(rows: DataFrame) -> DataFrame:
-    """category, rating, n, errors of rows (category label, rating or null); categories without a rating are absent."""
-    g = rows.groupBy(category(F.col("label")).alias("category"))
+def scores_by_category(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, category, rating, n, errors of rows (category label, rating or null); categories without a rating are absent."""
+    g = rows.groupBy(*(keys or []), category(F.col("label")).alias("category"))
     return g.agg(F.avg("rating").alias("rating"), F.count("rating").alias("n"), F.sum(F.col("rating").isNull().cast("bigint")).alias("errors")).where("n > 0")
 
 
@@ -85,3 +87,33 @@ def relevance(rows: DataFrame, provider: Provider, **options) -> DataFrame:
     out = call(rows.withColumn("prompt", render("relevance", question=F.col("question"), context=F.col("context"))), provider, **options)
     got = F.from_json(json_field(extract_json(F.col("response")), "$.results"), "array<struct<doc_id:bigint,score:double>>")
     return out.select("q_id", F.inline(got)).select("q_id", F.col("doc_id").alias("node"), "score")
+
+
+def predict(rows: DataFrame, provider: Provider, **options) -> DataFrame:
+    """rows (context) with predicted: the next turn as the provider writes it, empty where the call failed."""
+    out = call(rows.withColumn("prompt", render("predict", context=F.col("context"))), provider, **options)
+    return out.withColumn("predicted", F.coalesce("response", F.lit("")))
+
+
+def sufficient(rows: DataFrame, provider: Provider, **options) -> DataFrame:
+    """rows (question, context) with verdict: 0, 1 or 2, null where the call or its parsing failed."""
+    out = call(rows.withColumn("prompt", render("sufficiency", question=F.col("question"), context=F.col("context"))), provider, **options)
+    return out.withColumn("verdict", json_field(extract_json(F.col("response")), "$.result", "int"))
+
+
+def contexts(questions: DataFrame, retrieved: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """questions with context: what was retrieved for each (keys), in order, a line a document; empty if nothing was."""
+    joined = retrieved.groupBy(*keys).agg(ordered_join(order, text, "\n").alias("context"))
+    return questions.join(joined, keys, "left").withColumn("context", F.coalesce("context", F.lit("")))
+
+
+def long_contexts(questions: DataFrame, lines: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """questions with context: all lines of their key, one text for all questions of a key."""
+    return contexts(questions, lines, [key], order, text)
+
+
+def answer_and_rate(rows: DataFrame, answerer: Provider, judge_: Provider, scale: str = "0-100", prompt: str = "answer") -> DataFrame:
+    """rows (question, truth, context, label) with answer, status and rating (null where judging failed)."""
+    answered = answer(rows, answerer, prompt).select(*rows.columns, "answer", F.col("status").alias("answer_status"))
+    rated = judge(answered, judge_, scale)
+    return rated.select(*rows.columns, "answer", F.col("answer_status").alias("status"), "rating")

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.providers import Provider
+from tessera.functions.text import timed
 from tessera.operators.graph import unvisited_neighbors
+from tessera.plans.answer import contexts, relevance, sufficient
 from tessera.plans.storage import checkpoint
 
 
@@ -49,3 +52,25 @@ def expand(anchors: DataFrame, sym: DataFrame, judge: Callable[[DataFrame], Data
         return docs, checkpoint(status)
     finally:
         spark.conf.set(key, before)
+
+
+def expand_text(questions: DataFrame, anchors: DataFrame, nodes: DataFrame, sym: DataFrame, judge: Provider, scorer: Provider, keep: int = 5, max_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(docs with their texts, status) of ``expand`` with both judgements by providers.
+
+    questions: q_id, question; nodes: node, chunk, timestamp. A document is
+    ``time:...,content:...``; nodes without text are never documents.
+    """
+    nodes = nodes.where(F.length("chunk") > 0).select("node", "chunk", timed(F.col("timestamp"), F.col("chunk"), ",").alias("doc"))
+    texts = nodes.select("node", "doc")
+
+    def verdicts(docs: DataFrame) -> DataFrame:
+        held = docs.join(texts, "node").withColumn("__o", F.struct("round", "ord"))
+        asked = contexts(questions.join(docs.select("q_id").distinct(), "q_id", "left_semi"), held, ["q_id"], "__o", "doc")
+        return sufficient(asked, judge).select("q_id", "verdict")
+
+    def scores(found: DataFrame) -> DataFrame:
+        listed = found.join(nodes, "node").groupBy("q_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("node").cast("string"), "chunk"))))).alias("context"))
+        return relevance(listed.join(questions, "q_id"), scorer).join(found, ["q_id", "node"], "left_semi")
+
+    docs, status = expand(anchors.join(texts, "node", "left_semi"), sym, verdicts, scores, keep, max_rounds)
+    return docs.join(texts, "node"), status

@@ -19,24 +19,22 @@ def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str =
 
 
 def append_edges(store: str, over: float) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: joins a batch of nodes (conv_id, node, v) with the stored ones of its conversations and itself; appends both."""
+    """For foreachBatch: joins a batch of nodes (conv_id, node, v) with the stored ones of its conversations and itself; stores both.
 
-    def add(batch: DataFrame, _: int) -> None:
+    Each batch has folders of its own (batch=<id>), written over if the batch is
+    replayed, and is joined with those of earlier batches only: a batch that failed
+    between its two writes, or ran twice, leaves the same rows.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            old = spark.read.schema(batch.schema).parquet(f"{store}/nodes") if _exists(spark, f"{store}/nodes") else batch.limit(0)
-            a = batch.select("conv_id", F.col("node").alias("j"), F.col("v").alias("__b"))
-            b = old.unionByName(batch).select("conv_id", F.col("node").alias("i"), F.col("v").alias("__a"))
-            sims = b.join(a, "conv_id").where("i < j").select("conv_id", "i", "j", dot(F.col("__a"), F.col("__b")).alias("sim"))
-            simple_edges(sims, ["conv_id"], over).write.mode("append").parquet(f"{store}/edges")
-            batch.write.mode("append").parquet(f"{store}/nodes")
-        finally:
-            batch.unpersist()
+        own = f"{store}/nodes/batch={number}"
+        batch.write.mode("overwrite").parquet(own)  # read back, so that both uses see one batch
+        batch = spark.read.schema(batch.schema).parquet(own)
+        old = spark.read.schema(batch.schema.add("batch", "long")).option("basePath", f"{store}/nodes").parquet(f"{store}/nodes").where(F.col("batch") < number).drop("batch")
+        a = batch.select("conv_id", F.col("node").alias("j"), F.col("v").alias("__b"))
+        b = old.unionByName(batch).select("conv_id", F.col("node").alias("i"), F.col("v").alias("__a"))
+        sims = b.join(a, "conv_id").where("i < j").select("conv_id", "i", "j", dot(F.col("__a"), F.col("__b")).alias("sim"))
+        simple_edges(sims, ["conv_id"], over).write.mode("overwrite").parquet(f"{store}/edges/batch={number}")
 
     return add
-
-
-def _exists(spark, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, series
-from tessera.operators.blocked import all_pairs
+from tessera.operators.blocked import all_pairs, nearest, owner_maxima, row_sums
 
 
 @settings(max_examples=60, deadline=None)
@@ -45,3 +45,79 @@ def test_peaks_are_apart_and_high(values):
     p = series.peaks(x, 1.0, 3, 0)
     assert all(b - a >= 3 for a, b in zip(p, p[1:]))
     assert all(x[k] >= x[k - 1] and x[k] >= x[k + 1] for k in p)
+
+
+def peaks_by_definition(x, prominence, distance, width):
+    """Peaks one property at a time, each straight from its definition."""
+    n, found, i = len(x), [], 1
+    while i < n - 1:
+        j = i
+        while j + 1 < n and x[j + 1] == x[i]:
+            j += 1
+        if x[i - 1] < x[i] and j + 1 < n and x[j + 1] < x[i]:
+            found.append((i + j) // 2)
+        i = j + 1
+    kept = list(found)
+    for p in sorted(found, key=lambda p: (x[p], p), reverse=True):  # the highest first, of equal ones the last
+        if p in kept:
+            kept = [q for q in kept if q == p or abs(q - p) >= distance]
+    out = []
+    for p in kept:
+        left, right = p, p
+        while left > 0 and x[left - 1] <= x[p]:
+            left -= 1
+        while right < n - 1 and x[right + 1] <= x[p]:
+            right += 1
+        drop = x[p] - max(min(x[left : p + 1]), min(x[p : right + 1]))
+        if drop < prominence:
+            continue
+        level, a, b = x[p] - drop / 2, float(p), float(p)
+        low = min(range(left, p + 1), key=lambda k: (x[k], -k))
+        high = min(range(p, right + 1), key=lambda k: (x[k], k))
+        k = p
+        while k > low and x[k] > level:
+            k -= 1
+        a = k + (level - x[k]) / (x[k + 1] - x[k]) if x[k] < level else k
+        k = p
+        while k < high and x[k] > level:
+            k += 1
+        b = k - (level - x[k]) / (x[k - 1] - x[k]) if x[k] < level else k
+        if b - a >= width:
+            out.append(p)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-6, 6), min_size=1, max_size=30), st.sampled_from([0.05, 1, 3]), st.integers(1, 5), st.sampled_from([0, 1, 2]))
+def test_peaks_match_their_definition(values, prominence, distance, width):
+    x = np.array(values, float)
+    assert series.peaks(x, prominence, distance, width).tolist() == peaks_by_definition(x, prominence, distance, width)
+
+
+def test_nearest_in_blocks_equals_a_matrix(spark):
+    v = np.random.default_rng(1).standard_normal((60, 4)).round(1)
+    v[30:] = v[:30]  # ties
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = {}
+    for r in nearest(rows.where("id % 7 = 0"), rows, "id", "v", 5, block=16).collect():
+        got.setdefault(r.q_id, {})[r.rk] = r.item
+    m = (v @ v.T).round(6)
+    for q in range(0, 60, 7):
+        order = [int(i) for i in np.lexsort((np.arange(60), -m[q])) if i != q][:5]
+        assert [got[q][k] for k in range(1, 6)] == order
+    few = nearest(rows.where("id < 2"), rows.where("id < 2"), "id", "v", 5).collect()
+    assert sorted((r.q_id, r.item) for r in few) == [(0, 1), (1, 0)]
+
+
+def test_sums_and_maxima_by_blocks(spark):
+    v = np.random.default_rng(3).standard_normal((50, 4))
+    rows = spark.createDataFrame([(i % 2, i, x.tolist()) for i, x in enumerate(v)], "k int, id long, v array<double>")
+    m = (v @ v.T).round(6)
+    np.fill_diagonal(m, 0)
+    for keys, ok in ((None, np.ones((50, 50), bool)), (["k"], np.add.outer(np.arange(50), np.arange(50)) % 2 == 0)):
+        sums = {r.i: (r.n, r.total) for r in row_sums(rows, "id", "v", block=8, keys=keys).collect()}
+        assert all(abs(sums[i][1] - (m * ok)[i].sum()) < 1e-9 and sums[i][0] == ok[i].sum() - 1 for i in range(50))
+        best = {(r.src, r.dst): r.sim for r in owner_maxima(rows, "id", "v", lambda x: x // 10, block=8, keys=keys).groupBy("src", "dst").agg(F.max("sim").alias("sim")).collect()}
+        assert best == {(a, b): np.where(ok, m, -9)[10 * a : 10 * a + 10, 10 * b : 10 * b + 10].max() for a in range(5) for b in range(a + 1, 5)}
+        pairs = {(r.i, r.j) for r in all_pairs(rows, "id", "v", block=8, keys=keys).collect()}
+        assert pairs == {(i, j) for i in range(50) for j in range(i + 1, 50) if ok[i, j]}

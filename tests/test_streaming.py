@@ -23,5 +23,8 @@ def test_edges_of_new_nodes(spark, tmp_path):
     schema = "conv_id int, node int, v array<float>"
     add(spark.createDataFrame([(0, 0, [1.0, 0.0]), (0, 1, [0.9, 0.1]), (1, 5, [1.0, 0.0])], schema), 0)
     add(spark.createDataFrame([(0, 2, [1.0, 0.0]), (0, 3, [0.0, 1.0])], schema), 1)
+    add(spark.createDataFrame([(0, 2, [1.0, 0.0]), (0, 3, [0.0, 1.0])], schema), 1)  # a replayed batch
+    add(spark.createDataFrame([(0, 0, [1.0, 0.0]), (0, 1, [0.9, 0.1]), (1, 5, [1.0, 0.0])], schema), 0)
+    assert spark.read.parquet(str(tmp_path / "g/nodes")).count() == 5
     got = sorted((r.conv_id, r.src, r.dst) for r in spark.read.parquet(str(tmp_path / "g/edges")).collect())
     assert got == [(0, 0, 1), (0, 0, 2), (0, 1, 2)]

@@ -1,5 +1,8 @@
 """Small literal cases, one per semantic edge."""
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -67,7 +70,7 @@ def test_cut(spark):
 
 def test_times(spark):
     body = spark.createDataFrame([(0, 0, "first", "hello\nworld"), (0, 1, "second", "hello")], "conv_id int, session_ord int, date_time string, body string")
-    c = spark.createDataFrame([(0, "A: hello"), (0, "A: changed"), (0, "A: ,image: x")], "conv_id int, chunk string")
+    c = spark.createDataFrame([(0, 0, 0, "A: hello"), (0, 0, 1, "A: changed"), (0, 0, 2, "A: ,image: x")], "conv_id int, session_ord int, block int, chunk string")
     got = {r.chunk: r.timestamp for r in joins.attach_times(c, body).collect()}
     assert got == {"A: hello": "first", "A: changed": None, "A: ,image: x": "first"}
 
@@ -97,10 +100,34 @@ def test_pagerank_sums_to_one(spark):
     nodes = spark.createDataFrame([(i,) for i in range(4)], "node int")
     e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 2.0)], "src int, dst int, weight double")
     seeds = spark.createDataFrame([(7, 0, 1.0)], "q_id int, node int, p double")
-    x = graph.personalized_pagerank(nodes, graph.symmetric(e, []), seeds, rounds=6).collect()
+    x = graph.personalized_pagerank(nodes, graph.symmetric(e, []), seeds).collect()
     assert abs(sum(r["rank"] for r in x) - 1) < 1e-9
 
 
+def test_pagerank_solves_the_equations(spark):
+    """Ranks against a linear solve, for two questions over a graph with loose nodes and a part no walk reaches."""
+    r = np.random.default_rng(2)
+    n = 24
+    edges = {(int(min(a, b)), int(max(a, b))): float(w) for a, b, w in zip(r.integers(0, 18, 40), r.integers(0, 18, 40), r.uniform(0.1, 1, 40)) if a != b} | {(20, 21): 1.0}
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node int")
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src int, dst int, weight double")
+    marks = {1: {0: 0.5, 5: 0.5}, 2: {3: 0.25, 19: 0.75}}
+    seeds = spark.createDataFrame([(q, k, p) for q, s in marks.items() for k, p in s.items()], "q_id int, node int, p double")
+    got = {(x.q_id, x.node): x["rank"] for x in graph.personalized_pagerank(nodes, graph.symmetric(e, []), seeds, tolerance=1e-9).collect()}
+    m = np.zeros((n, n))
+    for (a, b), w in edges.items():
+        m[a, b] = m[b, a] = w
+    for q, s in marks.items():
+        v = np.zeros(n)
+        v[list(s)] = list(s.values())
+        walk = np.array([m[i] / m[i].sum() if m[i].sum() else v for i in range(n)])
+        want = np.linalg.solve(np.eye(n) - 0.85 * walk.T, 0.15 * v)
+        assert all(abs(got.get((q, i), 0.0) - want[i]) < 1e-8 for i in range(n))
+        assert not any((q, i) in got for i in (20, 21, 22, 23))
+    with pytest.raises(RuntimeError):
+        graph.personalized_pagerank(nodes, graph.symmetric(e, []), seeds, tolerance=1e-9, most_rounds=5)
+
+
 def test_scores(spark):
     rows = spark.createDataFrame([(4, 80.0), (4, None), (1, 60.0), (9, 10.0)], "label int, rating double")
     assert {r.category: r.rating for r in scores_by_category(rows).collect()} == {"single-hop": 80.0, "multi-hop": 60.0, "Unknown": 10.0}
