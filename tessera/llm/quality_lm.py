@@ -18,8 +18,8 @@ In back-off form a document's log probability is a sum over the n-grams of all
 orders in it, each with one weight: what it adds to the lower order where it was
 seen, and its back-off weight as a context of the next word. So documents ask for
 weights, a block for its distinct n-grams once, and a block's answers meet again with
-its words. This runs in ``batches`` parts, and a part's shuffle files go when it is
-written.
+its words. This runs in ``batches`` parts, whose tables and shuffle files go when they
+are scored; the weights are bucketed by shard, so no part shuffles them.
 
 Thresholds are quantiles over bins of log perplexity, ``BIN`` wide: sums that do not
 depend on the order of merging, at most ``BIN`` (relative) above the exact quantile.
@@ -41,13 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MULT, Workspace, gram_hashes, hash_words, mix, shuffle_partitions, texts_of
+from tessera.llm.common import MULT, Workspace, gram_hashes, hash_words, mix, shuffle_partitions, sorted_runs, texts_of
 from tessera.llm.ngram_join import _arrays, _of
 
 BEGIN, END = np.uint64(1), np.uint64(2)
 POSITIONS = 600_000  # words that a task deals at once
 PER_SHARD = 1_200_000
-BIN = 1e-4
+BIN = 1e-3
 NAMES = ["shard", "kind", "origin", "blob"]
 SHARDED = "shard int, kind int, origin int, blob binary"
 GRAMS, STATS, CONTEXTS, ASKS, LOWER, SUMS, ANSWERS, WEIGHTS = range(2, 10)
@@ -304,41 +304,51 @@ def train(ws: Workspace, docs: DataFrame, order: int, shards: int) -> tuple[Data
     weights = parts[0]
     for p in parts[1:]:
         weights = weights.unionByName(p)
-    model = ws.write(_merge(weights), "weights", clean=True)
+    with sorted_runs(ws.spark):
+        model = ws.write_sorted(_merge(weights), "weights", ["shard"])  # so that no batch shuffles it
     ws.drop_but(model)
     return model, spare
 
 
-def _all_grams(flat: np.ndarray, lens: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, documents) of the n-grams of each order up to ``order`` in sequences laid end to end."""
+def _all_grams(word: np.ndarray, at: np.ndarray, lens: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order, the hashes of n-grams, and the place of each n-gram's hash and its document, in sequences laid end to end.
+
+    ``word`` are the distinct words and ``at`` their places in the sequences.
+    """
     doc = np.repeat(np.arange(len(lens)), lens)
-    out = []
-    for n in range(1, order + 1):
+    out = [(gram_hashes(word, 1), at, doc)]
+    flat = word[at]
+    for n in range(2, order + 1):
         h = gram_hashes(flat, n)
         same = doc[: len(h)] == doc[n - 1 : n - 1 + len(h)]
-        out.append((h[same], doc[: len(h)][same]))
+        name, inv = np.unique(h[same], return_inverse=True)
+        out.append((name, inv, doc[: len(h)][same]))
     return out
 
 
-ASKED = SHARDED + ", base long, doc_id array<long>, lang array<string>, unseen array<boolean>"
+ASKED = "shard int, base long, blob binary, doc_id array<long>, lang array<string>, unseen array<boolean>"
+_LISTS = [pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_())]
+
+
+def _asked(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.binary(), *_LISTS]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in ASKED.split(", ")])
 
 
 def _ask(docs: DataFrame, order: int, shards: int) -> DataFrame:
-    """kind 0: the distinct n-grams of a block that belong to a shard. kind 1 (shard < 0): the block's rows and words."""
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_())]
-    names = [x.split()[0] for x in ASKED.split(", ")]
+    """shard >= 0: the distinct n-grams of a block that belong there. shard null: the block's rows and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33  # rows are numbered by place in the task's input, so a retry gives the same numbers
         meta, held, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            flat, lens = np.concatenate(held), np.array([len(x) for x in held], np.int32)
-            word, at = np.unique(flat, return_inverse=True)
-            rows = [(-1 - (base >> 33) % shards, 1, 0, _arrays(word, at.astype(np.uint32), lens), base, *map(list, zip(*meta)))]
-            every = np.unique(np.concatenate([h for h, _ in _all_grams(flat, lens, order)]))
-            rows += [(*r, base, None, None, None) for r in _to_shards(0, 0, every, shards, every)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+            lens = np.array([len(x) for x in held], np.int32)
+            word, at = np.unique(np.concatenate(held), return_inverse=True)
+            rows = [(None, base, _arrays(word, at.astype(np.uint32), lens), *map(list, zip(*meta)))]
+            for n, (name, _, _) in enumerate(_all_grams(word, at, lens, order)):
+                rows += [(s, base, _arrays(np.array([n]), *_of(blob)), None, None, None) for s, _, _, blob in _to_shards(0, 0, name, shards, name)]
+            return _asked(rows)
 
         for b in batches:
             for doc_id, lang, unseen, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts_of(b)):
@@ -355,40 +365,25 @@ def _ask(docs: DataFrame, order: int, shards: int) -> DataFrame:
     return docs.select("doc_id", "lang", "unseen", "text").mapInArrow(run, ASKED)
 
 
-ANSWER = "base long, shard int, blob binary, doc_id array<long>, lang array<string>, unseen array<boolean>"
-
-
-def _answer(rows: DataFrame) -> DataFrame:
-    """Per block: its rows and words once, and from every shard that it asked the places and weights of the n-grams known there."""
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_())]
-    names = [x.split()[0] for x in ANSWER.split(", ")]
+def _answer(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """Per block, from every shard that it asked, the places and weights of the n-grams known there."""
 
-    def out(row: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names)
-
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, asked, model = key[0].as_py(), [], None
-        for b in batches:
-            f = b.schema.get_field_index
-            for kind, base, blob, *meta in zip(*(b.column(f(c)).to_pylist() for c in ("kind", "base", "blob", "doc_id", "lang", "unseen"))):
-                if kind == 1:
-                    yield out((base, None, blob, *meta))
-                elif kind == 0:
-                    asked.append((base, blob))
-                else:
-                    model = _of(blob)
-        if model is None:
-            return
-        for base, blob in asked:
-            (own,) = _of(blob)
-            i = np.minimum(np.searchsorted(model[0], own), len(model[0]) - 1)
-            at = np.flatnonzero(model[0][i] == own)
-            yield out((base, me, _arrays(at.astype(np.uint32), model[1][i[at]]), None, None, None))
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(right):
+            name, value = _of(right.column("blob")[0].as_py())
+            for shard, base, blob in zip(*(left.column(c).to_pylist() for c in ("shard", "base", "blob"))):
+                n, own = _of(blob)
+                i = np.minimum(np.searchsorted(name, own), len(name) - 1)
+                at = np.flatnonzero(name[i] == own)
+                out.append((shard, base, _arrays(n, at.astype(np.uint32), value[i[at]]), None, None, None))
+        empty = pa.schema(list(zip([x.split()[0] for x in ASKED.split(", ")], [pa.int32(), pa.int64(), pa.binary(), *_LISTS])))
+        return pa.Table.from_batches([_asked(out)]) if out else empty.empty_table()
 
-    return rows.groupBy("shard").applyInArrow(run, ANSWER)
+    return asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(run, ASKED)
 
 
-def _collect(answers: DataFrame, order: int, shards: int, spare: float) -> DataFrame:
+def _collect(rows: DataFrame, order: int, shards: int, spare: float) -> DataFrame:
     """doc_id, lang, unseen, n_words, s: the log probability of every row of a block."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,23 +396,20 @@ def _collect(answers: DataFrame, order: int, shards: int, spare: float) -> DataF
                 else:
                     parts.append((shard, *_of(blob)))
         word, at, lens = words
-        grams = _all_grams(word[at], lens, order)
-        every = np.unique(np.concatenate([h for h, _ in grams]))
-        value = np.full(len(every), np.nan)
-        home = (every % np.uint64(shards)).astype(np.int64)
-        by = np.argsort(home, kind="stable")
-        start = np.searchsorted(home[by], np.arange(shards))
-        for shard, i, v in parts:
-            value[by[start[shard] + i]] = v.view(np.float64)
         total = np.zeros(len(lens))
-        for n, (h, doc) in enumerate(grams, 1):
-            v = value[np.searchsorted(every, h)]
-            v = np.where(np.isnan(v), spare if n == 1 else 0.0, v)
-            total += np.bincount(doc, weights=v, minlength=len(lens))
+        for n, (name, place, doc) in enumerate(_all_grams(word, at.astype(np.int64), lens, order)):
+            value = np.full(len(name), 0.0 if n else spare)
+            home = (name % np.uint64(shards)).astype(np.int64)
+            by = np.argsort(home, kind="stable")
+            start = np.searchsorted(home[by], np.arange(shards))
+            for shard, own, i, v in parts:
+                if own[0] == n:
+                    value[by[start[shard] + i]] = v.view(np.float64)
+            total += np.bincount(doc, weights=value[place], minlength=len(lens))
         n_words = np.maximum(lens.astype(np.int64) - 2, 0)
         yield pa.RecordBatch.from_arrays([pa.array(meta[0], pa.int64()), pa.array(meta[1], pa.string()), pa.array(meta[2], pa.bool_()), pa.array(n_words), pa.array(total)], ["doc_id", "lang", "unseen", "n_words", "s"])
 
-    return answers.groupBy("base").applyInArrow(run, "doc_id long, lang string, unseen boolean, n_words long, s double")
+    return rows.groupBy("base").applyInArrow(run, "doc_id long, lang string, unseen boolean, n_words long, s double")
 
 
 def thresholds(known: DataFrame, quantile: float) -> tuple[DataFrame, float | None]:
@@ -434,7 +426,7 @@ def thresholds(known: DataFrame, quantile: float) -> tuple[DataFrame, float | No
     return edge(bins, ["lang"]), whole and whole.t
 
 
-def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order: int = 2, batches: int = 8) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order: int = 2, batches: int = 6) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, keep of every row of docs."""
     spark = docs.sparkSession
     ws = Workspace(spark, "quality-lm")
@@ -448,12 +440,14 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order: in
     if made is None:
         return d.select("doc_id", "lang", F.lit(0).cast("long").alias("n_words"), *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "threshold")], F.lit(False).alias("keep"))
     model, spare = made
-    types = dict(x.split() for x in ASKED.split(", "))
-    m = model.select(*[F.col(c) if c in NAMES else F.lit(None).cast(t).alias(c) for c, t in types.items()])
     out = None
     for k in range(batches):
         part = d.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(batches)) == k).withColumn("unseen", F.coalesce(~split, F.lit(False)))
-        done = ws.write(_collect(_answer(_ask(part, order, shards).unionByName(m)), order, shards, spare), "scores", clean=True)
+        asked = ws.write(_ask(part, order, shards), "asked")
+        with sorted_runs(spark):
+            answers = _answer(asked.where("shard is not null"), model)
+            done = ws.write(_collect(asked.where("shard is null").unionByName(answers), order, shards, spare), "scores", clean=True)
+        ws.drop(asked)
         out = done if out is None else out.unionByName(done)
     out = out.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("s") / (F.col("n_words") + 1))))
     known = out.where("unseen and perplexity is not null").join(trusted, F.col("doc_id") == F.col("__t"), "left_semi")
