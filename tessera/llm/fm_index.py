@@ -1,7 +1,7 @@
 """A compressed FM-index over word sequences: suffix array, BWT, wavelet matrix.
 
 The wavelet matrix keeps one bit per symbol and level in 64-bit words with a
-running count per word. Searches run for many patterns at once, in lockstep.
+running count per word; least values of row ranges take three numbers a row. Searches run for many patterns at once, in lockstep.
 """
 
 from __future__ import annotations
@@ -27,6 +27,46 @@ class Bits:
         return self.before[w] + np.bitwise_count(part)
 
 
+class Minima:
+    """Least values of ranges of an array, in about three numbers a value.
+
+    Running minima from both ends of each block of 64, and a table of doubling ranges
+    over whole blocks; ranges within a block are read off the values.
+    """
+
+    def __init__(self, values: np.ndarray) -> None:
+        n, top = len(values), np.iinfo(values.dtype).max
+        block = np.full((-(-n // 64), 64), top, values.dtype)
+        block.ravel()[:n] = values
+        self.values = block.ravel()
+        self.ahead = np.minimum.accumulate(block, axis=1).ravel()
+        self.behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
+        self.table = [block.min(1)]
+        while 2 << (len(self.table) - 1) <= len(block):
+            t, h = self.table[-1], 1 << (len(self.table) - 1)
+            self.table.append(np.minimum(t[: len(t) - h], t[h:]))
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Least value in lo..hi-1 (lo < hi)."""
+        last = hi - 1
+        a, b = lo >> 6, last >> 6
+        out = np.minimum(self.behind[lo], self.ahead[last])
+        far = np.flatnonzero(b - a > 1)
+        if len(far):
+            k = np.frexp((b[far] - a[far] - 1).astype(np.float64))[1] - 1
+            for level in np.unique(k):
+                at, t = far[k == level], self.table[level]
+                out[at] = np.minimum(out[at], np.minimum(t[a[at] + 1], t[b[at] - (1 << int(level))]))
+        near = np.flatnonzero(a == b)
+        size = hi[near] - lo[near]
+        for low, most in ((0, 1), (1, 4), (4, 16), (16, 64)):
+            at = near[(size > low) & (size <= most)]
+            if len(at):
+                i = np.minimum(lo[at, None] + np.arange(most), last[at, None])
+                out[at] = self.values[i].min(1)
+        return out
+
+
 def suffix_array(first: np.ndarray, longest: int) -> np.ndarray:
     """Suffix order of a sequence of ranks, by prefix doubling until suffixes differ or ``longest`` symbols are compared."""
     n = len(first)
@@ -91,13 +131,8 @@ class FMIndex:
             cur = np.concatenate([cur[bit == 0], cur[bit == 1]])
         self.zone = self._walk(np.arange(self.sigma), np.zeros(self.sigma, np.int64))
         seq_of = np.searchsorted(self.start, sa, side="right") - 1
-        table = [values[seq_of]]
-        h = 1
-        while 2 * h <= n:
-            t = table[-1]
-            table.append(np.minimum(t[: len(t) - h], t[h:]))
-            h *= 2
-        self.least = table
+        self.least = Minima(values[seq_of].astype(np.int32))
+        self.text = self.text.astype(np.int32)
         self.n = n
 
     def _walk(self, sym: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -112,16 +147,6 @@ class FMIndex:
         both = self._walk(np.concatenate([sym, sym]), np.concatenate([lo, hi])) - np.concatenate([self.zone[sym]] * 2)
         return self.first_row[sym] + both[:k], self.first_row[sym] + both[k:]
 
-    def minimum(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Least value in rows lo..hi-1 (lo < hi)."""
-        k = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        out = np.empty(len(lo), self.least[0].dtype)
-        for level in np.unique(k):
-            at = k == level
-            t = self.least[level]
-            out[at] = np.minimum(t[lo[at]], t[hi[at] - (1 << int(level))])
-        return out
-
     def reach(self, end: np.ndarray, stop: np.ndarray, below: np.ndarray) -> np.ndarray:
         """Matching statistics at text places ``end``, to the left.
 
@@ -141,7 +166,7 @@ class FMIndex:
             live, a, b = live[ok], a[ok], b[ok]
             if not len(live):
                 break
-            ok = self.minimum(a, b) < below[live]
+            ok = self.least.of(a, b) < below[live]
             live, a, b = live[ok], a[ok], b[ok]
             lo[live], hi[live] = a, b
             p[live] -= 1

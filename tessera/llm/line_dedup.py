@@ -34,7 +34,7 @@ from tessera.llm.common import Workspace, id_key, keyed, sorted_runs, text_key
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-HOT = 100_000
+HOT, HOT_KEYS = 100_000, 100_000
 KEY = ["k1", "k2"]
 
 
@@ -151,7 +151,7 @@ def dropped(docs: DataFrame, ws: Workspace, min_chars: int = 40, min_docs: int =
     with sorted_runs(ws.spark):
         often = ws.write(index.repeated(min_docs), "repeated")
     index.close()
-    most = max(HOT, (often.agg(F.sum("n_docs")).first()[0] or 0) // HOT)
+    most = max(HOT, (often.agg(F.sum("n_docs")).first()[0] or 0) // HOT_KEYS)
     hot = often.where(F.col("n_docs") > most).select(*KEY, F.col("max_doc").alias("hot_doc"))  # at most 100,000 rows
     rows = docs.select(id_key().alias("doc"), text_key().alias("tk"), F.explode(long_lines(F.col("text"), min_chars)).alias("k")).select("k.*", "doc", "tk")
     rows = rows.join(F.broadcast(hot), KEY, "left")

@@ -1,7 +1,7 @@
 """Substring dedup with a compressed FM-index per shard.
 
 A window is ``width`` consecutive words. Its seed is the least hash of its
-``SEED``-word grams, so equal windows have equal seeds, wherever they stand;
+``SEEDS[0]``-word grams, so equal windows have equal seeds, wherever they stand;
 runs of windows with one seed are segments.
 
 1. One pass gives the seeds; those of a single document cannot be repeated.
@@ -12,10 +12,12 @@ runs of windows with one seed are segments.
    contents and streams them through it: backward search over the wavelet matrix
    gives, at a place, how far to the left the words also occur in a smaller
    document; matches of at least ``width`` words are reported as runs of windows.
-   A seed of more than ``MOST`` contents would not fit one index; its contents are
-   compared window by window, exactly, over the cluster.
+   A seed whose contents are more than ``WORDS_PER_SHARD`` words goes down a level:
+   its contents are the documents of a search with longer grams (``SEEDS``), so an
+   index is bounded by words. At the last level the gram is the window itself.
 4. Runs go back to the documents that hold the content; a document that isn't a
-   content's first loses all its windows.
+   content's first loses all its windows. Contents that very many documents hold
+   (``HOT``, or a 100,000th of all segments, so at most 100,000) go by a broadcast.
 
 Defined results: null or short texts keep all words; rows that share a doc_id
 are one document (not smaller than itself); null ids are one document below all
@@ -35,10 +37,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import MULT, Workspace, gram_hashes, hash_words, id_key, mix, shuffle_partitions, text_key, texts_of
 from tessera.llm.fm_index import FMIndex
 
-SEED = 8
+SEEDS = (8, 24, 40)  # words in the grams of each level; those of the last are windows
 LONGEST = 512  # windows in one segment
 WORDS_PER_SHARD = 400_000
-MOST = 20_000  # contents of one seed that an index takes; more are compared window by window
+HOT, HOT_KEYS = 100_000, 100_000
 FILTER_BITS = (20, 30)  # log2 of the filter's size, by the number of shared seeds: at most 128 MB
 
 
@@ -54,12 +56,12 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(back[: n - k + 1], fwd[k - 1 : n])
 
 
-def segments(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(words: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(seed, first window, number of windows) of the segments of a sequence of word hashes."""
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    m = sliding_min(gram_hashes(words, SEED), width - SEED + 1)
+    m = sliding_min(gram_hashes(words, gram), width - gram + 1)
     cut = np.flatnonzero(m[1:] != m[:-1]) + 1
     start = np.concatenate([[0], cut])
     size = np.diff(np.concatenate([start, [n]]))
@@ -73,27 +75,38 @@ def segments(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.
     return m[start], start, size
 
 
-def content_hash(words: np.ndarray) -> int:
+def content_hash(words: np.ndarray) -> bytes:
+    """128 bits."""
     w = words.view(np.uint64)
     k = np.arange(1, len(w) + 1, dtype=np.uint64)
-    return int(mix(np.array([(mix(w + k * MULT)).sum() + np.uint64(len(w))], np.uint64))[0].view(np.int64))
+    x = mix(w + k * MULT)
+    return mix(np.array([x.sum() + np.uint64(len(w)), (mix(x ^ MULT) * (k | np.uint64(1))).sum()], np.uint64)).tobytes()
 
 
-def _seeds(docs: DataFrame, width: int) -> DataFrame:
+def _words(body: bytes, level: int) -> np.ndarray:
+    """Word hashes of a row: of its text, or (below the first level) as they are given."""
+    return np.frombuffer(body, np.uint64) if level else hash_words(body)
+
+
+def _gram(level: int, width: int) -> int:
+    return min(SEEDS[level], width) if level < len(SEEDS) else width
+
+
+def _seeds(rows: DataFrame, width: int, level: int) -> DataFrame:
     """seed, doc: the distinct seeds of each row."""
+    gram = _gram(level, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc = b.column(0).to_pylist()
             got, ids = [], []
-            for d, t in zip(doc, texts_of(b)):
-                s = np.unique(segments(hash_words(t), width)[0])
+            for d, t in zip(b.column(0).to_pylist(), texts_of(b, "body")):
+                s = np.unique(segments(_words(t, level), width, gram)[0])
                 got.append(s)
                 ids.append(np.full(len(s), d, np.int64))
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), pa.array(np.concatenate(ids))], ["seed", "doc"])
 
-    return docs.select("doc", "text").mapInArrow(run, "seed long, doc long")
+    return rows.select("doc", "body").mapInArrow(run, "seed long, doc long")
 
 
 def _bit(seed: np.ndarray, bits: int) -> np.ndarray:
@@ -120,20 +133,21 @@ def _filter(shared: DataFrame, bits: int) -> bytes:
     return b"".join(got.get(i, b"\0" * 4096) for i in range(1 << (bits - 15)))
 
 
-def _cut(docs: DataFrame, width: int, table: bytes, bits: int) -> DataFrame:
-    """kind 0: a document's segment (doc, tk, start, size, ch). kind 1: a content, once a task (ch, seed, doc = least so far, words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    schema = "kind int, ch long, doc long, tk long, start int, size int, seed long, words binary"
+def _cut(rows: DataFrame, width: int, level: int, table: bytes, bits: int) -> DataFrame:
+    """kind 0: a row's segment (doc, tk, start, size, ch). kind 1: a content, once a task (ch, seed, doc = least so far, words)."""
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    schema = "kind int, ch binary, doc long, tk long, start int, size int, seed long, words binary"
     names = ["kind", "ch", "doc", "tk", "start", "size", "seed", "words"]
+    gram = _gram(level, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.frombuffer(shared.value, np.uint8)
-        seen: dict[int, int] = {}
+        seen: dict[bytes, int] = {}
         for b in batches:
-            rows: list[tuple] = []
-            for doc, tk, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b)):
-                w = hash_words(t)
-                seed, start, size = segments(w, width)
+            out: list[tuple] = []
+            for doc, tk, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b, "body")):
+                w = _words(t, level)
+                seed, start, size = segments(w, width, gram)
                 if not len(seed):
                     continue
                 at = _bit(seed, bits)
@@ -141,23 +155,23 @@ def _cut(docs: DataFrame, width: int, table: bytes, bits: int) -> DataFrame:
                     s, k = int(start[j]), int(size[j])
                     words = w[s : s + k + width - 1]
                     ch = content_hash(words)
-                    rows.append((0, ch, doc, tk, s, k, None, None))
+                    out.append((0, ch, doc, tk, s, k, None, None))
                     if ch not in seen or doc < seen[ch]:
-                        rows.append((1, ch, doc, None, None, k, int(seed[j].view(np.int64)), None if ch in seen else words.tobytes()))
+                        out.append((1, ch, doc, None, None, k, int(seed[j].view(np.int64)), None if ch in seen else words.tobytes()))
                         if len(seen) > 500_000:
                             seen.clear()
                         seen[ch] = doc
-                if len(rows) > 20_000:
-                    yield _table(rows, names)
-                    rows = []
-            if rows:
-                yield _table(rows, names)
+                if len(out) > 20_000:
+                    yield _table(out, names)
+                    out = []
+            if out:
+                yield _table(out, names)
 
-    return docs.select("doc", "tk", "text").mapInArrow(run, schema)
+    return rows.select("doc", "tk", "body").mapInArrow(run, schema)
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
 
@@ -177,7 +191,7 @@ def _search(contents: DataFrame, width: int) -> DataFrame:
         use = np.flatnonzero(many[inv] > 1)
         if not len(use):
             return
-        use = use[np.lexsort((np.array(ch)[use], low[use]))]
+        use = use[np.argsort(low[use], kind="stable")]
         values = np.unique(low[use], return_inverse=True)[1].astype(np.int32)
         index = FMIndex([words[i] for i in use], values)
         ask = np.flatnonzero(values > 0)
@@ -186,81 +200,78 @@ def _search(contents: DataFrame, width: int) -> DataFrame:
         for i, a, z in index.windows(ask, count, values[ask], width):
             found.setdefault(i, []).extend((a, z))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array([ch[use[ask[i]]] for i in found], pa.int64()), pa.array([np.array(v, np.int32).tobytes() for v in found.values()], pa.binary())], ["ch", "runs"])
-
-    return contents.groupBy("shard").applyInArrow(run, "ch long, runs binary")
-
-
-def _compare(ws: Workspace, contents: DataFrame, width: int) -> DataFrame:
-    """ch, runs as ``_search`` gives them, by window hashes: the exact way for seeds of too many contents for one index."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ch, low, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                w = np.frombuffer(x.as_buffer().to_pybytes(), np.int64)
-                h = gram_hashes(w, width).view(np.int64)
-                k = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(k, ch)), pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, low))], ["h", "ch", "k", "low"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for k in b.column(1).to_pylist():
-                k = np.unique(k)
-                start = np.concatenate([[0], np.flatnonzero(np.diff(k) > 1) + 1])
-                last = np.concatenate([start[1:] - 1, [len(k) - 1]])
-                out.append(np.stack([k[start], k[last]], 1).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["ch", "runs"])
+            yield pa.RecordBatch.from_arrays([pa.array([ch[use[ask[i]]] for i in found], pa.binary()), pa.array([np.array(v, np.int32).tobytes() for v in found.values()], pa.binary())], ["ch", "runs"])
 
-    rows = ws.write(contents.select("ch", "low", "words").mapInArrow(cut, "h long, ch long, k int, low long"), "windows")
-    first = rows.groupBy("h").agg(F.min("low").alias("first"))
-    late = rows.join(first, "h").where("low > first").groupBy("ch").agg(F.collect_list("k").alias("k"))
-    return late.mapInArrow(join, "ch long, runs binary")
+    return contents.groupBy("shard").applyInArrow(run, "ch binary, runs binary")
 
 
-def spans(docs: DataFrame, width: int = 50) -> DataFrame:
-    """doc, tk, runs: for each row with repeated windows, pairs (first word, word after the last) to remove, as int32."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "substring-dedup")
-    d = docs.select(id_key().alias("doc"), text_key().alias("tk"), F.col("text").cast("string"))
-    shared = ws.write(_seeds(d, width).groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("seed"), "seeds")
+def _repeated(ws: Workspace, rows: DataFrame, width: int, level: int) -> DataFrame:
+    """doc, tk, runs: first and last windows (int32 pairs) of the rows (doc, tk, body) that rows of a smaller doc hold too."""
+    spark = ws.spark
+    shared = ws.write(_seeds(rows, width, level).groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("seed"), "seeds")
     n = shared.count()
     bits = min(max(FILTER_BITS[0], int(16 * max(n, 1)).bit_length()), FILTER_BITS[1])
-    cut = ws.write(_cut(d, width, _filter(shared, bits), bits), "segments")
+    cut = ws.write(_cut(rows, width, level, _filter(shared, bits), bits), "segments")
     ws.drop(shared)
     contents = cut.where("kind = 1").groupBy("ch").agg(F.min("doc").alias("low"), F.first("seed").alias("seed"), F.max("size").alias("size"), F.first("words", ignorenulls=True).alias("words"))
-    contents = ws.write(contents, "contents")
-    total = contents.agg(F.sum(F.col("size") + width)).first()[0] or 0
+    contents = ws.write(contents.withColumn("cid", F.monotonically_increasing_id()), "contents")  # written once, so the numbers stay
+    cost = F.sum(F.col("size") + width)
+    total = contents.agg(cost).first()[0] or 0
     shards = max(shuffle_partitions(spark), -(-int(total) // WORDS_PER_SHARD))
-    crowded = ws.write(contents.groupBy("seed").count().where(F.col("count") > MOST).select("seed"), "crowded")
-    rest, usual = None, contents
-    if not crowded.isEmpty():
-        rest, usual = contents.join(crowded, "seed", "left_semi"), contents.join(crowded, "seed", "left_anti")
+    below, usual = None, contents
+    if level < len(SEEDS):
+        crowded = ws.write(contents.groupBy("seed").agg(cost.alias("n")).where(F.col("n") > WORDS_PER_SHARD).select("seed"), "crowded")
+        if not crowded.isEmpty():
+            below = ws.write(contents.join(crowded, "seed", "left_semi").select(F.col("low").alias("doc"), F.col("cid").alias("tk"), F.col("words").alias("body"), "ch"), "below")
+            usual = contents.join(crowded, "seed", "left_anti")
     dealt = usual.select("ch", "low", "seed", "words", F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard"))
-    runs = ws.write(_search(dealt, width) if rest is None else _search(dealt, width).unionByName(_compare(ws, rest, width)), "runs")
-    whole = contents.select("ch", "low").join(runs, "ch", "left")
+    found = _search(dealt, width)
+    if below is not None:
+        deeper = _repeated(ws, below, width, level + 1).groupBy("tk").agg(F.unhex(F.array_join(F.collect_list(F.hex("runs")), "")).alias("runs"))
+        found = found.unionByName(below.select("tk", "ch").join(deeper, "tk").select("ch", "runs"))
+    found = ws.write(found, "runs")
+    whole = contents.select("ch", "low").join(found, "ch", "left")
     own = cut.where("kind = 0").select("ch", "doc", "tk", "start", "size")
-    hit = own.join(whole, "ch").where("doc > low or runs is not null").select("doc", "tk", "start", "size", F.when(F.col("doc") <= F.col("low"), F.col("runs")).alias("runs"))
+    held = own.groupBy("ch").agg(F.count("*").alias("n"))
+    most = max(HOT, own.count() // HOT_KEYS)
+    hot = whole.join(held.where(F.col("n") > most).select("ch"), "ch", "left_semi").select("ch", F.col("low").alias("hot_low"), F.col("runs").alias("hot_runs"))
+    own = own.join(F.broadcast(hot), "ch", "left")  # at most 100,000 rows
+    rare = whole.where("low is not null").select(F.col("ch").alias("c"), "low", "runs")
+    # Segments of hot contents know their answer already; a key of their own spreads them.
+    own = own.withColumn("c", F.when(F.col("hot_low").isNull(), F.col("ch")).otherwise(F.md5(F.concat("ch", F.col("doc").cast("string"), F.col("start").cast("string"))).cast("binary")))
+    hit = own.join(rare, "c", "left").select("doc", "tk", "start", "size", F.coalesce("hot_low", "low").alias("low"), F.coalesce("hot_runs", "runs").alias("runs"))
+    hit = hit.where("doc > low or runs is not null").select("doc", "tk", "start", "size", F.when(F.col("doc") <= F.col("low"), F.col("runs")).alias("runs"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for start, size, r in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 a = np.array([[0, size - 1]], np.int32) if r is None else np.frombuffer(r, np.int32).reshape(-1, 2).copy()
-                a[:, 0] += start
-                a[:, 1] += start + width
-                out.append(a.tobytes())
+                out.append((a + start).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc", "tk", "runs"])
 
-    return ws.write(hit.mapInArrow(place, "doc long, tk long, runs binary").groupBy("doc", "tk").agg(F.collect_set("runs").alias("runs")), "spans")
+    out = ws.write(hit.mapInArrow(place, "doc long, tk long, runs binary"), f"spans{level}")
+    ws.drop(cut, contents, found)
+    return out
+
+
+def spans(docs: DataFrame, width: int = 50) -> DataFrame:
+    """doc, tk, runs: for each row with repeated windows, first and last windows (int32 pairs) to remove."""
+    ws = Workspace(docs.sparkSession, "substring-dedup")
+    rows = docs.select(id_key().alias("doc"), text_key().alias("tk"), F.col("text").cast("binary").alias("body"))
+    found = _repeated(ws, rows, width, 0)
+    out = ws.write(found.groupBy("doc", "tk").agg(F.collect_set("runs").alias("runs")), "spans")
+    ws.drop_but(out)
+    return out
 
 
-def keep_mask(n: int, runs: list[bytes] | None) -> np.ndarray:
+def keep_mask(n: int, runs: list[bytes] | None, width: int) -> np.ndarray:
+    """Which of n words no window of the runs covers."""
     edge = np.zeros(n + 1, np.int64)
     for r in runs or ():
         a = np.frombuffer(r, np.int32).reshape(-1, 2)
         np.add.at(edge, a[:, 0], 1)
-        np.add.at(edge, a[:, 1], -1)
+        np.add.at(edge, a[:, 1] + width, -1)
     return np.cumsum(edge[:-1]) == 0
 
 
@@ -277,7 +288,7 @@ def dedup(docs: DataFrame, width: int = 50, with_text: bool = True) -> DataFrame
             for t, r in zip(texts_of(b), b.column(2).to_pylist()):
                 w = t.split()
                 if r:
-                    keep = keep_mask(len(w), r)
+                    keep = keep_mask(len(w), r, width)
                     kept = [x for x, k in zip(w, keep.tolist()) if k]
                 else:
                     kept = w

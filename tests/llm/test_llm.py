@@ -38,7 +38,9 @@ def corpus():
     return rows
 
 
-def test_line_dedup(spark, corpus):
+@pytest.mark.parametrize("hot", [2, 100_000])
+def test_line_dedup(spark, corpus, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     ws = " \t\n\x0b\x0c\r"
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda x: x.strip(ws).translate(low)
@@ -75,9 +77,11 @@ def test_line_runs_are_merged(spark, corpus):
     assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
 
 
-@pytest.mark.parametrize("most", [1, 20_000])
-def test_substring_dedup(spark, corpus, monkeypatch, most):
-    monkeypatch.setattr(substring_dedup, "MOST", most)
+@pytest.mark.parametrize(("words", "hot"), [(1, 1), (300, 3), (400_000, 100_000)])
+def test_substring_dedup(spark, corpus, monkeypatch, words, hot):
+    """Also with every shared seed crowded, level after level down to windows, and with every content hot."""
+    monkeypatch.setattr(substring_dedup, "WORDS_PER_SHARD", words)
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     order = lambda i: -1 if i is None else i
     first = {}
     for i, t in sorted(corpus, key=lambda x: order(x[0])):
@@ -98,6 +102,15 @@ def test_substring_dedup(spark, corpus, monkeypatch, most):
     assert sum(x[2] for x in want) > 500
 
 
+def test_minima():
+    r = np.random.default_rng(1)
+    for n in (1, 5, 63, 64, 65, 1000, 5000):
+        v = r.integers(0, 10**6, n).astype(np.int32)
+        lo = r.integers(0, n, 400)
+        hi = lo + 1 + (r.integers(0, 10**6, 400) % (n - lo))
+        assert fm_index.Minima(v).of(lo, hi).tolist() == [int(v[a:z].min()) for a, z in zip(lo, hi)]
+
+
 def test_fm_index_windows():
     r = np.random.default_rng(3)
     seqs = [r.integers(0, 6, r.integers(12, 60)) for _ in range(30)]
