@@ -46,6 +46,10 @@ HEAVY = 1_000_000  # a shingle of more classes is salted over several shards
 CHARS_PER_SHINGLE = 6  # to size the shards from the texts' lengths
 BITS = 24  # log2 of the bits of the filter on texts to fetch
 STAR_ROUNDS = 6
+HOT, HOT_KEYS = 1_000, 10_000
+PAIRED = 64  # members of a posting that are left are paired by a join up to this many, block against block beyond
+MEMBERS = 1_024  # in a block
+BUCKETS = 256  # of the sketches that bound the overlap of those members
 
 
 def shingles(text: bytes, n: int = 5) -> np.ndarray:
@@ -87,14 +91,22 @@ def _deal_all(docs: DataFrame, shards: int, n: int) -> DataFrame:
                 tok = np.concatenate([x[1] for x in new])
                 doc = np.repeat(np.arange(len(new), dtype=np.int32), [len(x[1]) for x in new])
                 sig = np.array([np.minimum(np.bincount((x[1] >> np.uint64(60)).astype(np.int64), minlength=16), 255) for x in new], np.uint8)
-                rows.append((-1 - block % shards, -1 - block, _arrays(cls, np.array([len(x[1]) for x in new], np.int32), sig)))
-                shard = ((tok >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                shard, low, doc = shard[order], tok[order].astype(np.uint32), doc[order]
-                cut = np.flatnonzero(np.diff(shard)) + 1
-                for a, z in zip([0, *cut], [*cut, len(shard)]):
-                    d, many = np.unique(doc[a:z], return_counts=True)
-                    rows.append((int(shard[a]), block, _arrays(d, many.astype(np.int32), cls[d].astype(np.uint64).astype(np.uint32), low[a:z])))
+                # A shingle that several classes of the block hold is sent once, with their number; the block keeps who holds it.
+                name, inv, many = np.unique(tok, return_inverse=True, return_counts=True)
+                both = many > 1
+                often = both[inv]
+                place = (np.cumsum(both) - 1)[inv[often]].astype(np.int32)
+                home = lambda t: ((t >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+                known = (home(name[both]).astype(np.uint64) << np.uint64(32)) | name[both].astype(np.uint32)
+                rows.append((-1 - block % shards, -1 - block, _arrays(cls, np.array([len(x[1]) for x in new], np.int32), sig, doc[often], place, known)))
+                tok, doc, times = tok[~often], doc[~often], many[both].astype(np.int32)
+                shard = home(tok)
+                order, at = np.argsort(shard, kind="stable"), np.argsort(home(name[both]), kind="stable")
+                low, doc, shard, common, common_at = tok[order].astype(np.uint32), doc[order], shard[order], name[both][at].astype(np.uint32), home(name[both])[at]
+                for k in np.union1d(shard, common_at):
+                    (a, z), (c, e) = np.searchsorted(shard, [k, k + 1]), np.searchsorted(common_at, [k, k + 1])
+                    d, per = np.unique(doc[a:z], return_counts=True)
+                    rows.append((int(k), block, _arrays(d, per.astype(np.int32), cls[d], low[a:z], common[c:e], times[at][c:e])))
             for x in (ids, tks, cs, sizes, new):
                 x.clear()
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "block", "blob"])
@@ -168,21 +180,21 @@ def _count(dealt: DataFrame) -> DataFrame:
         if not asked:
             return
         low = np.concatenate([a[4] for a in asked])
-        cls = np.concatenate([np.repeat(a[3], a[2]) for a in asked])
-        both = np.unique((low.astype(np.uint64) << np.uint64(32)) | cls)
-        name, many = np.unique((both >> np.uint64(32)).astype(np.uint32), return_counts=True)
-        del both, cls
+        cls = np.concatenate([np.repeat(a[3], a[2]) for a in asked]).view(np.uint64)
+        first = np.unique(mix(cls + low * MULT), return_index=True)[1]  # each class once
+        name, inv = np.unique(np.concatenate([low[first], *(a[5] for a in asked)]), return_inverse=True)
+        many = np.bincount(inv, weights=np.concatenate([np.ones(len(first)), *(a[6] for a in asked)])).astype(np.int64)
+        del cls, inv, first
         name, many = name[many > 1], many[many > 1]
         if not len(name):
             return
-        at = 0
-        for block, d, per, _, lo in asked:
+        for block, d, per, _, lo, common, _ in asked:
             i = np.minimum(np.searchsorted(name, lo), len(name) - 1)
             ok = name[i] == lo
-            if ok.any():
-                tok = lo[ok].astype(np.uint64) | np.uint64(shard << 32)
-                yield answers([block], [_arrays(np.repeat(d, per)[ok], tok, many[i[ok]].astype(np.int32))])
-            at += len(lo)
+            if ok.any() or len(common):
+                tok = lambda x: x.astype(np.uint64) | np.uint64(shard << 32)
+                of = many[np.searchsorted(name, common)].astype(np.int64)
+                yield answers([block], [_arrays(np.repeat(d, per)[ok], tok(lo[ok]), many[i[ok]], tok(common), of)])
 
     return dealt.groupBy("shard").applyInArrow(run, schema)
 
@@ -191,18 +203,20 @@ def _deal_prefix(answers: DataFrame, shards: int, num: int, den: int) -> DataFra
     """What is left of each class's prefix after the shingles of one class, dealt by shingle."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, tok, often, head = [], [], [], None
+        doc, tok, often, known, times, head = [], [], [], [], [], None
         for b in batches:
             for x in b.column(b.schema.get_field_index("blob")):
                 got = _of(x.as_buffer().to_pybytes())
                 if got[2].ndim == 2:
                     head = got
                 else:
-                    doc.append(got[0]), tok.append(got[1]), often.append(got[2])
+                    doc.append(got[0]), tok.append(got[1]), often.append(got[2]), known.append(got[3]), times.append(got[4])
         if head is None or not doc:
             return
-        cls, size, sig = head
-        doc, tok, often = np.concatenate(doc), np.concatenate(tok), np.concatenate(often)
+        cls, size, sig, held, place, common = head
+        known, times = np.concatenate(known), np.concatenate(times)
+        order = np.argsort(known)
+        doc, tok, often = np.concatenate([*doc, held]), np.concatenate([*tok, common[place]]), np.concatenate([*often, times[order][np.searchsorted(known[order], common)][place] if len(held) else np.empty(0, np.int64)])
         order = np.lexsort((tok, often, doc))
         doc, tok, often = doc[order], tok[order], often[order]
         shared = np.bincount(doc, minlength=len(cls))
@@ -248,6 +262,27 @@ def bound(sa, sb, pa_, pb_):
     return np.minimum(sa - pa_, sb - pb_)
 
 
+def apart(p: np.ndarray, q: np.ndarray, most: int, depth: int = 4) -> int:
+    """The suffix filter: a lower bound of how many members two sorted sets do not share (exact beyond ``most`` does not matter).
+
+    The middle member of one set parts both; what lies on different sides cannot be
+    shared, so the sizes of the sides bound the difference, again and again in each.
+    """
+    least = abs(len(p) - len(q))
+    if least > most or not depth or not len(p) or not len(q):
+        return least
+    k = len(p) // 2
+    i = int(np.searchsorted(q, p[k]))
+    there = i < len(q) and q[i] == p[k]
+    right = q[i + 1 :] if there else q[i:]
+    own = 0 if there else 1
+    beyond = abs(len(p) - k - 1 - len(right))
+    first = apart(p[:k], q[:i], most - own - beyond, depth - 1)
+    if own + first + beyond > most:
+        return own + first + beyond
+    return own + first + apart(p[k + 1 :], right, most - own - first, depth - 1)
+
+
 def _candidates(dealt: DataFrame, num: int, den: int) -> DataFrame:
     """kind 0: a pair of classes a < b. kind 1: a member of a large posting: a = shingle, b = class, size, pos."""
 
@@ -371,6 +406,10 @@ class _Verifier:
                 ok = []
                 for x, y, tx, ty in zip(a_, b_, texts_of(b, "ta"), texts_of(b, "tb")):
                     p, q = of(x, tx), of(y, ty)
+                    need = -(-(len(p) + len(q)) * num // (num + den))
+                    if apart(p, q, len(p) + len(q) - 2 * need) > len(p) + len(q) - 2 * need:
+                        ok.append(False)
+                        continue
                     common = len(np.intersect1d(p, q, assume_unique=True))
                     ok.append(den * common >= num * (len(p) + len(q) - common))
                 m = pa.array(ok, pa.bool_())
@@ -421,6 +460,64 @@ def _open(ws: Workspace, members: DataFrame, links: DataFrame | None) -> tuple[D
     return m, groups, ws.write(first.select("a", F.col("f.comp").alias("lo"), F.col("f.r.b").alias("x"), F.col("f.r.size").alias("sx")), "open")
 
 
+def _remaining(ws: Workspace, v: _Verifier, members: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: the pairs of members of one posting in different components that the length, positional and overlap bounds leave.
+
+    Postings of the same members (a passage has one for each of its shingles) are one,
+    at the first place. Small ones are paired by a join; in others members meet block
+    against block, where the bounds apply, so what leaves a task may link.
+    """
+    m = ws.write(members, "left")
+    same = m.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(3), "b").cast("decimal(38,0)")).alias("h2"))
+    same = same.select("a", "n", F.xxhash64("n", "h1", "h2").alias("g"))
+    m = m.join(same, "a").groupBy("g", "b").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("size").alias("size"), F.min("comp").alias("comp"))
+    m = ws.write(m, "postings")
+    few = m.where(F.col("n") <= PAIRED)
+    x, y = (few.select("g", F.col("b").alias(k), F.col("size").alias("s" + k), F.col("pos").alias("p" + k), F.col("comp").alias("c" + k)) for k in "xy")
+    over = "least(sx - px, sy - py)"
+    pairs = x.join(y, "g").where(f"cx < cy and {den} * least(sx, sy) >= {num} * greatest(sx, sy) and ({num + den}) * ({over}) >= {num} * (sx + sy)").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    many = m.where(F.col("n") > PAIRED)
+    if many.isEmpty():
+        return pairs
+    texts = v.texts(many.select(F.col("b").alias("a"), "b"))
+    n = v.n
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.minimum(np.bincount((shingles(t, n) >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for t in texts_of(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["b", "sketch"])
+
+    sketches = ws.write(texts.select("c", "text").mapInArrow(sketch, "b long, sketch binary"), "sketches")
+    many = many.join(sketches, "b").withColumn("blocks", F.ceil(F.col("n") / MEMBERS).cast("int"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("g", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), "own", "b", "size", "pos", "comp", "sketch")
+
+    def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: dict[str, list] = {c: [] for c in ("own", "b", "size", "pos", "comp", "sketch")}
+        for x in batches:
+            for c, held in cols.items():
+                held += x.column(x.schema.get_field_index(c)).to_pylist()
+        own, b, size, pos, comp = (np.array(cols[c], np.int64) for c in ("own", "b", "size", "pos", "comp"))
+        marks = np.frombuffer(b"".join(cols["sketch"]), np.uint8).reshape(len(b), BUCKETS).astype(np.int32)
+        marks[marks == 255] = 1 << 20
+        p, q = key[1].as_py(), key[2].as_py()
+        right = np.flatnonzero(own == q)
+        right = right[np.argsort(size[right], kind="stable")]
+        for i in np.flatnonzero(own == p):
+            lo, hi = np.searchsorted(size[right], [-(-size[i] * num // den), size[i] * den // num + 1])  # the length filter
+            j = right[lo:hi]
+            need = -(-(size[i] + size[j]) * num // (num + den))
+            ok = (comp[j] != comp[i]) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need)
+            if p == q:
+                ok &= b[j] > b[i]
+            j, need = j[ok], need[ok]
+            j = j[np.minimum(marks[i], marks[j]).sum(1) >= need]
+            if len(j):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), b[i])), pa.array(b[j])], ["a", "b"])
+
+    return pairs.unionByName(many.groupBy("g", "p", "q").applyInArrow(meet, "a long, b long"))
+
+
 def link(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame]:
     """(sets, labels): sets has doc_id, tk, c, size of every row; labels has c, component (least doc_id).
 
@@ -445,12 +542,7 @@ def link(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4) -> tuple[DataF
             break
     else:
         labelled, groups, open_ = _open(ws, members, v.links)
-    open_ = ws.write(labelled.join(open_.select("a"), "a", "left_semi"), "left")
-    x = open_.select("a", F.col("b").alias("x"), F.col("size").alias("sx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
-    y = open_.select("a", F.col("b").alias("y"), F.col("size").alias("sy"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
-    over = "least(sx - px, sy - py)"
-    rest = x.join(y, "a").where(f"cx < cy and {den} * least(sx, sy) >= {num} * greatest(sx, sy) and ({num + den}) * ({over}) >= {num} * (sx + sy)")
-    v.check(rest.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    v.check(_remaining(ws, v, labelled.join(open_.select("a"), "a", "left_semi"), num, den))
     least = sets.where("doc_id is not null and size > 0").groupBy("c").agg(F.min("doc_id").alias("rep"))
     if v.links is None:
         return sets, least.select("c", F.col("rep").alias("component"))
@@ -461,11 +553,21 @@ def link(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4) -> tuple[DataF
     return sets, ws.write(j.join(low, "comp").select("c", "component"), "labels")
 
 
+def _labelled(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """sets with the component of their class. Classes of many rows (``HOT``, or a 10,000th of all, so at most 10,000) go by a broadcast."""
+    n = sets.groupBy("c").agg(F.count("*").alias("n"))
+    most = max(HOT, sets.count() // HOT_KEYS)
+    hot = labels.join(n.where(F.col("n") > most).select("c"), "c", "left_semi").select("c", F.col("component").alias("hot"))
+    rows = sets.join(F.broadcast(hot), "c", "left").withColumn("k", F.when(F.col("hot").isNull(), F.col("c")).otherwise(F.xxhash64("c", "doc_id", "tk")))
+    rare = labels.select(F.col("c").alias("k"), "component")
+    return rows.join(rare, "k", "left").withColumn("component", F.coalesce("hot", "component")).drop("k", "hot")
+
+
 def digest(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     sets, labels = link(docs, **parameters)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return sets.join(labels, "c", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"))
+    return _labelled(sets, labels).select("doc_id", F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
@@ -474,6 +576,6 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     Empty texts and null ids are linked with nothing and all stay.
     """
     sets, labels = link(docs, **parameters)
-    rows = sets.join(labels, "c", "left").where("doc_id is not null and component is not null and doc_id <> component")
+    rows = _labelled(sets, labels).where("doc_id is not null and component is not null and doc_id <> component")
     gone = rows.select(F.col("doc_id").alias("__doc"), F.col("tk").alias("__tk")).distinct()
     return keyed(docs).join(gone, ["__doc", "__tk"], "left_anti").select("__row.*")

@@ -178,6 +178,29 @@ def test_ngram_join_salted_shingles(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in ngram_join.digest(docs(spark, rows)).collect()} == want
 
 
+def test_suffix_filter_never_overshoots():
+    r = np.random.default_rng(5)
+    for _ in range(400):
+        p = np.unique(r.integers(0, 400, r.integers(0, 120)))
+        q = np.unique(np.concatenate([r.permutation(p)[: len(p) * 3 // 4], r.integers(0, 400, r.integers(0, 60))]))
+        true = len(np.setxor1d(p, q))
+        assert ngram_join.apart(p, q, true) <= true
+    assert ngram_join.apart(np.arange(0, 100), np.arange(100, 200), 10) > 10
+
+
+@pytest.mark.parametrize("limits", [(2, 4), (64, 1024)])
+def test_ngram_join_of_shared_passages(spark, monkeypatch, limits):
+    """Documents put together from few passages: most are unlike, some are alike, and no shingle is their own."""
+    monkeypatch.setattr(ngram_join, "PAIRED", limits[0])
+    monkeypatch.setattr(ngram_join, "MEMBERS", limits[1])
+    r = random.Random(12)
+    passages = [" ".join("p%dw%d" % (k, i) for i in range(14)) for k in range(24)]
+    rows = [(i, " ".join(passages[k] for k in r.sample(range(24), 5))) for i in range(150)]
+    rows += [(1000 + i, t + " tail%d" % i) for i, t in rows[:20]] + [(2000 + i, t) for i, t in rows[:9]]
+    got = [tuple(x) for x in ngram_join.digest(docs(spark, rows)).collect()]
+    assert sorted(got) == sorted(brute_components(rows))
+
+
 def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
