@@ -41,6 +41,7 @@ class Workspace:
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         self._tables: list[str] = []
+        self._names: dict[str, str] = {}
         _MADE.append((spark, self.root))
 
     def path(self, table: str) -> str:
@@ -50,37 +51,43 @@ class Workspace:
     def write(self, df: DataFrame, table: str, clean: bool = False) -> DataFrame:
         """df as a table. ``clean``: its shuffle files go as soon as the table is written, not when the driver next collects garbage."""
         path = self.path(table)
+        with self._cleaning(clean):
+            df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._tessera_path = path
+        self._tables.append(path)
+        return out
+
+    @contextmanager
+    def _cleaning(self, clean: bool) -> Iterator[None]:
         key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = self.spark.conf.get(key, None)
         try:
             if clean:
                 self.spark.conf.set(key, "true")
-            df.write.option("compression", "zstd").parquet(path)
+            yield
         finally:
             if clean:
                 self.spark.conf.set(key, before) if before is not None else self.spark.conf.unset(key)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._tessera_path = path
-        self._tables.append(path)
-        return out
 
-    def write_sorted(self, df: DataFrame, table: str, keys: list[str]) -> DataFrame:
+    def write_sorted(self, df: DataFrame, table: str, keys: list[str], clean: bool = False) -> DataFrame:
         """df as a table bucketed and sorted by ``keys``: joins on them need no shuffle, nor (under ``sorted_runs``) a sort.
 
         df should come out of a shuffle by these keys, so that each bucket is one file.
         """
         path, name = self.path(table), f"tessera_{uuid.uuid4().hex}"
         parts = shuffle_partitions(self.spark)
-        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, *keys).sortBy(*keys).saveAsTable(name)
+        with self._cleaning(clean):
+            df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, *keys).sortBy(*keys).saveAsTable(name)
         out = self.spark.table(name)
-        out._tessera_path, out._tessera_name = path, name
+        out._tessera_path, self._names[path] = path, name
         self._tables.append(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            if hasattr(t, "_tessera_name"):
-                self.spark.sql(f"DROP TABLE IF EXISTS {t._tessera_name}")
+            if t._tessera_path in self._names:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._names.pop(t._tessera_path)}")
             remove(self.spark, t._tessera_path)
             self._tables = [x for x in self._tables if x != t._tessera_path]
 
@@ -89,6 +96,8 @@ class Workspace:
         """Remove all tables of this workspace but these."""
         stay = {t._tessera_path for t in kept}
         for path in [t for t in self._tables if t not in stay]:
+            if path in self._names:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._names.pop(path)}")
             remove(self.spark, path)
         self._tables = [t for t in self._tables if t in stay]
 

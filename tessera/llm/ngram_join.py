@@ -150,7 +150,7 @@ def _of(blob) -> list[np.ndarray]:
     return out
 
 
-_KINDS = ["i8", "u8", "i4", "u4", "u1"]
+_KINDS = ["i8", "u8", "i4", "u4", "u1", "u2"]
 
 
 def _count(dealt: DataFrame) -> DataFrame:

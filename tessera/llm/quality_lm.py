@@ -231,19 +231,19 @@ def _answer_up(asked: DataFrame, d: np.ndarray) -> DataFrame:
     return asked.groupBy("shard").applyInArrow(run, SHARDED)
 
 
-def _probabilities(rows: DataFrame, n: int, d: np.ndarray, last: bool) -> DataFrame:
-    """Per shard, the n-grams with log probabilities (LOWER, but for the last order) and with what they add to the lower order (WEIGHTS)."""
+def _probabilities(counts: DataFrame, rows: DataFrame, n: int, d: np.ndarray, last: bool) -> DataFrame:
+    """Per shard, the n-grams with log probabilities (LOWER) and with what they add to the lower order (WEIGHTS).
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, sums, answers, grams = key[0].as_py(), [], [], None
-        for kind, _, x in _blobs(batches):
-            if kind == GRAMS:
-                grams = x
-            else:
-                (sums if kind == SUMS else answers).append(x)
-        if grams is None:
-            return
-        record, many = grams[0], grams[1].astype(np.int64)
+    At the last order there are only WEIGHTS, and with them the whole weights of all
+    lower orders' n-grams, what they add and their back-off weights (given in rows).
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = lambda t: zip(t.column("kind").to_pylist(), t.column("shard").to_pylist(), t.column("blob").to_pylist())
+        sums, answers, lower, out, me = [], [], [], [], None
+        for kind, me, blob in table(right):
+            (sums if kind == SUMS else answers if kind == ANSWERS else lower).append(_of(blob))
+        names, values = [x[0] for x in lower], [x[1].view(np.float64) for x in lower]
 
         def look(parts: list, names: np.ndarray, *columns: int) -> list[np.ndarray]:
             name = np.concatenate([p[0] for p in parts])
@@ -251,62 +251,61 @@ def _probabilities(rows: DataFrame, n: int, d: np.ndarray, last: bool) -> DataFr
             i = order[np.searchsorted(name, names, sorter=order)]
             return [np.concatenate([p[c] for p in parts])[i] for c in columns]
 
-        total, off = look(sums, _hash(record[:, :-1]), 1, 2)
-        (below,) = look(answers, _hash(record[:, 1:]), 1)
-        off, below = off.view(np.float64), below.view(np.float64)
-        p = np.log(np.maximum(many - d[np.minimum(many, 3) - 1], 0) / total + np.exp(off + below))
-        name = _hash(record)
-        if not last:
-            yield _rows([(me, LOWER, n, _arrays(name, p.view(np.int64)))])
-        yield _rows([(me, WEIGHTS, n, _arrays(name, (p - off - below).view(np.int64)))])
-
-    return rows.groupBy("shard").applyInArrow(run, SHARDED)
-
-
-def _merge(weights: DataFrame) -> DataFrame:
-    """Per shard, every n-gram once with its whole weight."""
-
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [x for _, _, x in _blobs(batches)]
-        name, inv = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        # at most two a name, what it adds and its back-off weight, and a sum of two has one value
-        value = np.bincount(inv, weights=np.concatenate([g[1] for g in got]).view(np.float64), minlength=len(name))
-        yield _rows([(key[0].as_py(), WEIGHTS, 0, _arrays(name, value.view(np.int64)))])
+        for _, me, blob in table(left):
+            record, many = _grams(blob)
+            total, off = look(sums, _hash(record[:, :-1]), 1, 2)
+            (below,) = look(answers, _hash(record[:, 1:]), 1)
+            off, below = off.view(np.float64), below.view(np.float64)
+            p = np.log(np.maximum(many - d[np.minimum(many, 3) - 1], 0) / total + np.exp(off + below))
+            name = _hash(record)
+            if last:
+                names.append(name), values.append(p - off - below)
+            else:
+                out += [(me, LOWER, n, _arrays(name, p.view(np.int64))), (me, WEIGHTS, n, _arrays(name, (p - off - below).view(np.int64)))]
+        if last and names:
+            name, inv = np.unique(np.concatenate(names), return_inverse=True)
+            # at most two a name, what it adds and its back-off weight, and a sum of two has one value
+            value = np.bincount(inv, weights=np.concatenate(values), minlength=len(name))
+            out.append((me, WEIGHTS, 0, _arrays(name, value.view(np.int64))))
+        return pa.Table.from_batches([_rows(out)])
 
-    return weights.groupBy("shard").applyInArrow(run, SHARDED)
+    return counts.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(run, SHARDED)
 
 
 def train(ws: Workspace, docs: DataFrame, order: int, shards: int) -> tuple[DataFrame, float] | None:
     """(weights per shard, log probability of a word never seen), None without any text."""
     counts: dict[int, DataFrame] = {}
-    for n in range(order, 0, -1):
-        rows = _deal(docs, n, shards, n == order) if n > 1 else None
-        if n < order:
-            more = _suffixes(counts[n + 1], n + 1, shards)
-            rows = more if rows is None else rows.unionByName(more)
-        counts[n] = ws.write(_count(rows, n), f"counts{n}", clean=True)
-    c = {n: _stats(t) for n, t in counts.items()}
-    if not c[1][5]:
-        return None
-    lower, spare = _lowest(counts[1], c[1])
-    lower = ws.write(lower, "model1")
-    ws.drop(counts[1])
-    parts = [lower.where(f"kind = {WEIGHTS}")]
-    for n in range(2, order + 1):
-        d = discounts(c[n])
-        asked = _ask_down(counts[n], shards).unionByName(lower.where(f"kind = {LOWER}"))
-        answers = ws.write(_answer_up(asked, d), f"answers{n}", clean=True)
-        offs = ws.write(answers.where(f"kind = {WEIGHTS}"), f"offs{n}")
-        rows = counts[n].where(f"kind = {GRAMS}").unionByName(answers.where(f"kind <> {WEIGHTS}"))
-        lower = ws.write(_probabilities(rows, n, d, n == order), f"model{n}", clean=True)
-        ws.drop(counts[n], answers)
-        parts += [offs, lower.where(f"kind = {WEIGHTS}")]
-    weights = parts[0]
-    for p in parts[1:]:
-        weights = weights.unionByName(p)
+    c: dict[int, np.ndarray] = {}
     with sorted_runs(ws.spark):
-        model = ws.write_sorted(_merge(weights), "weights", ["shard"])  # so that no batch shuffles it
-    ws.drop_but(model)
+        for n in range(order, 0, -1):
+            rows = _deal(docs, n, shards, n == order) if n > 1 else None
+            if n < order:
+                more = _suffixes(counts[n + 1], n + 1, shards)
+                rows = more if rows is None else rows.unionByName(more)
+            counts[n] = ws.write_sorted(_count(rows, n), f"counts{n}", ["shard"], clean=True)  # bucketed, so that it is not shuffled again
+            c[n] = _stats(counts[n])
+        if not c[1][5]:
+            return None
+        lower, spare = _lowest(counts[1], c[1])
+        lower = ws.write(lower, "model1")
+        ws.drop(counts[1])
+        parts = [lower.where(f"kind = {WEIGHTS}")]
+        for n in range(2, order + 1):
+            d = discounts(c[n])
+            asked = _ask_down(counts[n], shards).unionByName(lower.where(f"kind = {LOWER}"))
+            answers = ws.write(_answer_up(asked, d), f"answers{n}", clean=True)
+            parts.append(ws.write(answers.where(f"kind = {WEIGHTS}"), f"offs{n}"))
+            rows = answers.where(f"kind <> {WEIGHTS}")
+            for p in parts if n == order else []:
+                rows = rows.unionByName(p)
+            made = _probabilities(counts[n].where(f"kind = {GRAMS}"), rows, n, d, n == order)
+            if n == order:
+                model = ws.write_sorted(made, "weights", ["shard"], clean=True)
+            else:
+                lower = ws.write(made, f"model{n}", clean=True)
+                parts.append(lower.where(f"kind = {WEIGHTS}"))
+            ws.drop(counts[n], answers)
+        ws.drop_but(model)
     return model, spare
 
 
@@ -345,7 +344,7 @@ def _ask(docs: DataFrame, order: int, shards: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             lens = np.array([len(x) for x in held], np.int32)
             word, at = np.unique(np.concatenate(held), return_inverse=True)
-            rows = [(None, base, _arrays(word, at.astype(np.uint32), lens), *map(list, zip(*meta)))]
+            rows = [(None, base, _arrays(word, at.astype(np.uint16 if len(word) <= 1 << 16 else np.uint32), lens), *map(list, zip(*meta)))]
             for n, (name, _, _) in enumerate(_all_grams(word, at, lens, order)):
                 rows += [(s, base, _arrays(np.array([n]), *_of(blob)), None, None, None) for s, _, _, blob in _to_shards(0, 0, name, shards, name)]
             return _asked(rows)
@@ -426,7 +425,7 @@ def thresholds(known: DataFrame, quantile: float) -> tuple[DataFrame, float | No
     return edge(bins, ["lang"]), whole and whole.t
 
 
-def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order: int = 2, batches: int = 6) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order: int = 2, batches: int = 10) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, keep of every row of docs."""
     spark = docs.sparkSession
     ws = Workspace(spark, "quality-lm")
