@@ -1,6 +1,6 @@
 """Text quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The order is a parameter; the query takes two (the README has figures for three).
+The order is a parameter; the query takes three.
 Words are runs of non-space bytes, hashed to 64 bits; begin and end marks count as
 words. Trusted rows are split in two by a hash of doc_id: one part trains, the
 other gives each language's quantile of perplexity, so thresholds come from text
@@ -425,7 +425,7 @@ def thresholds(known: DataFrame, quantile: float) -> tuple[DataFrame, float | No
     return edge(bins, ["lang"]), whole and whole.t
 
 
-def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order: int = 2, batches: int = 10) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order: int = 3, batches: int = 10) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, keep of every row of docs."""
     spark = docs.sparkSession
     ws = Workspace(spark, "quality-lm")
