@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann_forest, decontam, html_text, license_scan, line_dedup, ngram_join, packing, quality_lm, substring_dedup, toxicity
+from tessera.llm import ann_forest, decontam, fill_in_middle, html_text, license_scan, line_dedup, ngram_join, packing, quality_lm, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,5 +52,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_toxicity, op4_quality, op5_decontamination, op6_line_dedup, op7_ann_forest, op8_packing, op9_ngram_join, op10_html_text)}
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_toxicity, op4_quality, op5_decontamination, op6_line_dedup, op7_ann_forest, op8_packing, op9_ngram_join, op10_html_text, op11_sharding, op12_fill_in_middle)}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op11_sharding": sharding.oracle(), "op12_fill_in_middle": fill_in_middle.oracle()}
