@@ -678,8 +678,7 @@ def _event_segments(spark: SparkSession, sf_dir: str, prompt: str) -> DataFrame:
         return "```json\n" + json.dumps({"topic_boundaries": at}) + "\n```"
 
     t = turns(spark, sf_dir).select("conv_id", "turn_ord", F.concat("speaker", F.lit(":"), X.strip(F.col("text"))).alias("line"))
-    numbered = t.groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("turn_ord").cast("string"), "line"))))).alias("context"))
-    b = boundaries(numbered, Scripted(reply), prompt).select("conv_id", F.col("boundary").cast("bigint").alias("turn_ord"))
+    b = boundaries(chunking.numbered_lines(t, ["conv_id"], "turn_ord", "line"), Scripted(reply), prompt).select("conv_id", F.col("boundary").cast("bigint").alias("turn_ord"))
     return _long(chunking.cut(t, b, ["conv_id"], "turn_ord", "line"), "segment", "n_lines")
 
 

@@ -2,8 +2,8 @@
 
 A provider is a picklable object with ``reply(prompt) -> str``. Calls run in
 ``mapInPandas`` with a bounded thread pool per task; a failed call gives status
-``error`` and no response, never a failed job. Prompts are keyed by hash so a
-response table can serve as a cache for repeated or retried work.
+``error`` and no response, never a failed job. Prompts are keyed by hash and every
+response is written to a call store (callstore.py) before anything is built on it.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tessera.functions.callstore import CallStore
 from tessera.functions.text import TOKENS_PER_CHAR, estimated_tokens, strip
 from tessera.operators.chunking import fold
 
@@ -118,10 +119,19 @@ class RemoteEmbedder(_Endpoint):
         return [d["embedding"] for d in sorted(self.post({"input": texts})["data"], key=lambda d: d["index"])]
 
 
-def call(rows: DataFrame, provider: Provider, prompt: str = "prompt", workers: int = 8, cache: DataFrame | None = None) -> DataFrame:
-    """rows with call_id, response, status: one call per distinct prompt that ``cache`` (call_id, response) does not hold."""
+CALLS = "call_id string, response string, status string, input_tokens long, output_tokens long"
+VECTORS = "text_id string, vec array<float>, status string, input_tokens long, output_tokens long"
+
+
+def call(rows: DataFrame, provider: Provider, prompt: str = "prompt", workers: int = 8, cache: DataFrame | None = None, store: CallStore | None = None, stage: str = "calls", waves: int = 1) -> DataFrame:
+    """rows with call_id, response, status: one call per distinct prompt that neither ``store`` nor ``cache`` (call_id, response) holds.
+
+    The calls are made here, in a job that writes them to the store's ``stage``; the
+    result reads them from there. Without a store the answers go to one of their own.
+    A null prompt is not asked and has status error.
+    """
     keyed = rows.withColumn("call_id", F.sha2(F.col(prompt), 256))
-    todo = keyed.select("call_id", F.col(prompt).alias("__p")).dropDuplicates(["call_id"])
+    todo = keyed.where("call_id is not null").select("call_id", F.col(prompt).alias("__p")).dropDuplicates(["call_id"])
     if cache is not None:
         todo = todo.join(cache.select("call_id"), "call_id", "left_anti")
 
@@ -135,29 +145,38 @@ def call(rows: DataFrame, provider: Provider, prompt: str = "prompt", workers: i
         with ThreadPoolExecutor(workers) as pool:
             for b in batches:
                 got = list(pool.map(one, b["__p"]))
-                yield pd.DataFrame({"call_id": b["call_id"], "response": [g[0] for g in got], "status": [g[1] for g in got]})
+                yield pd.DataFrame({"call_id": b["call_id"], "response": [g[0] for g in got], "status": [g[1] for g in got], "input_tokens": b["input_tokens"]})
+
+    def ask(missing: DataFrame) -> DataFrame:
+        sized = missing.withColumn("input_tokens", estimated_tokens(F.col("__p")))
+        made = sized.mapInPandas(run, "call_id string, response string, status string, input_tokens long")
+        return made.withColumn("output_tokens", F.coalesce(estimated_tokens(F.col("response")), F.lit(0)))
 
-    made = todo.mapInPandas(run, "call_id string, response string, status string")
+    store = store or CallStore(rows.sparkSession)
+    made = store.extend(todo, "call_id", ask, stage, CALLS, waves).select("call_id", "response", "status")
     if cache is not None:
-        made = made.unionByName(cache.select("call_id", "response", F.lit("ok").alias("status")))
-    return keyed.join(made, "call_id", "left")
+        kept = cache.select("call_id", "response", F.lit("ok").alias("status"))
+        made = kept.unionByName(made.join(kept, "call_id", "left_anti"))
+    return keyed.join(made, "call_id", "left").withColumn("status", F.coalesce("status", F.lit("error")))
 
 
-def embed(rows: DataFrame, embedder: Embedder, text: str, dim: int, budget: int = 8000) -> DataFrame:
+def embed(rows: DataFrame, embedder: Embedder, text: str, dim: int, budget: int = 8000, store: CallStore | None = None, stage: str = "embeddings") -> DataFrame:
     """rows with vec (array<float>) and embed_status: one vector for each distinct stripped text, asked for in batches.
 
     Blank and null texts are zero vectors and are not asked for. A batch holds texts of
     at most ``budget`` estimated tokens (an over-long one stands alone); one that fails,
-    or whose answer has another shape, gives status error and no vectors.
+    or whose answer has another shape, gives status error and no vectors. Vectors are
+    written to the store and read from there, like answers.
     """
     stripped = strip(F.coalesce(F.col(text), F.lit("")))
     keyed = rows.withColumn("__k", F.sha2(stripped, 256))
-    todo = keyed.where(F.length(stripped) > 0).select("__k", stripped.alias("__t")).dropDuplicates(["__k"])
+    todo = keyed.where(F.length(stripped) > 0).select(F.col("__k").alias("text_id"), stripped.alias("__t")).dropDuplicates(["text_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            number = fold([math.ceil(len(t) * TOKENS_PER_CHAR) for t in texts], budget)
+            sizes = [math.ceil(len(t) * TOKENS_PER_CHAR) for t in texts]
+            number = fold(sizes, budget)
             vecs, status = [], []
             for _, part in groupby(zip(number, texts), key=lambda x: x[0]):
                 own = [t for _, t in part]
@@ -170,9 +189,12 @@ def embed(rows: DataFrame, embedder: Embedder, text: str, dim: int, budget: int
                 except Exception:  # a failed call is a result, not a failed job
                     vecs += [None] * len(own)
                     status += ["error"] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(vecs, pa.list_(pa.float32())), pa.array(status)], ["__k", "vec", "embed_status"])
+            arrays = [pa.array(keys, pa.string()), pa.array(vecs, pa.list_(pa.float32())), pa.array(status, pa.string()), pa.array(sizes, pa.int64()), pa.array([0] * len(sizes), pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["text_id", "vec", "status", "input_tokens", "output_tokens"])
 
-    made = todo.mapInArrow(run, "__k string, vec array<float>, embed_status string")
+    store = store or CallStore(rows.sparkSession)
+    made = store.extend(todo, "text_id", lambda missing: missing.mapInArrow(run, VECTORS), stage, VECTORS)
+    made = made.select(F.col("text_id").alias("__k"), "vec", F.col("status").alias("embed_status"))
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     out = keyed.join(made, "__k", "left").drop("__k")
     blank = F.length(stripped) == 0

@@ -16,6 +16,12 @@ def ordered_join(order: str, text: str, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), sep)
 
 
+def numbered_lines(lines: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """keys, context: the key's lines as one JSON object by their numbers, in the order of the numbers (2 before 10)."""
+    entries = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: F.struct(x[order].cast("string"), x[text]))
+    return lines.groupBy(*keys).agg(F.to_json(F.map_from_entries(entries)).alias("context"))
+
+
 def turn_groups(turns: DataFrame, rounds: int = 1) -> DataFrame:
     """Turns of a session in blocks of 2 * rounds; an incomplete tail joins the block before it.
 

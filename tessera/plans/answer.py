@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.callstore import CallStore
 from tessera.functions.providers import PROMPTS, Provider, call
 from tessera.functions.text import extract_json, json_field
 from tessera.operators.chunking import ordered_join
@@ -112,8 +113,13 @@ def long_contexts(questions: DataFrame, lines: DataFrame, key: str, order: str,
     return contexts(questions, lines, [key], order, text)
 
 
-def answer_and_rate(rows: DataFrame, answerer: Provider, judge_: Provider, scale: str = "0-100", prompt: str = "answer") -> DataFrame:
-    """rows (question, truth, context, label) with answer, status and rating (null where judging failed)."""
-    answered = answer(rows, answerer, prompt).select(*rows.columns, "answer", F.col("status").alias("answer_status"))
-    rated = judge(answered, judge_, scale)
+def answer_and_rate(rows: DataFrame, answerer: Provider, judge_: Provider, scale: str = "0-100", prompt: str = "answer", store: CallStore | None = None) -> DataFrame:
+    """rows (question, truth, context, label) with answer, status and rating (null where judging failed).
+
+    Answers are in the store before they are judged, so the answers that are rated are
+    those of the result; with a store of a known path a rerun asks nothing again.
+    """
+    store = store or CallStore(rows.sparkSession)
+    answered = answer(rows, answerer, prompt, store=store, stage="answers").select(*rows.columns, "answer", F.col("status").alias("answer_status"))
+    rated = judge(answered, judge_, scale, store=store, stage="ratings")
     return rated.select(*rows.columns, "answer", F.col("answer_status").alias("status"), "rating")

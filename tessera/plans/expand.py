@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.providers import Provider
 from tessera.functions.text import timed
+from tessera.operators.chunking import numbered_lines
 from tessera.operators.graph import unvisited_neighbors
 from tessera.plans.answer import contexts, relevance, sufficient
 from tessera.plans.storage import checkpoint
@@ -69,7 +70,7 @@ def expand_text(questions: DataFrame, anchors: DataFrame, nodes: DataFrame, sym:
         return sufficient(asked, judge).select("q_id", "verdict")
 
     def scores(found: DataFrame) -> DataFrame:
-        listed = found.join(nodes, "node").groupBy("q_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("node").cast("string"), "chunk"))))).alias("context"))
+        listed = numbered_lines(found.join(nodes, "node"), ["q_id"], "node", "chunk")
         return relevance(listed.join(questions, "q_id"), scorer).join(found, ["q_id", "node"], "left_semi")
 
     docs, status = expand(anchors.join(texts, "node", "left_semi"), sym, verdicts, scores, keep, max_rounds)
