@@ -525,39 +525,39 @@ def expand_3hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(docs.select("q_id", "node", "round"), "round")
 
 
-def ppr_sql(tolerance: str, rounds: int) -> str:
-    """Ranks by personalised PageRank over the tables nodes (node), sym (node, neighbor, weight) and seeds (q_id, node, p).
+def ppr_sql(bound: float, rounds: int, alpha: float = 0.85) -> str:
+    """Ranks by residual push over the tables nodes (node), sym (node, neighbor, weight) and seeds (q_id, node, p).
 
-    Of the first ``rounds`` rounds it takes the first fifth one that moves less than the tolerance in every query.
+    After ``rounds`` rounds nothing may be left to push. Node -1 takes what nodes without edges pass on.
     """
     return f"""ow AS (SELECT node, sum(weight) AS t FROM sym GROUP BY 1),
-loose AS (SELECT node FROM nodes ANTI JOIN ow USING (node)),
-m0 AS (SELECT q_id, s.node AS u, s.neighbor AS v, 0.85::DOUBLE * s.weight / ow.t AS p FROM sym s JOIN ow USING (node) CROSS JOIN (SELECT DISTINCT q_id FROM seeds)
-  UNION ALL SELECT seeds.q_id, nodes.node, seeds.node, 0.15::DOUBLE * seeds.p FROM nodes CROSS JOIN seeds
-  UNION ALL SELECT seeds.q_id, loose.node, seeds.node, 0.85::DOUBLE * seeds.p FROM loose CROSS JOIN seeds),
-m AS (SELECT q_id, u, v, sum(p) AS p FROM m0 GROUP BY ALL),
-x AS (SELECT 0 AS r, q_id, node, p::DOUBLE AS rank FROM seeds
-  UNION ALL SELECT r + 1, x.q_id, v, sum(rank * p) FROM x JOIN m ON m.q_id = x.q_id AND m.u = x.node WHERE r < {rounds} GROUP BY r + 1, x.q_id, v),
-moved AS (SELECT r, q_id, sum(abs(d)) AS d FROM (SELECT r, q_id, node, sum(rank) AS d FROM (SELECT r, q_id, node, rank FROM x UNION ALL SELECT r + 1, q_id, node, -rank FROM x) GROUP BY ALL) GROUP BY ALL),
-ended AS (SELECT min(r) AS r FROM (SELECT r, max(d) AS d FROM moved WHERE r > 0 AND r % 5 = 0 AND r <= {rounds} GROUP BY r) WHERE d < {tolerance}),
-ranks AS (SELECT q_id, node, round(rank, 6) AS rank FROM x JOIN ended USING (r))"""
+most AS (SELECT node, coalesce(t, 1) * {bound!r}::DOUBLE AS most FROM nodes LEFT JOIN ow USING (node) UNION ALL SELECT -1, 'inf'::DOUBLE),
+moves AS (SELECT node, node AS target, NULL::DOUBLE AS share FROM most
+  UNION ALL SELECT s.node, s.neighbor, s.weight / ow.t FROM sym s JOIN ow USING (node)
+  UNION ALL SELECT node, -1, 1 FROM nodes ANTI JOIN ow USING (node)),
+x AS (SELECT 0 AS r, q_id, node, 0::DOUBLE AS settled, p::DOUBLE AS residual FROM seeds
+  UNION ALL SELECT r + 1, x.q_id, m.target, sum(CASE WHEN share IS NOT NULL THEN 0 WHEN residual > most THEN settled + {1 - alpha!r}::DOUBLE * residual ELSE settled END),
+    sum(CASE WHEN (share IS NULL) = (residual > most) THEN 0 WHEN share IS NULL THEN residual ELSE {alpha!r}::DOUBLE * residual * share END)
+  FROM x JOIN most USING (node) JOIN moves m ON m.node = x.node WHERE r < {rounds} GROUP BY r + 1, x.q_id, m.target),
+lost AS (SELECT q_id, residual AS lost FROM x WHERE r = {rounds} AND node = -1),
+ranks AS (SELECT q_id, node, round(settled / (1 - coalesce(lost, 0)), 6) AS rank FROM x LEFT JOIN lost USING (q_id) WHERE r = {rounds} AND settled > 0)"""
 
 
 @query(
     f"""WITH RECURSIVE {_SIMPLE}, {_TOPK},
 nodes AS (SELECT vec_id AS node FROM embeddings),
 seeds AS (SELECT q_id, chunk_id AS node, 1.0::DOUBLE / 3 AS p FROM ranked WHERE rk <= 3),
-{ppr_sql("(SELECT count(*) * 1e-6 FROM nodes)", 100)}
+{ppr_sql(1e-5, 100)}
 SELECT q_id, node, rank, row_number() OVER (PARTITION BY q_id ORDER BY rank DESC, node) AS rk FROM ranks QUALIFY rk <= 4"""
 )
 def ppr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four nodes of the highest rank for every question, with its three nearest nodes as seeds."""
-    from tessera.plans.storage import checkpoint
+    from tessera.plans.storage import written
 
     nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"))
-    sym = checkpoint(graph.symmetric(_simple(spark, sf_dir), []))
-    seeds = checkpoint(_nearest(spark, sf_dir, 3).select("q_id", F.col("chunk_id").alias("node"), F.lit(1.0 / 3).alias("p")))
-    x = graph.personalized_pagerank(nodes, sym, seeds, tolerance=1e-6 * nodes.count()).withColumn("rank", F.round("rank", 6))
+    sym = graph.symmetric(written(_simple(spark, sf_dir), "edges"), [])
+    seeds = written(_nearest(spark, sf_dir, 3).select("q_id", F.col("chunk_id").alias("node"), F.lit(1.0 / 3).alias("p")), "anchors")
+    x = graph.personalized_pagerank(nodes, sym, seeds).withColumn("rank", F.round("rank", 6))
     return _long(vectors.top_k(x, ["q_id"], "node", 4, "rank").select("q_id", "node", "rank", "rk"), "rk")
 
 

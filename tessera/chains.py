@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.catalogue import EMBED, QUESTIONS, RANKED, TOKENS, WS, _embeddings, _long, ppr_sql, query, questions, ranked_chunks, ranked_sql, table, turns
@@ -21,7 +21,7 @@ from tessera.operators import blocked, chunking, graph, series, vectors
 from tessera.plans import answer as A
 from tessera.plans import experiment
 from tessera.plans.expand import expand_text
-from tessera.plans.storage import checkpoint, checkpoint_dir
+from tessera.plans.storage import checkpoint, checkpoint_dir, written
 from tessera.sources import dialogue
 
 NODE = 100_000
@@ -363,15 +363,15 @@ def _by_question(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame
 @query(
     f"""WITH RECURSIVE {RANKED}, {_TEXT_GRAPH},
 seeds AS (SELECT conv_id * 1000000 + turn AS q_id, conv_id * {NODE} + block AS node, 1.0::DOUBLE / count(*) OVER (PARTITION BY conv_id, turn) AS p FROM ranked WHERE rk <= 3),
-{ppr_sql("1e-4", 100).replace("FROM nodes CROSS JOIN seeds", "FROM nodes JOIN seeds ON nodes.node // " + str(NODE) + " = seeds.node // " + str(NODE)).replace("FROM loose CROSS JOIN seeds", "FROM loose JOIN seeds ON loose.node // " + str(NODE) + " = seeds.node // " + str(NODE)).replace("JOIN ow USING (node) CROSS JOIN (SELECT DISTINCT q_id FROM seeds)", "JOIN ow USING (node) JOIN (SELECT DISTINCT q_id FROM seeds) z ON z.q_id // 1000000 = s.node // " + str(NODE))}
+{ppr_sql(1e-5, 160)}
 SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY rank DESC, node) AS rk, node, chunk FROM ranks JOIN nodes USING (node) QUALIFY rk <= 4"""
 )
 def ppr_on_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four chunks of the highest personalised rank for every question, in rank order."""
     nodes, edges = text_graph(spark, sf_dir)
     a = _anchors(spark, sf_dir)
-    seeds = checkpoint(a.join(a.groupBy("q_id").agg((F.lit(1.0) / F.count("*")).alias("p")), "q_id").select("q_id", "node", "p"))
-    x = graph.personalized_pagerank(nodes.select("node"), checkpoint(graph.symmetric(edges, [])), seeds, tolerance=1e-4)
+    seeds = written(a.withColumn("p", F.lit(1.0) / F.count("*").over(Window.partitionBy("q_id"))).select("q_id", "node", "p"), "anchors")
+    x = graph.personalized_pagerank(nodes.select("node"), graph.symmetric(written(edges, "edges"), []), seeds)
     top = vectors.top_k(x.withColumn("rank", F.round("rank", 6)), ["q_id"], "node", 4, "rank")
     return _long(top.join(nodes.select("node", "chunk"), "node").select("q_id", "rk", "node", "chunk"), "rk")
 
@@ -427,5 +427,3 @@ def experiment_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = t if out is None else out.unionByName(t)
     return out
 
-
-__all__ = ["Column"]

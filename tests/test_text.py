@@ -100,7 +100,7 @@ def test_pagerank_sums_to_one(spark):
     nodes = spark.createDataFrame([(i,) for i in range(4)], "node int")
     e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 2.0)], "src int, dst int, weight double")
     seeds = spark.createDataFrame([(7, 0, 1.0)], "q_id int, node int, p double")
-    x = graph.personalized_pagerank(nodes, graph.symmetric(e, []), seeds).collect()
+    x = graph.personalized_pagerank(nodes, graph.symmetric(e, []), seeds, bound=1e-11).collect()
     assert abs(sum(r["rank"] for r in x) - 1) < 1e-9
 
 
@@ -113,7 +113,7 @@ def test_pagerank_solves_the_equations(spark):
     e = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src int, dst int, weight double")
     marks = {1: {0: 0.5, 5: 0.5}, 2: {3: 0.25, 19: 0.75}}
     seeds = spark.createDataFrame([(q, k, p) for q, s in marks.items() for k, p in s.items()], "q_id int, node int, p double")
-    got = {(x.q_id, x.node): x["rank"] for x in graph.personalized_pagerank(nodes, graph.symmetric(e, []), seeds, tolerance=1e-9).collect()}
+    got = {(x.q_id, x.node): x["rank"] for x in graph.personalized_pagerank(nodes, graph.symmetric(e, []), seeds, bound=1e-10).collect()}
     m = np.zeros((n, n))
     for (a, b), w in edges.items():
         m[a, b] = m[b, a] = w
@@ -125,7 +125,30 @@ def test_pagerank_solves_the_equations(spark):
         assert all(abs(got.get((q, i), 0.0) - want[i]) < 1e-8 for i in range(n))
         assert not any((q, i) in got for i in (20, 21, 22, 23))
     with pytest.raises(RuntimeError):
-        graph.personalized_pagerank(nodes, graph.symmetric(e, []), seeds, tolerance=1e-9, most_rounds=5)
+        graph.personalized_pagerank(nodes, graph.symmetric(e, []), seeds, bound=1e-10, most_rounds=4)
+
+
+def test_pushes_stay_near_the_seeds(spark, monkeypatch):
+    """On a ring of 400 nodes the bound keeps walks near their seed, and every rank within the bound of the exact one. Adjacency rows may be cut."""
+    n, bound = 400, 1e-3
+    nodes = spark.range(n).select(F.col("id").alias("node"))
+    e = spark.range(n).select(F.col("id").alias("src"), F.pmod(F.col("id") + 1, F.lit(n)).alias("dst"), F.lit(2.0).alias("weight"))
+    hub = spark.range(2, 12).select(F.lit(0).cast("long").alias("src"), (F.col("id") * 30).alias("dst"), F.lit(1.0).alias("weight"))
+    seeds = spark.createDataFrame([(1, 200, 1.0), (2, 0, 0.5), (2, 100, 0.5), (3, 399, 1.0)], "q_id int, node long, p double")
+    m = np.zeros((n, n))
+    for x in e.unionByName(hub).collect():
+        m[x.src, x.dst] = m[x.dst, x.src] = x.weight
+    total = m.sum(1)
+    for piece in (1000, 3):
+        monkeypatch.setattr(graph, "PIECE", piece)
+        got = {(x.q_id, x.node): x["rank"] for x in graph.personalized_pagerank(nodes, graph.symmetric(e.unionByName(hub), []), seeds, bound=bound).collect()}
+        for q, own in ((1, {200: 1.0}), (2, {0: 0.5, 100: 0.5}), (3, {399: 1.0})):
+            v = np.zeros(n)
+            v[list(own)] = list(own.values())
+            want = np.linalg.solve(np.eye(n) - 0.85 * (m / total[:, None]).T, 0.15 * v)
+            assert all(-1e-12 <= want[i] - got.get((q, i), 0.0) <= bound * total[i] for i in range(n))
+        assert 5 < sum(q == 1 for q, _ in got) < 60
+    assert graph.personalized_pagerank(nodes, graph.symmetric(e, []), seeds.limit(0)).count() == 0
 
 
 def test_scores(spark):
