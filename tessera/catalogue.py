@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import blocked, chunking, graph, joins, series, vectors
+from tessera.operators.similarity import similar_pairs
 from tessera.plans import evaluate
 from tessera.plans.answer import overall, scores_by_category
 from tessera.plans.expand import expand
@@ -310,8 +311,8 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _embeddings(spark, sf_dir).select(_owner("vec_id").alias("c"), F.posexplode("v").alias("d", "x"))
     sums = flat.groupBy("c", "d").agg(F.sum(F.col("x").cast("double")).alias("x"))
     vecs = sums.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
-    sims = blocked.all_pairs(vecs, "c", "v", normalize=True, block=BLOCK).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("sim").alias("text_similarity"))
-    return graph.typed_edges(sims, _sentence_sims(spark, sf_dir), [], 0.3, 0.3)
+    sentences = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("sentence"), _owner("vec_id").alias("node"), "v")
+    return graph.typed_graph(vecs.withColumnRenamed("c", "node"), sentences, 0.3, 0.3)
 
 
 @query(f"WITH {_OWNERS} SELECT src, dst, sentence_similarity FROM sent")
@@ -334,13 +335,22 @@ def edges_without_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.without_type(_typed(spark, sf_dir), "sentence_similarity").select("src", "dst", "edge_type", "weight")
 
 
-@query("SELECT CAST(vec_id AS BIGINT) AS src, CAST(vec_id AS BIGINT) AS dst, CAST(0 AS DOUBLE) AS weight FROM embeddings WHERE false")
-def edges_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.without_edges(_simple(spark, sf_dir)).select("src", "dst", "weight")
+def _simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.simple_edges(similar_pairs(_embeddings(spark, sf_dir), "vec_id", "v", 0.3)[0], [], 0.3)
 
 
-def _simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.simple_edges(_all_pairs(spark, sf_dir, 0.3), [], 0.3)
+_DEGREES = "degrees AS (SELECT vec_id AS node, count(neighbor) AS degree FROM embeddings LEFT JOIN sym ON sym.node = vec_id GROUP BY 1)"
+
+
+@query(f"WITH {_SIMPLE}, {_DEGREES} SELECT node, degree, 0::BIGINT AS degree_left FROM degrees")
+def edges_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node with its number of neighbours before and after all edges are taken out; the nodes stay."""
+    from tessera.plans.storage import written
+
+    nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"))
+    edges = written(_simple(spark, sf_dir), "edges")
+    left = graph.degrees(nodes, graph.without_edges(edges)).withColumnRenamed("degree", "degree_left")
+    return graph.degrees(nodes, edges).join(left, "node").select("node", "degree", "degree_left")
 
 
 @query(f"WITH {_SIMPLE} SELECT src, dst, weight, 'similarity' AS edge_type FROM edges")
