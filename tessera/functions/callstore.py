@@ -17,7 +17,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +35,9 @@ class CallStore:
         return f"{self.path}/stage={stage}"
 
     def stored(self, stage: str, schema: str) -> DataFrame:
-        """All rows of a stage as they were appended; empty if there are none yet."""
-        try:
-            return self.spark.read.schema(schema).parquet(self._folder(stage))
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
+        """All rows of a stage as they were appended; before the first an empty table is made."""
+        self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self._folder(stage))
+        return self.spark.read.schema(schema).parquet(self._folder(stage))
 
     def extend(self, todo: DataFrame, key: str, ask: Callable[[DataFrame], DataFrame], stage: str, schema: str, waves: int = 1) -> DataFrame:
         """The stage's rows, one a key, after ``ask`` has answered those of ``todo`` without a good one.

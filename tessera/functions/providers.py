@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -63,6 +64,25 @@ class Scripted:
         return self.function(prompt)
 
 
+@dataclass
+class Quote:
+    """A baseline without a model: answers with the first line of the passages. The question must be one line."""
+
+    def reply(self, prompt: str) -> str:
+        context = prompt.split("\nQuestion: ", 1)[1].partition("\n")[2]
+        return json.dumps({"answer": next((x for x in context.split("\n") if x.strip()), "")})
+
+
+@dataclass
+class Overlap:
+    """A baseline judge: 1 plus 99 times the share of the truth's words (of a to z) that the answer has; no rating without such words."""
+
+    def reply(self, prompt: str) -> str:
+        truth, answer = prompt.split("\nTruth: ", 1)[1].split("\nAnswer: ", 1)
+        want, said = (set(re.findall("[a-z]+", x.lower())) for x in (truth, answer))
+        return json.dumps({"rating": 1 + 99 * len(want & said) // len(want)} if want else {})
+
+
 @dataclass
 class ScriptedEmbedder:
     """A stand-in: a function of one text."""

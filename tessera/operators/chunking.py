@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_blank, strip, turn_line, turn_with_image
+from tessera.operators.ordering import numbered
 
 
 def ordered_join(order: str, text: str, sep: str) -> Column:
@@ -22,24 +23,28 @@ def numbered_lines(lines: DataFrame, keys: list[str], order: str, text: str) ->
     return lines.groupBy(*keys).agg(F.to_json(F.map_from_entries(entries)).alias("context"))
 
 
-def turn_groups(turns: DataFrame, rounds: int = 1) -> DataFrame:
+def turn_groups(turns: DataFrame, rounds: int = 1, spread: bool = False) -> DataFrame:
     """Turns of a session in blocks of 2 * rounds; an incomplete tail joins the block before it.
 
     Adds line, rn (place among the turns that aren't blank), block and glued: true
-    on the first turn of a tail that joins another block.
+    on the first turn of a tail that joins another block. ``spread``: sessions may be of
+    any length; they are numbered over all tasks (a sort and a write) and not by a window.
     """
     size = 2 * rounds
-    w = Window.partitionBy("conv_id", "session_ord")
     rows = turns.where(~is_blank(F.col("text"))).withColumn("line", turn_line(F.col("speaker"), F.col("text")))
-    rows = rows.withColumn("rn", F.row_number().over(w.orderBy("turn_ord")) - 1).withColumn("n", F.count("*").over(w))
+    if spread:
+        rows = numbered(rows, ["conv_id", "session_ord"], ["turn_ord"])
+    else:
+        w = Window.partitionBy("conv_id", "session_ord")
+        rows = rows.withColumn("rn", F.row_number().over(w.orderBy("turn_ord")) - 1).withColumn("n", F.count("*").over(w))
     full = F.floor(F.col("n") / size)
     block = F.least(F.floor(F.col("rn") / size), F.greatest(full - 1, F.lit(0)))
     return rows.withColumn("block", block).withColumn("glued", (full >= 1) & (F.col("rn") == full * size))
 
 
-def turn_chunks(turns: DataFrame, rounds: int = 1, tail_sep: str = "") -> DataFrame:
+def turn_chunks(turns: DataFrame, rounds: int = 1, tail_sep: str = "", spread: bool = False) -> DataFrame:
     """conv_id, session_ord, block, chunk: lines joined by a line end, before a glued tail by ``tail_sep``."""
-    g = turn_groups(turns, rounds)
+    g = turn_groups(turns, rounds, spread)
     lead = F.when(F.col("rn") == F.col("block") * 2 * rounds, "").when(F.col("glued"), tail_sep).otherwise("\n")
     g = g.withColumn("part", F.concat(lead, "line"))
     return g.groupBy("conv_id", "session_ord", "block").agg(ordered_join("rn", "part", "").alias("chunk"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import remove_image, strip, strip_speaker
 from tessera.operators.chunking import first_line, ordered_join
+from tessera.operators.ordering import numbered
 
 
 def session_bodies(turns: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,8 +37,15 @@ def resolve_evidence(qa: DataFrame, turns: DataFrame) -> DataFrame:
     return hit.groupBy("conv_id", "q_ord", "question").agg(F.transform(F.array_sort(F.collect_list(F.struct("ev_ord", "text"))), lambda x: x["text"]).alias("evidence"))
 
 
-def questions(turns: DataFrame) -> DataFrame:
-    """conv_id, turn_ord, question, answer: every user turn and the turn after it (null if none follows)."""
-    w = Window.partitionBy("conv_id").orderBy("turn_ord")
-    rows = turns.withColumn("answer", F.lead("text").over(w)).where("speaker = 'user'")
+def questions(turns: DataFrame, spread: bool = False) -> DataFrame:
+    """conv_id, turn_ord, question, answer: every user turn and the turn after it (null if none follows).
+
+    ``spread``: conversations may be of any length; the next turn comes by a join on its place and not by a window.
+    """
+    if spread:
+        at = numbered(turns.select("conv_id", "turn_ord", "speaker", "text"), ["conv_id"], ["turn_ord"])
+        after = at.select("conv_id", (F.col("rn") - 1).alias("rn"), F.col("text").alias("answer"))
+        rows = at.where("speaker = 'user'").join(after, ["conv_id", "rn"], "left")
+    else:
+        rows = turns.withColumn("answer", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn_ord"))).where("speaker = 'user'")
     return rows.select("conv_id", "turn_ord", F.col("text").alias("question"), "answer")

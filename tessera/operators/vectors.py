@@ -20,6 +20,13 @@ def hash_embedding(texts: DataFrame, id_cols: list[str], text: str, buckets: int
     return counts.withColumn("weight", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(w))).drop("n")
 
 
+def dense(sparse: DataFrame, id_cols: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """id_cols, v: sparse vectors as arrays of ``buckets`` numbers."""
+    rows = sparse.groupBy(*id_cols).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.try_element_at("m", b.cast("long")), F.lit(0.0)))
+    return rows.select(*id_cols, each.alias("v"))
+
+
 def sparse_scores(left: DataFrame, right: DataFrame, on: list[str], ids: list[str]) -> DataFrame:
     """ids, score: inner products by an equi-join on the shared bucket (pairs without one are absent)."""
     j = left.withColumnRenamed("weight", "__a").join(right.withColumnRenamed("weight", "__b"), [*on, "bucket"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +28,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that ``written`` makes within are dropped at the end; what is built on them must be written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for table in _SCRATCH.pop():
+            remove(table)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: as a checkpoint, but its size is known to the planner. ``remove`` drops it."""
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
