@@ -9,10 +9,11 @@ on the path from it to the body is the threshold, by which blocks beside that pa
 are taken or left (headings before it are taken). Boilerplate by element (nav,
 footer, script, ...) and what is hidden never takes part.
 
-Words of class, id and role only advise: they multiply a block's density by
-``ADVICE``, in the sums and against the threshold, unless it holds an article or
-main, or (with no article or main elsewhere) more than half of the page's text
-without links. Words that may also name main text (``SOFT``) only do so where half
+Words of class, id and role only advise: they multiply the densities of a block and
+of all in it by ``ADVICE``, in the sums and against the threshold, unless it holds an
+article or main, or (with no article or main elsewhere) more than half of the page's
+text without links. Comments and consent boxes (``BESIDE``) of any length are advised
+against wherever a ``SENTENCE`` of other text is around them. Words that may also name main text (``SOFT``) only do so where half
 of the text is links, or outside articles in other elements than sections,
 paragraphs and headings. Blocks in the article or main around the taken subtree
 have their densities divided by ``ADVICE``.
@@ -68,17 +69,23 @@ SOFT = set("notice notices notification notifications alert legal disclaimer cop
 FRAME = set("bar box block list link links item items wrapper wrap container inner outer section area panel left right top bottom main primary secondary site page global header post posts article articles entry story stories news button buttons btn icon icons count media consent".split())
 
 
+# Those of reader comments and consent boxes, which may well be longer than the article.
+BESIDE = set("comment comments commentlist respond reply replies disqus cookie cookies consent gdpr".split())
+#: Text besides links and headings that makes an article beside comments or a consent box, in code points.
+SENTENCE = 80
+
+
 class Node:
-    __slots__ = ("chars", "density", "factor", "holds_main", "kids", "link_chars", "link_tags", "linked", "main", "mark", "near", "open", "parent", "skip", "sum", "tag", "tags", "text")
+    __slots__ = ("beside", "chars", "density", "factor", "heads", "holds_main", "kids", "link_chars", "link_tags", "linked", "main", "mark", "near", "open", "parent", "skip", "sum", "tag", "tags", "text", "weight")
 
     def __init__(self, tag: str, parent: Node | None, mark: int) -> None:
         self.tag, self.parent, self.mark = tag, parent, mark  # as _marks; 3 also for boilerplate by element
-        self.skip = self.holds_main = False
+        self.skip = self.holds_main = self.beside = False
         self.kids: list = []  # Nodes and strings in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.open = self.text = self.linked = 0  # open inline elements of its name; all characters in it and those of links
+        self.open = self.text = self.linked = self.heads = 0  # open inline elements of its name; all characters in it, those of links, those of headings
         self.density = self.sum = 0.0
-        self.factor = 1.0
+        self.factor = self.weight = 1.0  # its own, and times those of the nodes around it
         self.main: Node | None = self if tag in ("article", "main") else parent and parent.main  # the innermost article or main
         # The nearest open element of each kind that ends with the next of its kind, up to a list or table.
         self.near: dict[str, Node] = parent.near if parent else {}
@@ -118,6 +125,13 @@ def _marks(attrs: str) -> int:
     return mark
 
 
+@lru_cache(4096)
+def _beside(attrs: str) -> bool:
+    """Whether a class, id or role names reader comments or a consent box."""
+    words = " ".join((m[2] or "").strip("\"'").lower() for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id", "role")).split()
+    return any(_word(w) and BESIDE.intersection(re.split(r"[-_]", w)) for w in words)
+
+
 class _Scanner:
     """Tags of a page, in linear time: no search for an end is ever made twice over the same text."""
 
@@ -241,6 +255,7 @@ def parse(page: str) -> Node:
             if mark < 3 and tag in ("form", "main"):
                 mark = 2 if tag == "form" else 0  # a form may hold the whole page, so it counts as a class does
         node = Node(tag, at, mark)
+        node.beside = 0 < mark < 3 and _beside(attrs)
         at.kids.append(node)
         if tag == "a":
             link += 1
@@ -260,10 +275,13 @@ def _skip(root: Node) -> None:
         n.text, n.linked = n.chars, n.link_chars
         stack += [k for k in n.kids if type(k) is Node and k.mark < 3]
     for n in reversed(order):
-        n.holds_main |= n.tag in ("article", "main") and n.mark < 2
+        if n.tag in _HEADINGS:
+            n.heads = n.text - n.linked
+        n.holds_main |= n.tag in ("article", "main") and n.mark < 2 and not n.beside
         if n.parent is not None:
             n.parent.text += n.text
             n.parent.linked += n.linked
+            n.parent.heads += n.heads
             n.parent.holds_main |= n.holds_main
     stack = [root]
     while stack:
@@ -274,8 +292,11 @@ def _skip(root: Node) -> None:
             continue
         if n.mark and not n.holds_main and n is not root:
             most = 2 * (n.text - n.linked) > root.text - root.linked and (n.parent.main is not None or not root.holds_main)
+            around = n.parent.main or root
+            own = lambda x: x.text - x.linked - x.heads
+            most &= not n.beside or own(around) - own(n) < SENTENCE
             plain = inside or n.tag in ("section", "p") or n.tag in _HEADINGS
-            if not most and (n.mark == 2 or not plain or 2 * n.linked >= n.text > 0):
+            if not most and (n.mark == 2 or n.beside or not plain or 2 * n.linked >= n.text > 0):
                 n.factor = ADVICE
         stack += [k for k in n.kids if type(k) is Node]
 
@@ -304,6 +325,8 @@ def measure(root: Node) -> list[Node]:
                 n.tags += k.tags + 1
                 n.link_chars += k.link_chars
                 n.link_tags += k.link_tags
+    for n in reversed(order):  # parents first
+        n.weight = n.factor * (n.parent.weight if n.parent is not None else 1.0)
     share = root.link_chars / max(root.chars, 1)
     for n in order:
         c, t, lc, lt = n.chars, max(n.tags, 1), n.link_chars, max(n.link_tags, 1)
@@ -311,7 +334,7 @@ def measure(root: Node) -> list[Node]:
             base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
             n.density = c / t * math.log(max(c / max(lc, 1) * (t / lt), 1.0) + 1e-9, base) if base > 1 else c / t
             n.density = max(n.density, 0.0)
-        n.sum = n.factor * (sum(k.factor * k.density for k in n.kids if type(k) is Node and not k.skip) or (n.density if n.chars else 0.0))
+        n.sum = n.weight * (sum(k.factor * k.density for k in n.kids if type(k) is Node and not k.skip) or (n.density if n.chars else 0.0))
     return order
 
 

@@ -67,6 +67,36 @@ def test_comments_beyond_half_a_page():
     assert html_text.main_text(page).split() == ["word"] * 60
 
 
+def test_comments_and_boxes_longer_than_the_article():
+    """Few long comments, nested replies and consent boxes, beside the article and in it, with and without an article element."""
+    said = lambda n: f"<p>{'said ' * n}</p>"
+    threads = [
+        "<section id='comments'>" + f"<div class='comment'>{said(120)}</div>" * 2 + "</section>",
+        "<section id=comments>" + f"<div class=comment>{said(238)}</div>" * 2 + "</section>",
+        "<div class=comment-list><ol>" + f"<li class=comment><div>{said(100)}<ol><li class=comment><div>{said(475)}</div></li></ol></div></li>" * 3 + "</ol></div>",
+        f"<div class='cookie-consent'>{said(240)}</div>",
+        f"<div id=gdpr><div><div>{said(300)}{said(300)}</div></div></div>",
+        "<div class=replies>" + f"<article class=reply>{said(200)}</article>" * 2 + "</div>",
+    ]
+    for paragraphs in (1, 2, 3, 5):
+        body = "".join(f"<p>{'word ' * 40}</p>" for _ in range(paragraphs))
+        want = ["word"] * 40 * paragraphs
+        for thread in threads:
+            for page in (f"<article>{body}</article>{thread}", f"{thread}<article>{body}</article>", f"<article>{body}{thread}</article>", f"<main><h1>Head</h1><div>{body}</div>{thread}</main>", f"<div class=content>{body}</div>{thread}", f"<div>{body}{thread}</div>"):
+                assert html_text.main_text(page).split() == (["Head"] if "<h1>" in page else []) + want, page[:200]
+    only = f"<article><h1>Head</h1><div class=comments>{said(100)}</div></article>"
+    assert html_text.main_text(only).split() == ["Head"] + ["said"] * 100  # nothing else is there: the box is the text
+
+
+def test_empty_table_repeats_and_clashes(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string, sum string"
+    rows = [(1, "u", "<article><p>x y</article>", "a", "b", "c")] * 2 + [(None, None, "", "a", "b", "c")]
+    got = sorted(map(repr, map(tuple, html_text.extract(spark.createDataFrame(rows, schema)).collect())))
+    assert got == sorted(map(repr, [(1, "u", "x y", 3)] * 2 + [(None, None, "", 0)]))
+    empty = html_text.extract(spark.createDataFrame([], schema))
+    assert empty.columns == ["page_id", "url", "text", "n_chars"] and empty.count() == 0
+
+
 def test_ties_of_equal_subtrees():
     """Equal density sums: the first in page order of the innermost ones is taken, and its equal neighbours with it."""
     assert html_text.main_text("<div><p>one two three</p></div><div><p>one two three</p></div>") == "one two three one two three"
@@ -128,13 +158,14 @@ def plain_text(page):
         c, t = chars(n), max(tags(n), 1)
         return c / t * max(math.log(max(c * t, 1) + 1e-9), 0) if c else 0
 
-    def total(n):
-        return factor(n) * (sum(factor(k) * density(k) for k in kids(n)) or density(n))
+    def total(n, above):
+        """What is said against a block counts for all in it."""
+        return math.prod(map(factor, [n, *above])) * (sum(factor(k) * density(k) for k in kids(n)) or density(n))
 
     every = []
     walk = lambda n, above: every.append((n, above)) or [walk(k, [n, *above]) for k in kids(n)]
     walk(reader.root, [])
-    best, above = max(every, key=lambda x: (total(x[0]), chars(x[0])))
+    best, above = max(every, key=lambda x: (total(*x), chars(x[0])))
     least = min(density(n) for n in [best, *above])
 
     def text(n, taken):
