@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_blank, strip, turn_line, turn_with_image
-from tessera.operators.ordering import numbered
+from tessera.operators.ordering import FILE_NUMBER, numbered
+from tessera.plans.storage import written
 
 
 def ordered_join(order: str, text: str, sep: str) -> Column:
@@ -85,33 +88,124 @@ def step(used: int, chunk: int, cost: int, budget: int, sep: int) -> tuple[int,
     return (used + sep + cost if used else cost), chunk
 
 
+def carry(costs: np.ndarray, budget: int, sep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int, int]:
+    """What a run of items does to the state that greedy packing enters it with.
+
+    (levels, used, breaks, total, fresh used, fresh breaks): with u > 0 on the way in,
+    the first chunk that begins in the run begins where the sum of costs and separators
+    first exceeds budget - u. ``levels`` are the sums at which that can be, ascending;
+    for each, ``used`` is the state on the way out and ``breaks`` how many chunks began.
+    Beyond the last level none begins and u + ``total`` goes out. Fresh: with u = 0.
+    There are at most budget + 1 levels, however long the run is.
+    """
+    sums = np.cumsum(costs + sep)
+    m = len(costs)
+    loud = np.flatnonzero(costs > 0)
+    ends: dict[int, tuple[int, int]] = {}  # start -> (state on the way out, chunks begun after it)
+
+    def end(start: int) -> tuple[int, int]:
+        path = []
+        while start not in ends:
+            k = np.searchsorted(loud, start)  # items without cost at a chunk's start are free
+            if k == len(loud):
+                ends[start] = (0, 0)
+                break
+            first = int(loud[k])
+            after = max(first + 1, int(np.searchsorted(sums, budget + sums[first] - costs[first], "right")))
+            if after >= m:
+                ends[start] = (int(sums[-1] - sums[first] + costs[first]), 0)
+                break
+            path.append(start)
+            start = after
+        used, breaks = ends[start]
+        for s in reversed(path):
+            breaks += 1
+            ends[s] = (used, breaks)
+        return used, breaks
+
+    last = int(np.searchsorted(sums, budget - 1, "right"))  # no state carries the first start beyond this item
+    levels, at = np.unique(sums[: last + 1], return_index=True)
+    out = [end(int(t)) for t in at]
+    fresh = end(0)
+    return levels, np.array([u for u, _ in out], np.int64), np.array([n + 1 for _, n in out], np.int64), int(sums[-1]), fresh[0], fresh[1]
+
+
+def _entries(parts: DataFrame, keys: list[str], budget: int, sep: int) -> DataFrame:
+    """keys, __file, __used, __chunk: the state in which each run of a key begins. parts: keys, __file, __at, __cost, keys in several files only."""
+    kinds = dict(parts.dtypes)
+    own = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    schema = f"{own}, __file string, levels array<long>, used array<long>, breaks array<long>, total long, fresh_used long, fresh_breaks long"
+
+    def summary(g: pd.DataFrame) -> pd.DataFrame:
+        costs = g.sort_values("__at")["__cost"].to_numpy(np.int64)
+        return pd.DataFrame([(*g.iloc[0][[*keys, "__file"]], *carry(costs, budget, sep))], columns=[*keys, "__file", "levels", "used", "breaks", "total", "fresh_used", "fresh_breaks"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used, chunk = None, 0, 0
+        for b in batches:
+            column = {n: b.column(n) for n in b.schema.names}
+            states = []
+            for i, key in enumerate(zip(*(column[k].to_pylist() for k in keys))):
+                if key != last:
+                    last, used, chunk = key, 0, 0
+                states.append((used, chunk))
+                if used == 0:
+                    used, chunk = column["fresh_used"][i].as_py(), chunk + column["fresh_breaks"][i].as_py()
+                    continue
+                t = int(np.searchsorted(column["levels"][i].values.to_numpy(), budget - used, "right"))
+                if t == len(column["levels"][i]):
+                    used += column["total"][i].as_py()
+                else:
+                    used, chunk = column["used"][i][t].as_py(), chunk + column["breaks"][i][t].as_py()
+            yield pa.RecordBatch.from_arrays([*(column[k] for k in keys), column["__file"], *(pa.array([x[j] for x in states], pa.int64()) for j in (0, 1))], [*keys, "__file", "__used", "__chunk"])
+
+    runs = parts.groupBy(*keys, "__file").applyInPandas(summary, schema).withColumn("__number", F.regexp_extract("__file", FILE_NUMBER, 1).cast("long"))
+    return runs.repartition(*keys).sortWithinPartitions(*keys, "__number").mapInArrow(walk, f"{own}, __file string, __used long, __chunk long")
+
+
 def chunk_ids(items: DataFrame, keys: list[str], order: str, cost: str, budget: int, sep: int = 0) -> DataFrame:
-    """items with chunk_id, by ``fold`` over each key's items in order.
+    """items with chunk_id, by ``fold`` over each key's items in order. Costs are whole numbers from 0 (null: 0).
 
-    The items of a key pass through one task in sorted order and only the state of
-    the fold is held, so a key may be of any length.
+    Items are sorted by range over all tasks and written, so a key of any length is cut
+    into runs, a file each. A run's effect on the state of the fold is summed up without
+    knowing the state (``carry``); a key's runs are then walked through, one step a run,
+    and each run is folded on its own from the state it begins with. Only keys in
+    several files need the walk. The fold reads a file in order and holds its state only.
     """
+    ordered = written(items.orderBy(*keys, order), "ordered")
+    at = ordered.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    runs = at.groupBy(*keys, "__file").agg(F.lit(1).alias("__one"))
+    spread = runs.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where("__n > 1").select(*keys, "__file")
+    renamed = lambda t: t.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__file").alias("__f"), *[c for c in t.columns if c not in (*keys, "__file")])
+    same = F.col("__file") == F.col("__f")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    parts = at.join(renamed(spread), same).select(*keys, "__file", "__at", F.coalesce(F.col(cost), F.lit(0)).cast("long").alias("__cost"))
+    begun = written(_entries(parts, keys, budget, sep), "entries")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    rows = at.join(renamed(begun), same, "left").select(*items.columns, "__file", "__at", zero("__used"), zero("__chunk"))
+
     schema = items.withColumn("chunk_id", F.lit(0)).schema
-    at = [items.columns.index(c) for c in keys]
-    price = items.columns.index(cost)
+    own = [items.columns.index(c) for c in keys]
+    price, width = items.columns.index(cost), len(items.columns)
     names = [*items.columns, "chunk_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, used, chunk = None, 0, 0
         for b in batches:
             out = []
-            for own, c in zip(zip(*(b.column(i).to_pylist() for i in at)), b.column(price).to_pylist()):
-                if own != last:
-                    last, used, chunk = own, 0, 0
+            for key, c, u, n in zip(zip(*(b.column(i).to_pylist() for i in (*own, width))), b.column(price).to_pylist(), b.column(width + 2).to_pylist(), b.column(width + 3).to_pylist()):
+                if key != last:
+                    last, used, chunk = key, u, n
                 used, chunk = step(used, chunk, c or 0, budget, sep)
                 out.append(chunk)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(out, pa.int32())], names)
 
-    return items.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+    return rows.repartition("__file").sortWithinPartitions("__file", "__at").mapInArrow(run, schema)
 
 
 def pack(items: DataFrame, keys: list[str], order: str, text: str, cost: str, budget: int, sep: int = 0, joiner: str = "\n") -> DataFrame:
-    """keys, chunk_id, chunk, n_items: the items of each key packed in order. The fold is per key, so keys run in parallel."""
+    """keys, chunk_id, chunk, n_items: the items of each key packed in order. Keys run in parallel, long ones over many tasks."""
     rows = chunk_ids(items.select(*keys, order, text, cost), keys, order, cost, budget, sep)
     return rows.groupBy(*keys, "chunk_id").agg(ordered_join(order, text, joiner).alias("chunk"), F.count("*").alias("n_items"))
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tessera.plans.storage import written
 
 
+FILE_NUMBER = r"^part-(\d+)"  # the place of a file in the order that a sorted table was written in
+
+
 def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """rows with rn, their place (from 0) within their key by ``order``, and n, the rows of the key.
 
@@ -20,7 +23,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     ordered = written(rows.orderBy(*keys, *order), "ordered")
     at = ordered.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at"))
     held = at.groupBy(*keys, "__file").agg(F.min("__at").alias("__first"), F.count("*").alias("__held"))
-    number = F.regexp_extract("__file", r"^part-(\d+)", 1).cast("long")
+    number = F.regexp_extract("__file", FILE_NUMBER, 1).cast("long")
     w = Window.partitionBy(*keys)
     before = F.sum("__held").over(w.orderBy(number, "__file").rowsBetween(Window.unboundedPreceding, -1))
     held = held.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__file").alias("__f"), (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift"), F.sum("__held").over(w).alias("n"))

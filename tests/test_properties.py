@@ -21,6 +21,44 @@ def test_fold_never_exceeds_the_budget(costs, budget, sep):
         assert sum(own) + sep * (len(own) - 1) <= budget or len(own) == 1
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 12), min_size=1, max_size=40), st.integers(1, 20), st.integers(0, 2), st.integers(0, 25))
+def test_a_run_is_summed_up_for_any_state(costs, budget, sep, used):
+    levels, after, breaks, total, fresh_used, fresh_breaks = chunking.carry(np.array(costs), budget, sep)
+    state, chunk = used, 0
+    for c in costs:
+        state, chunk = chunking.step(state, chunk, c, budget, sep)
+    at = int(np.searchsorted(levels, budget - used, "right"))
+    if used == 0:
+        assert (fresh_used, fresh_breaks) == (state, chunk)
+    elif at == len(levels):
+        assert (used + total, 0) == (state, chunk)
+    else:
+        assert (after[at], breaks[at]) == (state, chunk)
+    assert len(levels) <= budget + 1
+
+
+def test_long_keys_are_packed_over_many_files(spark):
+    """One key with most of the rows, small ones, a null one: as the fold in order, though the key lies in several files."""
+    r = np.random.default_rng(5)
+    rows = [("hot", i, int(c)) for i, c in enumerate(r.integers(0, 30, 3000) * (r.random(3000) < 0.8))] + [("zeros", i, 0) for i in range(700)]
+    rows += [(f"k{k}", i, int(r.integers(0, 60))) for k in range(50) for i in range(int(r.integers(1, 9)))] + [(None, i, 7) for i in range(400)] + [("gap", i, None if i % 2 else 9) for i in range(300)]
+    items = spark.createDataFrame(rows, "k string, i int, c int").repartition(7)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for budget, sep in ((40, 0), (100, 1), (7, 2), (10**9, 1)):
+            got = {}
+            for x in chunking.chunk_ids(items, ["k"], "i", "c", budget, sep).collect():
+                got.setdefault(x.k, {})[x.i] = x.chunk_id
+            for k in {x[0] for x in rows}:
+                own = [x[2] or 0 for x in sorted((x for x in rows if x[0] == k), key=lambda x: x[1])]
+                assert [got[k][i] for i in range(len(own))] == chunking.fold(own, budget, sep), (k, budget)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert chunking.chunk_ids(items.limit(0), ["k"], "i", "c", 5).count() == 0
+
+
 def test_segments_hold_all_lines(spark):
     lines = spark.range(50).select(F.lit(1).alias("k"), F.col("id").alias("i"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("t"))
     marks = lines.where("i % 7 = 3").select("k", "i")
