@@ -180,7 +180,7 @@ def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(chunking.pack(d, ["source"], "doc_id", "t", "cost", 8000, joiner=","))
 
 
-_SENT = r"""lines AS (SELECT conv_id, turn, role || ':' || text AS line FROM conversations),
+SENT = r"""lines AS (SELECT conv_id, turn, role || ':' || text AS line FROM conversations),
 m AS (SELECT *, regexp_matches(line, '^([^:]+):\s*(.*)$') AS hit, regexp_extract(line, '^([^:]+):\s*(.*)$', 1) AS sp, regexp_extract(line, '^([^:]+):\s*(.*)$', 2) AS body FROM lines),
 p AS (SELECT conv_id, turn, sp, unnest(regexp_extract_all(body, '[^.?!？]*[.?!？]')) AS piece, generate_subscripts(regexp_extract_all(body, '[^.?!？]*[.?!？]'), 1) AS i FROM m WHERE hit),
 s AS (SELECT conv_id, turn, i, sp || ':' || trim(left(piece, length(piece) - 1), {ws}) || right(piece, 1) AS sentence FROM p WHERE length(trim(left(piece, length(piece) - 1), {ws})) > 0
@@ -194,25 +194,27 @@ def _sentences(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
     return _long(rows, "sent_idx")
 
 
-@query("WITH " + _SENT.format(ws=WS, where=""))
+@query("WITH " + SENT.format(ws=WS, where=""))
 def sentence_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir, 0)
 
 
-@query("WITH " + _SENT.format(ws=WS, where="WHERE length(sentence) >= 30"))
+@query("WITH " + SENT.format(ws=WS, where="WHERE length(sentence) >= 30"))
 def sentence_explode_min30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir, 30)
 
 
-@query(
-    rf"""WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents),
-l AS (SELECT doc_id, ln, trim(line, {WS}) AS line FROM l0 WHERE length(trim(line, {WS})) > 0),
+def graph_sentences_sql(source: str, ids: str, text: str) -> str:
+    """The table s (ids, ln, i, sentence) of the sentences of texts."""
+    return rf"""l0 AS (SELECT {ids}, unnest(string_split({text}, chr(10))) AS line, generate_subscripts(string_split({text}, chr(10)), 1) AS ln FROM {source}),
+l AS (SELECT {ids}, ln, trim(line, {WS}) AS line FROM l0 WHERE length(trim(line, {WS})) > 0),
 m AS (SELECT *, regexp_matches(line, '^([^:]+):\s*(.*)$') AS hit, regexp_extract(line, '^([^:]+):\s*(.*)$', 1) AS sp, regexp_extract(line, '^([^:]+):\s*(.*)$', 2) AS body FROM l),
-a AS (SELECT doc_id, ln, CASE WHEN hit THEN sp || ': ' ELSE '' END AS lead, CASE WHEN hit THEN regexp_extract_all(body, '[^.?!。！？]*[.?!。！？]') ELSE regexp_extract_all(line, '[^.?!。！？;；]*[.?!。！？;；]') END AS ps FROM m),
-p AS (SELECT doc_id, ln, lead, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM a),
-s AS (SELECT doc_id, ln, i, lead || trim(left(piece, length(piece) - 1), {WS}) || right(piece, 1) AS sentence FROM p WHERE length(trim(left(piece, length(piece) - 1), {WS})) > 0)
-SELECT doc_id, CAST(ln - 1 AS BIGINT) AS line_idx, CAST(i - 1 AS BIGINT) AS piece_idx, sentence FROM s WHERE length(sentence) >= 30"""
-)
+a AS (SELECT {ids}, ln, CASE WHEN hit THEN sp || ': ' ELSE '' END AS lead, CASE WHEN hit THEN regexp_extract_all(body, '[^.?!。！？]*[.?!。！？]') ELSE regexp_extract_all(line, '[^.?!。！？;；]*[.?!。！？;；]') END AS ps FROM m),
+p AS (SELECT {ids}, ln, lead, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM a),
+s AS (SELECT {ids}, ln, i, lead || trim(left(piece, length(piece) - 1), {WS}) || right(piece, 1) AS sentence FROM p WHERE length(trim(left(piece, length(piece) - 1), {WS})) > 0)"""
+
+
+@query(f"WITH {graph_sentences_sql('documents', 'doc_id', 'text')} SELECT doc_id, CAST(ln - 1 AS BIGINT) AS line_idx, CAST(i - 1 AS BIGINT) AS piece_idx, sentence FROM s WHERE length(sentence) >= 30")
 def graph_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(X.graph_sentences(table(spark, sf_dir, "documents"), ["doc_id"], "text"), "line_idx", "piece_idx")
 
@@ -479,7 +481,28 @@ def valley_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("event_id", "user_id", F.round("smooth", 6).alias("smooth"))
 
 
-@query()
+def valleys_sql(source: str, key: str, order: str, value: str, prominence: float = 0.05, distance: int = 3, width: float = 2) -> str:
+    """The table valleys (key, i) of the smoothed series of a table, by definition: the least values to both sides, one peak at a time."""
+    return f"""sm0 AS (SELECT {key} AS k, row_number() OVER w - 1 AS i, -((coalesce(lag({value}) OVER w, 0) + {value} + coalesce(lead({value}) OVER w, 0)) / 3) AS x FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY {order})),
+run0 AS (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY k ORDER BY i) THEN 0 ELSE 1 END AS new FROM sm0),
+run1 AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY i) AS run FROM run0),
+flat AS (SELECT k, run, min(i) AS a, max(i) AS b, any_value(x) AS x FROM run1 GROUP BY ALL),
+tops AS (SELECT * FROM (SELECT *, lag(x) OVER w AS before, lead(x) OVER w AS after FROM flat WINDOW w AS (PARTITION BY k ORDER BY run)) WHERE x > before AND x > after),
+found AS (SELECT k, (a + b) // 2 AS p, x, row_number() OVER (PARTITION BY k ORDER BY x DESC, (a + b) // 2 DESC) AS r FROM tops),
+picked AS (SELECT k, 0 AS r, []::BIGINT[] AS kept FROM found GROUP BY k
+  UNION ALL SELECT f.k, f.r, CASE WHEN len(list_filter(kept, lambda y: abs(y - f.p) < {distance})) > 0 THEN kept ELSE list_append(kept, f.p) END FROM picked JOIN found f ON f.k = picked.k AND f.r = picked.r + 1),
+apart AS (SELECT k, unnest(kept) AS p FROM (SELECT k, arg_max(kept, r) AS kept FROM picked GROUP BY k)),
+spot AS (SELECT apart.k, p, sm0.x AS v FROM apart JOIN sm0 ON sm0.k = apart.k AND sm0.i = p),
+wall AS (SELECT spot.k, p, v, coalesce(max(i) FILTER (WHERE i < p AND x > v), -1) AS l, coalesce(min(i) FILTER (WHERE i > p AND x > v), 1000000000000) AS r FROM spot JOIN sm0 ON sm0.k = spot.k GROUP BY ALL),
+base AS (SELECT k, p, v, v - greatest(lo, hi) AS prom FROM (SELECT wall.k, p, v, min(x) FILTER (WHERE i > l AND i <= p) AS lo, min(x) FILTER (WHERE i >= p AND i < r) AS hi FROM wall JOIN sm0 ON sm0.k = wall.k GROUP BY wall.k, p, v)),
+half AS (SELECT k, p, v - prom / 2 AS lev FROM base WHERE prom >= {prominence}::DOUBLE),
+edge AS (SELECT half.k, p, lev, max(i) FILTER (WHERE i < p AND x <= lev) AS l, min(i) FILTER (WHERE i > p AND x <= lev) AS r FROM half JOIN sm0 ON sm0.k = half.k GROUP BY ALL),
+ends AS (SELECT edge.k, p, lev, l, r, max(x) FILTER (WHERE i = l) AS a, max(x) FILTER (WHERE i = l + 1) AS b, max(x) FILTER (WHERE i = r - 1) AS c, max(x) FILTER (WHERE i = r) AS d FROM edge JOIN sm0 ON sm0.k = edge.k GROUP BY edge.k, p, lev, l, r),
+wide AS (SELECT k, p, CASE WHEN a < lev THEN l + (lev - a) / (b - a) ELSE l END AS wl, CASE WHEN d < lev THEN r - (lev - d) / (c - d) ELSE r END AS wr FROM ends),
+valleys AS (SELECT k AS {key}, p AS i FROM wide WHERE wr - wl >= {width})"""
+
+
+@query(f"WITH RECURSIVE {valleys_sql('events', 'user_id', 'ts, event_id', 'value')} SELECT user_id, CAST(i AS BIGINT) AS i FROM valleys")
 def valley_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.valleys(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
 

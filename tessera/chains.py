@@ -13,13 +13,14 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.catalogue import EMBED, QUESTIONS, RANKED, TOKENS, WS, _embeddings, _long, ppr_sql, query, questions, ranked_chunks, ranked_sql, table, turns
+from tessera.catalogue import EMBED, ORACLES, QUESTIONS, RANKED, SENT, TOKENS, WS, _embeddings, _long, graph_sentences_sql, ppr_sql, query, questions, ranked_chunks, ranked_sql, table, turns, valleys_sql
 from tessera.functions import providers
 from tessera.functions import text as X
+from tessera.functions.callstore import CallStore
 from tessera.functions.providers import PROMPTS, Scripted
 from tessera.operators import blocked, chunking, graph, series, vectors
 from tessera.plans import answer as A
-from tessera.plans import experiment
+from tessera.plans import events, experiment
 from tessera.plans.expand import expand_text
 from tessera.plans.storage import checkpoint, checkpoint_dir, written
 from tessera.sources import dialogue
@@ -264,9 +265,25 @@ def call_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.report(calls).withColumn("average", F.round("average", 6))
 
 
-@query()
+_STRIPPED = f"trim(role || ':' || text, {WS})"
+_PREDICT_SQL = f"""WITH RECURSIVE told AS (SELECT conv_id, turn, {_STRIPPED} AS line FROM conversations),
+spoken AS (SELECT * FROM (WITH {SENT.format(ws=WS, where="WHERE length(sentence) >= 30").replace("role || ':' || text AS line", f"{_STRIPPED} AS line")})),
+st AS (SELECT conv_id, turn, sentence, row_number() OVER (PARTITION BY conv_id ORDER BY turn, sent_idx) - 1 AS i FROM spoken),
+said AS (SELECT conv_id, i, string_split(sentence, chr(10))[-1] AS predicted FROM st),
+{EMBED.format(name="pe", ids="conv_id, i", text="predicted", source="said")}, {EMBED.format(name="ae", ids="conv_id, i", text="sentence", source="st")},
+near AS (SELECT a.conv_id, a.i, b.i AS j FROM st a JOIN st b ON a.conv_id = b.conv_id AND b.i BETWEEN a.i + 1 AND a.i + 3),
+many AS (SELECT conv_id, i, count(*) AS n FROM near GROUP BY ALL),
+dots AS (SELECT x.conv_id, x.i, sum(g.weight * h.weight) AS d FROM near x JOIN pe g ON g.conv_id = x.conv_id AND g.i = x.i JOIN ae h ON h.conv_id = x.conv_id AND h.i = x.j AND h.bucket = g.bucket GROUP BY ALL),
+sims AS (SELECT conv_id, i, round(coalesce(d, 0) / n, 6) AS sim FROM many LEFT JOIN dots USING (conv_id, i)),
+{valleys_sql("sims", "conv_id", "i", "sim")},
+marks AS (SELECT DISTINCT st.conv_id, turn FROM valleys v JOIN st ON st.conv_id = v.conv_id AND st.i = v.i + 1 WHERE turn > 0),
+cuts AS (SELECT t.conv_id, t.turn, line, sum(CASE WHEN m.turn IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY t.conv_id ORDER BY t.turn) AS segment FROM told t LEFT JOIN marks m ON m.conv_id = t.conv_id AND m.turn = t.turn)
+SELECT conv_id, CAST(segment AS BIGINT) AS segment, string_agg(line, chr(10) ORDER BY turn) AS chunk FROM cuts GROUP BY conv_id, segment"""
+
+
+@query(_PREDICT_SQL)
 def segment_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences, predictions of the next one, valleys of the similarity, cuts (valleys are no SQL; tests compare them with their definition)."""
+    """Sentences, predictions of the next one (the stand-in repeats the last line), valleys of the similarity, cuts."""
     line = F.concat("role", F.lit(":"), "text")
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.strip(line).alias("line"))
     sentences = t.select("conv_id", "turn", F.posexplode(X.turn_sentences(F.col("line"), 30)).alias("p", "sentence"))
@@ -285,22 +302,24 @@ def exact_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- expansion and PageRank on text
 
 
-def _expand_sql() -> str:
-    steps = []
+def _steps_sql(score: str) -> str:
+    """d1 to d3 (q_id, node, round) from d0, sym and nodes; ``score`` of a node (its chunk, c.q_id) is its relevance."""
+    steps = ["fr0 AS (SELECT q_id, node FROM d0), v0 AS (SELECT q_id, node FROM d0), on0 AS (SELECT DISTINCT q_id FROM d0)"]
     for r in (1, 2, 3):
         p = r - 1
         steps.append(
             f"act{r} AS (SELECT q_id FROM d{p} SEMI JOIN on{p} USING (q_id) GROUP BY q_id HAVING count(*) < 5),"
             f"c{r} AS (SELECT DISTINCT f.q_id, s.neighbor AS node FROM fr{p} f JOIN sym s USING (node) WHERE f.q_id IN (SELECT q_id FROM act{r}) AND NOT EXISTS (SELECT 1 FROM v{p} v WHERE v.q_id = f.q_id AND v.node = s.neighbor)),"
             f"v{r} AS (SELECT q_id, node FROM v{p} UNION ALL SELECT q_id, node FROM c{r}),"
-            f"fr{r} AS (SELECT c.q_id, c.node FROM c{r} c JOIN nodes USING (node) WHERE 1 + (length(chunk) + c.q_id) % 10 >= 5),"
+            f"fr{r} AS (SELECT c.q_id, c.node FROM c{r} c JOIN nodes USING (node) WHERE {score} >= 5),"
             f"d{r} AS (SELECT * FROM d{p} UNION ALL SELECT q_id, node, {r} AS round FROM fr{r}),"
             f"on{r} AS (SELECT DISTINCT q_id FROM fr{r})"
         )
-    return (
-        f"WITH {RANKED}, {_TEXT_GRAPH}, d0 AS (SELECT conv_id * 1000000 + turn AS q_id, conv_id * {NODE} + block AS node, 0 AS round FROM ranked WHERE rk <= 3), fr0 AS (SELECT q_id, node FROM d0), v0 AS (SELECT q_id, node FROM d0), on0 AS (SELECT DISTINCT q_id FROM d0),"
-        + ",".join(steps)
-    )
+    return ",".join(steps)
+
+
+def _expand_sql(size: int = 2) -> str:
+    return f"WITH {QUESTIONS}, {ranked_sql(size)}, {_TEXT_GRAPH}, d0 AS (SELECT conv_id * 1000000 + turn AS q_id, conv_id * {NODE} + block AS node, 0 AS round FROM ranked WHERE rk <= 3), {_steps_sql('1 + (length(chunk) + c.q_id) % 10')}"
 
 
 def _sufficient(prompt: str) -> str:
@@ -315,9 +334,9 @@ def _relevant(prompt: str) -> str:
     return "```json\n" + json.dumps({"results": [{"doc_id": int(k), "score": 1 + (len(v) + q) % 10} for k, v in listed.items()]}) + "\n```"
 
 
-def _anchors(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+def _anchors(spark: SparkSession, sf_dir: str, k: int = 3, rounds: int = 1) -> DataFrame:
     q, node = F.col("conv_id") * 1_000_000 + F.col("turn"), F.col("conv_id") * NODE + F.col("block")
-    return ranked_chunks(spark, sf_dir, 1, k).select(q.alias("q_id"), node.alias("node"), "rk")
+    return ranked_chunks(spark, sf_dir, rounds, k).select(q.alias("q_id"), node.alias("node"), "rk")
 
 
 def _asked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,9 +344,9 @@ def _asked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select(q.alias("q_id"), F.concat(q.cast("string"), F.lit(" "), "question").alias("question"))
 
 
-def _expanded(spark: SparkSession, sf_dir: str, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    nodes = checkpoint(text_graph(spark, sf_dir)[0].select("node", "chunk", F.lit(None).cast("string").alias("timestamp")))
-    return expand_text(_asked_ids(spark, sf_dir), checkpoint(_anchors(spark, sf_dir)), nodes, checkpoint(graph.symmetric(edges, [])), Scripted(_sufficient), Scripted(_relevant))
+def _expanded(spark: SparkSession, sf_dir: str, edges: DataFrame, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
+    nodes = checkpoint(text_graph(spark, sf_dir, rounds)[0].select("node", "chunk", F.lit(None).cast("string").alias("timestamp")))
+    return expand_text(_asked_ids(spark, sf_dir), checkpoint(_anchors(spark, sf_dir, rounds=rounds)), nodes, checkpoint(graph.symmetric(edges, [])), Scripted(_sufficient), Scripted(_relevant))
 
 
 @query(_expand_sql() + " SELECT q_id, node, CAST(round AS BIGINT) AS round, 'time:None,content:' || chunk AS doc FROM d3 JOIN nodes USING (node)")
@@ -336,6 +355,10 @@ def expand_on_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(_expanded(spark, sf_dir, text_graph(spark, sf_dir)[1])[0].select("q_id", "node", "round", "doc"), "round")
 
 
+#: The provider sees a JSON object of numbered lines, whose quotes, backslashes and line ends take two characters each.
+_EVENT_TOKENS = f"""WITH l AS (SELECT conv_id, sum(length(to_json(role || ':' || trim(text, {WS})))) + sum(length(CAST(turn AS VARCHAR)) + 3) + count(*) + 1 AS n FROM conversations GROUP BY 1),
+t AS (SELECT CAST(ceil(({fixed("situation")} + n) * 0.74::DOUBLE) AS BIGINT) AS i, CAST(ceil({len('{"topic_boundaries": []}')} * 0.74::DOUBLE) AS BIGINT) AS o FROM l)"""
+
 _ABLATED = (
     "m AS (SELECT q_id, string_agg('time:None,content:' || chunk, chr(10) ORDER BY round, node) AS context FROM {docs} JOIN nodes USING (node) GROUP BY 1),"
     " asked AS (SELECT qs.*, coalesce(context, '') AS context FROM qs LEFT JOIN m ON m.q_id = qs.conv_id * 1000000 + qs.turn), " + answers_sql("asked") + " SELECT '{variant}' AS variant, count(*) AS n, round(avg(rating), 6) AS rating FROM rated"
@@ -355,6 +378,27 @@ def ablation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(" UNION ALL ".join(f"SELECT * FROM ({_expand_sql(size)}, {_ABLATED.format(docs='d3', variant=name)})" for name, size in (("turn", 2), ("double", 4))))
+def ablation_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval on the graphs of two ways to chunk, each built and expanded anew, answered and rated."""
+    out = None
+    for name, rounds in (("turn", 1), ("double", 2)):
+        docs = _expanded(spark, sf_dir, text_graph(spark, sf_dir, rounds)[1], rounds)[0]
+        rated = A.answer_and_rate(_by_question(spark, sf_dir, docs), Scripted(_answerer), Scripted(_judge))
+        row = rated.agg(F.count("*").alias("n"), F.round(F.avg("rating"), 6).alias("rating")).select(F.lit(name).alias("variant"), "n", "rating")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"{_EVENT_TOKENS} SELECT 'boundaries' AS stage, count(*) AS calls, 0::BIGINT AS errors, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, round((sum(i) + sum(o)) / greatest(1, count(*)), 6) AS average FROM t")
+def segmentation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and estimated tokens of segmenting all dialogues by a provider."""
+    lines = turns(spark, sf_dir).select("conv_id", "turn_ord", F.concat("speaker", F.lit(":"), X.strip(F.col("text"))).alias("line"))
+    store = CallStore(spark)
+    A.boundaries(chunking.numbered_lines(lines, ["conv_id"], "turn_ord", "line"), Scripted(lambda p: '{"topic_boundaries": []}'), "situation", store=store, stage="boundaries")
+    return store.ledger({"boundaries": "call_id"}).withColumn("average", F.round("average", 6))
+
+
 def _by_question(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     q = questions(spark, sf_dir).withColumnRenamed("answer", "truth").withColumn("q_id", F.col("conv_id") * 1_000_000 + F.col("turn"))
     return A.contexts(q, docs.withColumn("o", F.struct("round", "node")), ["q_id"], "o", "doc")
@@ -427,3 +471,48 @@ def experiment_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = t if out is None else out.unionByName(t)
     return out
 
+
+
+# --- the run on events
+
+_OVER = (0.7, 0.8)
+_EVENT_SQL = f"""WITH cuts AS ({ORACLES["cut_by_boundaries"]}),
+nodes AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id, segment) - 1 AS node, chunk FROM cuts),
+{graph_sentences_sql("nodes", "conv_id, node", "chunk")},
+said AS (SELECT conv_id, node, row_number() OVER (ORDER BY node, ln, i) AS sid, sentence FROM s WHERE length(sentence) >= 30),
+{QUESTIONS}, asking AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS q_id FROM qs),
+{EMBED.format(name="ne", ids="conv_id, node", text="chunk", source="nodes")}, {EMBED.format(name="se", ids="conv_id, node, sid", text="sentence", source="said")}, {EMBED.format(name="qe", ids="conv_id, q_id", text="question", source="asking")},
+ts AS (SELECT a.node AS src, b.node AS dst, round(sum(a.weight * b.weight), 6) AS t FROM ne a JOIN ne b ON a.conv_id = b.conv_id AND a.bucket = b.bucket AND a.node < b.node GROUP BY ALL),
+sp AS (SELECT a.node AS src, b.node AS dst, a.sid AS x, b.sid AS y, round(sum(a.weight * b.weight), 6) AS sim FROM se a JOIN se b ON a.conv_id = b.conv_id AND a.bucket = b.bucket AND a.node < b.node GROUP BY ALL),
+ss AS (SELECT src, dst, max(sim) AS s FROM sp GROUP BY ALL),
+typed AS (SELECT src, dst, coalesce(t, 0) AS t, coalesce(s, 0) AS s FROM ts FULL JOIN ss USING (src, dst) WHERE src IN (SELECT node FROM se) AND dst IN (SELECT node FROM se)),
+edges AS (SELECT src, dst, CASE WHEN t > {_OVER[0]} AND s > {_OVER[1]} THEN greatest(t, s) WHEN t > {_OVER[0]} THEN t ELSE s END AS weight FROM typed WHERE t > {_OVER[0]} OR s > {_OVER[1]}),
+sym AS (SELECT src AS node, dst AS neighbor FROM edges UNION ALL SELECT dst, src FROM edges),
+scored AS (SELECT q.q_id, n.node, round(sum(q.weight * n.weight), 6) AS score FROM qe q JOIN ne n ON q.conv_id = n.conv_id AND q.bucket = n.bucket GROUP BY ALL),
+anchors AS (SELECT q_id, node, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, node) AS rk FROM scored QUALIFY rk <= 3),
+d0 AS (SELECT q_id, node, 0 AS round FROM anchors), {_steps_sql("1 + length(chunk) % 10")},
+docs AS (SELECT d3.q_id, round, CASE WHEN round = 0 THEN rk ELSE d3.node END AS ord, 'time:None,content:' || chunk AS doc FROM d3 JOIN nodes USING (node) LEFT JOIN anchors a ON a.q_id = d3.q_id AND a.node = d3.node),
+held AS (SELECT q_id, string_agg(doc, chr(10) ORDER BY round, ord) AS context, count(*) AS n_docs FROM docs GROUP BY 1),
+asked AS (SELECT asking.*, coalesce(context, '') AS context, coalesce(n_docs, 0) AS n_docs FROM asking LEFT JOIN held USING (q_id)), {answers_sql("asked")}"""
+
+
+def _segmenter(prompt: str) -> str:
+    lines = json.loads(prompt[prompt.index("\n{") + 1 :])
+    return json.dumps({"topic_boundaries": [{"boundary_index": int(k), "reason": "speaker"} for k, v in lines.items() if v.startswith("user:") and int(k) > 0]})
+
+
+def _by_length(prompt: str) -> str:
+    return json.dumps({"results": [{"doc_id": int(k), "score": 1 + len(v) % 10} for k, v in json.loads(prompt[prompt.index("\n{") + 1 :]).items()]})
+
+
+def _event_stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    models = events.Models(Scripted(_segmenter), Scripted(_sufficient), Scripted(_by_length), Scripted(_answerer), Scripted(_judge))
+    return events.run(turns(spark, sf_dir), f"{checkpoint_dir(spark)}/events-{experiment.name()}", models, text_over=_OVER[0], sentence_over=_OVER[1])
+
+
+@query(f"{_EVENT_SQL} SELECT conv_id, turn, CAST(n_docs AS BIGINT) AS n_docs, said AS answer, status, rating FROM rated")
+def event_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run on events: segments, typed graph, expansion, answers and ratings of every question."""
+    out = _event_stages(spark, sf_dir)
+    found = out["found"].groupBy("q_id").agg(F.count("*").alias("n_docs"))
+    return out["rated"].join(found, "q_id", "left").select("conv_id", "turn", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "answer", "status", "rating")

@@ -22,55 +22,70 @@ def smooth3(series: DataFrame, keys: list[str], order: list[str], value: str) ->
     return series.withColumn("smooth", (near(F.lag) + F.col(value) + near(F.lead)) / 3)
 
 
+def _levels(x: np.ndarray) -> list[np.ndarray]:
+    """Maxima of all runs of 1, 2, 4, ... values, by where they begin."""
+    out = [x]
+    while 2 << (len(out) - 1) <= len(x):
+        half = 1 << (len(out) - 1)
+        out.append(np.maximum(out[-1][:-half], out[-1][half:]))
+    return out
+
+
+def _reach(levels: list[np.ndarray], start: np.ndarray, most: np.ndarray, left: bool) -> np.ndarray:
+    """How far from each start (itself left out) the values to one side stay at or below ``most``."""
+    n, far = len(levels[0]), np.zeros(len(start), int)
+    for j in range(len(levels) - 1, -1, -1):
+        size = 1 << j
+        first = start - far - size if left else start + far + 1
+        ok = (first >= 0) & (first + size <= n)
+        ok[ok] = levels[j][first[ok]] <= most[ok]
+        far[ok] += size
+    return far
+
+
+def _lowest(levels: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Minima of x from first to last, from the levels of -x."""
+    size = last - first + 1
+    j = np.frexp(size)[1] - 1
+    return -np.array([max(levels[k][a], levels[k][b - (1 << k) + 1]) for k, a, b in zip(j, first, last)])
+
+
 def peaks(x: np.ndarray, prominence: float, distance: int, width: float) -> np.ndarray:
-    """Places of local maxima, filtered by distance (highest first), prominence, then width at half prominence."""
-    found, i, n = [], 1, len(x)
-    while i < n - 1:
-        if x[i - 1] < x[i]:
-            j = i
-            while j + 1 < n and x[j + 1] == x[i]:
-                j += 1
-            if j < n - 1 and x[j + 1] < x[i]:
-                found.append((i + j) // 2)
-            i = j
-        i += 1
-    p = np.array(found, int)
-    if len(p) and distance > 1:
+    """Places of local maxima, filtered by distance (highest first), prominence, then width at half prominence.
+
+    Ends of slopes are found by jumps over runs of doubling length, so the time is
+    n log n whatever the shape of the series. ``prominence`` must be positive.
+    """
+    n = len(x)
+    if n < 3:
+        return np.empty(0, int)
+    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))  # of runs of equal values
+    end = np.concatenate([begin[1:], [n]]) - 1
+    v = x[begin]
+    top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
+    p = (begin[top] + end[top]) // 2
+    if distance > 1:
         keep = np.ones(len(p), bool)
         for k in np.argsort(x[p], kind="stable")[::-1]:
             if keep[k]:
-                near = (np.abs(p - p[k]) < distance) & (np.arange(len(p)) != k)
-                keep[near] = False
+                for step in (-1, 1):
+                    j = k + step
+                    while 0 <= j < len(p) and abs(p[j] - p[k]) < distance:
+                        keep[j] = False
+                        j += step
         p = p[keep]
-    out = []
-    for k in p:
-        left = right = k
-        lo_l = lo_r = x[k]
-        a = k
-        while a > 0 and x[a - 1] <= x[k]:
-            a -= 1
-            if x[a] < lo_l:
-                lo_l, left = x[a], a
-        b = k
-        while b < n - 1 and x[b + 1] <= x[k]:
-            b += 1
-            if x[b] < lo_r:
-                lo_r, right = x[b], b
-        prom = x[k] - max(lo_l, lo_r)
-        if prom < prominence:
-            continue
-        level = x[k] - prom / 2
-        a = k
-        while a > left and x[a] > level:
-            a -= 1
-        b = k
-        while b < right and x[b] > level:
-            b += 1
-        wl = a + (level - x[a]) / (x[a + 1] - x[a]) if x[a] < level else a
-        wr = b - (level - x[b]) / (x[b - 1] - x[b]) if x[b] < level else b
-        if wr - wl >= width:
-            out.append(k)
-    return np.array(out, int)
+    if not len(p):
+        return p
+    high, low = _levels(x), _levels(-x)
+    a, b = p - _reach(high, p, x[p], True), p + _reach(high, p, x[p], False)
+    drop = x[p] - np.maximum(_lowest(low, a, p), _lowest(low, p, b))
+    p, drop = p[drop >= prominence], drop[drop >= prominence]
+    level = x[p] - drop / 2
+    over = np.nextafter(-level, -np.inf)  # a value is over the level if its negative is at most this
+    a, b = p - _reach(low, p, over, True) - 1, p + _reach(low, p, over, False) + 1  # both exist: the slopes go below the level
+    left = np.where(x[a] < level, a + (level - x[a]) / np.where(x[a] < level, x[np.minimum(a + 1, n - 1)] - x[a], 1), a)
+    right = np.where(x[b] < level, b - (level - x[b]) / np.where(x[b] < level, x[b - 1] - x[b], 1), b)
+    return p[right - left >= width]
 
 
 def valleys(series: DataFrame, keys: list[str], order: list[str], value: str, prominence: float = 0.05, distance: int = 3, width: float = 2) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.callstore import CallStore
 from tessera.functions.providers import Provider
 from tessera.functions.text import timed
 from tessera.operators.chunking import numbered_lines
@@ -55,7 +56,7 @@ def expand(anchors: DataFrame, sym: DataFrame, judge: Callable[[DataFrame], Data
         spark.conf.set(key, before)
 
 
-def expand_text(questions: DataFrame, anchors: DataFrame, nodes: DataFrame, sym: DataFrame, judge: Provider, scorer: Provider, keep: int = 5, max_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def expand_text(questions: DataFrame, anchors: DataFrame, nodes: DataFrame, sym: DataFrame, judge: Provider, scorer: Provider, keep: int = 5, max_rounds: int = 3, store: CallStore | None = None) -> tuple[DataFrame, DataFrame]:
     """(docs with their texts, status) of ``expand`` with both judgements by providers.
 
     questions: q_id, question; nodes: node, chunk, timestamp. A document is
@@ -63,15 +64,16 @@ def expand_text(questions: DataFrame, anchors: DataFrame, nodes: DataFrame, sym:
     """
     nodes = nodes.where(F.length("chunk") > 0).select("node", "chunk", timed(F.col("timestamp"), F.col("chunk"), ",").alias("doc"))
     texts = nodes.select("node", "doc")
+    store = store or CallStore(questions.sparkSession)
 
     def verdicts(docs: DataFrame) -> DataFrame:
         held = docs.join(texts, "node").withColumn("__o", F.struct("round", "ord"))
         asked = contexts(questions.join(docs.select("q_id").distinct(), "q_id", "left_semi"), held, ["q_id"], "__o", "doc")
-        return sufficient(asked, judge).select("q_id", "verdict")
+        return sufficient(asked, judge, store=store, stage="sufficiency").select("q_id", "verdict")
 
     def scores(found: DataFrame) -> DataFrame:
         listed = numbered_lines(found.join(nodes, "node"), ["q_id"], "node", "chunk")
-        return relevance(listed.join(questions, "q_id"), scorer).join(found, ["q_id", "node"], "left_semi")
+        return relevance(listed.join(questions, "q_id"), scorer, store=store, stage="relevance").join(found, ["q_id", "node"], "left_semi")
 
     docs, status = expand(anchors.join(texts, "node", "left_semi"), sym, verdicts, scores, keep, max_rounds)
     return docs.join(texts, "node"), status

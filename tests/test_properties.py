@@ -1,5 +1,7 @@
 """Invariants of packing, segmentation, edges and peaks."""
 
+import time
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -132,6 +134,19 @@ def test_peaks_match_their_definition(values, prominence, distance, width):
     assert series.peaks(x, prominence, distance, width).tolist() == peaks_by_definition(x, prominence, distance, width)
 
 
+def test_peaks_take_time_in_proportion():
+    """A rising and a falling zigzag, a monotone series and nested hills of 200,000 points."""
+    n = 200_000
+    i = np.arange(n)
+    hills = np.zeros(n)
+    for k in range(1, 17):
+        hills += (np.abs((i % (n >> (k - 1))) - (n >> k)) < (n >> (k + 1))) / k
+    for x in (i * 0.01 + (i % 2), -i * 0.01 + (i % 2), i * 1.0, hills, np.zeros(n)):
+        t = time.perf_counter()
+        series.peaks(x, 0.05, 3, 2)
+        assert time.perf_counter() - t < 5
+
+
 def test_nearest_in_blocks_equals_a_matrix(spark):
     v = np.random.default_rng(1).standard_normal((60, 4)).round(1)
     v[30:] = v[:30]  # ties
