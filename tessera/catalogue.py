@@ -734,13 +734,12 @@ s AS (SELECT x.conv_id, x.turn, sum(p.weight * q.weight) AS s FROM near x JOIN t
 SELECT conv_id, turn, round(coalesce(s, 0) / n, 6) AS sim FROM n LEFT JOIN s USING (conv_id, turn)"""
 )
 def predict_next_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next turn is predicted from all turns so far (the stand-in repeats the last one); its similarity to what follows."""
+    """The next turn is predicted from the last turns (the stand-in repeats the last one); its similarity to what follows."""
     from tessera.functions.providers import Scripted
     from tessera.plans.answer import predict
 
     c = table(spark, sf_dir, "conversations").withColumn("line", F.concat("role", F.lit(": "), "text"))
-    rows = series.prefixes(c, ["conv_id"], "turn", "line").withColumnRenamed("prefix", "context")
-    said = predict(rows, Scripted(lambda p: re.split(r"\n(?:user|assistant|system|tool): ", p)[-1]))
+    said = predict(series.rolling(c, ["conv_id"], "turn", "line"), Scripted(lambda p: re.split(r"\n(?:user|assistant|system|tool): ", p)[-1]))
     guess = vectors.hash_embedding(said, ["conv_id", "turn"], "predicted")
     return series.forward_similarity(c, guess, vectors.hash_embedding(c, ["conv_id", "turn"], "text"), ["conv_id"], "turn")
 

@@ -109,6 +109,19 @@ def prefixes(lines: DataFrame, keys: list[str], order: str, text: str) -> DataFr
     return lines.withColumn("prefix", F.array_join(F.collect_list(text).over(w), "\n"))
 
 
+def rolling(lines: DataFrame, keys: list[str], order: str, text: str, most: int = 64) -> DataFrame:
+    """lines with context: the last ``most`` lines up to and with this one, joined by line ends, led by how many came before them.
+
+    The frame is bounded, so neither a row nor the memory of a task grows with the
+    length of a key, and what is written is ``most`` lines a line and no square.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = F.greatest(F.row_number().over(w) - most, F.lit(0))
+    shown = F.array_join(F.collect_list(text).over(w.rowsBetween(1 - most, 0)), "\n")
+    lead = F.when(before > 0, F.concat(F.lit("("), before.cast("string"), F.lit(" earlier lines)\n"))).otherwise("")
+    return lines.withColumn("context", F.concat(lead, shown))
+
+
 def forward_similarity(turns: DataFrame, predicted: DataFrame, actual: DataFrame, keys: list[str], order: str, ahead: int = 3) -> DataFrame:
     """keys, order, sim: mean inner product of the vector predicted at a turn with those of the next ``ahead`` turns (last turns are absent).
 

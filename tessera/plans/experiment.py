@@ -48,13 +48,13 @@ def run(turns: DataFrame, path: str, answerer: Provider, judge: Provider, rounds
 def segment_by_prediction(lines: DataFrame, sentences: DataFrame, predictor: Provider) -> DataFrame:
     """conv_id, segment, chunk, n_lines: lines cut where what follows is least like what was predicted.
 
-    lines: conv_id, turn, line. sentences: conv_id, turn, p, sentence. From all sentences
-    so far the next one is predicted; its mean similarity to the next three is a series
+    lines: conv_id, turn, line. sentences: conv_id, turn, p, sentence. From the last
+    sentences so far the next one is predicted; its mean similarity to the next three is a series
     whose valleys are boundaries, at the turn of the sentence after the valley.
     """
     w = Window.partitionBy("conv_id").orderBy("turn", "p")
     s = sentences.withColumn("i", F.row_number().over(w) - 1)
-    said = predict(series.prefixes(s, ["conv_id"], "i", "sentence").withColumnRenamed("prefix", "context"), predictor)
+    said = predict(series.rolling(s, ["conv_id"], "i", "sentence"), predictor)
     sims = series.forward_similarity(s, vectors.hash_embedding(said, ["conv_id", "i"], "predicted"), vectors.hash_embedding(s, ["conv_id", "i"], "sentence"), ["conv_id"], "i")
     valley = series.valleys(sims, ["conv_id"], ["i"], "sim").select("conv_id", (F.col("i") + 1).alias("i"))
     marks = s.join(valley, ["conv_id", "i"], "left_semi").select("conv_id", "turn").distinct()

@@ -151,6 +151,41 @@ def test_pushes_stay_near_the_seeds(spark, monkeypatch):
     assert graph.personalized_pagerank(nodes, graph.symmetric(e, []), seeds.limit(0)).count() == 0
 
 
+def test_anchors_are_looked_up_by_their_rarest_words(spark):
+    """Times equal those of a search in every session; hardly any session is looked at in vain."""
+    import random
+
+    r = random.Random(1)
+    word = lambda: r.choice("red blue sun sea tide sail rope mast deck wind storm port".split())
+    bodies = [(c, s, f"day {s}", " ".join(word() for _ in range(60))) for c in range(4) for s in range(25)]
+    chunks = []
+    for c in range(4):
+        for k in range(30):
+            body = r.choice([b for b in bodies if b[0] == c])[3]
+            at = r.randrange(len(body) - 40)
+            chunks.append((c, 0, k, "Ann: " + r.choice([body[at : at + 40], body[at : at + r.randrange(1, 12)], "rope not there at all", " ".join(word() for _ in range(6))])))
+        chunks.append((c, 0, 99, None))
+    b = spark.createDataFrame(bodies, "conv_id int, session_ord int, date_time string, body string")
+    ch = spark.createDataFrame(chunks, "conv_id int, session_ord int, block int, chunk string")
+    got = {(x.conv_id, x.block): (x.anchor, x.timestamp) for x in joins.attach_times(ch, b).collect()}
+    assert got == {(x.conv_id, x.block): (x.anchor, x.timestamp) for x in joins.attach_times(ch, b, direct=100).collect()}
+    assert len(got) == len(chunks)
+    for (c, k), (anchor, time) in got.items():
+        hits = [s for q, s, _, body in bodies if q == c and anchor is not None and anchor in body]
+        assert time == (f"day {min(hits)}" if hits else None), (c, k, anchor)
+    own = ["conv_id", "session_ord", "block"]
+    long_ = joins.attach_times(ch, b).select(*own, "anchor").where(F.size(F.split("anchor", " ")) > 4)
+    tried = joins.holders(long_, b.withColumnRenamed("session_ord", "__s"), "conv_id", own).count()
+    assert tried < 0.4 * long_.count() * 25
+
+
+def test_contexts_stay_bounded(spark):
+    lines = spark.range(3000).select((F.col("id") % 2).alias("k"), F.col("id").alias("i"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("t"))
+    got = {x.i: x.context for x in series.rolling(lines, ["k"], "i", "t", 4).collect()}
+    assert got[4] == "l0\nl2\nl4" and got[6] == "l0\nl2\nl4\nl6" and got[2999] == "(1496 earlier lines)\nl2993\nl2995\nl2997\nl2999"
+    assert max(map(len, got.values())) < 60
+
+
 def test_scores(spark):
     rows = spark.createDataFrame([(4, 80.0), (4, None), (1, 60.0), (9, 10.0)], "label int, rating double")
     assert {r.category: r.rating for r in scores_by_category(rows).collect()} == {"single-hop": 80.0, "multi-hop": 60.0, "Unknown": 10.0}
