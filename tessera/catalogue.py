@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import blocked, chunking, graph, joins, series, vectors
+from tessera.operators.ordering import packed
 from tessera.operators.similarity import similar_pairs
 from tessera.plans import evaluate
 from tessera.plans.answer import overall, scores_by_category
@@ -265,6 +266,7 @@ def evidence_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = "pairs AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
 _SIMPLE = _PAIRS + ", edges AS (SELECT i AS src, j AS dst, sim AS weight FROM pairs WHERE sim > 0.3), sym AS (SELECT src AS node, dst AS neighbor, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)"
 BLOCK = 256
+TURNS = 1_000_000  # a question is conv_id * TURNS + turn
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,7 +423,7 @@ def retrieve_turn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("q_id")
+    key = packed("conv_id", "turn", TURNS).alias("q_id")
     q = questions(spark, sf_dir).where("answer is not null").select(key, "question", "answer")
     truth = q.select("q_id", F.lit(0).alias("t_ord"), F.col("answer").alias("truth")).unionByName(q.select("q_id", F.lit(1).alias("t_ord"), F.col("question").alias("truth")))
     kinds = None

@@ -13,12 +13,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.catalogue import EMBED, ORACLES, QUESTIONS, RANKED, SENT, TOKENS, WS, _embeddings, _long, graph_sentences_sql, ppr_sql, query, questions, ranked_chunks, ranked_sql, table, turns, valleys_sql
+from tessera.catalogue import EMBED, ORACLES, QUESTIONS, RANKED, SENT, TOKENS, TURNS, WS, _embeddings, _long, graph_sentences_sql, ppr_sql, query, questions, ranked_chunks, ranked_sql, table, turns, valleys_sql
 from tessera.functions import providers
 from tessera.functions import text as X
 from tessera.functions.callstore import CallStore
 from tessera.functions.providers import PROMPTS, Scripted
 from tessera.operators import blocked, chunking, graph, series, vectors
+from tessera.operators.ordering import packed
 from tessera.plans import answer as A
 from tessera.plans import events, experiment
 from tessera.plans.expand import expand_text
@@ -183,7 +184,7 @@ nodes AS (SELECT conv_id * {NODE} + block AS node, chunk FROM chunks)"""
 def text_graph(spark: SparkSession, sf_dir: str, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes (conv_id, node, chunk) and edges (conv_id, src, dst, weight, edge_type) of the chunks of every conversation."""
     chunks = chunking.turn_chunks(turns(spark, sf_dir), rounds)
-    node = (F.col("conv_id") * NODE + F.col("block")).alias("node")
+    node = packed("conv_id", "block", NODE).alias("node")
     nodes = chunks.select("conv_id", node, "chunk")
     sims = vectors.sparse_pairs(vectors.hash_embedding(nodes, ["conv_id", "node"], "chunk"), "conv_id", "node")
     return nodes, graph.simple_edges(sims, ["conv_id"], 0.5)
@@ -335,12 +336,12 @@ def _relevant(prompt: str) -> str:
 
 
 def _anchors(spark: SparkSession, sf_dir: str, k: int = 3, rounds: int = 1) -> DataFrame:
-    q, node = F.col("conv_id") * 1_000_000 + F.col("turn"), F.col("conv_id") * NODE + F.col("block")
+    q, node = packed("conv_id", "turn", TURNS), packed("conv_id", "block", NODE)
     return ranked_chunks(spark, sf_dir, rounds, k).select(q.alias("q_id"), node.alias("node"), "rk")
 
 
 def _asked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("conv_id") * 1_000_000 + F.col("turn")
+    q = packed("conv_id", "turn", TURNS)
     return questions(spark, sf_dir).select(q.alias("q_id"), F.concat(q.cast("string"), F.lit(" "), "question").alias("question"))
 
 
@@ -400,7 +401,7 @@ def segmentation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _by_question(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    q = questions(spark, sf_dir).withColumnRenamed("answer", "truth").withColumn("q_id", F.col("conv_id") * 1_000_000 + F.col("turn"))
+    q = questions(spark, sf_dir).withColumnRenamed("answer", "truth").withColumn("q_id", packed("conv_id", "turn", TURNS))
     return A.contexts(q, docs.withColumn("o", F.struct("round", "node")), ["q_id"], "o", "doc")
 
 
@@ -426,11 +427,29 @@ def stored_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/graph-{experiment.name()}"
     dialogue.save_graph(*text_graph(spark, sf_dir), path)
     nodes, _ = dialogue.load_graph(spark, path)
-    q = vectors.hash_embedding(questions(spark, sf_dir).withColumn("q_id", F.col("conv_id") * 1_000_000 + F.col("turn")), ["conv_id", "q_id"], "question")
+    q = vectors.hash_embedding(questions(spark, sf_dir).withColumn("q_id", packed("conv_id", "turn", TURNS)), ["conv_id", "q_id"], "question")
     top = vectors.top_k(vectors.sparse_scores(q, vectors.hash_embedding(nodes, ["conv_id", "node"], "chunk"), ["conv_id"], ["q_id", "node"]), ["q_id"], "node", 3)
     return _long(top.select("q_id", "node", "rk"), "rk")
 
 
+@query(
+    """SELECT conv_id, turn // 2 AS session_ord, 'day ' || (turn // 2) AS date_time, row_number() OVER (PARTITION BY conv_id, turn // 2 ORDER BY turn) - 1 AS turn_ord, role AS speaker, text, 'D' || (turn // 2) || ':' || turn AS dia_id, CASE WHEN turn % 3 = 0 THEN 'a picture' END AS query FROM conversations"""
+)
+def dialogue_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of the nested dialogue files that are first made of the conversations, a dialogue a line."""
+    c = table(spark, sf_dir, "conversations").withColumn("s", F.floor(F.col("turn") / 2))
+    said = F.struct(F.col("role").alias("speaker"), "text", F.concat(F.lit("D"), F.col("s").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("dia_id"), F.when(F.col("turn") % 3 == 0, F.lit("a picture")).alias("query"))
+    told = c.groupBy("conv_id", "s").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("t")))), lambda x: x["t"]).alias("turns"))
+    named = lambda end: F.concat(F.lit("session_"), F.col("s").cast("string"), F.lit(end))
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    both = told.select("conv_id", "s", F.concat(quoted(named("")), F.lit(":"), F.to_json("turns"), F.lit(","), quoted(named("_date_time")), F.lit(":"), quoted(F.concat(F.lit("day "), F.col("s").cast("string")))).alias("j"))
+    whole = both.groupBy("conv_id").agg(chunking.ordered_join("s", "j", ",").alias("j"))
+    path = f"{checkpoint_dir(spark)}/dialogues-{experiment.name()}"
+    whole.select(F.concat(F.lit('{"sample_id":'), F.col("conv_id").cast("string"), F.lit(',"conversation":{'), "j", F.lit('},"qa":[]}')).alias("value")).write.text(path)
+    rows = dialogue.turns(dialogue.sessions(dialogue.read_dialogues(spark, path, lines=True, id_key="sample_id")))
+    return _long(rows.select("conv_id", "session_ord", "date_time", "turn_ord", "speaker", "text", "dia_id", "query"), "conv_id", "session_ord", "turn_ord")
+
+
 # --- comparisons and batches
 
 _METHODS = (("turn", 1, 2), ("double", 2, 4), ("session", 100, 200))

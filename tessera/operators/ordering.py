@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.storage import written
@@ -11,6 +11,12 @@ from tessera.plans.storage import written
 FILE_NUMBER = r"^part-(\d+)"  # the place of a file in the order that a sorted table was written in
 
 
+def packed(high: str, low: str, width: int) -> Column:
+    """high * width + low as one number; a low that does not fit (0 to width - 1) is an error and not another row's number."""
+    fits = F.col(low).between(0, width - 1) | F.col(low).isNull()
+    return F.when(fits, F.col(high) * width + F.col(low)).otherwise(F.raise_error(F.lit(f"{low} is not below {width}")))
+
+
 def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """rows with rn, their place (from 0) within their key by ``order``, and n, the rows of the key.
 

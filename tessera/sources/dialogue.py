@@ -10,14 +10,20 @@ TURN = "array<struct<speaker:string,text:string,dia_id:string,img_url:string,que
 QA = "array<struct<question:string,answer:string,category:int,evidence:array<string>>>"
 
 
-def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
-    """conv_id, conversation (map of JSON values by key), qa: one row per dialogue of a JSON array file.
+def read_dialogues(spark: SparkSession, path: str, lines: bool = False, id_key: str | None = None) -> DataFrame:
+    """conv_id, conversation (map of JSON values by key), qa: one row per dialogue.
 
     The keys of a conversation are data, so it is read as a map and not as a struct.
+    A file is a JSON array (one task a file), or with ``lines`` has a dialogue a line
+    and is cut between tasks. ``id_key``: the key of the dialogue's own number or name,
+    which is the same however the files are cut; without it conv_id is any number.
     """
     schema = T.StructType([T.StructField("conversation", T.MapType(T.StringType(), T.StringType())), T.StructField("qa", T.StringType())])
-    raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(schema).json(path)
-    return raw.select(F.monotonically_increasing_id().alias("conv_id"), "conversation", F.from_json("qa", QA).alias("qa"))
+    if id_key is not None:
+        schema = schema.add(id_key, T.StringType())
+    raw = spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE").schema(schema).json(path)
+    own = F.monotonically_increasing_id() if id_key is None else F.col(f"`{id_key}`")
+    return raw.select(own.alias("conv_id"), "conversation", F.from_json("qa", QA).alias("qa"))
 
 
 def sessions(dialogues: DataFrame) -> DataFrame:
