@@ -17,7 +17,8 @@ def pack_stream(items: DataFrame, key: str, order: str, text: str, cost: str, ts
     A chunk is closed by the item that no longer fits, or when the watermark (``ts``
     less ``late``) is ``idle`` past the key's latest item. A key's items must
     arrive in order from one batch to the next; within a batch they are sorted by
-    ``order``. The state of a key is its open chunk (at most a budget of text, or one
+    ``order``. Items behind the watermark are dropped by Spark, so ``late`` must cover
+    how far apart keys and batches may be. The state of a key is its open chunk (at most a budget of text, or one
     item) and how many were closed; it stays, so that chunk numbers go on.
     """
     kind = dict(items.dtypes)[key]
