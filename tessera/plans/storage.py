@@ -53,8 +53,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``written``, in buckets by the keys: joins and sums by them move only the other side.
+
+    The buckets are a table of a name of its own at a path in the shared folder; its
+    size is stored with it, so small ones may still be broadcast. ``remove`` drops both.
+    """
+    spark = df.sparkSession
+    number = uuid.uuid4().hex
+    path, table = f"{checkpoint_dir(spark)}/{name}-{number}", f"{name}_{number}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.format("parquet").option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS NOSCAN")
+    out = spark.table(table)
+    out._written, out._table = path, table
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
+    return out
+
+
 def remove(table: DataFrame) -> None:
-    """Drop a table that ``written`` made and nothing reads any more."""
+    """Drop a table that ``written`` or ``bucketed`` made and nothing reads any more."""
+    if hasattr(table, "_table"):
+        table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._table}")
     context = table.sparkSession.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(table._written)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -151,6 +151,29 @@ def test_pushes_stay_near_the_seeds(spark, monkeypatch):
     assert graph.personalized_pagerank(nodes, graph.symmetric(e, []), seeds.limit(0)).count() == 0
 
 
+def test_edges_in_buckets_are_not_moved(spark):
+    """Neighbours of a frontier by a sort-merge join: only the frontier is exchanged, and the rows are those of plain edges."""
+    from tessera.plans import storage
+
+    e = spark.range(500).select(F.col("id").alias("src"), (F.col("id") * 7 % 500).alias("dst"), F.lit(1.0).alias("weight"))
+    sym = graph.symmetric(e, [])
+    stored = storage.bucketed(sym, "edges", "node")
+    front = spark.range(0, 500, 3).select((F.col("id") % 4).alias("q_id"), F.col("id").alias("node"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        join = front.join(stored, "node")
+        plan = join._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
+        assert front.join(sym, "node")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") > 1
+        got = sorted(map(tuple, graph.unvisited_neighbors(front, front, stored, []).collect()))
+        assert got == sorted(map(tuple, graph.unvisited_neighbors(front, front, sym, []).collect())) and got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    storage.remove(stored)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("edges_")]
+
+
 def test_anchors_are_looked_up_by_their_rarest_words(spark):
     """Times equal those of a search in every session; hardly any session is looked at in vain."""
     import random
