@@ -67,3 +67,45 @@ def test_long_and_equal_texts(spark):
     by = {x.doc_id: x.predicted for x in got}
     assert by[1000] == 0 and by[1001] == 1 and by[1002] == 0 and by[3] == 1 and by[4] == 0
     assert len({(x.score, x.predicted) for x in got if x.doc_id % 3 == 0 and x.doc_id < 300}) == 1
+
+
+def test_posterior_beats_its_voters(spark, monkeypatch):
+    """On the table of documents the label model is more often right than its best voter and than the majority of the votes."""
+    seen = {}
+    fit = toxicity.LabelModel.fit
+
+    def keep(self, votes):
+        seen["votes"], seen["p"] = votes, fit(self, votes)
+        return seen["p"]
+
+    monkeypatch.setattr(toxicity.LabelModel, "fit", keep)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    s = toxicity.sample(docs, labels, 6000)
+    toxicity.fit(s)
+    y, votes = s.toxic == 1, seen["votes"]
+    right = lambda guess: (guess == y).mean()
+    voters = max(right(votes[:, j] == 1) for j in range(votes.shape[1]))
+    majority = right((votes == 1).sum(1) > (votes == 0).sum(1))
+    assert right(seen["p"] >= 0.5) > max(voters, majority) + 0.01
+
+
+def test_scores_by_brute_force(spark):
+    """Every document's score from its text alone: the weights of all its words and stems, added up anew."""
+    import math
+
+    from tessera.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    want = {}
+    for x in docs.collect():
+        words = set(toxicity._WORD.findall((x.text or "").lower()))
+        parts = {w + "." for w in words} | {w[:k] for w in words for k in (4, 5, 6) if len(w) >= k}
+        z = model.bias + math.fsum(model.weights.get(p, 0.0) for p in parts)
+        want[x.doc_id] = 1 / (1 + math.exp(-z)) if z > -30 else 0.0
+    got = {x.doc_id: x for x in queries.op3_toxicity(spark, sf).collect()}
+    assert set(got) == set(want)
+    for i, x in got.items():
+        assert abs(x.score - want[i]) < 1e-9 and x.predicted == int(x.score >= 0.5)
+        assert x.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
