@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +12,7 @@ from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -234,6 +237,15 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: Python workers live on, and tasks of other stages run in them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def texts_of(batch, name: str = "text") -> Iterator[bytes]:
     """The UTF-8 bytes of a string column of an Arrow batch; null counts as empty."""
     for x in batch.column(batch.schema.get_field_index(name)):

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import give_back
+
 _OTHER = re.compile("[^\\x00-\u024f]")
 
 
@@ -114,6 +116,8 @@ def pack(docs: DataFrame, encoder: Callable[[], Encoder] | None = None, longest:
                     rows, ids_out = [], []
             if rows:
                 yield _batch(rows, ids_out, with_ids)
+        del enc
+        give_back()
 
     out = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
     return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Workspace
+from tessera.llm.common import Workspace, give_back
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGN = re.compile(r"[^\w\s]")
@@ -125,7 +125,7 @@ class ToxicityModel:
         def of(word: str) -> frozenset:
             f = [word + ".", *(word[:k] for k in STEMS if len(word) >= k)]
             got = frozenset(x for x in f if x in weights)
-            if len(seen) > 400_000:
+            if len(seen) > 100_000:
                 seen.clear()
             seen[word] = got
             return got
@@ -146,6 +146,7 @@ class ToxicityModel:
         return score
 
 
+SLICE = 256  # rows whose stems are held at once
 LEAST = 3  # rows that a stem must stand in to count
 
 
@@ -174,10 +175,11 @@ def sample(docs: DataFrame, labels: DataFrame, max_train: int) -> Sample | None:
     schema = "toxic int, h long, doc_id long, t long, said array<int>, stems array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(z, SLICE) for whole in batches for z in range(0, whole.num_rows, SLICE)):
             texts = [t or "" for t in b.column(1).to_pylist()]
             said, stems = [list(patterns(t)) for t in texts], [sorted(features(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(said, pa.list_(pa.int32())), pa.array(stems, pa.list_(pa.string()))], ["toxic", "h", "doc_id", "t", "said", "stems"])
+        give_back()
 
     rows = ws.write(rows.mapInArrow(run, schema).orderBy("h", "doc_id", "t").limit(max_train), "rows")
     often = rows.select(F.explode("stems").alias("s")).groupBy("s").count().where(F.col("count") >= LEAST)
@@ -278,6 +280,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for b in batches:
             s = [f(x) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+        del f
+        give_back()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string"))
     return d.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -292,5 +296,7 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         f = model.scorer()
         for b in batches:
             yield b.filter(pa.array([f(x) < 0.5 for x in b.column(where).to_pylist()], pa.bool_()))
+        del f
+        give_back()
 
     return docs.mapInArrow(run, schema)
