@@ -176,7 +176,7 @@ _SOURCE_DOCS = "items AS (SELECT source AS k, row_number() OVER (PARTITION BY so
 
 @query(PACK.format(items=_SOURCE_DOCS.format(cost=TOKENS.format("text")), sep=0, budget=8000, key="source", joiner="','"))
 def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's texts in one list of batches; its rows pass through one task, which holds the state of the fold only."""
+    """Each source's texts in one list of batches; a source of many rows is cut into runs that are folded in parallel."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("doc_id").cast("string").alias("t"), X.estimated_tokens(F.col("text")).alias("cost"))
     return _packed(chunking.pack(d, ["source"], "doc_id", "t", "cost", 8000, joiner=","))
 

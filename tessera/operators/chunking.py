@@ -14,6 +14,8 @@ from tessera.functions.text import is_blank, strip, turn_line, turn_with_image
 from tessera.operators.ordering import FILE_NUMBER, numbered
 from tessera.plans.storage import written
 
+LONG = 100_000  # items of a key that one task folds
+
 
 def ordered_join(order: str, text: str, sep: str) -> Column:
     """The group's texts joined in order."""
@@ -204,10 +206,60 @@ def chunk_ids(items: DataFrame, keys: list[str], order: str, cost: str, budget:
     return rows.repartition("__file").sortWithinPartitions("__file", "__at").mapInArrow(run, schema)
 
 
+def _whole_keys(items: DataFrame, keys: list[str], order: str, text: str, cost: str, budget: int, sep: int, joiner: str) -> DataFrame:
+    """``pack`` of keys that one task may hold: one shuffle by key, and a fold over its sorted rows that passes on a chunk as it ends."""
+    kinds = dict(items.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "chunk_id int, chunk string, n_items bigint"])
+    own, at, price = len(keys), len(keys) + 1, len(keys) + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used, chunk, held, n = None, 0, 0, [], 0
+        types, out = None, []
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*((*k, c, t, m) for k, c, t, m in out)))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.int32(), pa.string(), pa.int64()])], [*keys, "chunk_id", "chunk", "n_items"])
+
+        for b in batches:
+            types = [f.type for f in b.schema][:own]
+            for *key, t, c in zip(*(b.column(i).to_pylist() for i in (*range(own), at, price))):
+                if key != last or not n:
+                    if n:
+                        out.append((last, chunk, joiner.join(held), n))
+                    last, used, chunk, held, n = key, 0, 0, [], 0
+                used, after = step(used, chunk, c or 0, budget, sep)
+                if after != chunk:
+                    out.append((last, chunk, joiner.join(held), n))
+                    chunk, held, n = after, [], 0
+                n += 1
+                if t is not None:
+                    held.append(t)
+            if out:
+                yield made()
+                out = []
+        if n:
+            out = [(last, chunk, joiner.join(held), n)]
+            yield made()
+
+    return items.repartition(*keys).sortWithinPartitions(*keys, order, text, cost).mapInArrow(run, schema)
+
+
 def pack(items: DataFrame, keys: list[str], order: str, text: str, cost: str, budget: int, sep: int = 0, joiner: str = "\n") -> DataFrame:
-    """keys, chunk_id, chunk, n_items: the items of each key packed in order. Keys run in parallel, long ones over many tasks."""
-    rows = chunk_ids(items.select(*keys, order, text, cost), keys, order, cost, budget, sep)
-    return rows.groupBy(*keys, "chunk_id").agg(ordered_join(order, text, joiner).alias("chunk"), F.count("*").alias("n_items"))
+    """keys, chunk_id, chunk, n_items: the items of each key packed in order (null costs count 0, null texts add nothing, a null key is one key).
+
+    Items are counted by key first. Keys of up to LONG items are folded whole, many in a
+    task; longer ones are cut into runs over many tasks (``chunk_ids``).
+    """
+    rows = items.select(*keys, order, text, cost)
+    long = written(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > LONG).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]), "long")
+    if long.isEmpty():
+        return _whole_keys(rows, keys, order, text, cost, budget, sep, joiner)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    runs = chunk_ids(rows.join(long, same, "left_semi"), keys, order, cost, budget, sep)
+    runs = runs.groupBy(*keys, "chunk_id").agg(ordered_join(order, text, joiner).alias("chunk"), F.count("*").alias("n_items"))
+    return _whole_keys(rows.join(long, same, "left_anti"), keys, order, text, cost, budget, sep, joiner).unionByName(runs)
 
 
 def cut(lines: DataFrame, boundaries: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -61,6 +62,24 @@ def test_long_keys_are_packed_over_many_files(spark):
     assert chunking.chunk_ids(items.limit(0), ["k"], "i", "c", 5).count() == 0
 
 
+@pytest.mark.parametrize("long", [10**6, 100, 5])
+def test_packing_of_short_and_long_keys(spark, monkeypatch, long):
+    """Whole keys, runs of keys, and both at once give the fold's chunks: null keys, null texts and costs, two keys."""
+    monkeypatch.setattr(chunking, "LONG", long)
+    r = np.random.default_rng(9)
+    sizes = {("hot", 1): 900, ("hot", 2): 40, ("a", 1): 5, (None, 1): 150, ("a", None): 6, ("zero", 3): 7}
+    rows = [(*k, i, None if i % 11 == 3 else f"t{i}", 0 if k[0] == "zero" else None if i % 13 == 5 else int(r.integers(0, 30))) for k, n in sizes.items() for i in range(n)]
+    items = spark.createDataFrame(rows, "k string, g int, i int, t string, c int").repartition(5)
+    got = {(x.k, x.g, x.chunk_id): (x.chunk, x.n_items) for x in chunking.pack(items, ["k", "g"], "i", "t", "c", 70, sep=1, joiner="|").collect()}
+    want = {}
+    for k in sizes:
+        own = [x for x in rows if x[:2] == k]
+        for x, n in zip(own, chunking.fold([x[4] or 0 for x in own], 70, 1)):
+            want.setdefault((*k, n), []).append(x[3])
+    assert got == {k: ("|".join(t for t in v if t is not None), len(v)) for k, v in want.items()}
+    assert chunking.pack(items.limit(0), ["k", "g"], "i", "t", "c", 70).count() == 0
+
+
 def test_segments_hold_all_lines(spark):
     lines = spark.range(50).select(F.lit(1).alias("k"), F.col("id").alias("i"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("t"))
     marks = lines.where("i % 7 = 3").select("k", "i")
