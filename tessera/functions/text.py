@@ -118,8 +118,9 @@ def graph_sentences(rows: DataFrame, keys: list[str], text: str, min_chars: int
 
 def split_sentences(text: Column) -> Column:
     """Pieces for sentence-preserving packing: at sentence ends before a capital, else at line ends."""
-    at_ends = F.split(text, SENTENCE_END)
-    return F.when(F.size(at_ends) > 1, at_ends).otherwise(F.split(text, "\n"))
+    # as the element of an array, so that the pattern runs once a text and not in the condition and in the result
+    lines = F.split(text, "\n")
+    return F.transform(F.array(F.split(text, SENTENCE_END)), lambda pieces: F.when(F.size(pieces) > 1, pieces).otherwise(lines))[0]
 
 
 def extract_json(c: Column) -> Column:
