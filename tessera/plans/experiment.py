@@ -17,8 +17,10 @@ def name() -> str:
 
 
 def run(turns: DataFrame, path: str, answerer: Provider, judge: Provider, rounds: int = 1, over: float = 0.5, k: int = 3) -> dict[str, DataFrame]:
-    """Chunks, nodes, edges, retrieved, rated, each written under ``path`` by conversation and read back; summary by category.
+    """Chunks, nodes, edges, retrieved, rated, each written under ``path`` and read back; summary by category.
 
+    A stage's rows are dealt to files by conversation and sorted by it, so a file holds
+    many whole conversations, and how many files there are does not grow with them.
     A stage reads what the one before has written, so a run that failed can go on from
     its last whole stage. A conversation without turns or questions has no rows.
     """
@@ -26,7 +28,7 @@ def run(turns: DataFrame, path: str, answerer: Provider, judge: Provider, rounds
     out: dict[str, DataFrame] = {}
 
     def keep(stage: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("overwrite").partitionBy("conv_id").parquet(f"{path}/{stage}")
+        rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id").write.mode("overwrite").parquet(f"{path}/{stage}")
         fields = [f for f in rows.schema.fields if f.name != "conv_id"] + [rows.schema["conv_id"]]
         out[stage] = spark.read.schema(type(rows.schema)(fields)).parquet(f"{path}/{stage}")
         return out[stage]

@@ -125,6 +125,17 @@ def test_experiment_writes_its_stages(spark, tmp_path):
     assert out["chunks"].count() == 6 and out["rated"].where("answer = 'yes' and status = 'ok'").count() == 6
 
 
+def test_experiment_files_do_not_grow_with_conversations(spark, tmp_path):
+    """A stage of 60 conversations has no more files than tasks write, and each conversation lies in one."""
+    t = spark.range(240).selectExpr("id div 4 AS conv_id", "0 AS session_ord", "id % 4 AS turn_ord", "if(id % 2 = 0, 'user', 'assistant') AS speaker", "concat('words of turn ', id) AS text")
+    out = experiment.run(t, str(tmp_path / "x"), providers.Scripted(lambda p: '{"answer": "yes"}'), providers.Scripted(lambda p: '{"rating": 50}'))
+    for stage in ("chunks", "edges", "nodes", "rated", "retrieved"):
+        files = [f for _, _, held in os.walk(tmp_path / "x" / stage) for f in held if f.endswith(".parquet")]
+        assert 0 < len(files) <= 4
+        assert out[stage].groupBy("conv_id").agg(F.countDistinct("_metadata.file_name").alias("n")).where("n > 1").isEmpty()
+    assert out["chunks"].select("conv_id").distinct().count() == 60
+
+
 def test_segments_by_prediction(spark):
     """Similarities 1, ..., 1, 2/3, 1/3, 0, 1, ... are smoothed to a valley one before the change, so the cut is at the eighth turn."""
     same, other = "the cat sat on the mat again today", "stock prices fell sharply in tokyo"
