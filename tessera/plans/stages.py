@@ -17,7 +17,7 @@ def checksum(rows: DataFrame) -> str:
     """A fingerprint of a table's columns and rows, whatever their order and partitions (map columns do not count)."""
     names = [c for c, kind in rows.dtypes if not kind.startswith("map")]
     h = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    got = rows.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 8)).alias("s")).first()
+    got = rows.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("s")).first()
     return hashlib.sha256(repr((rows.dtypes, tuple(got))).encode()).hexdigest()
 
 

@@ -111,6 +111,12 @@ def test_checksum(spark):
     assert len({stages.checksum(x) for x in (t, t.limit(0), t.unionByName(t.limit(1)), t.where("a <> 3"), t.withColumn("a", F.col("a") + (F.col("a") == 7).cast("int")), t.withColumnRenamed("b", "d"))}) == 6
 
 
+def test_checksum_of_many_rows(spark):
+    """The sum of a million hashes does not fit a long, shifted or not."""
+    many = spark.range(3_000_000)
+    assert stages.checksum(many) == stages.checksum(many.repartition(3)) != stages.checksum(many.where("id > 0"))
+
+
 def test_tokens_of_the_segmentation(spark, tmp_path, turns):
     (tmp_path / "calls").mkdir()
     out = events.run(turns, str(tmp_path / "r"), Counted(tmp_path / "calls").models())
