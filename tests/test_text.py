@@ -151,6 +151,28 @@ def test_pushes_stay_near_the_seeds(spark, monkeypatch):
     assert graph.personalized_pagerank(nodes, graph.symmetric(e, []), seeds.limit(0)).count() == 0
 
 
+def test_whole_ranks_reach_every_node(spark, monkeypatch):
+    """Ranks of the linear solve on all of a ring with spokes, whatever their size; a seed without edges gives its mass back."""
+    n = 60
+    nodes = spark.range(n + 1).select(F.col("id").alias("node"))
+    e = spark.range(n).select(F.col("id").alias("src"), F.pmod(F.col("id") + 1, F.lit(n)).alias("dst"), F.lit(2.0).alias("weight"))
+    hub = spark.range(2, 12).select(F.lit(0).cast("long").alias("src"), (F.col("id") * 4).alias("dst"), F.lit(1.0).alias("weight"))
+    seeds = spark.createDataFrame([(1, 30, 1.0), (2, 0, 0.5), (2, n, 0.5)], "q_id int, node long, p double")
+    m = np.zeros((n + 1, n + 1))
+    for x in e.unionByName(hub).collect():
+        m[x.src, x.dst] = m[x.dst, x.src] = x.weight
+    for piece in (1000, 3):
+        monkeypatch.setattr(graph, "PIECE", piece)
+        got = {(x.q_id, x.node): x["rank"] for x in graph.whole_pagerank(nodes, graph.symmetric(e.unionByName(hub), []), seeds).collect()}
+        for q, own in ((1, {30: 1.0}), (2, {0: 0.5, n: 0.5})):
+            v = np.zeros(n + 1)
+            v[list(own)] = list(own.values())
+            walk = np.array([m[i] / m[i].sum() if m[i].sum() else v for i in range(n + 1)])
+            want = np.linalg.solve(np.eye(n + 1) - 0.85 * walk.T, 0.15 * v)
+            assert all(abs(got.get((q, i), 0.0) - want[i]) < 1e-10 for i in range(n + 1))
+    assert sum(q == 1 for q, _ in got) == n
+
+
 def test_edges_in_buckets_are_not_moved(spark):
     """Neighbours of a frontier by a sort-merge join: only the frontier is exchanged, and the rows are those of plain edges."""
     from tessera.plans import storage
