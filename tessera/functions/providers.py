@@ -1,7 +1,7 @@
 """Model calls: chat and embedding providers, with deterministic stand-ins.
 
 A provider is a picklable object with ``reply(prompt) -> str``. Calls run in
-``mapInPandas`` with a bounded thread pool per task; a failed call gives status
+``mapInArrow`` with a bounded thread pool per task; a failed call gives status
 ``error`` and no response, never a failed job. Prompts are keyed by hash and every
 response is written to a call store (callstore.py) before anything is built on it.
 """
@@ -140,9 +140,27 @@ class RemoteEmbedder(_Endpoint):
 
 
 CALLS = "call_id string, response string, status string, input_tokens long, output_tokens long"
+HELD = 256  # prompts that a task holds as Python texts
 VECTORS = "text_id string, vec array<float>, status string, input_tokens long, output_tokens long"
 
 
+def _answers(batches: Iterator[pa.RecordBatch], provider: Provider, workers: int) -> Iterator[pa.RecordBatch]:
+    """Rows of call_id, response, status, input_tokens for those of call_id, __p, input_tokens. No more than HELD prompts are Python texts at once."""
+
+    def one(p: str) -> tuple[str | None, str]:
+        try:
+            return provider.reply(p), "ok"
+        except Exception:  # a failed call is a result, not a failed job
+            return None, "error"
+
+    with ThreadPoolExecutor(workers) as pool:
+        for b in batches:
+            for part in (b.slice(z, HELD) for z in range(0, b.num_rows, HELD)):
+                got = list(pool.map(one, part.column("__p").to_pylist()))
+                response, status = (pa.array([g[i] for g in got], pa.string()) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column("call_id"), response, status, part.column("input_tokens")], ["call_id", "response", "status", "input_tokens"])
+
+
 def call(rows: DataFrame, provider: Provider, prompt: str = "prompt", workers: int = 8, cache: DataFrame | None = None, store: CallStore | None = None, stage: str = "calls", waves: int = 1) -> DataFrame:
     """rows with call_id, response, status: one call per distinct prompt that neither ``store`` nor ``cache`` (call_id, response) holds.
 
@@ -155,21 +173,9 @@ def call(rows: DataFrame, provider: Provider, prompt: str = "prompt", workers: i
     if cache is not None:
         todo = todo.join(cache.select("call_id"), "call_id", "left_anti")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(p: str) -> tuple[str | None, str]:
-            try:
-                return provider.reply(p), "ok"
-            except Exception:  # a failed call is a result, not a failed job
-                return None, "error"
-
-        with ThreadPoolExecutor(workers) as pool:
-            for b in batches:
-                got = list(pool.map(one, b["__p"]))
-                yield pd.DataFrame({"call_id": b["call_id"], "response": [g[0] for g in got], "status": [g[1] for g in got], "input_tokens": b["input_tokens"]})
-
     def ask(missing: DataFrame) -> DataFrame:
-        sized = missing.withColumn("input_tokens", estimated_tokens(F.col("__p")))
-        made = sized.mapInPandas(run, "call_id string, response string, status string, input_tokens long")
+        sized = missing.withColumn("input_tokens", estimated_tokens(F.col("__p")).cast("long"))
+        made = sized.select("call_id", "__p", "input_tokens").mapInArrow(lambda batches: _answers(batches, provider, workers), "call_id string, response string, status string, input_tokens long")
         return made.withColumn("output_tokens", F.coalesce(estimated_tokens(F.col("response")), F.lit(0)))
 
     store = store or CallStore(rows.sparkSession)
@@ -228,6 +234,11 @@ def report(calls: DataFrame, tokens: Callable[[Column], Column] = estimated_toke
     return t.withColumn("average", (F.col("input_tokens") + F.col("output_tokens")) / F.greatest(F.lit(1), "calls"))
 
 
+def _lengths(tokenizer, texts: pd.Series) -> pd.Series:
+    """Tokens of each text. One is encoded at a time: an encoding takes many times the memory of its text."""
+    return pd.Series([len(tokenizer.encode(t, add_special_tokens=False)) for t in texts.fillna("")], dtype="int64")
+
+
 def exact_tokens(vocabulary: str, fallback: str | None = None) -> Callable[[Column], Column]:
     """Exact token counts by a tokenizer file (a path that executors share); ``fallback`` is taken where there is no such file."""
     path = vocabulary if fallback is None or os.path.exists(vocabulary) else fallback
@@ -238,6 +249,6 @@ def exact_tokens(vocabulary: str, fallback: str | None = None) -> Callable[[Colu
 
         tok = Tokenizer.from_file(path)
         for s in texts:
-            yield pd.Series([len(e.ids) for e in tok.encode_batch(s.fillna("").tolist(), add_special_tokens=False)], dtype="int64")
+            yield _lengths(tok, s)
 
     return count

@@ -144,3 +144,21 @@ def test_segments_by_prediction(spark):
     s = t.select("conv_id", "turn", F.lit(0).alias("p"), F.col("line").alias("sentence"))
     got = experiment.segment_by_prediction(t, s, providers.Scripted(lambda p: p[p.rindex("\n") + 1 :])).orderBy("segment").collect()
     assert [x.n_lines for x in got] == [7, 9] and got[1].chunk.startswith(f"u: {same}.\nu: {other}.")
+
+
+def test_prompts_and_encodings_are_held_in_small_parts():
+    """A batch of 1,000 prompts is answered in parts, and texts are encoded one by one: what a task holds does not grow with its batch."""
+    import pandas as pd
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(1000))), pa.array([f"p{i}" for i in range(1000)]), pa.array(range(1000), pa.int64())], ["call_id", "__p", "input_tokens"])
+    parts = list(providers._answers(iter([batch]), providers.Scripted(lambda p: None if p == "p7" else str(1 // (p != "p3"))), 4))
+    assert len(parts) > 1 and max(x.num_rows for x in parts) <= providers.HELD
+    whole = pa.Table.from_batches(parts).to_pydict()
+    assert whole["call_id"] == [str(i) for i in range(1000)] and whole["status"].count("error") == 1 and whole["response"].count(None) == 2
+
+    class Single:
+        def encode(self, text, add_special_tokens):
+            return text.split()
+
+    assert providers._lengths(Single(), pd.Series(["a b", None, ""])).tolist() == [2, 0, 0]
