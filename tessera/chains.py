@@ -23,7 +23,7 @@ from tessera.operators.ordering import packed
 from tessera.plans import answer as A
 from tessera.plans import events, experiment
 from tessera.plans.expand import expand_text
-from tessera.plans.storage import bucketed, checkpoint, checkpoint_dir, written
+from tessera.plans.storage import bucketed, checkpoint, checkpoint_dir, dealt_alike, written
 from tessera.sources import dialogue
 
 NODE = 100_000
@@ -68,8 +68,8 @@ CATEGORY = "CASE conv_id % 5 WHEN 4 THEN 'single-hop' WHEN 1 THEN 'multi-hop' WH
 BY_CATEGORY = f"by_category AS (SELECT {CATEGORY} AS category, avg(rating) AS rating, count(rating) AS n, CAST(count(*) - count(rating) AS BIGINT) AS errors FROM rated GROUP BY 1 HAVING count(rating) > 0)"
 
 
-def _asked(spark: SparkSession, sf_dir: str, retrieved: DataFrame, order: str) -> DataFrame:
-    q = questions(spark, sf_dir).withColumn("label", F.col("conv_id") % 5).withColumnRenamed("answer", "truth")
+def _asked(spark: SparkSession, sf_dir: str, retrieved: DataFrame, order: str, told: DataFrame | None = None) -> DataFrame:
+    q = questions(spark, sf_dir, told).withColumn("label", F.col("conv_id") % 5).withColumnRenamed("answer", "truth")
     return A.contexts(q, retrieved, ["conv_id", "turn"], order, "chunk")
 
 
@@ -466,10 +466,12 @@ def _methods_sql() -> str:
 def method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same questions over chunks of several kinds, answered and rated in one job."""
     out = None
+    told = turns(spark, sf_dir).repartition("conv_id")  # so texts of a conversation meet without being moved again
     for name, rounds, _ in _METHODS:
-        rows = _asked(spark, sf_dir, ranked_chunks(spark, sf_dir, rounds, 3), "rk").withColumn("method", F.lit(name))
+        rows = _asked(spark, sf_dir, ranked_chunks(spark, sf_dir, rounds, 3, told), "rk", told).withColumn("method", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
-    rated = A.answer_and_rate(out, Scripted(_answerer), Scripted(_judge))
+    with dealt_alike(spark):
+        rated = A.answer_and_rate(out, Scripted(_answerer), Scripted(_judge))
     return A.scores_by_category(rated, ["method"]).select("method", "category", F.round("rating", 6).alias("rating"), "n")
 
 

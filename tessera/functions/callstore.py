@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.storage import checkpoint_dir
+from tessera.plans.storage import checkpoint_dir, tasks
 
 
 class CallStore:
@@ -43,17 +43,18 @@ class CallStore:
         """The stage's rows, one a key, after ``ask`` has answered those of ``todo`` without a good one.
 
         ``ask`` turns rows of todo into rows of ``schema``: the key (a hash as text),
-        status (``ok`` if it is good), input_tokens, output_tokens and others. Keys are
-        distinct in todo. Work goes in ``waves`` by the key, each a job of its own
+        status (``ok`` if it is good), input_tokens, output_tokens and others. todo is
+        dealt by key once, or not at all if it is in ``storage.tasks`` buckets by it, and
+        of rows of one key one is asked. Work goes in ``waves`` by the key, each a job of its own
         whose rows stay if a later one fails.
         """
-        tasks = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        n = tasks(self.spark)
         for w in range(waves):
             good = self.stored(stage, schema).where("status = 'ok'").select(key)
             part = todo if waves == 1 else todo.where(F.pmod(F.xxhash64(key), F.lit(waves)) == w)
             seen = Observation(f"{stage}-{uuid.uuid4().hex}")
             total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-            made = ask(part.join(good, key, "left_anti").repartition(tasks, key)).observe(
+            made = ask(part.repartition(n, key).join(good, key, "left_anti").dropDuplicates([key])).observe(
                 seen, F.count("*").alias("calls"), total(F.expr("int(status <> 'ok')")).alias("errors"), total(F.col("input_tokens")).alias("input_tokens"), total(F.col("output_tokens")).alias("output_tokens")
             )
             made.write.mode("append").parquet(self._folder(stage))

@@ -29,6 +29,7 @@ from pyspark.sql.functions import pandas_udf
 from tessera.functions.callstore import CallStore
 from tessera.functions.text import TOKENS_PER_CHAR, estimated_tokens, strip
 from tessera.operators.chunking import fold
+from tessera.plans.storage import bucketed, tasks
 
 #: Our own wording of the pipeline's prompts; {} fields are filled from columns.
 PROMPTS = {
@@ -161,15 +162,23 @@ def _answers(batches: Iterator[pa.RecordBatch], provider: Provider, workers: int
                 yield pa.RecordBatch.from_arrays([part.column("call_id"), response, status, part.column("input_tokens")], ["call_id", "response", "status", "input_tokens"])
 
 
-def call(rows: DataFrame, provider: Provider, prompt: str = "prompt", workers: int = 8, cache: DataFrame | None = None, store: CallStore | None = None, stage: str = "calls", waves: int = 1) -> DataFrame:
+def call(rows: DataFrame, provider: Provider, prompt: str | Column = "prompt", workers: int = 8, cache: DataFrame | None = None, store: CallStore | None = None, stage: str = "calls", waves: int = 1, hold: bool = True) -> DataFrame:
     """rows with call_id, response, status: one call per distinct prompt that neither ``store`` nor ``cache`` (call_id, response) holds.
 
     The calls are made here, in a job that writes them to the store's ``stage``; the
     result reads them from there. Without a store the answers go to one of their own.
-    A null prompt is not asked and has status error.
+    A null prompt is not asked and has status error. A prompt that is given as an
+    expression is a column ``prompt`` of the result.
+
+    The rows are evaluated once and written in buckets by prompt, so prompts are dealt
+    once and answers come to the rows. Without ``hold`` the rows are not written: for
+    rows that are cheap to evaluate twice.
     """
-    keyed = rows.withColumn("call_id", F.sha2(F.col(prompt), 256))
-    todo = keyed.where("call_id is not null").select("call_id", F.col(prompt).alias("__p")).dropDuplicates(["call_id"])
+    text = F.col(prompt) if isinstance(prompt, str) else prompt
+    keyed = rows.withColumn("call_id", F.sha2(text, 256))
+    if hold:
+        keyed = bucketed(keyed, "prompts", "call_id", buckets=tasks(rows.sparkSession), codec="zstd")
+    todo = keyed.where("call_id is not null").select("call_id", text.alias("__p"))
     if cache is not None:
         todo = todo.join(cache.select("call_id"), "call_id", "left_anti")
 
@@ -183,7 +192,8 @@ def call(rows: DataFrame, provider: Provider, prompt: str = "prompt", workers: i
     if cache is not None:
         kept = cache.select("call_id", "response", F.lit("ok").alias("status"))
         made = kept.unionByName(made.join(kept, "call_id", "left_anti"))
-    return keyed.join(made, "call_id", "left").withColumn("status", F.coalesce("status", F.lit("error")))
+    out = keyed.join(made, "call_id", "left").withColumn("status", F.coalesce("status", F.lit("error")))
+    return out if isinstance(prompt, str) else out.withColumn("prompt", text)
 
 
 def embed(rows: DataFrame, embedder: Embedder, text: str, dim: int, budget: int = 8000, store: CallStore | None = None, stage: str = "embeddings") -> DataFrame:
@@ -196,7 +206,7 @@ def embed(rows: DataFrame, embedder: Embedder, text: str, dim: int, budget: int
     """
     stripped = strip(F.coalesce(F.col(text), F.lit("")))
     keyed = rows.withColumn("__k", F.sha2(stripped, 256))
-    todo = keyed.where(F.length(stripped) > 0).select(F.col("__k").alias("text_id"), stripped.alias("__t")).dropDuplicates(["text_id"])
+    todo = keyed.where(F.length(stripped) > 0).select(F.col("__k").alias("text_id"), stripped.alias("__t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -53,7 +53,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+def tasks(spark: SparkSession) -> int:
+    """Parts that rows are dealt to where each part has slow work: no fewer than cores."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@contextmanager
+def dealt_alike(spark: SparkSession) -> Iterator[None]:
+    """Joins whose sides are both dealt by some of their keys move neither. Holds for what is written within."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def bucketed(df: DataFrame, name: str, *keys: str, buckets: int | None = None, codec: str = "snappy") -> DataFrame:
     """``written``, in buckets by the keys: joins and sums by them move only the other side.
 
     The buckets are a table of a name of its own at a path in the shared folder; its
@@ -62,8 +79,8 @@ def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
     spark = df.sparkSession
     number = uuid.uuid4().hex
     path, table = f"{checkpoint_dir(spark)}/{name}-{number}", f"{name}_{number}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, *keys).write.format("parquet").option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.format("parquet").option("path", path).option("compression", codec).bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS NOSCAN")
     out = spark.table(table)
     out._written, out._table = path, table

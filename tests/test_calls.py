@@ -119,3 +119,20 @@ def test_lines_reach_the_model_in_order(spark):
     lines = spark.createDataFrame([(1, k, f"line {k}") for k in reversed(range(12))], "conv_id int, turn int, line string")
     numbered = chunking.numbered_lines(lines, ["conv_id"], "turn", "line")
     assert sorted(x.boundary for x in answer.boundaries(numbered, providers.Scripted(reply)).collect()) == [2, 10]
+
+
+def test_rows_are_evaluated_once(spark, asked):
+    """What questions are joined from is evaluated once for answers, ratings and the result, and prompts in buckets are not dealt again."""
+    rows, a, j, store = asked
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(q):
+        seen.add(1)
+        return f"text {q % 3}"
+
+    out = answer.answer_and_rate(rows.withColumn("context", text("q_id")), Random(a, "answer"), Random(j, "rating"), store=store)
+    assert out.where("rating is not null").count() == 60 and seen.value == 60
+    held = providers.bucketed(rows.withColumn("k", F.sha2("question", 256)), "prompts", "k", buckets=providers.tasks(spark))
+    plan = held.select("k", "question").repartition(providers.tasks(spark), "k").dropDuplicates(["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
