@@ -36,7 +36,7 @@ from tessera.functions.text import SPACE, strip  # noqa: E402
 from tessera.operators import chunking, joins, vectors  # noqa: E402
 from tessera.operators.similarity import nearest_within  # noqa: E402
 from tessera.plans.answer import answer_and_rate, contexts, scores_by_category  # noqa: E402
-from tessera.plans.storage import scratch, written  # noqa: E402
+from tessera.plans.storage import dealt_alike, scratch, written  # noqa: E402
 from tessera.sources import dialogue  # noqa: E402
 
 NAME = "evaluate_methods"
@@ -59,7 +59,7 @@ def retrieve(turns: DataFrame, asked: DataFrame, rounds: int, k: int) -> DataFra
 
 def replace(rows: DataFrame, path: str) -> None:
     """The methods' partitions at path; a session's settings are left alone."""
-    rows.hint("rebalance", "method").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method").parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method").parquet(path)
 
 
 def run(spark: SparkSession, turns: str, out: str, settings: dict | None = None) -> DataFrame:
@@ -80,9 +80,12 @@ def run(spark: SparkSession, turns: str, out: str, settings: dict | None = None)
         replace(retrieved, f"{out}/retrieved")
         names = list(settings["methods"])
         best = spark.read.parquet(f"{out}/retrieved").where(F.col("method").isin(names))
-        each = questions.withColumn("method", F.explode(F.array(*map(F.lit, names))))
+        by = ["conv_id", "turn"]  # texts are dealt by question once, for all methods
+        each = questions.repartition(*by).withColumn("method", F.explode(F.array(*map(F.lit, names))))
         store = CallStore(spark, f"{out}/calls")
-        rated = answer_and_rate(contexts(each, best, ["method", "conv_id", "turn"], "rk", "chunk"), provider(settings["answerer"]), provider(settings["judge"]), store=store)
+        with dealt_alike(spark):
+            asked = contexts(each, best.repartition(*by), ["method", *by], "rk", "chunk")
+            rated = answer_and_rate(asked, provider(settings["answerer"]), provider(settings["judge"]), store=store)
         replace(rated.select("conv_id", "turn", "label", "question", "truth", "answer", "status", "rating", "method"), f"{out}/rated")
         for seen in store.observed:
             log.info("asked %s", seen)
