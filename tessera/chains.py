@@ -23,7 +23,7 @@ from tessera.operators.ordering import packed
 from tessera.plans import answer as A
 from tessera.plans import events, experiment
 from tessera.plans.expand import expand_text
-from tessera.plans.storage import bucketed, checkpoint, checkpoint_dir, dealt_alike, written
+from tessera.plans.storage import bucketed, checkpoint_dir, dealt_alike, written
 from tessera.sources import dialogue
 
 NODE = 100_000
@@ -346,8 +346,8 @@ def _asked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _expanded(spark: SparkSession, sf_dir: str, edges: DataFrame, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
-    nodes = checkpoint(text_graph(spark, sf_dir, rounds)[0].select("node", "chunk", F.lit(None).cast("string").alias("timestamp")))
-    return expand_text(_asked_ids(spark, sf_dir), checkpoint(_anchors(spark, sf_dir, rounds=rounds)), nodes, bucketed(graph.symmetric(edges, []), "edges", "node"), Scripted(_sufficient), Scripted(_relevant))
+    nodes = written(text_graph(spark, sf_dir, rounds)[0].select("node", "chunk", F.lit(None).cast("string").alias("timestamp")), "nodes")
+    return expand_text(_asked_ids(spark, sf_dir), written(_anchors(spark, sf_dir, rounds=rounds).select("q_id", "node", "rk"), "anchors"), nodes, bucketed(graph.symmetric(edges, []), "edges", "node"), Scripted(_sufficient), Scripted(_relevant))
 
 
 @query(_expand_sql() + " SELECT q_id, node, CAST(round AS BIGINT) AS round, 'time:None,content:' || chunk AS doc FROM d3 JOIN nodes USING (node)")
