@@ -10,16 +10,18 @@ the trusted text; all of that half is counted and all documents are scored.
 An n-gram lives in the shard of its own hash, so a frequent word does not crowd a
 shard. A block of text deals each of its distinct n-grams once. Counts of order
 ``order`` come first; each shard then tells the shards of the suffixes how many
-distinct n-grams end in them (n-grams at a text's begin keep their counts). From
-the words up, shards ask the shards of contexts and suffixes, once for each distinct
-one, for sums, back-off weights and lower probabilities.
-
-In back-off form a document's log probability is a sum over the n-grams of all
-orders in it, each with one weight: what it adds to the lower order where it was
-seen, and its back-off weight as a context of the next word. So documents ask for
-weights, a block for its distinct n-grams once, and a block's answers meet again with
+distinct n-grams end in them (n-grams at a text's begin keep their counts), and the
+shards of the contexts how often which counts follow them. The model is these numbers,
+for each n-gram its count and its sums as a context.
+
+No probability is stored: the contexts and suffixes of a document's n-grams are n-grams
+of the document, so who has the numbers of all of them can work it out. Documents ask for
+numbers, a block for its distinct n-grams once, and a block's answers meet again with
 its words. This runs in ``batches`` parts, whose tables and shuffle files go when they
-are scored; the weights are bucketed by shard, so no part shuffles them.
+are scored; the model is bucketed by shard, so no part shuffles it.
+
+What is written and sent is packed (``_arrays``): words of n-grams as places in a list of
+the distinct ones, sorted hashes as gaps, numbers by their bytes, all under zstd.
 
 Thresholds are quantiles over bins of log perplexity, ``BIN`` wide: sums that do not
 depend on the order of merging, at most ``BIN`` (relative) above the exact quantile.
@@ -42,7 +44,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import MULT, Workspace, gram_hashes, hash_words, mix, shuffle_partitions, sorted_runs, texts_of
-from tessera.llm.ngram_join import _arrays, _of
 
 BEGIN, END = np.uint64(1), np.uint64(2)
 POSITIONS = 600_000  # words that a task deals at once
@@ -50,7 +51,9 @@ PER_SHARD = 1_200_000
 BIN = 1e-3
 NAMES = ["shard", "kind", "origin", "blob"]
 SHARDED = "shard int, kind int, origin int, blob binary"
-GRAMS, STATS, CONTEXTS, ASKS, LOWER, SUMS, ANSWERS, WEIGHTS = range(2, 10)
+GRAMS, STATS, CONTEXTS, MODEL = range(2, 6)
+_KINDS = ["u1", "u2", "u4", "u8", "i4", "i8", "f8"]
+PLAIN, GAPS, PLACES = range(3)  # how an array is packed
 
 
 def words_of(text: bytes) -> np.ndarray:
@@ -59,6 +62,53 @@ def words_of(text: bytes) -> np.ndarray:
     return np.concatenate([[BEGIN], np.where(w < 3, np.uint64(3), w), [END]])
 
 
+def _arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays one after another, packed: rows of hashes as places in the sorted distinct ones, ascending hashes as gaps, all by bytes of one weight."""
+    head, planes = [len(arrays)], []
+
+    def add(a: np.ndarray) -> None:
+        head.extend([_KINDS.index(a.dtype.str[1:]), len(a)])
+        planes.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+
+    for a in arrays:
+        if a.ndim == 2:
+            word, at = np.unique(a, return_inverse=True)
+            head.extend([PLACES, a.shape[1], 0])
+            add(np.diff(word, prepend=np.uint64(0)))
+            add(at.reshape(-1, a.shape[1]).T.ravel().astype(np.uint16 if len(word) <= 1 << 16 else np.uint32))
+        elif a.dtype == np.uint64 and len(a) and (a[1:] >= a[:-1]).all():
+            gaps = np.diff(a)
+            step = int(np.gcd.reduce(gaps)) or 1 if len(gaps) else 1  # hashes of one shard leave the same remainder
+            head.extend([GAPS, int(a[:1].view(np.int64).sum()), np.uint64(step).view(np.int64).item()])
+            add(gaps // np.uint64(step))
+        else:
+            head.extend([PLAIN, 0, 0])
+            add(a)
+    body = np.array([len(head), *head], np.int64).tobytes() + b"".join(planes)
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _of(blob: bytes) -> list[np.ndarray]:
+    body = pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    many = int(np.frombuffer(body, np.int64, 1)[0])
+    head, at, out = iter(np.frombuffer(body, np.int64, many, 8).tolist()), 8 + 8 * many, []
+
+    def take() -> np.ndarray:
+        nonlocal at
+        kind, n = np.dtype(_KINDS[next(head)]), next(head)
+        planes = np.frombuffer(body, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        at += n * kind.itemsize
+        return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+    for _ in range(next(head)):
+        how, x, step = next(head), next(head), next(head)
+        a = take()
+        if how == GAPS:
+            a = np.cumsum(np.r_[np.int64(x).view(np.uint64), a * np.int64(step).view(np.uint64)], dtype=np.uint64)
+        out.append(np.cumsum(a, dtype=np.uint64)[take().reshape(x, -1).T] if how == PLACES else a)
+    return out
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     c = list(zip(*rows)) if rows else [[], [], [], []]
     return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary())], NAMES)
@@ -87,11 +137,11 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[n
             yield kind, origin, _of(x.as_buffer().to_pybytes())
 
 
-def _add_up(records: np.ndarray, numbers: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes, records and sums of numbers of the distinct records."""
+def _add_up(records: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hashes, records and sums of each of the numbers of the distinct records, sorted by records, which packs best."""
     name, first, inv = np.unique(_hash(records), return_index=True, return_inverse=True)
-    weights = numbers if isinstance(numbers, np.ndarray) else None
-    return name, records[first], np.bincount(inv, weights=weights, minlength=len(name)).astype(np.int64)
+    order = np.lexsort(records[first].T[::-1])
+    return name[order], records[first[order]], *(np.bincount(inv, weights=x, minlength=len(name)).astype(np.int64)[order] for x in numbers)
 
 
 def _windows(w: np.ndarray, n: int) -> np.ndarray:
@@ -114,7 +164,7 @@ def _deal(docs: DataFrame, n: int, shards: int, whole: bool) -> DataFrame:
             own = np.concatenate([_windows(w, order) for w in held])
             if not len(own):
                 return _rows([])
-            name, record, many = _add_up(own, 1)
+            name, record, many = _add_up(own, np.ones(len(own)))
             return _rows(_to_shards(GRAMS, order, name, shards, record, _small(many)))
 
         for b in batches:
@@ -131,36 +181,52 @@ def _deal(docs: DataFrame, n: int, shards: int, whole: bool) -> DataFrame:
     return docs.select("text").mapInArrow(run, SHARDED)
 
 
-def _suffixes(counts: DataFrame, n: int, shards: int) -> DataFrame:
-    """For the shards of the suffixes of n-grams, how many of a shard's n-grams end in them."""
+def _tell(counts: DataFrame, n: int, shards: int) -> DataFrame:
+    """What a shard of n-grams tells the shards of their suffixes and contexts.
+
+    Of a suffix, how many of the shard's n-grams end in it; of a context, the sum of
+    their counts and how many counts are 1, 2 and more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob in b.column(3):
-                suffix, rest, times = _add_up(_of(blob.as_buffer().to_pybytes())[0][:, 1:], 1)
+                record, many = _of(blob.as_buffer().to_pybytes())[:2]
+                suffix, rest, times = _add_up(record[many > 0, 1:], np.ones(int((many > 0).sum())))
                 yield _rows(_to_shards(GRAMS, n - 1, suffix, shards, rest, _small(times)))
+                record, many = record[many > 0], many[many > 0]
+                context, inv = np.unique(_hash(record[:, :-1]), return_inverse=True)
+                sums = [np.bincount(inv, weights=x, minlength=len(context)).astype(np.int64) for x in (many, many == 1, many == 2, many > 2)]
+                yield _rows(_to_shards(CONTEXTS, n - 1, context, shards, context, *map(_small, sums)))
 
     return counts.where(f"kind = {GRAMS}").select(*NAMES).mapInArrow(run, SHARDED)
 
 
 def _count(dealt: DataFrame, n: int) -> DataFrame:
-    """A shard's n-grams with their counts; counts of counts."""
+    """A shard's n-grams with their counts and, as contexts, four sums (0 for none); counts of counts.
+
+    Every context is among the n-grams, but for the mark of a text's begin: it gets a count of 0.
+    """
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [x for _, _, x in _blobs(batches)]
-        name, record, many = _add_up(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+        own, told = [], []
+        for kind, _, x in _blobs(batches):
+            (told if kind == CONTEXTS else own).append(x)
+        names = np.concatenate([x[0] for x in told]) if told else np.empty(0, np.uint64)
+        begin = np.full((1, 1), BEGIN)
+        if n == 1 and (names == _hash(begin)).any():
+            own.append([begin, np.zeros(1, np.int64)])
+        name, record, many = _add_up(*(np.concatenate([x[k] for x in own]) for k in (0, 1)))
+        by = np.argsort(name)
+        at = by[np.searchsorted(name, names, sorter=by)]
+        sums = [np.bincount(at, weights=np.concatenate([x[k] for x in told]) if told else None, minlength=len(name)).astype(np.int64) for k in range(1, 5)]
         me = key[0].as_py()
-        stats = np.array([*(int((many == k).sum()) for k in (1, 2, 3, 4)), len(many), int(many.sum())], np.int64)
-        yield _rows([(me, GRAMS, n, _arrays(record, _small(many))), (me, STATS, n, _arrays(stats))])
+        stats = np.array([*(int((many == k).sum()) for k in (1, 2, 3, 4)), int((many > 0).sum()), int(many.sum())], np.int64)
+        yield _rows([(me, GRAMS, n, _arrays(record, _small(many), *map(_small, sums))), (me, STATS, n, _arrays(stats))])
 
     return dealt.groupBy("shard").applyInArrow(run, SHARDED)
 
 
-def _grams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    record, many = _of(blob)
-    return record, many.astype(np.int64)
-
-
 def discounts(c: np.ndarray) -> np.ndarray:
     """Discounts for counts of 1, 2 and more, from the counts of counts."""
     n1, n2, n3, n4 = (max(float(x), 0.5) for x in c[:4])
@@ -174,154 +240,57 @@ def _stats(counts: DataFrame) -> np.ndarray:
     return sum((_of(bytes(r.blob))[0] for r in counts.where(f"kind = {STATS}").select("blob").collect()), np.zeros(6, np.int64))
 
 
-def _lowest(counts: DataFrame, c: np.ndarray) -> tuple[DataFrame, float]:
-    """Per shard, the words with log probabilities; the log probability of a word never seen."""
-    d, total, words = discounts(c), int(c[5]), int(c[4])
-    spare = float(np.dot(d, [c[0], c[1], c[4] - c[0] - c[1]])) / total / (words + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for me, blob in zip(b.column(0).to_pylist(), b.column(3)):
-                record, many = _grams(blob.as_buffer().to_pybytes())
-                p = np.log(np.maximum(many - d[np.minimum(many, 3) - 1], 0) / total + spare)
-                yield _rows([(me, LOWER, 1, _arrays(_hash(record), p.view(np.int64))), (me, WEIGHTS, 1, _arrays(_hash(record), p.view(np.int64)))])
-
-    return counts.where(f"kind = {GRAMS}").select(*NAMES).mapInArrow(run, SHARDED), float(np.log(spare))
-
-
-def _ask_down(counts: DataFrame, shards: int) -> DataFrame:
-    """What a shard of n-grams tells the shards of its contexts, and asks those of its suffixes: each distinct one once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for me, blob in zip(b.column(0).to_pylist(), b.column(3)):
-                record, many = _grams(blob.as_buffer().to_pybytes())
-                name, inv = np.unique(_hash(record[:, :-1]), return_inverse=True)
-                kinds = [many, many == 1, many == 2, many > 2]
-                sums = [_small(np.bincount(inv, weights=x, minlength=len(name)).astype(np.int64)) for x in kinds]
-                suffix = np.unique(_hash(record[:, 1:]))
-                yield _rows(_to_shards(CONTEXTS, me, name, shards, name, *sums) + _to_shards(ASKS, me, suffix, shards, suffix))
-
-    return counts.where(f"kind = {GRAMS}").select(*NAMES).mapInArrow(run, SHARDED)
-
-
-def _answer_up(asked: DataFrame, d: np.ndarray) -> DataFrame:
-    """Sums and log back-off weights of the contexts, lower log probabilities of the suffixes, to the shards that asked; the contexts' weights."""
-
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, told, asks, lower = key[0].as_py(), [], [], None
-        for kind, origin, x in _blobs(batches):
-            if kind == CONTEXTS:
-                told.append((origin, *x))
-            elif kind == ASKS:
-                asks.append((origin, x[0]))
-            elif kind == LOWER:
-                lower = x
-        if told:
-            name, inv = np.unique(np.concatenate([t[1] for t in told]), return_inverse=True)
-            sums = np.stack([np.bincount(inv, weights=np.concatenate([t[k] for t in told]), minlength=len(name)) for k in range(2, 6)], 1)
-            off = np.log(sums[:, 1:] @ d / sums[:, 0])
-            yield _rows([(me, WEIGHTS, 0, _arrays(name, off.view(np.int64)))])
-            for origin, own, *_ in told:
-                i = np.searchsorted(name, own)
-                yield _rows([(origin, SUMS, me, _arrays(own, _small(sums[i, 0].astype(np.int64)), off[i].view(np.int64)))])
-        for origin, own in asks:
-            yield _rows([(origin, ANSWERS, me, _arrays(own, lower[1][np.searchsorted(lower[0], own)]))])
-
-    return asked.groupBy("shard").applyInArrow(run, SHARDED)
-
-
-def _probabilities(counts: DataFrame, rows: DataFrame, n: int, d: np.ndarray, last: bool) -> DataFrame:
-    """Per shard, the n-grams with log probabilities (LOWER) and with what they add to the lower order (WEIGHTS).
-
-    At the last order there are only WEIGHTS, and with them the whole weights of all
-    lower orders' n-grams, what they add and their back-off weights (given in rows).
-    """
+def _numbers(counts: DataFrame, lower: DataFrame) -> DataFrame:
+    """Per shard, sorted hashes of n-grams with their five numbers: those of one order, and of all lower ones. Neither is moved."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = lambda t: zip(t.column("kind").to_pylist(), t.column("shard").to_pylist(), t.column("blob").to_pylist())
-        sums, answers, lower, out, me = [], [], [], [], None
-        for kind, me, blob in table(right):
-            (sums if kind == SUMS else answers if kind == ANSWERS else lower).append(_of(blob))
-        names, values = [x[0] for x in lower], [x[1].view(np.float64) for x in lower]
-
-        def look(parts: list, names: np.ndarray, *columns: int) -> list[np.ndarray]:
-            name = np.concatenate([p[0] for p in parts])
-            order = np.argsort(name)
-            i = order[np.searchsorted(name, names, sorter=order)]
-            return [np.concatenate([p[c] for p in parts])[i] for c in columns]
-
-        for _, me, blob in table(left):
-            record, many = _grams(blob)
-            total, off = look(sums, _hash(record[:, :-1]), 1, 2)
-            (below,) = look(answers, _hash(record[:, 1:]), 1)
-            off, below = off.view(np.float64), below.view(np.float64)
-            p = np.log(np.maximum(many - d[np.minimum(many, 3) - 1], 0) / total + np.exp(off + below))
-            name = _hash(record)
-            if last:
-                names.append(name), values.append(p - off - below)
-            else:
-                out += [(me, LOWER, n, _arrays(name, p.view(np.int64))), (me, WEIGHTS, n, _arrays(name, (p - off - below).view(np.int64)))]
-        if last and names:
-            name, inv = np.unique(np.concatenate(names), return_inverse=True)
-            # at most two a name, what it adds and its back-off weight, and a sum of two has one value
-            value = np.bincount(inv, weights=np.concatenate(values), minlength=len(name))
-            out.append((me, WEIGHTS, 0, _arrays(name, value.view(np.int64))))
-        return pa.Table.from_batches([_rows(out)])
+        names, numbers, me = [], [], None
+        for t in (left, right):
+            for me, kind, blob in zip(*(t.column(c).to_pylist() for c in ("shard", "kind", "blob"))):
+                name, *x = _of(blob)
+                names.append(name if kind == MODEL else _hash(name)), numbers.append(np.stack(x, 1).astype(np.int64))
+        name, number = np.concatenate(names), np.concatenate(numbers)
+        order = np.argsort(name)
+        return pa.Table.from_batches([_rows([(me, MODEL, 0, _arrays(name[order], *(_small(x) for x in number[order].T)))])])
 
-    return counts.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(run, SHARDED)
+    return counts.where(f"kind = {GRAMS}").groupBy("shard").cogroup(lower.where(f"kind <> {STATS}").groupBy("shard")).applyInArrow(run, SHARDED)
 
 
-def train(ws: Workspace, docs: DataFrame, order: int, shards: int) -> tuple[DataFrame, float] | None:
-    """(weights per shard, log probability of a word never seen), None without any text."""
+def train(ws: Workspace, docs: DataFrame, order: int, shards: int) -> tuple[DataFrame, dict[int, np.ndarray]] | None:
+    """(numbers per shard, counts of counts by order), None without any text."""
     counts: dict[int, DataFrame] = {}
     c: dict[int, np.ndarray] = {}
     with sorted_runs(ws.spark):
         for n in range(order, 0, -1):
             rows = _deal(docs, n, shards, n == order) if n > 1 else None
             if n < order:
-                more = _suffixes(counts[n + 1], n + 1, shards)
+                more = _tell(counts[n + 1], n + 1, shards)
                 rows = more if rows is None else rows.unionByName(more)
             counts[n] = ws.write_sorted(_count(rows, n), f"counts{n}", ["shard"], clean=True)  # bucketed, so that it is not shuffled again
             c[n] = _stats(counts[n])
         if not c[1][5]:
             return None
-        lower, spare = _lowest(counts[1], c[1])
-        lower = ws.write(lower, "model1")
-        ws.drop(counts[1])
-        parts = [lower.where(f"kind = {WEIGHTS}")]
+        model = counts[1]
         for n in range(2, order + 1):
-            d = discounts(c[n])
-            asked = _ask_down(counts[n], shards).unionByName(lower.where(f"kind = {LOWER}"))
-            answers = ws.write(_answer_up(asked, d), f"answers{n}", clean=True)
-            parts.append(ws.write(answers.where(f"kind = {WEIGHTS}"), f"offs{n}"))
-            rows = answers.where(f"kind <> {WEIGHTS}")
-            for p in parts if n == order else []:
-                rows = rows.unionByName(p)
-            made = _probabilities(counts[n].where(f"kind = {GRAMS}"), rows, n, d, n == order)
-            if n == order:
-                model = ws.write_sorted(made, "weights", ["shard"], clean=True)
-            else:
-                lower = ws.write(made, f"model{n}", clean=True)
-                parts.append(lower.where(f"kind = {WEIGHTS}"))
-            ws.drop(counts[n], answers)
+            lower, model = model, ws.write_sorted(_numbers(counts[n], model), f"numbers{n}", ["shard"], clean=True)
+            ws.drop(counts[n], lower)
         ws.drop_but(model)
-    return model, spare
+    return model, c
 
 
 def _all_grams(word: np.ndarray, at: np.ndarray, lens: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order, the hashes of n-grams, and the place of each n-gram's hash and its document, in sequences laid end to end.
+    """For each order, the hashes of n-grams, and the place of each n-gram's hash and where it begins, in sequences laid end to end.
 
     ``word`` are the distinct words and ``at`` their places in the sequences.
     """
     doc = np.repeat(np.arange(len(lens)), lens)
-    out = [(gram_hashes(word, 1), at, doc)]
+    out = [(gram_hashes(word, 1), at, np.arange(len(at)))]
     flat = word[at]
     for n in range(2, order + 1):
         h = gram_hashes(flat, n)
         same = doc[: len(h)] == doc[n - 1 : n - 1 + len(h)]
         name, inv = np.unique(h[same], return_inverse=True)
-        out.append((name, inv, doc[: len(h)][same]))
+        out.append((name, inv, np.flatnonzero(same)))
     return out
 
 
@@ -365,25 +334,32 @@ def _ask(docs: DataFrame, order: int, shards: int) -> DataFrame:
 
 
 def _answer(asked: DataFrame, model: DataFrame) -> DataFrame:
-    """Per block, from every shard that it asked, the places and weights of the n-grams known there."""
+    """Per block, from every shard that it asked, the places of the n-grams known there and their numbers."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if len(right):
-            name, value = _of(right.column("blob")[0].as_py())
+            name, *numbers = _of(right.column("blob")[0].as_py())
             for shard, base, blob in zip(*(left.column(c).to_pylist() for c in ("shard", "base", "blob"))):
                 n, own = _of(blob)
                 i = np.minimum(np.searchsorted(name, own), len(name) - 1)
                 at = np.flatnonzero(name[i] == own)
-                out.append((shard, base, _arrays(n, at.astype(np.uint32), value[i[at]]), None, None, None))
+                gaps = np.diff(at, prepend=0).astype(np.uint32)
+                out.append((shard, base, _arrays(n, gaps, *(_small(x[i[at]]) for x in numbers)), None, None, None))
         empty = pa.schema(list(zip([x.split()[0] for x in ASKED.split(", ")], [pa.int32(), pa.int64(), pa.binary(), *_LISTS])))
         return pa.Table.from_batches([_asked(out)]) if out else empty.empty_table()
 
     return asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(run, ASKED)
 
 
-def _collect(rows: DataFrame, order: int, shards: int, spare: float) -> DataFrame:
+def _collect(rows: DataFrame, order: int, shards: int, c: dict[int, np.ndarray]) -> DataFrame:
     """doc_id, lang, unseen, n_words, s: the log probability of every row of a block."""
+    cut = {n: discounts(c[n]) for n in c}
+    kinds, total, words = c[1][:2], int(c[1][5]), int(c[1][4])
+    spare = float(np.dot(cut[1], [*kinds, words - kinds.sum()])) / total / (words + 1)
+
+    def seen(many: np.ndarray, n: int) -> np.ndarray:
+        return np.where(many > 0, np.maximum(many - cut[n][np.clip(many, 1, 3) - 1], 0), 0)
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meta, words, parts = None, None, []
@@ -395,18 +371,31 @@ def _collect(rows: DataFrame, order: int, shards: int, spare: float) -> DataFram
                 else:
                     parts.append((shard, *_of(blob)))
         word, at, lens = words
-        total = np.zeros(len(lens))
-        for n, (name, place, doc) in enumerate(_all_grams(word, at.astype(np.int64), lens, order)):
-            value = np.full(len(name), 0.0 if n else spare)
+        at, lens = at.astype(np.int64), lens.astype(np.int64)
+        log, doc = np.zeros(len(lens)), np.repeat(np.arange(len(lens)), lens)
+        opens = np.diff(doc, prepend=-1) > 0
+        p = told = None  # by where an (n - 1)-gram begins: its probability, its sums as a context
+        for n, (name, place, begins) in enumerate(_all_grams(word, at, lens, order), 1):
+            number = np.zeros((5, len(name)), np.int64)
             home = (name % np.uint64(shards)).astype(np.int64)
             by = np.argsort(home, kind="stable")
             start = np.searchsorted(home[by], np.arange(shards))
-            for shard, own, i, v in parts:
-                if own[0] == n:
-                    value[by[start[shard] + i]] = v.view(np.float64)
-            total += np.bincount(doc, weights=value[place], minlength=len(lens))
-        n_words = np.maximum(lens.astype(np.int64) - 2, 0)
-        yield pa.RecordBatch.from_arrays([pa.array(meta[0], pa.int64()), pa.array(meta[1], pa.string()), pa.array(meta[2], pa.bool_()), pa.array(n_words), pa.array(total)], ["doc_id", "lang", "unseen", "n_words", "s"])
+            for shard, own, gaps, *x in parts:
+                if own[0] == n - 1:
+                    number[:, by[start[shard] + np.cumsum(gaps, dtype=np.int64)]] = x
+            many = number[0][place]
+            if n == 1:
+                q = seen(many, n) / total + spare
+            else:
+                sums, below = told[:, begins], p[begins + 1]
+                q = np.where(sums[0] > 0, (seen(many, n) + (cut[n] @ sums[1:]) * below) / np.maximum(sums[0], 1), below)
+                ends = np.ones(len(begins), bool) if n == order else opens[begins]  # shorter n-grams count at a text's begin only
+                log += np.bincount(doc[begins[ends]], weights=np.log(q[ends]), minlength=len(lens))
+            p, told = np.zeros(len(at) + 1), np.zeros((4, len(at)), np.int64)
+            p[begins] = q
+            told[:, begins] = number[1:, place]
+        n_words = np.maximum(lens - 2, 0)
+        yield pa.RecordBatch.from_arrays([pa.array(meta[0], pa.int64()), pa.array(meta[1], pa.string()), pa.array(meta[2], pa.bool_()), pa.array(n_words), pa.array(log)], ["doc_id", "lang", "unseen", "n_words", "s"])
 
     return rows.groupBy("base").applyInArrow(run, "doc_id long, lang string, unseen boolean, n_words long, s double")
 
@@ -438,14 +427,14 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order: in
     made = train(Workspace(spark, "quality-model"), d.where(split).join(seen, "doc_id", "left_semi"), order, shards)
     if made is None:
         return d.select("doc_id", "lang", F.lit(0).cast("long").alias("n_words"), *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "threshold")], F.lit(False).alias("keep"))
-    model, spare = made
+    model, c = made
     out = None
     for k in range(batches):
         part = d.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(batches)) == k).withColumn("unseen", F.coalesce(~split, F.lit(False)))
         asked = ws.write(_ask(part, order, shards), "asked")
         with sorted_runs(spark):
             answers = _answer(asked.where("shard is not null"), model)
-            done = ws.write(_collect(asked.where("shard is null").unionByName(answers), order, shards, spare), "scores", clean=True)
+            done = ws.write(_collect(asked.where("shard is null").unionByName(answers), order, shards, c), "scores", clean=True)
         ws.drop(asked)
         out = done if out is None else out.unionByName(done)
     out = out.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("s") / (F.col("n_words") + 1))))

@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tessera.llm import quality_lm
@@ -121,3 +122,19 @@ def test_ties_at_the_threshold_stay(spark):
     lab = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
     got = {x.doc_id: x.keep for x in quality_lm.score(d, lab, quantile=0.5).collect()}
     assert all(got[i] for i in range(40)) and not got[50]
+
+
+def test_packed_arrays_are_small_and_whole():
+    """What shards write and send comes back as it was, and a trigram takes a third of its three hashes, an asked hash less than seven bytes."""
+    r = np.random.default_rng(4)
+    words = r.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    grams = words[np.minimum(r.geometric(0.002, (30_000, 3)), 4999)]
+    grams = grams[np.lexsort(grams.T[::-1])]
+    asked = np.sort(r.integers(0, 1 << 60, 30_000, dtype=np.uint64)) * np.uint64(12) + np.uint64(5)
+    many = r.geometric(0.9, 30_000).astype(np.uint32)
+    for arrays in ([grams, many], [np.array([2]), asked], [asked[:0], many[:0]], [grams[:0], many[:0]], [asked[:1]], [asked[::-1]], [np.array([-1, 2**62])]):
+        got = quality_lm._of(quality_lm._arrays(*arrays))
+        assert len(got) == len(arrays)
+        assert all(a.dtype == b.dtype and a.shape == b.shape and (a == b).all() for a, b in zip(arrays, got))
+    assert len(quality_lm._arrays(grams, many)) < 8 * len(grams)
+    assert len(quality_lm._arrays(np.array([2]), asked)) < 7 * len(asked)
