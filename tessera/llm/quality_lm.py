@@ -138,9 +138,10 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[n
 
 
 def _add_up(records: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hashes, records and sums of each of the numbers of the distinct records, sorted by records, which packs best."""
+    """Hashes, records and sums of each of the numbers of the distinct records; those that begin alike stand together, which packs best."""
     name, first, inv = np.unique(_hash(records), return_index=True, return_inverse=True)
-    order = np.lexsort(records[first].T[::-1])
+    first, high = first.astype(np.int64), np.uint64(32)
+    order = np.argsort((records[first, 0] >> high << high) | (records[first, 1 % records.shape[1]] >> high))
     return name[order], records[first[order]], *(np.bincount(inv, weights=x, minlength=len(name)).astype(np.int64)[order] for x in numbers)
 
 
@@ -260,14 +261,17 @@ def train(ws: Workspace, docs: DataFrame, order: int, shards: int) -> tuple[Data
     """(numbers per shard, counts of counts by order), None without any text."""
     counts: dict[int, DataFrame] = {}
     c: dict[int, np.ndarray] = {}
+    docs = ws.write(docs.select("text"), "texts", clean=True)  # so that the shuffle that finds them does not last
     with sorted_runs(ws.spark):
+        begins = {n: ws.write(_deal(docs, n, shards, False), f"begins{n}") for n in range(order - 1, 1, -1)}
         for n in range(order, 0, -1):
-            rows = _deal(docs, n, shards, n == order) if n > 1 else None
-            if n < order:
-                more = _tell(counts[n + 1], n + 1, shards)
-                rows = more if rows is None else rows.unionByName(more)
+            rows = _deal(docs, n, shards, True) if n == order else _tell(counts[n + 1], n + 1, shards)
+            if n in begins:
+                rows = rows.unionByName(begins[n])
             counts[n] = ws.write_sorted(_count(rows, n), f"counts{n}", ["shard"], clean=True)  # bucketed, so that it is not shuffled again
             c[n] = _stats(counts[n])
+            if n > 1:
+                ws.drop(docs if n == order else begins[n])
         if not c[1][5]:
             return None
         model = counts[1]
@@ -355,11 +359,8 @@ def _answer(asked: DataFrame, model: DataFrame) -> DataFrame:
 def _collect(rows: DataFrame, order: int, shards: int, c: dict[int, np.ndarray]) -> DataFrame:
     """doc_id, lang, unseen, n_words, s: the log probability of every row of a block."""
     cut = {n: discounts(c[n]) for n in c}
-    kinds, total, words = c[1][:2], int(c[1][5]), int(c[1][4])
-    spare = float(np.dot(cut[1], [*kinds, words - kinds.sum()])) / total / (words + 1)
-
-    def seen(many: np.ndarray, n: int) -> np.ndarray:
-        return np.where(many > 0, np.maximum(many - cut[n][np.clip(many, 1, 3) - 1], 0), 0)
+    ones, every, words = c[1][:2], int(c[1][5]), int(c[1][4])
+    spare = float(np.dot(cut[1], [*ones, words - ones.sum()])) / every / (words + 1)
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meta, words, parts = None, None, []
@@ -374,26 +375,29 @@ def _collect(rows: DataFrame, order: int, shards: int, c: dict[int, np.ndarray])
         at, lens = at.astype(np.int64), lens.astype(np.int64)
         log, doc = np.zeros(len(lens)), np.repeat(np.arange(len(lens)), lens)
         opens = np.diff(doc, prepend=-1) > 0
-        p = told = None  # by where an (n - 1)-gram begins: its probability, its sums as a context
+        p = total = spread = None  # by where an (n - 1)-gram begins: its probability; as a context, its sum of counts and what is left for lower orders
         for n, (name, place, begins) in enumerate(_all_grams(word, at, lens, order), 1):
-            number = np.zeros((5, len(name)), np.int64)
+            many, sums, left = (np.zeros(len(name)) for _ in range(3))
             home = (name % np.uint64(shards)).astype(np.int64)
             by = np.argsort(home, kind="stable")
             start = np.searchsorted(home[by], np.arange(shards))
             for shard, own, gaps, *x in parts:
                 if own[0] == n - 1:
-                    number[:, by[start[shard] + np.cumsum(gaps, dtype=np.int64)]] = x
-            many = number[0][place]
+                    i = by[start[shard] + np.cumsum(gaps, dtype=np.int64)]
+                    many[i] = x[0]
+                    if n < order:
+                        sums[i], left[i] = x[1], sum(d * y for d, y in zip(cut[n + 1], x[2:]))
+            q = np.where(many > 0, np.maximum(many - cut[n][np.clip(many, 1, 3).astype(np.int64) - 1], 0), 0)[place]
             if n == 1:
-                q = seen(many, n) / total + spare
+                q = q / every + spare
             else:
-                sums, below = told[:, begins], p[begins + 1]
-                q = np.where(sums[0] > 0, (seen(many, n) + (cut[n] @ sums[1:]) * below) / np.maximum(sums[0], 1), below)
-                ends = np.ones(len(begins), bool) if n == order else opens[begins]  # shorter n-grams count at a text's begin only
+                below = p[begins + 1]
+                q = np.where(total[begins] > 0, (q + spread[begins] * below) / np.maximum(total[begins], 1), below)
+                ends = slice(None) if n == order else opens[begins]  # shorter n-grams count at a text's begin only
                 log += np.bincount(doc[begins[ends]], weights=np.log(q[ends]), minlength=len(lens))
-            p, told = np.zeros(len(at) + 1), np.zeros((4, len(at)), np.int64)
-            p[begins] = q
-            told[:, begins] = number[1:, place]
+            if n < order:
+                p, total, spread = (np.zeros(len(at) + 1) for _ in range(3))
+                p[begins], total[begins], spread[begins] = q, sums[place], left[place]
         n_words = np.maximum(lens - 2, 0)
         yield pa.RecordBatch.from_arrays([pa.array(meta[0], pa.int64()), pa.array(meta[1], pa.string()), pa.array(meta[2], pa.bool_()), pa.array(n_words), pa.array(log)], ["doc_id", "lang", "unseen", "n_words", "s"])
 
