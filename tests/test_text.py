@@ -264,3 +264,41 @@ def test_graph_round_trip(spark, tmp_path):
     dialogue.save_graph(n, e, str(tmp_path))
     n2, e2 = dialogue.load_graph(spark, str(tmp_path))
     assert n2.collect() == n.collect() and e2.collect() == e.collect()
+
+
+def test_best_ranks_move_no_edges(spark, monkeypatch):
+    """The best of the linear solve's ranks, in parts, with loose seeds, repeated edges, hubs and parts no walk reaches; no edge is exchanged. Too large a graph goes by joins, with the same rows."""
+    from tessera.plans import storage
+
+    r = np.random.default_rng(3)
+    n = 70
+    pairs = [(int(a), int(b), round(float(w), 6)) for a, b, w in zip(r.integers(0, 60, 150), r.integers(0, 60, 150), r.uniform(0.1, 1, 150)) if a != b] + [(0, i, 0.5) for i in range(1, 50)] + [(62, 63, 1.0), (62, 63, 0.25)]
+    name = lambda i: 1000 + 7 * i
+    nodes = spark.createDataFrame([(name(i),) for i in range(n)], "node long")
+    e = storage.written(spark.createDataFrame([(name(a), name(b), w) for a, b, w in pairs], "src long, dst long, weight double"), "graph")
+    marks = {q: {int(x): 1 / 3 for x in r.choice(66, 3, replace=False)} for q in range(40)} | {50: {65: 0.5, 66: 0.5}, 51: {62: 1.0}}
+    seeds = storage.written(spark.createDataFrame([(q, name(k), p) for q, s in marks.items() for k, p in s.items()], "q_id long, node long, p double"), "marks")
+    m = np.zeros((n, n))
+    for a, b, w in pairs:
+        m[a, b] += w
+        m[b, a] += w
+    reach = np.linalg.matrix_power(np.eye(n) + (m > 0), 64) > 0
+    want = []
+    for q, s in marks.items():
+        v = np.zeros(n)
+        v[list(s)] = list(s.values())
+        walk = np.array([m[i] / m[i].sum() if m[i].sum() else v for i in range(n)])
+        rank = np.round(np.linalg.solve(np.eye(n) - 0.85 * walk.T, 0.15 * v), 6)
+        best = sorted((-rank[i], i) for i in range(n) if any(reach[i, j] for j in s))[:4]
+        want += [(q, name(i), -x, k + 1) for k, (x, i) in enumerate(best)]
+    plans, kept = [], storage.written
+    monkeypatch.setattr(graph, "written", lambda df, name: plans.append((df.rdd.getNumPartitions(), df._jdf.queryExecution().executedPlan().toString())) or kept(df, name))
+    for piece, wide in ((1000, 64), (2, 3)):
+        monkeypatch.setattr(graph, "PIECE", piece)
+        monkeypatch.setattr(graph, "WIDE", wide)
+        assert sorted(map(tuple, graph.top_ranks(nodes, e, seeds, 4).collect())) == sorted(want)
+    assert len(plans) == 2 and all(k == 3 and "Exchange" not in p for k, p in plans)
+    assert graph.top_ranks(nodes, e, seeds.limit(0), 4).count() == 0 and graph.top_ranks(nodes, e.limit(0), seeds, 4).where("rank = 0.5").count() == 2
+    monkeypatch.setattr(graph, "HELD", 5)
+    few = seeds.where("q_id in (3, 50, 51)")
+    assert sorted(map(tuple, graph.top_ranks(nodes, e, few, 4).collect())) == sorted(x for x in want if x[0] in (3, 50, 51))
